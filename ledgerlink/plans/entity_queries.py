@@ -1,0 +1,10 @@
+"""Scans of the derived entities themselves."""
+
+from ledgerlink.plans.registry import query
+
+_PO = "tenant_id int, po_id bigint, po_number string, vendor_id bigint, total_amount decimal(15,2), po_date date, status string"
+
+
+@query("s09_tenant_scan", _PO, "SELECT * FROM purchase_orders WHERE tenant_id = 2")
+def tenant_scan(e):
+    return e.purchase_orders.filter("tenant_id = 2")
