@@ -6,9 +6,13 @@ two Arrow functions meant for candidate pairs; token preparation stays in Spark.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ledgerlink.functions.numeric import round_half_up
 from ledgerlink.functions.scores import clean, edit_similarity
@@ -20,6 +24,9 @@ OCR_SWAPS = {
 }
 OCR_MAX_LENGTH, OCR_MAX_VARIANTS = 50, 5
 
+# Executors get these functions with the task, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, one bit per character of ``a``."""
@@ -62,12 +69,12 @@ def _pairwise(fn, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="int32")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def subsequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairwise(percent_ratio, a, b)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def best_window_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairwise(percent_window, a, b)
 

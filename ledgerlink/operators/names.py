@@ -159,3 +159,33 @@ def tfidf_match(pairs: DataFrame, corpus: DataFrame, features: int = 1000) -> Da
     return (wanted.join(own, ["tenant_id", "text", "candidate"], "left").join(closer, ["tenant_id", "text", "candidate"], "left")
             .select("tenant_id", "text", "candidate",
                     F.when(c("beaten") | c("cosine").isNull(), 0.0).otherwise(round_half_up(c("cosine"), 6)).alias("score")))
+
+
+# --- best vendor for a scanned name -------------------------------------------------------
+
+
+def best_vendor(texts: DataFrame, vendors: DataFrame) -> DataFrame:
+    """(tenant_id, text, best_match, score): closest stored name over the text's OCR variants.
+
+    A variant equal to a stored name scores 1.0, which nothing can beat, so those texts are
+    settled by a hash join. Only the rest is compared, over distinct names sharing a word or
+    a run of digits or letters with the text.
+    """
+    from ledgerlink.functions import fuzzy
+
+    asked = texts.filter(c("text").isNotNull() & (c("text") != "")).distinct()
+    stored = vendors.select("tenant_id", c("name").alias("candidate")).distinct().withColumn("key", F.lower(F.trim("candidate")))
+    variants = asked.select("tenant_id", "text", F.explode(fuzzy.ocr_variants(c("text"))).alias("variant")).withColumn("key", F.lower(F.trim("variant")))
+    settled = variants.join(stored, ["tenant_id", "key"]).groupBy("tenant_id", "text").agg(F.min("candidate").alias("best_match")).withColumn("score", F.lit(1.0))
+    rest = variants.join(settled, ["tenant_id", "text"], "left_anti").select("tenant_id", "text", "variant", "key").dropDuplicates(["tenant_id", "text", "key"])
+
+    def blocks(x: Column) -> Column:
+        runs = F.regexp_extract_all(F.lower(x), F.lit("([0-9]+|[a-z]+)"), 1)
+        return F.explode(F.array_distinct(runs)).alias("block")
+
+    met = (rest.select("*", blocks(c("variant"))).join(stored.select("tenant_id", "candidate", blocks(c("candidate"))), ["tenant_id", "block"])
+           .select("tenant_id", "text", "variant", "candidate").distinct())
+    sims = met.select("variant", "candidate").distinct().withColumn("score", fuzzy.similarity(c("variant"), c("candidate")))
+    best = met.join(sims, ["variant", "candidate"]).groupBy("tenant_id", "text").agg(
+        F.min(F.struct((-c("score")).alias("k"), c("candidate"))).alias("b")).select("tenant_id", "text", c("b.candidate").alias("best_match"), round_half_up(-c("b.k"), 6).alias("score"))
+    return settled.unionByName(best)

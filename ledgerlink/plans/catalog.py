@@ -1,4 +1,4 @@
 """Every registered query."""
 
-from ledgerlink.plans import entity_queries, import_queries, scalar_queries  # noqa: F401
+from ledgerlink.plans import import_queries, match_queries, scalar_queries  # noqa: F401
 from ledgerlink.plans.registry import QUERIES  # noqa: F401

@@ -227,7 +227,7 @@ def _(e):
     return inv.join(lines.select(*_KEYS, c("description").alias("line_description"), "line_total"), _KEYS, "left")
 
 
-@query("k03_row_errors", _F + ", seq int", f"SELECT *, CAST(row_number() OVER (PARTITION BY import_batch_id, row_number ORDER BY code) - 1 AS INTEGER) AS seq FROM ({_EVERY})".replace("*,", "import_batch_id, row_number, code, field, severity, raw,"))
+@query("k03_row_errors", _F + ", seq int", f"SELECT import_batch_id, row_number, code, field, severity, raw, CAST(row_number() OVER (PARTITION BY import_batch_id, row_number ORDER BY code, field) - 1 AS INTEGER) AS seq FROM ({_EVERY})")
 def _(e):
     rows = checked(e).withColumn("findings", F.array_sort("findings"))
     return validate.exploded(rows, _KEYS)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlink.plans.oracle_ctes import with_entities
-from ledgerlink.sources.entities import Entities
+from ledgerlink.sources.entities import Entities, StoredEntities
 
 
 @dataclass(frozen=True)
@@ -18,9 +18,10 @@ class Query:
     build: Callable[[Entities], DataFrame]
     columns: tuple[tuple[str, str], ...]
     sql: str | None
+    stored: bool
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = self.build(Entities(spark, sf_dir))
+        df = self.build((StoredEntities if self.stored else Entities)(spark, sf_dir))
         return df.select([F.col(n).cast(t).alias(n) for n, t in self.columns])
 
     def oracle(self) -> str | None:
@@ -47,13 +48,16 @@ def _parse(schema: str) -> tuple[tuple[str, str], ...]:
     return tuple(out)
 
 
-def query(name: str, schema: str, sql: str | None = None):
-    """Register a builder under ``name``; ``schema`` fixes names and types on both sides."""
+def query(name: str, schema: str, sql: str | None = None, stored: bool = False):
+    """Register a builder under ``name``; ``schema`` fixes names and types on both sides.
+
+    ``stored`` lets the builder read the document tables written once per session.
+    """
 
     def wrap(build: Callable[[Entities], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = Query(name, build, _parse(schema), sql)
+        QUERIES[name] = Query(name, build, _parse(schema), sql, stored)
         return build
 
     return wrap

@@ -17,6 +17,7 @@ from ledgerlink.functions.parse import read_date, read_money
 from ledgerlink.functions.text import (
     blank, duplicate_vendor_name, import_vendor_name, stored_vendor_name,
 )
+from ledgerlink.session import scratch_path
 from ledgerlink.sources.literals import CONFIG_SQL
 
 DOC_AS_OF = "2001-12-31"
@@ -462,3 +463,29 @@ class Entities:
     @cached_property
     def metrics(self) -> DataFrame:
         return self.raw("events").select("event_id", F.col("event_type").alias("metric"), "value", "ts")
+
+
+# Documents a deployment keeps as tables; the matching runs read them many times.
+STORED = ("vendors", "po_lines", "purchase_orders", "invoices", "invoice_lines", "receipt_lines", "receipts")
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+class StoredEntities(Entities):
+    """Entities whose document tables are written once per session to the shared folder.
+
+    The matching runs touch invoices, orders, lines and receipts repeatedly. Reading them
+    from parquet gives every use its own column pruning and filter pushdown instead of
+    deriving the table again from the line items.
+    """
+
+    def stored(self, name: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            path = scratch_path(self.spark, name)
+            Entities.__dict__[name].func(self).write.parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(_WRITTEN[key])
+
+
+for _name in STORED:
+    setattr(StoredEntities, _name, property(lambda self, n=_name: self.stored(n)))
