@@ -6,11 +6,13 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ledgerlink.functions import fuzzy, scores
 from ledgerlink.functions.numeric import round_half_up
 from ledgerlink.operators import names
 from ledgerlink.operators.candidates import fuzzy_candidates, nearest_amount, order_candidates, receipt_candidates
+from ledgerlink.session import staged
 
 c = F.col
 
@@ -28,12 +30,10 @@ def exact_matches(invoices: DataFrame, orders: DataFrame) -> DataFrame:
     return met.groupBy("invoice_id").agg(F.min("po_id").alias("po_id"))
 
 
-def fuzzy_scores(candidates: DataFrame, vendors: DataFrame, weights: Mapping[str, float] = scores.UNIT_WEIGHTS,
-                 threshold: float = scores.UNIT_REVIEW) -> DataFrame:
-    """Candidates with all four factor scores and the confidence, those below threshold dropped.
+def with_vendor_scores(candidates: DataFrame, vendors: DataFrame, weights: Mapping[str, float], threshold: float) -> DataFrame:
+    """Candidates with the vendor score; those a perfect reference cannot save are dropped.
 
-    Vendor similarity is worked out once per distinct pair of names. Pairs that a perfect
-    reference could not lift to the threshold leave before references are compared.
+    Vendor similarity is worked out once per distinct pair of names.
     """
     name = vendors.select("vendor_id", "name")
     pairs = (candidates.filter(c("inv_vendor_id") != c("po_vendor_id")).select("inv_vendor_id", "po_vendor_id").distinct()
@@ -43,16 +43,58 @@ def fuzzy_scores(candidates: DataFrame, vendors: DataFrame, weights: Mapping[str
     same = c("inv_vendor_id") == c("po_vendor_id")
     vendored = candidates.join(pairs, ["inv_vendor_id", "po_vendor_id"], "left").withColumn(
         "vendor_score", F.when(same, 1.0).otherwise(c("sim"))).drop("sim")
-    w = weights
-    reach = (c("vendor_score") * w["vendor_name"] + c("amount_score") * w["amount"] + c("date_score") * w["date"] + w["reference"])
-    kept = vendored.filter(reach >= threshold - 0.00005)
+    return vendored.filter(_without_reference(weights) + weights["reference"] >= threshold - 0.00005)
+
+
+def _without_reference(w: Mapping[str, float]) -> Column:
+    return c("vendor_score") * w["vendor_name"] + c("amount_score") * w["amount"] + c("date_score") * w["date"]
+
+
+def drop_dominated(vendored: DataFrame, weights: Mapping[str, float], threshold: float) -> DataFrame:
+    """Candidates that can still be their invoice's best, judged by bounds on the reference score.
+
+    With edit distance d between one-word references of lengths n and m, the common
+    subsequence is at least max(n, m) - d and at most (n + m - d) / 2. Both give bounds on the
+    confidence; a candidate whose upper bound is below another one's lower bound cannot win.
+    References with several words get the trivial bounds 0 and 1.
+    """
+    x, y = scores.clean(c("inv_ref")), scores.clean(c("po_number"))
+    n, m, d = F.length(x), F.length(y), F.levenshtein(x, y)
+    longer, total = F.greatest(n, m).cast("double"), (n + m).cast("double")
+    plain = x.rlike("^[a-z0-9_]+$") & y.rlike("^[a-z0-9_]+$")
+    edit = (longer - d) / longer
+    low = F.greatest(F.lit(0.0), edit * 0.3 + ((longer - d) * 2.0 / total - 0.005) * 0.7)
+    high = F.least(F.lit(1.0), edit * 0.3 + (1.0 - d / total + 0.005) * 0.7)
+    none = x.isNull() | y.isNull() | (x == "") | (y == "")
+    lo = F.when(none, 0.0).when(x == y, 1.0).when(plain, low).otherwise(0.0)
+    hi = F.when(none, 0.0).when(x == y, 1.0).when(plain, high).otherwise(1.0)
+    base, w = _without_reference(weights), weights["reference"]
+    bounded = vendored.withColumn("_lo", base + lo * w - 0.0001).withColumn("_hi", base + hi * w + 0.0001).filter(c("_hi") >= threshold)
+    best = F.max("_lo").over(W.partitionBy("invoice_id"))
+    return bounded.withColumn("_best", best).filter(c("_hi") >= c("_best")).drop("_lo", "_hi", "_best")
+
+
+def with_reference_scores(vendored: DataFrame, weights: Mapping[str, float], threshold: float) -> DataFrame:
     ref, number = F.upper(F.trim("inv_ref")), F.upper(F.trim("po_number"))
     reference = F.when(F.coalesce(ref == number, F.lit(False)), 1.0).otherwise(fuzzy.similarity(c("inv_ref"), c("po_number")))
-    scored = kept.withColumn("reference_score", reference)
-    conf = scores.unit_confidence(c("vendor_score"), c("amount_score"), c("date_score"), c("reference_score"), w)
+    scored = vendored.withColumn("reference_score", reference)
+    conf = scores.unit_confidence(c("vendor_score"), c("amount_score"), c("date_score"), c("reference_score"), weights)
     return scored.withColumn("confidence", conf).filter(c("confidence") >= threshold)
 
 
+def fuzzy_scores(candidates: DataFrame, vendors: DataFrame, weights: Mapping[str, float] = scores.UNIT_WEIGHTS,
+                 threshold: float = scores.UNIT_REVIEW) -> DataFrame:
+    """Every candidate reaching the threshold with its four factor scores and confidence."""
+    return with_reference_scores(with_vendor_scores(candidates, vendors, weights, threshold), weights, threshold)
+
+
+def best_fuzzy(candidates: DataFrame, vendors: DataFrame, weights: Mapping[str, float] = scores.UNIT_WEIGHTS,
+               threshold: float = scores.UNIT_REVIEW) -> DataFrame:
+    """The best candidate per invoice; references are compared only where they can decide."""
+    rows = drop_dominated(with_vendor_scores(candidates, vendors, weights, threshold), weights, threshold)
+    return best_candidate(with_reference_scores(rows, weights, threshold))
+
+
 def best_candidate(scored: DataFrame) -> DataFrame:
     """Highest confidence per invoice, ties by earlier order date and smaller id."""
     cols = ["confidence", "vendor_score", "amount_score", "date_score", "reference_score", "share", "gap"]
@@ -76,7 +118,7 @@ def two_way_run(invoices: DataFrame, orders: DataFrame, vendors: DataFrame, done
     open_ = invoices if done is None else invoices.join(done.select("invoice_id"), "invoice_id", "left_anti")
     exact = exact_matches(open_, orders)
     rest = open_.join(exact, "invoice_id", "left_anti")
-    best = best_candidate(fuzzy_scores(fuzzy_candidates(rest, orders, weights, review), vendors, weights, review))
+    best = best_fuzzy(fuzzy_candidates(rest, orders, weights, review), vendors, weights, review)
     one, none = F.lit(1.0), F.lit(0.0)
     full = exact.select("invoice_id", "po_id", one.alias("confidence"), one.alias("vendor_score"), one.alias("amount_score"),
                         one.alias("date_score"), one.alias("reference_score"), none.alias("share"), F.lit(0).alias("gap"))
@@ -137,17 +179,22 @@ def best_lines(invoice_lines: DataFrame, po_lines: DataFrame, matched: DataFrame
     (order, word set). Equal order lines collapse to the first line number beforehand.
     """
     words = lambda x: F.array_join(F.array_sort(F.array_distinct(F.split(F.lower(x), r"[ \t\r\n]+"))), " ")
-    left = (invoice_lines.join(matched.select("invoice_id", "po_id"), "invoice_id")
-            .withColumn("code", _code(c("item_code"))).withColumn("words", words(c("description"))))
+
+    def key(tag: str, value: Column) -> Column:
+        return F.concat(F.lit(tag), value)
+
+    # c: equal codes; a: a line without code meets any; n: a line with code meets those without.
+    code, text = _code(c("item_code")), words(c("description"))
+    left_keys = F.when(code.isNull(), F.array(key("a", text))).otherwise(F.array(key("c", code), key("n", text)))
+    left = invoice_lines.join(matched.select("invoice_id", "po_id"), "invoice_id").select(
+        "po_id", "invoice_line_id", "item_code", "description", "unit_price", "quantity", F.explode(left_keys).alias("key"))
     right = po_lines.groupBy("po_id", c("item_code").alias("p_code"), c("description").alias("p_description"),
                              c("unit_price").alias("p_price"), c("quantity").alias("p_quantity")).agg(
         F.min(F.struct("line_number", "po_line_id")).alias("line"))
-    right = right.withColumn("code", _code(c("p_code"))).withColumn("words", words(c("p_description")))
-    by_code = left.filter("code is not null").drop("words").join(right.filter("code is not null").drop("words"), ["po_id", "code"]).drop("code")
-    l2, r2 = left.withColumnRenamed("code", "a"), right.withColumnRenamed("code", "b")
-    by_words = l2.filter("a is null").join(r2, ["po_id", "words"]).unionByName(
-        l2.filter("a is not null").join(r2.filter("b is null"), ["po_id", "words"])).drop("words", "a", "b")
-    scored = by_code.unionByName(by_words).withColumn("confidence", line_confidence()).filter(c("confidence") >= LINE_MATCH_MIN)
+    p_code, p_text = _code(c("p_code")), words(c("p_description"))
+    right_keys = F.when(p_code.isNull(), F.array(key("n", p_text), key("a", p_text))).otherwise(F.array(key("c", p_code), key("a", p_text)))
+    right = right.select("*", F.explode(right_keys).alias("key"))
+    scored = left.join(right, ["po_id", "key"]).withColumn("confidence", line_confidence()).filter(c("confidence") >= LINE_MATCH_MIN)
     pick = F.struct((-c("confidence")).alias("k"), c("line.line_number").alias("n"), c("line.po_line_id").alias("po_line_id"), c("confidence"))
     return scored.groupBy("invoice_line_id").agg(F.min(pick).alias("b")).select("invoice_line_id", "b.po_line_id", "b.confidence")
 
@@ -236,7 +283,7 @@ def gate(classified: DataFrame) -> DataFrame:
 
 def three_way_run(invoices: DataFrame, orders: DataFrame, receipts: DataFrame, invoice_lines: DataFrame, po_lines: DataFrame,
                   receipt_lines: DataFrame, as_of: Column) -> DataFrame:
-    found = find_orders(invoices, orders)
+    found = staged(find_orders(invoices, orders), "found")
     matched = invoices.drop("po_id").join(found, "invoice_id")
     receipts_of = related_receipts(matched, receipts, as_of)
     lines = line_matches(invoice_lines, po_lines, matched, receipt_totals(receipts_of, receipt_lines))
@@ -270,7 +317,7 @@ def band_triples(pairs: DataFrame, invoices: DataFrame, receipts: DataFrame, k:
 
 def band_run(invoices: DataFrame, orders: DataFrame, receipts: DataFrame, vendors: DataFrame, auto: float = 85.0) -> DataFrame:
     """Best triple per invoice, or the best pair when no triple reaches 70 and the pair beats it."""
-    pairs = band_pairs(invoices, orders, vendors, order_candidates(invoices, orders))
+    pairs = staged(band_pairs(invoices, orders, vendors, order_candidates(invoices, orders)), "pairs")
     triples = band_triples(pairs, invoices, receipts)
     three = scores.band3_confidence(c("vendor_score"), c("amount_score"), c("date_score"), c("receipt_score"))
     two = scores.band2_confidence(c("vendor_score"), c("amount_score"), c("date_score"))

@@ -7,6 +7,7 @@ from ledgerlink.functions.numeric import round_half_up
 from ledgerlink.operators import candidates, changes, match, names, vendors
 from ledgerlink.plans.oracle_ctes import sql_round
 from ledgerlink.plans import registry
+from ledgerlink.session import staged
 from ledgerlink.sources.entities import doc_as_of
 
 c = F.col
@@ -196,7 +197,8 @@ def _(e):
 
 
 def _matched(e):
-    return e.invoices.drop("po_id").join(match.find_orders(e.invoices, e.purchase_orders), "invoice_id")
+    found = staged(match.find_orders(e.invoices, e.purchase_orders), "found")
+    return e.invoices.drop("po_id").join(found, "invoice_id")
 
 
 _RELATED = """SELECT m.invoice_id, m.po_id, r.receipt_id, r.receipt_date, r.total_quantity, r.total_value FROM found m JOIN invoices i ON i.invoice_id = m.invoice_id
@@ -243,8 +245,8 @@ def _(e):
     return match.related_receipts(_matched(e), e.receipts, doc_as_of())
 
 
-def _lines(e):
-    matched = _matched(e)
+def _lines(e, matched=None):
+    matched = matched or _matched(e)
     related = match.related_receipts(matched, e.receipts, doc_as_of())
     return match.line_matches(e.invoice_lines, e.po_lines, matched, match.receipt_totals(related, e.receipt_lines))
 
@@ -265,8 +267,8 @@ def _(e):
     return match.receipt_totals(match.related_receipts(_matched(e), e.receipts, doc_as_of()), e.receipt_lines)
 
 
-def _summary(e):
-    matched = _matched(e)
+def _summary(e, matched=None):
+    matched = matched or _matched(e)
     return match.financial_summary(matched, e.purchase_orders, match.related_receipts(matched, e.receipts, doc_as_of()), e.invoice_lines, e.po_lines)
 
 
@@ -280,7 +282,8 @@ def _(e):
 
 @query("a06_match_classification", "invoice_id bigint, match_type string, confidence double, delivery_class string, total_lines bigint, matched_lines bigint, within_lines bigint", f"{_CHAIN} SELECT * FROM classified")
 def _(e):
-    return match.classify(_lines(e), _summary(e))
+    matched = _matched(e)
+    return match.classify(_lines(e, matched), _summary(e, matched))
 
 
 _RUN = "invoice_id bigint, po_id bigint, match_type string, confidence double, auto_approved boolean, requires_review boolean, exceptions string"
@@ -288,7 +291,8 @@ _RUN = "invoice_id bigint, po_id bigint, match_type string, confidence double, a
 
 @query("a07_approval_gate", "invoice_id bigint, amount_ok boolean, quantity_ok boolean, auto_approved boolean, requires_review boolean, exceptions string", f"{_CHAIN} {_GATE}")
 def _(e):
-    return match.gate(match.classify(_lines(e), _summary(e))).withColumn("exceptions", F.array_join("exceptions", "; "))
+    matched = _matched(e)
+    return match.gate(match.classify(_lines(e, matched), _summary(e, matched))).withColumn("exceptions", F.array_join("exceptions", "; "))
 
 
 @query("r07_three_way_run", _RUN + ", net_amount_variance decimal(18,2), delivery_class string", f"{_CHAIN} {_GATE}")
@@ -312,7 +316,7 @@ _DECISION = "invoice_id bigint, po_id bigint, confidence double, match_type stri
 
 @query("r01_decisions", _DECISION)
 def _(e):
-    return match.decide(match.best_candidate(match.fuzzy_scores(candidates.fuzzy_candidates(_rest(e), e.purchase_orders), e.vendors)))
+    return match.decide(match.best_fuzzy(candidates.fuzzy_candidates(_rest(e), e.purchase_orders), e.vendors))
 
 
 @query("r08_two_way_run", _DECISION + ", explanation string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "ledgerlink", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,3 +50,14 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and continue from the table.
+
+    For results that several branches of a run need: computed once, readable with column
+    pruning, and safe when executors are lost.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
