@@ -183,7 +183,7 @@ ENTITY_SQL: dict[str, str] = {
               FROM receipt_lines GROUP BY po_id, receipt_id) AS s
         JOIN purchase_orders p ON p.po_id = s.po_id""",
     "import_rows": """
-        SELECT tenant_id, CAST(floor(k / 500) AS BIGINT) AS import_batch_id, CAST(k % 500 + 2 AS INTEGER) AS row_number,
+        SELECT tenant_id, CAST(floor(k / 200) AS BIGINT) AS import_batch_id, CAST(k % 200 + 2 AS INTEGER) AS row_number,
                CASE WHEN m = 10 THEN '  ' ELSE 'INV-' || lpad(CAST(CASE WHEN m = 8 THEN k - 8 ELSE k END AS VARCHAR), 12, '0') END AS invoice_number,
                CASE WHEN m = 7 THEN '' WHEN m IN (0, 8) THEN 'Bulk  Vendor ' || CAST(k // 12 AS VARCHAR) || ' Ltd'
                     WHEN m = 5 THEN '12345' ELSE name END AS vendor_name,

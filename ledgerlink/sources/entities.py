@@ -44,6 +44,25 @@ def _pad(c: Column, n: int) -> Column:
     return F.lpad(c.cast("string"), n, "0")
 
 
+def parse_rows(rows: DataFrame, year: int) -> DataFrame:
+    """Import rows with every field read into its type (null when it cannot be)."""
+    vendor = import_vendor_name(F.col("vendor_name"))
+    return rows.select(
+        "tenant_id", "import_batch_id", "row_number",
+        F.col("invoice_number").alias("raw_number"), F.col("vendor_name").alias("raw_vendor"),
+        F.col("total_amount").alias("raw_amount"), F.col("invoice_date").alias("raw_date"),
+        F.when(~blank(F.col("invoice_number")), F.substring(F.trim("invoice_number"), 1, 100)).alias("invoice_number"),
+        F.when(vendor != "", vendor).alias("vendor_name"),
+        read_money(F.col("total_amount")).alias("total_amount"),
+        read_date(F.col("invoice_date"), year).alias("invoice_date"),
+        read_money(F.col("tax_amount")).alias("tax_amount"),
+        read_money(F.col("subtotal")).alias("subtotal"),
+        read_date(F.col("due_date"), year).alias("due_date"),
+        F.col("tax_amount").alias("raw_tax"), F.col("due_date").alias("raw_due"),
+        "description", "po_reference", "payment_terms", "email",
+    )
+
+
 class Entities:
     """Lazy entity DataFrames over one folder of driver tables."""
 
@@ -276,8 +295,8 @@ class Entities:
         )
         return inv.select(
             "tenant_id",
-            F.floor(key / 500).cast("bigint").alias("import_batch_id"),
-            (key % 500 + 2).cast("int").alias("row_number"),
+            F.floor(key / 200).cast("bigint").alias("import_batch_id"),
+            (key % 200 + 2).cast("int").alias("row_number"),
             F.when(m == 10, F.lit("  ")).otherwise(F.concat(F.lit("INV-"), _pad(pair, 12))).alias("invoice_number"),
             F.when(m == 7, F.lit("")).when(m.isin(0, 8), F.concat(F.lit("Bulk  Vendor "), group, F.lit(" Ltd")))
             .when(m == 5, F.lit("12345")).otherwise(F.col("name")).alias("vendor_name"),
@@ -303,23 +322,7 @@ class Entities:
 
     @cached_property
     def parsed_rows(self) -> DataFrame:
-        """Import rows with every field read into its type (null when it cannot be)."""
-        year = int(DOC_AS_OF[:4])
-        vendor = import_vendor_name(F.col("vendor_name"))
-        return self.import_rows.select(
-            "tenant_id", "import_batch_id", "row_number",
-            F.col("invoice_number").alias("raw_number"), F.col("vendor_name").alias("raw_vendor"),
-            F.col("total_amount").alias("raw_amount"), F.col("invoice_date").alias("raw_date"),
-            F.when(~blank(F.col("invoice_number")), F.substring(F.trim("invoice_number"), 1, 100)).alias("invoice_number"),
-            F.when(vendor != "", vendor).alias("vendor_name"),
-            read_money(F.col("total_amount")).alias("total_amount"),
-            read_date(F.col("invoice_date"), year).alias("invoice_date"),
-            read_money(F.col("tax_amount")).alias("tax_amount"),
-            read_money(F.col("subtotal")).alias("subtotal"),
-            read_date(F.col("due_date"), year).alias("due_date"),
-            F.col("tax_amount").alias("raw_tax"), F.col("due_date").alias("raw_due"),
-            "description", "po_reference", "payment_terms", "email",
-        )
+        return parse_rows(self.import_rows, int(DOC_AS_OF[:4]))
 
     @cached_property
     def score_pairs(self) -> DataFrame:
