@@ -228,3 +228,17 @@ def blocked_flags(events: DataFrame, key: str, at: str, block_start: Column, sec
     spill = own.filter(c("_s").isNotNull()).withColumn("_own", F.lit(False)).withColumn("_b", c("_b") + 1)
     w = W.partitionBy(key, "_b").orderBy("_m").rangeBetween(-width, -1)
     return own.unionByName(spill).withColumn("blocked", F.max("_s").over(w).isNotNull()).filter("_own").drop("_m", "_s", "_own", "_b")
+
+
+def device_lists(attempts: DataFrame, key: str, as_of: Column, keep: int = 10) -> DataFrame:
+    """The last ``keep`` attempts of devices seen in the last day.
+
+    The list is forgotten after a day without attempts, so only attempts since the last
+    such gap count.
+    """
+    day = F.expr("interval 24 hours")
+    seen = previous_time(attempts, key, "attempted_at", "attempt_id", F.date_trunc("DAY", c("attempted_at")), "_previous")
+    fresh = c("_previous").isNull() | (c("attempted_at") - c("_previous") >= day)
+    spans = seen.groupBy(key).agg(F.max("attempted_at").alias("_last"), F.max(F.when(fresh, c("attempted_at"))).alias("_reset"))
+    live = attempts.join(spans.filter(c("_last") > as_of - day), key).filter(c("attempted_at") >= c("_reset")).drop("_last", "_reset")
+    return last_n(live, [key], [F.desc("attempted_at"), F.desc("attempt_id")], keep)

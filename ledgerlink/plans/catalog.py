@@ -1,4 +1,4 @@
 """Every registered query."""
 
-from ledgerlink.plans import file_queries, import_queries, match_queries, report_queries, scalar_queries, security_queries  # noqa: F401
+from ledgerlink.plans import file_queries, import_queries, match_queries, report_queries, scalar_queries, security_queries, stream_queries  # noqa: F401
 from ledgerlink.plans.registry import QUERIES  # noqa: F401
