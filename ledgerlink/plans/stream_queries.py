@@ -66,8 +66,8 @@ def _(e):
     return jobs.newest(updates, ["hour", "metric"])
 
 
-@query("t07_continuous_alerts", "hour timestamp_ntz, rule_name string, level string, value double",
-       """SELECT hour, rule_name, level, v AS value FROM (SELECT date_trunc('hour', attempted_at) AS hour, count(*) FILTER (WHERE NOT success) AS f,
+@query("t07_continuous_alerts", "span_start timestamp_ntz, rule_name string, level string, value double",
+       """SELECT span_start, rule_name, level, v AS value FROM (SELECT CAST(date_trunc('day', attempted_at) AS TIMESTAMP) AS span_start, count(*) FILTER (WHERE NOT success) AS f,
           count(*) FILTER (WHERE failure_reason IN ('rate_limited', 'suspicious_activity')) AS s FROM auth_attempts GROUP BY 1) AS h
           CROSS JOIN LATERAL (VALUES ('auth_failed_login_rate', h.f), ('auth_suspicious_logins', h.s)) AS m(metric, v) JOIN alert_rules r ON r.metric = m.metric WHERE v > threshold""")
 def _(e):
@@ -77,12 +77,12 @@ def _(e):
     rules = e.config("alert_rules")
 
     def fire(batch):
-        long = batch.unpivot(["hour"], ["auth_failed_login_rate", "auth_suspicious_logins"], "metric", "value")
+        long = batch.unpivot(["span_start"], ["auth_failed_login_rate", "auth_suspicious_logins"], "metric", "value")
         hit = long.join(F.broadcast(rules), "metric").filter("value > threshold")
-        return hit.select("hour", "rule_name", "level", "value")
+        return hit.select("span_start", "rule_name", "level", "value")
 
-    updates = jobs.run_batches(jobs.hourly_logins(attempts), "alerts", fire)
-    return jobs.newest(updates, ["hour", "rule_name"])
+    updates = jobs.run_batches(jobs.login_alert_metrics(attempts), "alerts", fire)
+    return jobs.newest(updates, ["span_start", "rule_name"])
 
 
 @query("t08_latest_progress", "batch_key bigint, stage string, event_id bigint, steps bigint",

@@ -61,13 +61,13 @@ def hourly_metrics(events: DataFrame) -> DataFrame:
             .select(c("w.start").alias("hour"), "metric", "n", c("total").cast("decimal(18,2)").alias("total")))
 
 
-def hourly_logins(attempts: DataFrame) -> DataFrame:
-    """Failed and suspicious logins per hour, one-hour watermark."""
+def login_alert_metrics(attempts: DataFrame, span: str = "24 hours") -> DataFrame:
+    """Failed and suspicious logins per time span, one-hour watermark."""
     timed = attempts.withColumn("at", c("attempted_at").cast("timestamp"))
-    return (timed.withWatermark("at", "1 hour").groupBy(F.window("at", "1 hour").alias("w"))
+    return (timed.withWatermark("at", "1 hour").groupBy(F.window("at", span).alias("w"))
             .agg(F.count_if(~c("success")).cast("double").alias("auth_failed_login_rate"),
                  F.count_if(c("failure_reason").isin("rate_limited", "suspicious_activity")).cast("double").alias("auth_suspicious_logins"))
-            .select(c("w.start").alias("hour"), "auth_failed_login_rate", "auth_suspicious_logins"))
+            .select(c("w.start").alias("span_start"), "auth_failed_login_rate", "auth_suspicious_logins"))
 
 
 def latest_progress(events: DataFrame) -> DataFrame:

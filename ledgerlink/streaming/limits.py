@@ -77,8 +77,16 @@ def rate_limit(events: DataFrame, limit: int, window_seconds: int, day: Column)
     return ordered.mapInPandas(run, LIMIT_COLUMNS)
 
 
+def _expire(state: GroupState, at: int) -> None:
+    """Drop the state once event time passes ``at`` (microseconds)."""
+    state.setTimeoutTimestamp(max(at // 1000, state.getCurrentWatermarkMs() + 1))
+
+
 def rate_limit_stream(events: DataFrame, limit: int, window_seconds: int) -> DataFrame:
-    """Streaming form: keyed state holds the accepted times, dropped after a quiet window."""
+    """Streaming form: keyed state holds the accepted times, dropped after a quiet window.
+
+    Event time drives expiry; requests later than one window behind the newest are dropped.
+    """
     window = window_seconds * 1000000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -91,11 +99,12 @@ def rate_limit_stream(events: DataFrame, limit: int, window_seconds: int) -> Dat
         states = {key[0]: accepted}
         yield _answers(rows, states, limit, window)
         state.update((list(states[key[0]]),))
-        state.setTimeoutDuration(window_seconds * 1000)
+        _expire(state, int(rows["at"].iloc[-1]) + window)
 
-    shaped = events.select("event_id", "user_id", F.unix_micros(c("ts").cast("timestamp")).alias("at"))
+    timed = events.withColumn("seen_at", c("ts").cast("timestamp")).withWatermark("seen_at", f"{window_seconds} seconds")
+    shaped = timed.select("event_id", "user_id", F.unix_micros("seen_at").alias("at"), "seen_at")
     return shaped.groupBy("user_id").applyInPandasWithState(
-        step, LIMIT_COLUMNS, "accepted array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        step, LIMIT_COLUMNS, "accepted array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def failure_counter_stream(attempts: DataFrame, quiet_seconds: int) -> DataFrame:
@@ -118,9 +127,10 @@ def failure_counter_stream(attempts: DataFrame, quiet_seconds: int) -> DataFrame
         out["delay_seconds"] = [min(30.0, 0.5 * 2.0 ** min(n - 1, 60)) for n in counts]
         yield out
         state.update((count, last))
-        state.setTimeoutDuration(quiet_seconds * 1000)
+        _expire(state, last + quiet)
 
-    shaped = attempts.filter("not success").select("attempt_id", "user_id", F.unix_micros(c("attempted_at").cast("timestamp")).alias("at"))
+    timed = attempts.withColumn("seen_at", c("attempted_at").cast("timestamp")).withWatermark("seen_at", f"{quiet_seconds} seconds")
+    shaped = timed.filter("not success").select("attempt_id", "user_id", F.unix_micros("seen_at").alias("at"), "seen_at")
     return shaped.groupBy("user_id").applyInPandasWithState(
         step, "attempt_id bigint, user_id bigint, failures bigint, delay_seconds double", "n bigint, last bigint", "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        GroupStateTimeout.EventTimeTimeout)
