@@ -45,12 +45,12 @@ def assign_vendor_codes(vendors: DataFrame, taken: DataFrame | None = None) -> D
 
 
 def ranked(df: DataFrame, keys: list[str], text: str, name: str) -> DataFrame:
-    """1-based position of each row within ``keys`` by ``text``, numbered in prefix blocks.
+    """1-based position of each row within ``keys``, in the order of (hash block, text).
 
-    Blocks are the first sixteen characters of the text, so a hot key is sorted in many
-    tasks; block offsets come from a small count table.
+    The order only has to be fixed, so rows are spread over 4096 blocks by a hash of the
+    text: a hot key is sorted in many tasks, and block offsets come from a small count table.
     """
-    blocked = df.withColumn("_block", F.substring(text, 1, 16))
+    blocked = df.withColumn("_block", F.substring(F.md5(text), 1, 3))
     inside = F.row_number().over(W.partitionBy(*keys, "_block").orderBy(text))
     sizes = blocked.groupBy(*keys, "_block").agg(F.count("*").alias("_size"))
     before = F.sum("_size").over(W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlink.functions.scores import contact_similarity
 from ledgerlink.operators import names
-from ledgerlink.session import shared_dir
+from ledgerlink.session import shared_dir, staged
 
 c = F.col
 _ROW = ["import_batch_id", "row_number"]
@@ -69,45 +69,78 @@ def with_new_vendors(accepted: DataFrame, vendors: DataFrame) -> DataFrame:
 # --- duplicates ------------------------------------------------------------------------
 
 
-def duplicate_pairs(vendors: DataFrame, threshold: float = 80.0) -> DataFrame:
-    """Vendor pairs (smaller id first) whose contact similarity reaches ``threshold``.
+_CONTACTS = ["normalized_name", "email", "phone", "tax_id"]
+
+
+def _signed(vendors: DataFrame) -> DataFrame:
+    return vendors.select("tenant_id", "vendor_id", *_CONTACTS, F.sha2(F.to_json(F.struct("tenant_id", *_CONTACTS)), 256).alias("sig"))
+
 
-    The name adds at most 60 points, so above 60 the rest must come from contacts: a pair
-    has to share the e-mail, or both phone and tax id when 20 points are still missing, or
-    any one of them below that. Candidates are joined on exactly those keys. A group of
-    vendors sharing one key is compared by distinct (name, e-mail, phone, tax id)
-    signatures, so a mass of identical copies costs one comparison.
+def _shared_keys(threshold: float) -> list[list[str]]:
+    """Key sets, one of which any pair reaching ``threshold`` must share.
+
+    A name adds at most 60 points, an e-mail 20, phone and tax id 10 each. At 80 a pair with
+    only 20 contact points needs equal names; with 30 or more it shares the e-mail and one of
+    the others. Above 80 the second case remains alone, below 80 names may differ.
     """
     if threshold <= 60:
         raise ValueError("thresholds up to 60 need no shared contact; join on name blocks instead")
-    fields = ["normalized_name", "email", "phone", "tax_id"]
-    signed = vendors.select(
-        "tenant_id", "vendor_id", *fields, F.lower("email").alias("mail_key"), F.regexp_replace("phone", "[^0-9]", "").alias("phone_key"),
-    ).withColumn("sig", F.sha2(F.to_json(F.struct("tenant_id", *fields)), 256))
-    groups = signed.groupBy("sig").agg(
-        F.first("tenant_id").alias("tenant_id"), *[F.first(f, True).alias(f) for f in fields],
-        F.first("mail_key", True).alias("mail_key"), F.first("phone_key", True).alias("phone_key"))
-    keys = [["mail_key"]]
-    keys += [["phone_key", "tax_id"]] if threshold > 70 else [["phone_key"], ["tax_id"]]
+    both = [["mail_key", "phone_key"], ["mail_key", "tax_id"]]
+    if threshold > 80:
+        return both
+    if threshold == 80:
+        return [*both, ["mail_key", "normalized_name"], ["phone_key", "tax_id", "normalized_name"]]
+    return [["mail_key"], *([["phone_key", "tax_id"]] if threshold > 70 else [["phone_key"], ["tax_id"]])]
+
+
+def signature_pairs(signed: DataFrame, threshold: float) -> DataFrame:
+    """(sig_a, sig_b, score) over distinct (name, e-mail, phone, tax id), sig_a <= sig_b.
+
+    A mass of identical copies is one signature and costs one comparison.
+    """
+    groups = signed.groupBy("sig").agg(F.first("tenant_id").alias("tenant_id"), *[F.first(f, True).alias(f) for f in _CONTACTS])
+    groups = groups.withColumn("mail_key", F.lower("email")).withColumn("phone_key", F.regexp_replace("phone", "[^0-9]", ""))
     joined = None
-    for shared in keys:
-        usable = groups
-        for k in shared:
-            usable = usable.filter(c(k).isNotNull())
-        a = usable.select("tenant_id", *shared, c("sig").alias("sig_a"))
-        b = usable.select("tenant_id", *shared, c("sig").alias("sig_b"))
-        part = a.join(b, ["tenant_id", *shared]).filter("sig_a <= sig_b").select("sig_a", "sig_b")
+    for shared in _shared_keys(threshold):
+        usable = groups.dropna(subset=shared).select("tenant_id", *shared, "sig")
+        part = (usable.withColumnRenamed("sig", "sig_a").join(usable.withColumnRenamed("sig", "sig_b"), ["tenant_id", *shared])
+                .filter("sig_a <= sig_b").select("sig_a", "sig_b"))
         joined = part if joined is None else joined.unionByName(part)
-    sides = [groups.select(c("sig").alias(f"sig_{s}"), *[c(f).alias(f"{f}_{s}") for f in fields]) for s in "ab"]
-    args = [c(f"{f}_{s}") for f in fields for s in "ab"]
-    scored = (joined.distinct().join(sides[0], "sig_a").join(sides[1], "sig_b")
-              .select("sig_a", "sig_b", contact_similarity(*args).alias("score")).filter(c("score") >= threshold))
+    sides = [groups.select(c("sig").alias(f"sig_{s}"), *[c(f).alias(f"{f}_{s}") for f in _CONTACTS]) for s in "ab"]
+    args = [c(f"{f}_{s}") for f in _CONTACTS for s in "ab"]
+    return (joined.distinct().join(sides[0], "sig_a").join(sides[1], "sig_b")
+            .select("sig_a", "sig_b", contact_similarity(*args).alias("score")).filter(c("score") >= threshold - 1e-9))
+
+
+def duplicate_pairs(vendors: DataFrame, threshold: float = 80.0) -> DataFrame:
+    """Vendor pairs (smaller id first) whose contact similarity reaches ``threshold``."""
+    signed = _signed(vendors)
     members = signed.select("sig", "vendor_id")
-    return (scored.join(members.toDF("sig_a", "x"), "sig_a").join(members.toDF("sig_b", "y"), "sig_b")
+    return (signature_pairs(signed, threshold).join(members.toDF("sig_a", "x"), "sig_a").join(members.toDF("sig_b", "y"), "sig_b")
             .filter((c("sig_a") != c("sig_b")) | (c("x") < c("y")))
             .select(F.least("x", "y").alias("vendor_id"), F.greatest("x", "y").alias("other_id"), "score"))
 
 
+def duplicate_groups(vendors: DataFrame, spark, threshold: float = 80.0) -> DataFrame:
+    """(leader_id, member_id, score): greedy groups, with identical copies handled once.
+
+    Copies of a vendor have its neighbours. If a copy can match anything at all it matches
+    its own first copy, so only first copies are clustered and the others follow theirs.
+    """
+    signed = staged(_signed(vendors), "signed")
+    first = signed.groupBy("sig").agg(F.min("vendor_id").alias("rep"))
+    near = staged(signature_pairs(signed, threshold), "signature-pairs")
+    pairs = (near.filter("sig_a <> sig_b").join(first.toDF("sig_a", "x"), "sig_a").join(first.toDF("sig_b", "y"), "sig_b")
+             .select(F.least("x", "y").alias("vendor_id"), F.greatest("x", "y").alias("other_id"), "score"))
+    groups = leader_groups(pairs, spark)
+    own = near.filter("sig_a = sig_b").select(c("sig_a").alias("sig"), c("score").alias("own"))
+    copies = signed.join(first, "sig").join(own, "sig").filter("vendor_id <> rep").select("vendor_id", "rep", "own")
+    led = groups.select(c("member_id").alias("rep"), "leader_id", "score")
+    follow = copies.join(led, "rep", "left").select(
+        F.coalesce("leader_id", "rep").alias("leader_id"), c("vendor_id").alias("member_id"), F.coalesce("score", "own").alias("score"))
+    return groups.unionByName(follow)
+
+
 def leader_groups(pairs: DataFrame, spark, checkpoint_every: int = 2) -> DataFrame:
     """(leader_id, member_id, score): greedy leader clustering in id order.
 

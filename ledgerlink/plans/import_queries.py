@@ -6,7 +6,7 @@ from ledgerlink.functions import text
 from ledgerlink.functions.numeric import percent
 from ledgerlink.operators import names, validate, vendors
 from ledgerlink.plans.oracle_ctes import sql_percent
-from ledgerlink.plans.registry import query
+from ledgerlink.plans.registry import stored_query as query
 from ledgerlink.sources.entities import doc_as_of
 
 c = F.col

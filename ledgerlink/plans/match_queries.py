@@ -6,18 +6,13 @@ from ledgerlink.functions import fuzzy, scores
 from ledgerlink.functions.numeric import round_half_up
 from ledgerlink.operators import candidates, changes, match, names, vendors
 from ledgerlink.plans.oracle_ctes import sql_round
-from ledgerlink.plans import registry
+from ledgerlink.plans.registry import stored_query as query
 from ledgerlink.session import staged
 from ledgerlink.sources.entities import doc_as_of
 
 c = F.col
 
 
-def query(name, schema, sql=None):
-    """Matching runs read the stored document tables."""
-    return registry.query(name, schema, sql, stored=True)
-
-
 _PO = "tenant_id int, po_id bigint, po_number string, vendor_id bigint, total_amount decimal(15,2), po_date date, status string"
 
 
@@ -551,12 +546,12 @@ def _(e):
 
 @query("d01_duplicate_groups", "leader_id bigint, member_id bigint, score double")
 def _(e):
-    return vendors.leader_groups(vendors.duplicate_pairs(e.vendors_dirty), e.spark).withColumn("score", round_half_up(c("score"), 4))
+    return vendors.duplicate_groups(e.vendors_dirty, e.spark).withColumn("score", round_half_up(c("score"), 4))
 
 
 @query("d02_review_rows", "original_name string, normalized_name string, confidence double, canonical_vendor_id bigint, status string")
 def _(e):
-    groups = vendors.leader_groups(vendors.duplicate_pairs(e.vendors_dirty), e.spark)
+    groups = vendors.duplicate_groups(e.vendors_dirty, e.spark)
     return vendors.review_rows(groups, e.vendors_dirty).withColumn("confidence", round_half_up(c("confidence"), 4))
 
 

@@ -61,3 +61,8 @@ def query(name: str, schema: str, sql: str | None = None, stored: bool = False):
         return build
 
     return wrap
+
+
+def stored_query(name: str, schema: str, sql: str | None = None):
+    """Like ``query`` for builders that read the stored document tables."""
+    return query(name, schema, sql, stored=True)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ledgerlink.functions.numeric import round_half_up
 from ledgerlink.operators import report
 from ledgerlink.plans.oracle_ctes import sql_percent, sql_round
-from ledgerlink.plans.registry import query
+from ledgerlink.plans.registry import stored_query as query
 from ledgerlink.sources.entities import doc_as_of, event_as_of
 
 c = F.col

@@ -368,8 +368,8 @@ def _(e):
 @query("n36_vendor_codes", "tenant_id int, vendor_name string, vendor_code string",
        """SELECT tenant_id, vendor_name, CASE WHEN n = 1 THEN base ELSE substring(base, 1, 4) ||
                  CASE WHEN k < 9 THEN '0' || (k + 1) ELSE CAST(k + 1 AS VARCHAR) END END AS vendor_code
-          FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, substring(base, 1, 4), n > 1 ORDER BY vendor_name) AS k
-          FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, base ORDER BY vendor_name) AS n FROM (
+          FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, substring(base, 1, 4), n > 1 ORDER BY substring(md5(vendor_name), 1, 3), vendor_name) AS k
+          FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, base ORDER BY substring(md5(vendor_name), 1, 3), vendor_name) AS n FROM (
           SELECT DISTINCT tenant_id, vendor_name, CASE WHEN length(b) < 3 THEN rpad(b, 3, 'X') ELSE b END AS base FROM (
           SELECT tenant_id, vendor_name, substring(regexp_replace(upper(vendor_name), '[^A-Z0-9]', '', 'g'), 1, 6) AS b
           FROM parsed_rows WHERE vendor_name IS NOT NULL))))""")

@@ -122,6 +122,7 @@ def test_duplicate_pairs_and_leaders_equal_brute_force(spark):
             leader[r[1]] = True
     got = {r.member_id: r.leader_id for r in vendors.leader_groups(pairs, spark).collect()}
     assert got == want
+    assert {r.member_id: r.leader_id for r in vendors.duplicate_groups(df, spark).collect()} == want
 
 
 def test_running_since_reset_equals_a_loop(spark):
