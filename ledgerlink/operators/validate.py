@@ -168,7 +168,10 @@ def checked_import(rows: DataFrame, vendors: DataFrame, invoices: DataFrame, as_
         finding(c("duplicate_in_system"), "DUPLICATE_IN_SYSTEM", "invoice_number", c("invoice_number"), "duplicate", "duplicate",
                 fix="Verify this is a new invoice or update existing record"),
     ]
-    full = with_findings(known, [*all_rules(as_of), *extra])
+    read = parse_rules(as_of)
+    full = with_findings(known, read, "from_parse")
+    full = with_findings(full, [*all_rules(as_of)[len(read):], *extra], "from_rules")
+    full = full.withColumn("findings", F.concat("from_parse", "from_rules")).drop("from_parse", "from_rules")
     return full.withColumn("disposition", disposition(c("findings"), c("duplicate_in_batch") | c("duplicate_in_system")))
 
 

@@ -198,12 +198,7 @@ def _(e):
 @query("u04_all_findings", "import_batch_id bigint, row_number int, code string, severity string",
        f"SELECT import_batch_id, row_number, code, severity FROM ({_EVERY})")
 def _(e):
-    parsed = validate.with_findings(e.parsed_rows, validate.parse_rules(doc_as_of()), "from_parse")
-    rest = [r for r in validate.all_rules(doc_as_of())[len(validate.parse_rules(doc_as_of())):]]
-    ruled = validate.with_findings(parsed, rest, "from_rules")
-    both = ruled.withColumn("findings", F.concat("from_parse", "from_rules"))
-    extra = validate.exploded(checked(e), _KEYS).filter(c("code").isin("NEW_VENDOR", "DUPLICATE_IN_BATCH", "DUPLICATE_IN_SYSTEM"))
-    return validate.exploded(both, _KEYS).unionByName(extra).select(*_KEYS, "code", "severity")
+    return validate.exploded(checked(e), _KEYS)
 
 
 @query("f02_custom_rules", "import_batch_id bigint, row_number int, code string",
