@@ -33,8 +33,10 @@ def exact_matches(invoices: DataFrame, orders: DataFrame) -> DataFrame:
 def with_vendor_scores(candidates: DataFrame, vendors: DataFrame, weights: Mapping[str, float], threshold: float) -> DataFrame:
     """Candidates with the vendor score; those a perfect reference cannot save are dropped.
 
-    Vendor similarity is worked out once per distinct pair of names.
+    Vendor similarity is worked out once per distinct pair of names. The candidates feed both
+    that list and the scoring, so the band join is run once and staged.
     """
+    candidates = staged(candidates, "candidates")
     name = vendors.select("vendor_id", "name")
     pairs = (candidates.filter(c("inv_vendor_id") != c("po_vendor_id")).select("inv_vendor_id", "po_vendor_id").distinct()
              .join(name.toDF("inv_vendor_id", "inv_name"), "inv_vendor_id").join(name.toDF("po_vendor_id", "po_name"), "po_vendor_id"))
