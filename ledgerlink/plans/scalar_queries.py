@@ -462,3 +462,17 @@ def _(e):
     ).alias("devices"))
     sessions = e.user_sessions.join(devices, "user_id", "left")
     return sessions.select("session_id", "user_id", names.trusted_device(c("devices"), c("session_id") % 3, event_as_of()).alias("trusted"))
+
+
+@query("f01_stored_functions", f"{_PAIR}, name string, similarity double, amount_ok boolean, date_ok boolean, confidence double",
+       f"""SELECT invoice_id, po_id, {sql_stored_name('inv_vendor')} AS name, sim AS similarity, {_IN} AS amount_ok, {_GAP} <= 7 AS date_ok,
+           {sql_round('sim * 0.25e0 + a * 0.3e0 + 100.0e0 * 0.2e0 + 0.0e0 * 0.15e0 + d * 0.1e0', 4)} AS confidence
+           FROM (SELECT *, CASE WHEN inv_norm = po_norm THEN 100.0e0 ELSE {sql_round("CAST(greatest(length(inv_norm), length(po_norm)) - levenshtein(inv_norm, po_norm) AS DOUBLE) / greatest(length(inv_norm), length(po_norm)) * 100.0e0", 2)} END AS sim FROM ({_BAND}))""")
+def _(e):
+    a, b = c("inv_amount"), c("po_amount")
+    sim = scores.stored_name_similarity(c("inv_vendor"), c("po_vendor"))
+    rows = _band(e).withColumn("sim", sim)
+    return rows.select(
+        "invoice_id", "po_id", text.stored_vendor_name(c("inv_vendor")).alias("name"), c("sim").alias("similarity"),
+        scores.within_tolerance(a, b, *scores.AMOUNT_TOLERANCE).alias("amount_ok"), (scores.day_gap(c("invoice_date"), c("po_date")) <= 7).alias("date_ok"),
+        round_half_up(scores.field_confidence(c("sim"), c("a"), c("d"), F.lit(100.0), F.lit(0.0)), 4).alias("confidence"))
