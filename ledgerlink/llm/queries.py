@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlink.llm import byte_bpe, mixing, rules
+from ledgerlink.llm import byte_bpe, id_files, mixing, rules, warc
 from ledgerlink.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,26 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 @_query
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query
+def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return warc.archived(pages, payloads=False).drop("payload")
+
+
+ORACLE_SQL["op1_warc_archives"] = """
+WITH full_pages AS (
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), sets AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM full_pages
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN dup THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN dup THEN top END AS refers_to
+FROM (SELECT *, payload_bytes >= 1000 AND top IS NOT NULL AND page_id IS DISTINCT FROM top AS dup FROM sets)
+"""
+
+
+@_query
+def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return id_files.filed(docs, public_tokenizers.path("word_bpe_49k.json"))
