@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlink.llm import byte_bpe, id_files, mixing, rules, warc
+from ledgerlink.llm import byte_bpe, id_files, mixing, rules, substrings, warc
 from ledgerlink.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,31 @@ FROM (SELECT *, payload_bytes >= 1000 AND top IS NOT NULL AND page_id IS DISTINC
 def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return id_files.filed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+# Each text is cut into words once; windows are joined words; a word goes if one of the up to
+# thirteen windows over it starts in an earlier document.
+ORACLE_SQL["op8_substring_dedup"] = r"""
+WITH split AS (
+    SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), windows AS (
+    SELECT doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) AS win FROM split, range(1, len(words) - 11) t(i)
+), firsts AS (
+    SELECT win, min(doc_id) AS first FROM windows GROUP BY win
+), hits AS (
+    SELECT w.doc_id, w.i FROM windows w JOIN firsts f ON w.win = f.win WHERE f.first < w.doc_id
+), gone AS (
+    SELECT DISTINCT doc_id, i + k AS place FROM hits, range(0, 13) t(k)
+), lost AS (
+    SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id
+)
+SELECT s.doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+    sha256(array_to_string(CASE WHEN places IS NULL THEN words
+        ELSE list_filter(words, lambda w, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+FROM split s LEFT JOIN lost l ON s.doc_id = l.doc_id
+"""
