@@ -2,10 +2,11 @@
 
 Texts are cut into pre-tokens by the vocabulary's pattern. Tasks gather documents into blocks of
 bounded text; a block lists its distinct pre-tokens once and holds its texts as codes into that
-list, in order of position. The lists are exploded and shuffled by word, so equal words of all
-blocks meet and each is encoded once; ids go back to the blocks by (block, code), and each block
-puts its documents together by position. A word has one row per block at most, so no word holds a
-large share of the shuffled rows. Decoding looks ids up in the table of token bytes.
+list, in order of position. The lists are dealt into buckets by word and shuffled, so equal words
+of all blocks meet and each is encoded once; ids go back to the blocks by (block, code), and each
+block puts its documents together by position. A word enters the shuffle once per block at most,
+so no word holds a large share of it. Lists, codes and ids travel packed. Decoding looks ids up in
+the table of token bytes.
 
 A null text is an empty text: no ids, no bytes. Rows with equal ids are encoded one by one.
 """
@@ -14,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.tables import stage
+from ledgerlink.llm.tables import drop_part, part_of, stage
 
 BLOCK_CHARS = 12 << 20
 BLOCK_WORDS = 600_000
-BLOCKS = "block long, doc_ids array<long>, sizes array<int>, codes binary, words array<string>"
+BUCKETS_PER_PARTITION = 8
+# Texts of a block: ids of the documents, pre-tokens of each, codes of all. Words of a block that
+# fall into a bucket: their bytes, lengths and codes.
+BLOCKS = "kind string, block long, bucket int, doc_ids array<long>, sizes array<int>, words binary, lengths binary, codes binary"
+IDS = "block long, codes binary, lengths binary, ids binary"
 # A space that whitespace or the end follows: texts with one are not cut at spaces.
 LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
 
@@ -88,18 +95,23 @@ class Block:
     def full(self) -> bool:
         return self.chars >= BLOCK_CHARS or len(self.codes) >= BLOCK_WORDS
 
-    def row(self, number: int) -> pa.RecordBatch:
+    def rows(self, number: int, buckets: int) -> pa.RecordBatch:
         """Codes are renumbered by frequency, which makes them compress well."""
         flat = np.concatenate(self.texts)
         order = np.argsort(-np.bincount(flat, minlength=len(self.codes)), kind="stable")
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
-        words = list(self.codes)
-        return pa.RecordBatch.from_pydict({
-            "block": pa.array([number], pa.int64()), "doc_ids": pa.array([self.doc_ids], pa.list_(pa.int64())),
-            "sizes": pa.array([[len(t) for t in self.texts]], pa.list_(pa.int32())),
-            "codes": pa.array([packed(place[flat])], pa.binary()),
-            "words": pa.array([[words[i] for i in order]], pa.list_(pa.string()))})
+        words = sorted((zlib.crc32(w) % buckets, w, c) for w, c in ((word.encode(), code) for word, code in self.codes.items()))
+        texts = {"kind": "texts", "block": number, "doc_ids": self.doc_ids, "sizes": [len(t) for t in self.texts], "codes": packed(place[flat])}
+        lists = []
+        for bucket, group in itertools.groupby(words, key=lambda w: w[0]):
+            _, own, codes = zip(*group)
+            lists.append({
+                "kind": "words", "block": number, "bucket": bucket, "words": zstandard.compress(b"".join(own)),
+                "lengths": packed(np.array([len(w) for w in own])), "codes": packed(place[list(codes)])})
+        return pa.RecordBatch.from_pylist([texts, *lists], schema=pa.schema([
+            ("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())),
+            ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("lengths", pa.binary()), ("codes", pa.binary())]))
 
 
 def packed(codes: np.ndarray) -> bytes:
@@ -113,7 +125,7 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
-def _blocks(pattern: str):
+def _blocks(pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         block = Block(pattern)
@@ -121,26 +133,37 @@ def _blocks(pattern: str):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 block.add(doc_id, text.as_py() or "")
                 if block.full():
-                    yield block.row(number)
+                    yield block.rows(number, buckets)
                     number, block = number + 1, Block(pattern)
         if block.doc_ids:
-            yield block.row(number)
+            yield block.rows(number, buckets)
 
     return run
 
 
 def _encode_words(path: str):
+    """Ids of the words of each row; rows come ordered by bucket, and a bucket's words are encoded
+    once for all its rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path).encode_ordinary
-        last: tuple[str | None, bytes] = (None, b"")
+        bucket, known = None, {}
         for batch in batches:
-            seen = batch.column("word").dictionary_encode()
-            words = seen.dictionary.to_pylist()
-            ids = [last[1] if word == last[0] else np.array(encode(word), "<u4").tobytes() for word in words]
-            if words:
-                last = words[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("code"), pa.array(ids, pa.binary()).take(seen.indices)], ["block", "code", "ids"])
+            for row in batch.to_pylist():
+                if row["bucket"] != bucket:
+                    bucket, known = row["bucket"], {}
+                words = zstandard.decompress(row["words"])
+                ends = np.cumsum(unpacked(row["lengths"]), dtype=np.int64).tolist()
+                found = []
+                for start, end in zip([0, *ends], ends):
+                    word = words[start:end]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = encode(word.decode())
+                    found.append(ids)
+                yield pa.RecordBatch.from_pydict({
+                    "block": [row["block"]], "codes": [row["codes"]], "lengths": [packed(np.array([len(i) for i in found]))],
+                    "ids": [packed(np.array(list(itertools.chain.from_iterable(found))))]})
 
     return run
 
@@ -153,29 +176,32 @@ def _expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _assemble(block: pa.Table, words: pa.Table) -> pa.Table:
     """The documents of one block with their ids as little-endian 32-bit integers."""
-    order = np.argsort(words.column("code").to_numpy())
-    ids = words.column("ids").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
-    flat = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
-    lengths = np.asarray(pa.compute.binary_length(ids)) // 4 if len(ids) else np.zeros(0, np.int64)
-    starts = np.cumsum(lengths) - lengths
+    def whole(column: str) -> np.ndarray:
+        return np.concatenate([unpacked(blob.as_py()) for blob in words.column(column)] or [np.zeros(0, np.uint32)])
+
+    own, flat = whole("codes"), whole("ids")
+    lengths, starts = np.zeros((2, len(own)), np.int64)
+    lengths[own] = sizes = whole("lengths").astype(np.int64)
+    starts[own] = np.cumsum(sizes) - sizes
     codes = unpacked(block.column("codes")[0].as_py())
     tokens = flat[_expand(starts[codes], lengths[codes])]
-    sizes = np.array(block.column("sizes")[0].as_py(), np.int64)
     before = np.concatenate([[0], np.cumsum(lengths[codes])])
-    bounds = 4 * before[np.concatenate([[0], np.cumsum(sizes)])]
+    bounds = 4 * before[np.concatenate([[0], np.cumsum(np.array(block.column("sizes")[0].as_py(), np.int64))])]
     return pa.table({"doc_id": pa.array(block.column("doc_ids")[0].as_py(), pa.int64()), "ids": pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(tokens.tobytes())]).cast(pa.binary())})
+        pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(tokens.tobytes())]).cast(pa.binary())})
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) for each row of ``docs`` (doc_id, text); ids are little-endian unsigned 32-bit
     integers, one after another. ``path`` names the rank file on every executor."""
-    blocks = stage(docs.select("doc_id", "text").mapInArrow(_blocks(pattern), BLOCKS), "bpe-blocks")
-    words = blocks.select("block", F.posexplode("words").alias("code", "word"))
-    by_word = words.repartition("word").sortWithinPartitions("word")
-    ids = stage(by_word.mapInArrow(_encode_words(path), "block long, code int, ids binary"), "bpe-words")
-    return blocks.select("block", "doc_ids", "sizes", "codes").groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(
-        _assemble, "doc_id long, ids binary")
+    buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = stage(docs.select("doc_id", "text").mapInArrow(_blocks(pattern, buckets), BLOCKS), "bpe-blocks", by="kind")
+    words = part_of(blocks, "kind", "words").select("block", "bucket", "words", "lengths", "codes")
+    dealt = words.repartition("bucket").sortWithinPartitions("bucket")
+    ids = stage(dealt.mapInArrow(_encode_words(path), IDS), "bpe-ids")
+    drop_part(blocks, "kind", "words")
+    texts = part_of(blocks, "kind", "texts").select("block", "doc_ids", "sizes", "codes")
+    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -30,16 +30,33 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and continue from the table: lineage is cut there, its
-    shuffle files are freed, and the loss of an executor costs at most one step."""
+    shuffle files are freed, and the loss of an executor costs at most one step. ``by`` names a
+    string column whose values get folders of their own."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     with shuffles_dropped(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def part_of(staged: DataFrame, by: str, value: str) -> DataFrame:
+    """The rows of one folder of a table staged with ``by``."""
+    return staged.where(staged[by] == value).drop(by)
+
+
+def drop_part(staged: DataFrame, by: str, value: str) -> None:
+    """Remove one folder of a staged table that no later step reads."""
+    spark = staged.sparkSession
+    for file in staged.inputFiles():
+        if f"/{by}={value}/" in file:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            return
+
+
 def filesystem(folder: str) -> tuple[pa.fs.FileSystem, str]:
     """File system and path for a shared folder given as a URI or an absolute path."""
     if urllib.parse.urlparse(folder).scheme:
