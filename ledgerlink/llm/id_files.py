@@ -19,6 +19,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ SAMPLE_DOCS = 1_000
 SAMPLE_CHARS = 10_000
 DICTIONARY_BYTES = 64 << 10
 CACHE_PIECES = 300_000
+TEXTS_AT_ONCE = 200
 MAGIC = b"IDSZ0001"
 INDEX_ROW = np.dtype([("doc_id", "<i8"), ("known", "<i8"), ("offset", "<i8"), ("length", "<i8"), ("ids", "<i8")])
 TAIL = "<QQ8s"
@@ -50,33 +52,47 @@ def tokenizer(path: str):
 
 
 class Encoder:
-    """Serialized ids of texts, with a bounded cache of encoded pieces."""
+    """Serialized ids of texts. Pieces encoded before are kept in two generations: a full one
+    becomes the old one, from which pieces still in use come back, so memory stays bounded."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         self.encode = tokenizer(path).encode_batch_fast
         self.end = struct.pack("<I", end_id)
         self.pieces: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _learn(self, new: set[bytes]) -> None:
+        if len(self.pieces) + len(new) > CACHE_PIECES:
+            self.old, self.pieces = self.pieces, {}
+        back = {w: self.old[w] for w in new if w in self.old}
+        fresh = [w for w in new if w not in back]
+        found = self.encode([w.decode() for w in fresh], add_special_tokens=False)
+        self.pieces.update(back)
+        self.pieces.update((w, array("I", e.ids).tobytes()) for w, e in zip(fresh, found))
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [(text or "").encode().split() for text in texts]
+        words = set().union(*split)
+        if new := words.difference(self.pieces):
+            self._learn(new)
+        if not words <= self.pieces.keys():  # a generation ended within these texts
+            self._learn(words.difference(self.pieces))
+        look = self.pieces.__getitem__
+        return [b"".join(map(look, own)) + self.end for own in split]
 
-    def __call__(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()
-        pieces = self.pieces
-        new = list({w for w in words if w not in pieces})
-        if new:
-            if len(pieces) + len(new) > CACHE_PIECES:
-                pieces.clear()
-                new = list(set(words))
-            found = self.encode([w.decode() for w in new], add_special_tokens=False)
-            pieces.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found))
-        return b"".join(map(pieces.__getitem__, words)) + self.end
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One per worker process: pieces serve later tasks too."""
+    return Encoder(path)
 
 
 def sample_dictionary(docs: DataFrame, path: str) -> bytes:
     """A dictionary from the ``SAMPLE_DOCS`` documents with the lowest hash among those of at most
     ``SAMPLE_CHARS`` characters; raw content where they are too few to train on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"ids": pa.array([encoder(t) for t in batch.column("text").to_pylist()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"ids": pa.array(encoder(path)(batch.column("text").to_pylist()), pa.binary())})
 
     short = docs.where(F.length("text") <= SAMPLE_CHARS)
     picked = short.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text")
@@ -90,6 +106,8 @@ def sample_dictionary(docs: DataFrame, path: str) -> bytes:
 def _codec(dictionary: bytes):
     """Compression with the dictionary, if it has content."""
     data = zstandard.ZstdCompressionDict(dictionary) if len(dictionary) >= 8 else None
+    if data:
+        data.precompute_compress(level=3)  # else every document loads it anew
     return (zstandard.ZstdCompressor(level=3, write_content_size=True, dict_data=data),
             zstandard.ZstdDecompressor(dict_data=data))
 
@@ -107,14 +125,14 @@ def write(docs: DataFrame, folder: str, path: str, dictionary: bytes) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)
         name = f"{base}/part-{uuid.uuid4().hex}.ids"
-        encoder, compress = Encoder(path), _codec(dictionary)[0].compress
+        compress = _codec(dictionary)[0].compress
         out, at, index, total = None, len(MAGIC) + len(digest), [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            parts = [batch.slice(at_row, TEXTS_AT_ONCE) for at_row in range(0, batch.num_rows, TEXTS_AT_ONCE)]
+            for doc_id, ids in ((d, i) for part in parts for d, i in zip(part.column("doc_id").to_pylist(), encoder(path)(part.column("text").to_pylist()))):
                 if out is None:
                     out = fs.open_output_stream(name)
                     out.write(MAGIC + digest)
-                ids = encoder(text.as_py())
                 frame = compress(ids)
                 out.write(frame)
                 index.append((doc_id or 0, doc_id is not None, at, len(frame), len(ids) // 4))
