@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlink.llm import byte_bpe, id_files, mixing, rules, substrings, warc
+from ledgerlink.llm import byte_bpe, id_files, mixing, rules, set_join, substrings, warc
 from ledgerlink.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,8 @@ SELECT s.doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT
         ELSE list_filter(words, lambda w, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
 FROM split s LEFT JOIN lost l ON s.doc_id = l.doc_id
 """
+
+
+@_query
+def op5_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.groups(table(spark, sf_dir, "documents", "doc_id", "text"))

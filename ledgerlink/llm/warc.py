@@ -124,8 +124,10 @@ class ArchiveWriter:
         self.out = self.fs.open_output_stream(self.path)
         if dictionary:
             self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
-        self.compressor = zstandard.ZstdCompressor(
-            level=3, write_checksum=True, write_content_size=True, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if data:
+            data.precompute_compress(level=3)  # else every record loads it anew
+        self.compressor = zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True, dict_data=data)
         for record in self.waiting:
             self.out.write(self.compressor.compress(record))
         self.waiting = []
