@@ -13,7 +13,9 @@ Two members share ``|hub| - |D1| - |D2| + s`` shingles, where s counts equal ent
 differences, so their answer follows from the hub's: they link iff
 ``cost1 + cost2 - |hub| <= 19 s``. Pairs of members that both link to the hub need no look. A pair
 with an unlinked member must share an entry of the differences, which is a join of those alone.
-Members too far from the hub for that go into another round with a hub of their own.
+Members too far from the hub for that go into another round with a hub of their own. Such rests
+are small; the length up to which lists are compared set by set grows fourfold each round, so the
+number of rounds grows with the logarithm of the longest list.
 
 Sets are compared by 64-bit hashes of their shingles. Null and empty texts have no set and link
 with nothing. Rows with equal ids are rows of their own sets. A row without id counts as the
@@ -22,6 +24,7 @@ largest, and its group takes the smallest id there is (null if there is none).
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,7 @@ PERCENT = 90
 FREQUENT_SHINGLES = 100_000
 FREQUENT_FROM = 8
 COUNT_CHUNK = 4_000_000
-SHORT_LIST = 16
+SHORT_LIST = 64
 SETS = "doc_id long, n_shingles long, print1 long, print2 long, text string"
 
 
@@ -203,10 +206,11 @@ def linked_pairs(sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     members = lists.select("set_no").distinct()
     texts = stage(sets.select("set_no", "text").join(members, "set_no", "left_semi"), "listed-sets")
     links: DataFrame | None = None
-    while True:
+    for turn in itertools.count():
         hubs = lists.groupBy("shingle", "block").agg(F.min("set_no").alias("hub"), F.count("*").alias("members"))
         met = stage(lists.join(hubs, ["shingle", "block"]), "met")
-        short, long = met.where(F.col("members") <= SHORT_LIST), met.where(F.col("members") > SHORT_LIST)
+        few = SHORT_LIST * 4**turn
+        short, long = met.where(F.col("members") <= few), met.where(F.col("members") > few)
         ends = short.select("shingle", "block", F.col("set_no").alias("hub"), F.col("n").alias("hub_n"))
         by_pair = ends.join(short.select("shingle", "block", "set_no", "n"), ["shingle", "block"]).where("hub < set_no").select(
             "hub", "hub_n", "set_no", "n", F.lit(True).alias("direct"))
