@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlink.llm import byte_bpe, id_files, mixing, rules, set_join, substrings, warc
+from ledgerlink.llm import byte_bpe, id_files, mixing, multi_index, rules, set_join, substrings, warc
 from ledgerlink.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,8 @@ FROM split s LEFT JOIN lost l ON s.doc_id = l.doc_id
 @_query
 def op5_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.groups(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
