@@ -5,8 +5,9 @@ bounded text; a block lists its distinct pre-tokens once and holds its texts as
 list, in order of position. The lists are dealt into buckets by word and shuffled, so equal words
 of all blocks meet and each is encoded once; ids go back to the blocks by (block, code), and each
 block puts its documents together by position. A word enters the shuffle once per block at most,
-so no word holds a large share of it. Lists, codes and ids travel packed. Decoding looks ids up in
-the table of token bytes.
+so no word holds a large share of it. Lists and ids travel packed; a block's codes wait in a file
+of the shared folder, and the committed table of blocks says which files count. Decoding looks ids
+up in the table of token bytes.
 
 A null text is an empty text: no ids, no bytes. Rows with equal ids are encoded one by one.
 """
@@ -17,6 +18,7 @@ import base64
 import functools
 import itertools
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -29,14 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.tables import drop_part, part_of, stage
+from ledgerlink.llm.tables import drop_part, filesystem, part_of, stage
+from ledgerlink.session import scratch_path
 
 BLOCK_CHARS = 12 << 20
 BLOCK_WORDS = 600_000
 BUCKETS_PER_PARTITION = 8
-# Texts of a block: ids of the documents, pre-tokens of each, codes of all. Words of a block that
-# fall into a bucket: their bytes, lengths and codes.
-BLOCKS = "kind string, block long, bucket int, doc_ids array<long>, sizes array<int>, words binary, lengths binary, codes binary"
+# Texts of a block: ids of the documents, pre-tokens of each, file with the codes of all. Words of
+# a block that fall into a bucket: their bytes, lengths and codes.
+BLOCKS = "kind string, block long, bucket int, doc_ids array<long>, sizes array<int>, path string, words binary, lengths binary, codes binary"
 IDS = "block long, codes binary, lengths binary, ids binary"
 # A space that whitespace or the end follows: texts with one are not cut at spaces.
 LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
@@ -95,23 +98,29 @@ class Block:
     def full(self) -> bool:
         return self.chars >= BLOCK_CHARS or len(self.codes) >= BLOCK_WORDS
 
-    def rows(self, number: int, buckets: int) -> pa.RecordBatch:
+    def rows(self, number: int, buckets: int, folder: str) -> pa.RecordBatch:
         """Codes are renumbered by frequency, which makes them compress well."""
+        self.chunks.clear()
         flat = np.concatenate(self.texts)
         order = np.argsort(-np.bincount(flat, minlength=len(self.codes)), kind="stable")
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
-        words = sorted((zlib.crc32(w) % buckets, w, c) for w, c in ((word.encode(), code) for word, code in self.codes.items()))
-        texts = {"kind": "texts", "block": number, "doc_ids": self.doc_ids, "sizes": [len(t) for t in self.texts], "codes": packed(place[flat])}
-        lists = []
-        for bucket, group in itertools.groupby(words, key=lambda w: w[0]):
-            _, own, codes = zip(*group)
-            lists.append({
-                "kind": "words", "block": number, "bucket": bucket, "words": zstandard.compress(b"".join(own)),
-                "lengths": packed(np.array([len(w) for w in own])), "codes": packed(place[list(codes)])})
-        return pa.RecordBatch.from_pylist([texts, *lists], schema=pa.schema([
-            ("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())),
-            ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("lengths", pa.binary()), ("codes", pa.binary())]))
+        fs, base = filesystem(folder)
+        path = f"{base}/{uuid.uuid4().hex}.codes"
+        with fs.open_output_stream(path) as out:
+            out.write(packed(place[flat]))
+        rows = [{"kind": "texts", "block": number, "doc_ids": self.doc_ids, "sizes": [len(t) for t in self.texts], "path": path}]
+        words = [word.encode() for word in self.codes]
+        bucket = np.fromiter((zlib.crc32(w) for w in words), np.int64, len(words)) % buckets
+        dealt = np.argsort(bucket, kind="stable")
+        for own in np.split(dealt, np.flatnonzero(np.diff(bucket[dealt])) + 1) if len(words) else []:
+            own = sorted(own.tolist(), key=words.__getitem__)
+            rows.append({
+                "kind": "words", "block": number, "bucket": int(bucket[own[0]]), "words": zstandard.compress(b"".join(words[k] for k in own)),
+                "lengths": packed(np.array([len(words[k]) for k in own])), "codes": packed(place[own])})
+        return pa.RecordBatch.from_pylist(rows, schema=pa.schema([
+            ("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
+            ("path", pa.string()), ("words", pa.binary()), ("lengths", pa.binary()), ("codes", pa.binary())]))
 
 
 def packed(codes: np.ndarray) -> bytes:
@@ -125,18 +134,20 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
-def _blocks(pattern: str, buckets: int):
+def _blocks(pattern: str, buckets: int, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = filesystem(folder)
+        fs.create_dir(base, recursive=True)
         number = TaskContext.get().partitionId() << 32
         block = Block(pattern)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 block.add(doc_id, text.as_py() or "")
                 if block.full():
-                    yield block.rows(number, buckets)
+                    yield block.rows(number, buckets, folder)
                     number, block = number + 1, Block(pattern)
         if block.doc_ids:
-            yield block.rows(number, buckets)
+            yield block.rows(number, buckets, folder)
 
     return run
 
@@ -174,7 +185,7 @@ def _expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _assemble(block: pa.Table, words: pa.Table) -> pa.Table:
+def _assemble(folder: str, block: pa.Table, words: pa.Table) -> pa.Table:
     """The documents of one block with their ids as little-endian 32-bit integers."""
     def whole(column: str) -> np.ndarray:
         return np.concatenate([unpacked(blob.as_py()) for blob in words.column(column)] or [np.zeros(0, np.uint32)])
@@ -183,7 +194,8 @@ def _assemble(block: pa.Table, words: pa.Table) -> pa.Table:
     lengths, starts = np.zeros((2, len(own)), np.int64)
     lengths[own] = sizes = whole("lengths").astype(np.int64)
     starts[own] = np.cumsum(sizes) - sizes
-    codes = unpacked(block.column("codes")[0].as_py())
+    with filesystem(folder)[0].open_input_stream(block.column("path")[0].as_py()) as file:
+        codes = unpacked(file.read())
     tokens = flat[_expand(starts[codes], lengths[codes])]
     before = np.concatenate([[0], np.cumsum(lengths[codes])])
     bounds = 4 * before[np.concatenate([[0], np.cumsum(np.array(block.column("sizes")[0].as_py(), np.int64))])]
@@ -195,13 +207,18 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) for each row of ``docs`` (doc_id, text); ids are little-endian unsigned 32-bit
     integers, one after another. ``path`` names the rank file on every executor."""
     buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = stage(docs.select("doc_id", "text").mapInArrow(_blocks(pattern, buckets), BLOCKS), "bpe-blocks", by="kind")
+    folder = scratch_path(docs.sparkSession, "bpe-codes")
+    blocks = stage(docs.select("doc_id", "text").mapInArrow(_blocks(pattern, buckets, folder), BLOCKS), "bpe-blocks", by="kind")
     words = part_of(blocks, "kind", "words").select("block", "bucket", "words", "lengths", "codes")
     dealt = words.repartition("bucket").sortWithinPartitions("bucket")
     ids = stage(dealt.mapInArrow(_encode_words(path), IDS), "bpe-ids")
     drop_part(blocks, "kind", "words")
-    texts = part_of(blocks, "kind", "texts").select("block", "doc_ids", "sizes", "codes")
-    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids binary")
+    texts = part_of(blocks, "kind", "texts").select("block", "doc_ids", "sizes", "path")
+
+    def assembled(block: pa.Table, words: pa.Table) -> pa.Table:
+        return _assemble(folder, block, words)
+
+    return texts.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(assembled, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
