@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlink.llm import byte_bpe, id_files, mixing, multi_index, rules, set_join, substrings, warc
+from ledgerlink.llm import byte_bpe, id_files, mixing, multi_index, rules, set_join, substrings, toxic_crf, warc
 from ledgerlink.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,13 @@ def op5_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.groups(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@_query
+def op3_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold of a document follows from its id; labels of the held-out fold are never read."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out)
+    return toxic_crf.scored(docs, labels).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
