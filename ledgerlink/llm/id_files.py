@@ -36,8 +36,7 @@ END_ID = 1
 SAMPLE_DOCS = 1_000
 SAMPLE_CHARS = 10_000
 DICTIONARY_BYTES = 64 << 10
-CACHE_PIECES = 300_000
-TEXTS_AT_ONCE = 200
+CACHE_PIECES = 1_000_000
 MAGIC = b"IDSZ0001"
 INDEX_ROW = np.dtype([("doc_id", "<i8"), ("known", "<i8"), ("offset", "<i8"), ("length", "<i8"), ("ids", "<i8")])
 TAIL = "<QQ8s"
@@ -51,34 +50,35 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class Pieces(dict):
+    """Serialized ids by piece, encoded when first asked for. Two generations bound the memory: a
+    full one becomes the old one, from which pieces still in use come back."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.encode = tokenizer(path).encode
+        self.old: dict[bytes, bytes] = {}
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("I", self.encode(piece.decode(), add_special_tokens=False).ids).tobytes()
+        if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Serialized ids of texts. Pieces encoded before are kept in two generations: a full one
-    becomes the old one, from which pieces still in use come back, so memory stays bounded."""
+    """Serialized ids of a text with the end id."""
 
     def __init__(self, path: str, end_id: int = END_ID):
-        self.encode = tokenizer(path).encode_batch_fast
+        self.pieces = Pieces(path)
         self.end = struct.pack("<I", end_id)
-        self.pieces: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
 
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.pieces) + len(new) > CACHE_PIECES:
-            self.old, self.pieces = self.pieces, {}
-        back = {w: self.old[w] for w in new if w in self.old}
-        fresh = [w for w in new if w not in back]
-        found = self.encode([w.decode() for w in fresh], add_special_tokens=False)
-        self.pieces.update(back)
-        self.pieces.update((w, array("I", e.ids).tobytes()) for w, e in zip(fresh, found))
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(text or "").encode().split() for text in texts]
-        words = set().union(*split)
-        if new := words.difference(self.pieces):
-            self._learn(new)
-        if not words <= self.pieces.keys():  # a generation ended within these texts
-            self._learn(words.difference(self.pieces))
-        look = self.pieces.__getitem__
-        return [b"".join(map(look, own)) + self.end for own in split]
+    def __call__(self, text: str | None) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, (text or "").encode().split())) + self.end
 
 
 @functools.cache
@@ -92,7 +92,7 @@ def sample_dictionary(docs: DataFrame, path: str) -> bytes:
     ``SAMPLE_CHARS`` characters; raw content where they are too few to train on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"ids": pa.array(encoder(path)(batch.column("text").to_pylist()), pa.binary())})
+            yield pa.RecordBatch.from_pydict({"ids": pa.array(map(encoder(path), batch.column("text").to_pylist()), pa.binary())})
 
     short = docs.where(F.length("text") <= SAMPLE_CHARS)
     picked = short.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text")
@@ -128,11 +128,11 @@ def write(docs: DataFrame, folder: str, path: str, dictionary: bytes) -> DataFra
         compress = _codec(dictionary)[0].compress
         out, at, index, total = None, len(MAGIC) + len(digest), [], 0
         for batch in batches:
-            parts = [batch.slice(at_row, TEXTS_AT_ONCE) for at_row in range(0, batch.num_rows, TEXTS_AT_ONCE)]
-            for doc_id, ids in ((d, i) for part in parts for d, i in zip(part.column("doc_id").to_pylist(), encoder(path)(part.column("text").to_pylist()))):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 if out is None:
                     out = fs.open_output_stream(name)
                     out.write(MAGIC + digest)
+                ids = encoder(path)(text.as_py())
                 frame = compress(ids)
                 out.write(frame)
                 index.append((doc_id or 0, doc_id is not None, at, len(frame), len(ids) // 4))
