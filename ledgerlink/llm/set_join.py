@@ -6,6 +6,8 @@ The order is any that all tasks agree on; the most frequent shingles, found over
 the back so that lists stay short.
 
 *Skipping in the lists.* A list is cut into blocks by set size, so only sizes that can link meet.
+Where two sets meet first, all their shingles before that place are unshared, so places whose sum
+exceeds the differences that linked sets can have are skipped.
 *Answers from a similar set.* Lists of at most ``SHORT_LIST`` sets are compared set by set, a few
 pairs a set. Longer ones are not paired off: their members are compared with one of them, the hub. For a member x let D be the hub's shingles it lacks, A those it has beyond the hub, and
 ``cost = 10|D| + 9|A|`` (for 90 percent): x links to the hub iff its cost is at most the hub's size.
@@ -41,7 +43,7 @@ PERCENT = 90
 FREQUENT_SHINGLES = 100_000
 FREQUENT_FROM = 8
 COUNT_CHUNK = 4_000_000
-SHORT_LIST = 64
+SHORT_LIST = 16
 SETS = "doc_id long, n_shingles long, print1 long, print2 long, text string"
 
 
@@ -125,7 +127,7 @@ def size_block(n, percent: int) -> np.ndarray:
 
 
 def _prefixes(size: int, percent: int, late: np.ndarray):
-    """(shingle, block, set_no, n) for the prefix of each set, in its block and the next."""
+    """(shingle, block, set_no, n, at) for the prefix of each set, in its block and the next."""
     by_hash = np.argsort(late)
     sorted_late = late[by_hash]
 
@@ -143,12 +145,13 @@ def _prefixes(size: int, percent: int, late: np.ndarray):
             length = n - (percent * n + 99) // 100 + 1
             # Smaller sets link with equal sets only, and those are one set already.
             keep = (position < length[doc]) & (n[doc] * (100 - percent) >= percent)
-            hashes, doc = hashes[keep], doc[keep]
+            hashes, doc, position = hashes[keep], doc[keep], position[keep].astype(np.int32)
             block = size_block(n, percent)[doc]
             numbers = rows.column("set_no").take(pa.array(np.concatenate([doc, doc])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([hashes, hashes]).view(np.int64)), pa.array(np.concatenate([block, block + 1])), numbers,
-                 pa.array(np.concatenate([n[doc], n[doc]]).astype(np.int32))], ["shingle", "block", "set_no", "n"])
+                 pa.array(np.concatenate([n[doc], n[doc]]).astype(np.int32)), pa.array(np.concatenate([position, position]))],
+                ["shingle", "block", "set_no", "n", "at"])
 
     return run
 
@@ -199,7 +202,7 @@ def linked_pairs(sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     links already join are left out.
     """
     late = frequent(sets, size)
-    rows = sets.select("set_no", "text").mapInArrow(_prefixes(size, percent, late), "shingle long, block int, set_no long, n int")
+    rows = sets.select("set_no", "text").mapInArrow(_prefixes(size, percent, late), "shingle long, block int, set_no long, n int, at int")
     # Lists of one set go before anything else is shuffled.
     shared = stage(rows.groupBy("shingle", "block").agg(F.min("set_no").alias("low"), F.max("set_no").alias("high")).where("low <> high").select("shingle", "block"), "lists")
     lists = stage(rows.join(shared, ["shingle", "block"], "left_semi"), "list-members")
@@ -211,8 +214,9 @@ def linked_pairs(sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
         met = stage(lists.join(hubs, ["shingle", "block"]), "met")
         few = SHORT_LIST * 4**turn
         short, long = met.where(F.col("members") <= few), met.where(F.col("members") > few)
-        ends = short.select("shingle", "block", F.col("set_no").alias("hub"), F.col("n").alias("hub_n"))
-        by_pair = ends.join(short.select("shingle", "block", "set_no", "n"), ["shingle", "block"]).where("hub < set_no").select(
+        ends = short.select("shingle", "block", F.col("set_no").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"))
+        unshared = (F.col("at") + F.col("hub_at")) * (100 + percent) <= (F.col("n") + F.col("hub_n")) * (100 - percent)
+        by_pair = ends.join(short.select("shingle", "block", "set_no", "n", "at"), ["shingle", "block"]).where("hub < set_no").where(unshared).select(
             "hub", "hub_n", "set_no", "n", F.lit(True).alias("direct"))
         sizes = long.where("hub = set_no").select(F.col("hub").alias("of"), F.col("n").alias("hub_n")).distinct()
         by_hub = long.where("hub <> set_no").join(sizes, F.col("hub") == F.col("of")).select("hub", "hub_n", "set_no", "n", F.lit(False).alias("direct"))
@@ -239,7 +243,7 @@ def linked_pairs(sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
         state = compared.select("hub", "set_no", linked.alias("linked"), "near")
         rest = long.where("hub <> set_no").join(state, ["hub", "set_no"], "left").where(~F.coalesce("linked", F.lit(False)))
         far = rest.where(~F.coalesce("near", F.lit(False))).select("shingle", "block").distinct()
-        open_lists = rest.select("shingle", "block", "set_no", "n").join(far, ["shingle", "block"], "left_semi")
+        open_lists = rest.select("shingle", "block", "set_no", "n", "at").join(far, ["shingle", "block"], "left_semi")
         several = open_lists.groupBy("shingle", "block").agg(F.count("*").alias("members")).where("members > 1").select("shingle", "block")
         lists = stage(open_lists.join(several, ["shingle", "block"], "left_semi"), "list-members")
         if lists.isEmpty():
