@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlink.llm import byte_bpe, id_files, mixing, multi_index, rules, set_join, substrings, toxic_crf, warc
+from ledgerlink.llm import byte_bpe, id_files, main_text, mixing, multi_index, rules, set_join, substrings, toxic_crf, warc
 from ledgerlink.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,9 @@ def op3_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out)
     return toxic_crf.scored(docs, labels).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
+@_query
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.extracted(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
