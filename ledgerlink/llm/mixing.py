@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.tables import stage
+from ledgerlink.llm.tables import boxed, stage, unboxed
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -85,14 +85,14 @@ def seeded(column: Column, seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column.cast("string"), F.lit("null"))))
 
 
-def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """Per document of ``docs`` (doc_id, text, source): size, its source's words and target, and
-    the words that the mix takes of it. Columns beyond these three are not carried.
+def located(docs: DataFrame, seed: str, *carried: str) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, source): its size, its source's figures, its place
+    ``begins`` in the seeded order of its source, and the place ``first`` where the quota starts.
 
-    Positions within a source are running sums in two steps, within buckets of the seeded order
-    and over the buckets, so a source with a third of all rows is dealt over 4096 groups.
+    Places are running sums in two steps, within buckets of the seeded order and over the buckets,
+    so a source with a third of all rows is dealt over 4096 groups.
     """
-    sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    sized = stage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carried), "mix-sizes")
     targets = source_targets(sized.select("source", "size"))
     placed = sized.withColumn("draw", seeded(F.col("doc_id"), seed)).withColumn("bucket", F.substring("draw", 1, BUCKET_DIGITS))
     buckets = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -101,20 +101,46 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
         F.col("source").alias("in_source"), F.col("bucket").alias("in_bucket"),
         F.coalesce(F.sum("words").over(over), F.lit(0)).alias("base"))
     ahead = W.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    located = placed.withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0))).join(
+    within = placed.withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0))).join(
         starts, F.col("source").eqNullSafe(F.col("in_source")) & (F.col("bucket") == F.col("in_bucket")))
-    t = targets.withColumnRenamed("source", "of_source")
-    joined = located.join(t, F.col("source").eqNullSafe(F.col("of_source")))
-    start = F.col("base") + F.col("ahead")
+    joined = within.join(targets.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source")))
     blocks = F.greatest(F.lit(1), F.floor(F.col("source_size") / F.col("block"))).cast("long")
     drawn = F.conv(F.substring(seeded(F.col("source"), seed), 1, 8), 16, 10).cast("long")
-    length = F.greatest(F.lit(1), F.col("source_size"))
-    first = F.pmod(drawn, blocks) * F.col("block")
-    rest = F.pmod(F.col("quota_words"), length)
+    return joined.select(
+        "doc_id", "source", "size", "source_size", "target", "quota_words", *carried, (F.col("base") + F.col("ahead")).alias("begins"),
+        (F.pmod(drawn, blocks) * F.col("block")).alias("first"), F.greatest(F.lit(1), F.col("source_size")).alias("length"))
+
 
-    def within(low: Column) -> Column:
-        """Words of the document that lie in ``rest`` words from ``low`` on."""
-        return F.greatest(F.lit(0), F.least(start + F.col("size"), low + rest) - F.greatest(start, low))
+def _parts() -> tuple[Column, list[tuple[Column, Column]]]:
+    """How often a whole document is taken, and the word ranges taken once more."""
+    rest = F.pmod(F.col("quota_words"), F.col("length"))
+    ranges = []
+    for low in (F.col("first"), F.col("first") - F.col("length")):
+        begin = F.greatest(F.lit(0), low - F.col("begins"))
+        end = F.least(F.col("size"), low + rest - F.col("begins"))
+        ranges.append((begin, F.greatest(begin, end)))
+    return F.floor(F.col("quota_words") / F.col("length")).cast("int"), ranges
 
-    taken = F.floor(F.col("quota_words") / length) * F.col("size") + within(first) + within(first - length)
-    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+
+def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """Per document of ``docs`` (doc_id, text, source): size, its source's words and target, and
+    the words that the mix takes of it. Other columns are not read."""
+    whole, ranges = _parts()
+    taken = whole * F.col("size") + sum(end - begin for begin, end in ranges)
+    return located(docs, seed).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+
+
+def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """The mix itself: rows of ``docs``, whole texts as often as they are taken whole, and cut texts
+    (words joined by one space) for what is taken in part. ``n_chars``, if there, is set anew."""
+    numbered = stage(boxed(docs, "doc_id", "text", "source").withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    whole, ranges = _parts()
+    all_of_it = F.struct(F.lit(0).cast("long").alias("begin"), F.col("size").alias("end"))
+    parts = [F.struct(begin.cast("long").alias("begin"), end.cast("long").alias("end")) for begin, end in ranges]
+    pieces = F.filter(F.concat(F.array_repeat(all_of_it, whole), F.array(*parts)), lambda p: p["end"] > p["begin"])
+    taken = located(numbered, seed, "_row").select("_row", "size", F.explode(pieces).alias("piece"))
+    joined = numbered.join(taken, "_row")
+    begin, end = F.col("piece.begin"), F.col("piece.end")
+    words = F.regexp_extract_all("text", F.lit(r"([^ \t-\r]+)"), F.lit(1))
+    cut = F.array_join(F.slice(words, (begin + 1).cast("int"), (end - begin).cast("int")), " ")
+    return unboxed(joined, docs, F.when(end - begin == F.col("size"), F.col("text")).otherwise(cut))

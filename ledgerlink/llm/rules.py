@@ -187,6 +187,19 @@ def threshold(labelled: DataFrame, keep_good: float = KEEP_GOOD) -> float:
     return float(best[len(best) // 2] / SCORE_STEPS) if gain.max() > 0 else 2.0
 
 
+def fitted(stats: DataFrame, labels: DataFrame) -> tuple[Forest, float] | None:
+    """Forest and rejection threshold from counted documents and ``labels`` (doc_id, quality); None
+    if the base rule leaves no document."""
+    usable = stats.where(~base_failed())
+    draw = F.xxhash64(F.lit("forest"), "doc_id", "n_words", "word_chars")
+    rows = usable.orderBy(draw, "doc_id").limit(SAMPLE_ROWS).drop("doc_id").collect()
+    if not rows:
+        return None
+    forest = grow(features(*np.array(rows, float).T))
+    known = labels.select("doc_id", "quality").where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return forest, threshold(scored(usable, forest).join(known, "doc_id"))
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts, base rule and verdict per document.
 
@@ -194,13 +207,26 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows with equal ids are judged one by one. Without documents or labels the base rule decides.
     """
     stats = stage(statistics(docs), "rule-stats")
-    usable = stats.where(~base_failed())
-    draw = F.xxhash64(F.lit("forest"), "doc_id", "n_words", "word_chars")
-    rows = usable.orderBy(draw, "doc_id").limit(SAMPLE_ROWS).drop("doc_id").collect()
-    if not rows:
-        return stats.select("*", base_failed().alias("base_failed"), F.lit(0.0).alias("anomaly")).withColumn("kept", ~F.col("base_failed"))
-    forest = grow(features(*np.array(rows, float).T))
-    marked = scored(stats, forest)
-    known = labels.select("doc_id", "quality").where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    limit = threshold(marked.where(~base_failed()).join(known, "doc_id"))
-    return marked.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < limit))
+    fit = fitted(stats, labels)
+    if fit is None:
+        return stats.select("*", F.lit(0.0).alias("anomaly"), base_failed().alias("base_failed"), (~base_failed()).alias("kept"))
+    marked = scored(stats, fit[0])
+    return marked.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < fit[1]))
+
+
+def passed(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) that are kept. Texts are counted again on
+    the way instead of being joined to their verdicts, so rows without id are judged like others."""
+    fit = fitted(stage(statistics(docs), "rule-stats"), labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, t in ta.slices(batch):
+                stats = slice_stats(t)
+                n, repeats = stats["n_words"], stats["n_repeat_words"]
+                keep = (n >= MIN_WORDS) & (100 * repeats <= n * MAX_REPEAT_PERCENT)
+                if fit:
+                    keep &= fit[0].scores(features(*stats.values())) < fit[1]
+                yield rows.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -265,3 +265,11 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     joined = rows.join(classes, ["print1", "print2"], "left")
     lowest_id = F.when(F.col("lowest") != last, F.col("lowest"))
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, lowest_id).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) that stand for their group: those with its
+    smallest id. Documents without words stay; of equal rows one stays; rows without id stay where
+    their group has no id at all."""
+    chosen = groups(docs, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("chosen")).distinct()
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen"]), "left_semi").dropDuplicates(["doc_id", "text"])

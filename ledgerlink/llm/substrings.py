@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlink.llm import text_arrays as ta
-from ledgerlink.llm.tables import stage
+from ledgerlink.llm.tables import boxed, stage, unboxed
 
 WINDOW = 13
 SHORTEST = 7
@@ -197,8 +197,8 @@ def removal_report(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``docs`` with repeated words taken out of the texts; texts that lose none stay as they are."""
+    """``docs`` with repeated words taken out of the texts; texts that lose none stay as they are.
+    ``n_chars``, if there, is set anew."""
     results = cut_texts(docs, size).select("_key1", "_key2", "first", "n_words", "kept_text")
-    joined = with_keys(docs).join(results, ["_key1", "_key2"])
-    text = F.when(_copy(size), F.lit("")).otherwise(F.coalesce("kept_text", "text"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    joined = with_keys(boxed(docs, "doc_id", "text")).join(results, ["_key1", "_key2"])
+    return unboxed(joined, docs, F.when(_copy(size), F.lit("")).otherwise(F.coalesce("kept_text", "text")))

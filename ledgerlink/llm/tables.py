@@ -7,7 +7,8 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlink.session import scratch_path
 
@@ -19,6 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def boxed(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``docs`` and, as ``_doc``, the whole row, so that no other column of it can
+    clash with names used on the way."""
+    return docs.select(F.struct("*").alias("_doc"), *columns)
+
+
+def unboxed(df: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of ``docs`` with ``text`` in place of its text, and its length as ``n_chars`` if
+    there is such a column."""
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(text).cast(dict(docs.dtypes)["n_chars"])
+    return df.select([new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession):
     """Within the block, shuffle files go as soon as the statement that made them ends."""
