@@ -1,8 +1,8 @@
-"""A corpus run: rejected documents go, near copies and repeated passages go, sources are mixed
-to their weights, and what is left is encoded.
+"""A corpus run: rejected documents go, near copies and repeated passages go, sources are mixed to
+their weights, and what is left is encoded.
 
 Each stage takes the documents that the one before it kept and returns the columns of
-``documents``; the last returns one row per document with its token ids' digests.
+``documents``; the last returns a row per mixed text with the digests of its token ids.
 """
 
 from __future__ import annotations
@@ -10,20 +10,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ledgerlink.llm import rules
+from ledgerlink.llm import mixing, rules, set_join, substrings
+from ledgerlink.llm.queries import bpe_digests
 from ledgerlink.llm.tables import stage, table
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
-    kept = rules.judged(docs, labels).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the isolation forest and the base rule keep. Null and empty texts go."""
+    return rules.passed(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id. Links take five-word
+    shingles and a Jaccard similarity of 0.8 or more."""
+    return set_join.one_per_group(docs, size=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words whose 13-word window stands in an earlier one."""
+    return substrings.deduplicated(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: whole texts, repeated or not, and cut texts at the ends of quotas."""
+    return mixing.mixed(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 per row."""
+    return bpe_digests(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules), ("near_copies", near_copies), ("repeated_passages", repeated_passages),
+    ("source_mix", source_mix), ("token_ids", token_ids)]
 # The forest, the groups of linked documents and the merges are not expressible in SQL.
 ORACLE_SQL: str | None = None
 
