@@ -121,7 +121,7 @@ class ArchiveWriter:
 
     def _open(self) -> None:
         dictionary = train(self.waiting[1:])
-        self.out = self.fs.open_output_stream(self.path)
+        self.out = self.fs.open_output_stream(self.path, compression=None)  # the frames are made here
         if dictionary:
             self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
         data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
@@ -260,7 +260,7 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str, payloads: bool =
         for batch in batches:
             for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist()):
                 rows, held, seen = [], 0, 0
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for record in frames(stream):
                         headers, block = parse_record(record)
                         if headers["warc-type"] not in ("response", "revisit"):
