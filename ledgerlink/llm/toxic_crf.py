@@ -18,7 +18,6 @@ toxic labels (0 without labels).
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,9 +28,9 @@ from pyspark.sql import functions as F
 
 from ledgerlink.llm import text_arrays as ta
 
-SAMPLE_TOXIC = 2_500
-SAMPLE_CLEAN = 4_000
-SAMPLE_CHARS = 20_000
+SAMPLE_TOXIC = 1_500
+SAMPLE_CLEAN = 2_500
+SAMPLE_CHARS = 6_000
 TABLE_BITS = 18
 BEGINNINGS = (3, 4, 5, 6)
 MIN_DOCS = 4
@@ -53,7 +52,7 @@ def word_features(t: ta.TextSlice) -> np.ndarray:
     columns += [t.hashes(start, np.minimum(start + n, end)) for n in BEGINNINGS]
     columns += [t.hashes(np.maximum(end - 3, start), end)]
     salts = ta.mix(np.arange(len(columns), dtype=np.uint64) + np.uint64(77))
-    return (ta.mix(np.column_stack(columns) ^ salts) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return np.column_stack([(ta.mix(c ^ s) >> np.uint64(64 - TABLE_BITS)).astype(np.int32) for c, s in zip(columns, salts)])
 
 
 @dataclass(frozen=True)
@@ -166,20 +165,26 @@ def label_words(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.
     runs = ta.window_hashes(features[:, 0].astype(np.uint64), 5)
     bounds = np.searchsorted(doc, np.arange(len(toxic) + 1))
     seen: set[int] = set()
-    evidence = [Counter(), Counter()]
-    totals = [0, 0]
-    columns = np.arange(features.shape[1]) << TABLE_BITS
+    evidence: tuple[list[np.ndarray], list[np.ndarray]] = [], []
+    columns = np.arange(features.shape[1], dtype=np.int32) << TABLE_BITS
     for d, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-        own = set(runs[a:max(a, b - 4)].tolist())
-        if own and len(own & seen) > 0.2 * len(own):
+        own = runs[a:max(a, b - 4)]
+        few = set(own[own % np.uint64(4) == 0].tolist())
+        if few and len(few & seen) > 0.2 * len(few):
             continue
-        seen |= own
-        totals[toxic[d]] += 1
-        evidence[toxic[d]].update(np.unique(features[a:b] + columns).tolist())
-    weight = totals[1] / max(1, totals[0])
-    least = max(MIN_DOCS, MIN_SHARE * totals[1])
-    signs = [f for f, n in evidence[1].items() if n >= least and n >= MIN_PURITY * (n + evidence[0][f] * weight)]
-    hit = np.isin(features + columns, np.array(signs, np.int64)).any(1)
+        seen |= few
+        evidence[toxic[d]].append(np.unique(features[a:b] + columns))
+    if not evidence[1]:
+        return np.zeros(len(features), bool)
+    signs, found = np.unique(np.concatenate(evidence[1]), return_counts=True)
+    often = found >= max(MIN_DOCS, MIN_SHARE * len(evidence[1]))
+    signs, found = signs[often], found[often]
+    clean = np.sort(np.concatenate(evidence[0])) if evidence[0] else np.zeros(0, np.int32)
+    against = np.searchsorted(clean, signs, side="right") - np.searchsorted(clean, signs, side="left")
+    signs = signs[found >= MIN_PURITY * (found + against * len(evidence[1]) / max(1, len(evidence[0])))]
+    hit = np.zeros(len(features), bool)
+    for c in range(features.shape[1]):
+        hit |= np.isin(features[:, c] + columns[c], signs)
     return hit & (toxic[doc] == 1)
 
 
