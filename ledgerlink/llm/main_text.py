@@ -188,6 +188,26 @@ def variant(source: str, rng: np.random.Generator) -> str:
     def sentence() -> str:
         return sentences[rng.integers(len(sentences))] + "."
 
+    def passage() -> str:
+        """One to five sentences, now and then with a link or emphasis in them."""
+        text = " ".join(sentence() for _ in range(rng.integers(1, 6)))
+        for mark in ('<a href="#">', "<b>", "<em>", '<span class="x">'):
+            if rng.random() < 0.2 and len(words := text.split(" ")) > 4:
+                at = int(rng.integers(0, len(words) - 2))
+                words[at], words[at + 1] = mark + words[at], words[at + 1] + f"</{mark[1:].split()[0].rstrip('>')}>"
+                text = " ".join(words)
+        return text
+
+    def inner_piece() -> str:
+        kind = rng.random()
+        if kind < 0.7:
+            return f"<p>{passage()}</p>"
+        if kind < 0.8:
+            return f"<h2>{' '.join(sentence().split()[:6])}</h2>"
+        if kind < 0.9:
+            return "<ul>" + "".join(f"<li>{passage()}</li>" for _ in range(rng.integers(2, 6))) + "</ul>"
+        return f"<blockquote><p>{passage()}</p></blockquote>" if kind < 0.95 else f"<table><tr><td>{sentence()}</td><td>{sentence()}</td></tr></table>"
+
     def part() -> str:
         tag, attrs, kind = PARTS[rng.integers(len(PARTS))]
         count = int(rng.integers(1, 7))
@@ -196,9 +216,9 @@ def variant(source: str, rng: np.random.Generator) -> str:
         elif kind == "fields":
             body = "".join(f"<label>{sentence().split()[0]}</label><input>" for _ in range(count)) + f"<p>{sentence()}</p>"
         elif kind == "items":
-            body = "".join(f"<li><p>{sentence()} {sentence()}</p></li>" for _ in range(count))
+            body = "".join(f"<li><p>{passage()}</p></li>" for _ in range(count))
         else:
-            body = "".join(f"<p>{sentence()} {sentence()}</p>" for _ in range(count)) if rng.random() < 0.7 else sentence()
+            body = "".join(f"<p>{passage()}</p>" for _ in range(count)) if rng.random() < 0.7 else passage()
         return f'<{tag} {attrs} data-part="other">{body}</{tag}>'
 
     def parts(most: int) -> str:
@@ -208,7 +228,8 @@ def variant(source: str, rng: np.random.Generator) -> str:
     if not match:
         return source
     tag, attrs = ARTICLES[rng.integers(len(ARTICLES))]
-    inner = match[2].replace("</p>", f"</p>{part()}", 1) if rng.random() < 0.25 else match[2]
+    inner = match[2] if rng.random() < 0.4 else "".join(inner_piece() for _ in range(rng.integers(1, 9)))
+    inner = inner.replace("</p>", f"</p>{part()}", 1) if rng.random() < 0.25 else inner
     inner = inner + part() if rng.random() < 0.2 else inner
     body = f'{parts(2)}<{tag} {attrs} data-part="text">{inner}</{tag}>{parts(3)}'
     if rng.random() < 0.4:
@@ -233,11 +254,20 @@ def train(sources: list[str], seed: int = 17) -> boosting.Boosted | None:
     return boosting.fit(np.concatenate(rows), np.concatenate(labels).astype(float))
 
 
+def _unmarked(page: dom.Page) -> np.ndarray:
+    """Odds without trees: against elements that name themselves as something else, and all below."""
+    out = np.full(len(page.nodes), 9.0)
+    for k, node in enumerate(page.nodes[1:], 1):
+        if node.tag in _ASIDE or marks(node.attrs) - {0} or out[node.parent] < 0:
+            out[k] = -9.0
+    return out
+
+
 def extract(sources: list[str | None], model: boosting.Boosted | None) -> list[str]:
     """Main text of each page."""
     pages = [read(source or "") for source in sources]
     if model is None:
-        logits = np.array([-9.0 if node.tag in _ASIDE or marks(node.attrs) - {0} else 9.0 for page in pages for node in page.nodes])
+        logits = np.concatenate([_unmarked(page) for page in pages])
     else:
         logits = model.logits(np.concatenate([describe(page) for page in pages]))
     ends = np.cumsum([len(page.nodes) for page in pages])
