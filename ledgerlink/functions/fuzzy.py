@@ -124,21 +124,27 @@ def similarity(a: Column, b: Column, method: str = "composite") -> Column:
 
 
 def ocr_variants(c: Column, limit: int = OCR_MAX_VARIANTS) -> Column:
-    """The text itself, then single-character swaps in position order, ``limit`` in all."""
+    """The text itself, then single-character swaps in position order.
+
+    Each confusable character gives its first swap; the second swap is added only while fewer than
+    ``limit`` variants have been made, so every position is represented whatever the length.
+    """
     swaps = F.create_map(*[part for key, subs in OCR_SWAPS.items()
                            for part in (F.lit(key), F.array(*[F.lit(s) for s in subs]))])
     upper = F.upper(c)
 
-    def at(i: Column) -> Column:
-        subs = F.coalesce(F.element_at(swaps, F.substr(upper, i, F.lit(1))),
-                          F.array().cast("array<string>"))
-        made = F.transform(subs, lambda s: F.concat(
-            F.substr(upper, F.lit(1), i - 1), s, F.substr(upper, i + 1)))
-        return F.flatten(F.transform(made, lambda v: F.array(v, F.lower(v))))
+    def grown(made: Column, i: Column) -> Column:
+        subs = F.coalesce(F.element_at(swaps, F.substr(upper, i, F.lit(1))), F.array().cast("array<string>"))
+
+        def swapped(n: int) -> Column:
+            v = F.concat(F.substr(upper, F.lit(1), i - 1), F.get(subs, F.lit(n)), F.substr(upper, i + 1))
+            return F.array(v, F.lower(v))
+
+        one = F.array_union(made, swapped(0))
+        two = F.when((F.size(one) < limit) & (F.size(subs) > 1), F.array_union(one, swapped(1))).otherwise(one)
+        return F.when(F.size(subs) == 0, made).otherwise(two)
 
-    places = F.sequence(F.lit(1), F.length(c))
-    made = F.flatten(F.transform(places, at))
-    every = F.slice(F.array_distinct(F.concat(F.array(c), made)), 1, limit)
+    every = F.aggregate(F.sequence(F.lit(1), F.length(c)), F.array(c), grown)
     return F.when(F.coalesce(F.length(c), F.lit(0)).between(1, OCR_MAX_LENGTH), every).otherwise(F.array(c))
 
 

@@ -273,6 +273,7 @@ def gate(classified: DataFrame) -> DataFrame:
     amount_ok = c("net_amount_variance").cast("double") <= c("po_amount").cast("double") * THREE_WAY_AMOUNT_SHARE
     quantity_ok = F.when(c("po_quantity") > 0, c("net_quantity_variance").cast("double") <= c("po_quantity").cast("double") * THREE_WAY_QUANTITY_SHARE).otherwise(True)
     rows = classified.withColumn("amount_ok", amount_ok).withColumn("quantity_ok", quantity_ok)
+    # The four texts that reviewers and reports look for.
     lost, wide = c("total_lines") - c("matched_lines"), c("matched_lines") - c("within_lines")
     items = F.array_compact(F.array(
         F.when(lost > 0, F.concat(lost.cast("string"), F.lit(" unmatched invoice lines"))),

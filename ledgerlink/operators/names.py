@@ -121,9 +121,11 @@ def _vectors(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
         "tenant_id", "text", "gram", "df", (c("w") / c("norm")).alias("w"))
 
 
-def tfidf_match(pairs: DataFrame, corpus: DataFrame, features: int = 1000) -> DataFrame:
+def tfidf_match(pairs: DataFrame, corpus: DataFrame, features: int | None = None) -> DataFrame:
     """Cosine of (text, candidate) when no other corpus entry is closer to the text, else 0.
 
+    All grams count unless ``features`` names how many of the most frequent ones to use.
+
     A rival closer than the pair's own cosine must share one of the text's rare grams: the
     grams are walked from rare to common and stop as soon as the weight left over is too
     small to reach that cosine. Only those rare grams are joined to the corpus.
@@ -135,8 +137,8 @@ def tfidf_match(pairs: DataFrame, corpus: DataFrame, features: int = 1000) -> Da
     terms = grams.groupBy("tenant_id", "gram", "text").agg(F.count("*").alias("tf")).groupBy("tenant_id", "gram").agg(
         F.sum("tf").alias("tf"), F.count("*").alias("df"))
     best = W.partitionBy("tenant_id").orderBy(F.desc("tf"), "gram")
-    vocabulary = (terms.withColumn("rank", F.row_number().over(best)).filter(c("rank") <= features)
-                  .join(sizes, "tenant_id")
+    used = terms if features is None else terms.withColumn("rank", F.row_number().over(best)).filter(c("rank") <= features)
+    vocabulary = (used.join(sizes, "tenant_id")
                   .select("tenant_id", "gram", "df", (F.log((c("n") + 1) / (c("df") + 1)) + 1.0).alias("idf")))
     entry_vec = _vectors(entries, vocabulary)
     text_vec = _vectors(wanted.select("tenant_id", "text").distinct(), vocabulary)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ledgerlink.functions.numeric import percent, round_half_up
 from ledgerlink.operators.names import permission_strings
+from ledgerlink.session import staged
 
 c = F.col
 MAX_SESSIONS = 3
@@ -140,16 +141,24 @@ def active_roles(user_roles: DataFrame, as_of: Column) -> DataFrame:
     return user_roles.filter(c("is_active") & (c("expires_at").isNull() | (c("expires_at") > as_of)))
 
 
-def role_closure(spark, roles_sql: str, depth: int = 16) -> DataFrame:
-    """(role_id, ancestor_id): each role with itself and everything it inherits from."""
-    return spark.sql(f"""
-        WITH RECURSIVE role_table AS ({roles_sql}),
-        closure(role_id, ancestor_id, next_id, depth) AS (
-            SELECT role_id, role_id, parent_role_id, 0 FROM role_table
-            UNION ALL
-            SELECT x.role_id, r.role_id, r.parent_role_id, x.depth + 1
-            FROM closure x JOIN role_table r ON r.role_id = x.next_id WHERE x.depth < {depth})
-        SELECT DISTINCT role_id, ancestor_id FROM closure""")
+def role_closure(roles: DataFrame) -> DataFrame:
+    """(role_id, ancestor_id): each role with itself and everything it inherits from.
+
+    Known steps are joined to themselves until nothing new is found, so chains may have any length
+    (rounds grow with its logarithm) and may run in a circle. ``roles`` is the table of role
+    templates: one row per role, never per user.
+    """
+    reached = roles.select("role_id", c("role_id").alias("ancestor_id")).union(
+        roles.filter("parent_role_id is not null").select("role_id", c("parent_role_id").alias("ancestor_id"))).join(
+        roles.select(c("role_id").alias("ancestor_id")), "ancestor_id", "left_semi").select("role_id", "ancestor_id").distinct()
+    known = reached.count()
+    while True:
+        further = reached.select("role_id", c("ancestor_id").alias("via")).join(
+            reached.select(c("role_id").alias("via"), "ancestor_id"), "via").select("role_id", "ancestor_id").distinct()
+        reached = staged(further, "role-closure")
+        if (now := reached.count()) == known:
+            return reached
+        known = now
 
 
 def user_permissions(active: DataFrame, roles: DataFrame, closure: DataFrame) -> DataFrame:
@@ -159,9 +168,10 @@ def user_permissions(active: DataFrame, roles: DataFrame, closure: DataFrame) ->
 
 
 def check_permissions(users: DataFrame, requests: DataFrame, permissions: DataFrame) -> DataFrame:
-    """allowed when the user holds the exact right, the resource wildcard or the system one."""
+    """Per request (user_id, resource, action) of a known user: allowed when the user holds the
+    exact right, the resource wildcard or the system one."""
     need = F.explode(F.array(F.concat_ws(":", "resource", "action"), F.concat(c("resource"), F.lit(":*")), F.lit("system:*"))).alias("permission")
-    asked = users.join(F.broadcast(requests)).select("user_id", "resource", "action", need)
+    asked = requests.join(users.select("user_id"), "user_id", "left_semi").select("user_id", "resource", "action", need)
     hit = permissions.select("user_id", "permission").distinct().withColumn("hit", F.lit(True))
     return asked.join(hit, ["user_id", "permission"], "left").groupBy("user_id", "resource", "action").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("allowed"))
 

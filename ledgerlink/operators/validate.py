@@ -62,7 +62,7 @@ def parse_rules(as_of: Column) -> list[Column]:
 
 def amount_rules() -> list[Column]:
     return [
-        finding(c("total_amount") <= 0, "NEGATIVE_AMOUNT", "total_amount", c("total_amount"), fix="Ensure amount is a positive number"),
+        finding(c("total_amount") <= 0, "NEGATIVE_AMOUNT", "total_amount", c("total_amount"), fix="Enter an amount above zero"),
         finding(c("total_amount") > MAX_AMOUNT, "AMOUNT_TOO_LARGE", "total_amount", c("total_amount"), "warning"),
     ]
 
@@ -72,7 +72,7 @@ def tax_rules() -> list[Column]:
     return [
         finding(c("tax_amount") < 0, "NEGATIVE_TAX", "tax_amount", c("tax_amount")),
         finding(c("tax_amount") > c("total_amount"), "TAX_EXCEEDS_TOTAL", "tax_amount", c("tax_amount"),
-                fix="Verify tax and total amounts are correct"),
+                fix="Check the tax against the total"),
         finding(share > MAX_TAX_SHARE, "HIGH_TAX_RATE", "tax_amount", c("tax_amount"), "warning"),
     ]
 
@@ -81,7 +81,7 @@ def date_rules(as_of: Column) -> list[Column]:
     return [
         finding(F.datediff(as_of, c("invoice_date")) > MAX_AGE_DAYS, "DATE_TOO_OLD", "invoice_date", c("invoice_date"), "warning"),
         finding(c("invoice_date") > as_of, "FUTURE_DATE", "invoice_date", c("invoice_date"), "warning"),
-        finding(c("due_date") < c("invoice_date"), "DUE_BEFORE_INVOICE", "due_date", c("due_date"), fix="Ensure due date is after invoice date"),
+        finding(c("due_date") < c("invoice_date"), "DUE_BEFORE_INVOICE", "due_date", c("due_date"), fix="Move the due date behind the invoice date"),
         finding(F.datediff("due_date", "invoice_date") > MAX_TERMS_DAYS, "LONG_PAYMENT_TERMS", "due_date", c("due_date"), "warning"),
     ]
 
@@ -89,12 +89,12 @@ def date_rules(as_of: Column) -> list[Column]:
 def cross_field_rules() -> list[Column]:
     off = F.abs(c("total_amount") - (c("subtotal") + c("tax_amount"))) > F.lit(ROUNDING_SLACK).cast("decimal(5,2)")
     return [finding(off, "AMOUNT_CALCULATION_ERROR", "total_amount", c("total_amount"),
-                    fix="Verify subtotal, tax, and total amounts are correct")]
+                    fix="Subtotal plus tax has to give the total")]
 
 
 def vendor_rules() -> list[Column]:
     return [finding(~vendor_format_ok(c("vendor_name")), "INVALID_VENDOR_FORMAT", "vendor_name", c("vendor_name"), kind="validation",
-                    expected="Alphanumeric characters, spaces, and common punctuation")]
+                    expected="Letters, digits, blanks and usual punctuation")]
 
 
 def short_rules() -> list[Column]:
@@ -164,9 +164,9 @@ def checked_import(rows: DataFrame, vendors: DataFrame, invoices: DataFrame, as_
     extra = [
         finding(c("vendor_id").isNull() & c("vendor_name").isNotNull(), "NEW_VENDOR", "vendor_name", c("vendor_name"), "warning", "validation"),
         finding(c("duplicate_in_batch"), "DUPLICATE_IN_BATCH", "invoice_number", c("invoice_number"), "duplicate", "duplicate",
-                fix="Remove duplicate entry or verify invoice details"),
+                fix="Keep one of the equal entries"),
         finding(c("duplicate_in_system"), "DUPLICATE_IN_SYSTEM", "invoice_number", c("invoice_number"), "duplicate", "duplicate",
-                fix="Verify this is a new invoice or update existing record"),
+                fix="Compare with the stored invoice"),
     ]
     read = parse_rules(as_of)
     full = with_findings(known, read, "from_parse")

@@ -221,7 +221,9 @@ def _(e):
 # --- permissions -------------------------------------------------------------------------------
 
 _ACTIVE = "SELECT * FROM user_roles WHERE is_active AND (expires_at IS NULL OR expires_at > DATE '2024-01-31')"
-_CLOSURE = "SELECT role_id, unnest(CASE role_id WHEN 0 THEN [0, 1, 2, 3] WHEN 1 THEN [1, 2, 3] WHEN 2 THEN [2, 3] ELSE [3] END) AS ancestor_id FROM roles"
+_CLOSURE = """WITH RECURSIVE up(role_id, ancestor_id) AS (SELECT role_id, role_id FROM roles
+    UNION SELECT u.role_id, r.parent_role_id FROM up u JOIN roles r ON r.role_id = u.ancestor_id WHERE r.parent_role_id IS NOT NULL)
+    SELECT role_id, ancestor_id FROM up"""
 _GRANT = """SELECT role_id, resource || ':' || unnest(from_json(json_extract(permissions, '$.' || resource), '["VARCHAR"]')) AS permission FROM (SELECT *, unnest(json_keys(permissions)) AS resource FROM roles)"""
 _PERM = f"SELECT DISTINCT a.user_id, a.tenant_id, g.permission FROM ({_ACTIVE}) AS a JOIN ({_CLOSURE}) AS x ON x.role_id = a.role_id JOIN ({_GRANT}) AS g ON g.role_id = x.ancestor_id"
 
@@ -231,7 +233,7 @@ def _active(e):
 
 
 def _permissions(e):
-    return security.user_permissions(_active(e), e.config("roles"), security.role_closure(e.spark, CONFIG_SQL["roles"]))
+    return security.user_permissions(_active(e), e.config("roles"), security.role_closure(e.config("roles")))
 
 
 @query("j19_user_active_roles", "user_id bigint, tenant_id int, name string, level int",
@@ -252,7 +254,7 @@ def _(e):
        f"SELECT x.role_id, x.ancestor_id, count(u.user_id) AS users FROM ({_CLOSURE}) AS x LEFT JOIN user_roles u ON u.role_id = x.role_id GROUP BY ALL")
 def _(e):
     counts = e.user_roles.groupBy("role_id").agg(F.count("*").alias("users"))
-    return security.role_closure(e.spark, CONFIG_SQL["roles"]).join(counts, "role_id", "left").na.fill(0, ["users"])
+    return security.role_closure(e.config("roles")).join(counts, "role_id", "left").na.fill(0, ["users"])
 
 
 @query("j24_defaults_per_tenant", "tenant_id int, role_name string, level int", "SELECT t.tenant_id, r.name AS role_name, r.level FROM tenants t CROSS JOIN roles r")
@@ -275,7 +277,8 @@ def _(e):
        f"""SELECT u.user_id, q.resource, q.action, EXISTS (SELECT 1 FROM ({_PERM}) AS p WHERE p.user_id = u.user_id AND p.permission IN (q.resource || ':' || q.action, q.resource || ':*', 'system:*')) AS allowed
            FROM users u CROSS JOIN permission_requests q""")
 def _(e):
-    return security.check_permissions(e.users.select("user_id"), e.config("permission_requests"), _permissions(e))
+    requests = e.users.select("user_id").crossJoin(F.broadcast(e.config("permission_requests")))  # a few fixed rights, asked for everybody
+    return security.check_permissions(e.users.select("user_id"), requests, _permissions(e))
 
 
 # --- recent rows and sliding state ------------------------------------------------------------------
@@ -324,13 +327,13 @@ def _(e):
 
 _LOCK = """SELECT attempt_id, user_id, failures, CASE WHEN failures >= 5 AND NOT success THEN least(1440.0e0, 30.0e0 * pow(2.0e0, failures - 5)) END AS lock_minutes FROM (
     SELECT *, count(*) FILTER (WHERE NOT success) OVER (PARTITION BY user_id, era ORDER BY attempted_at, attempt_id ROWS UNBOUNDED PRECEDING) AS failures FROM (
-    SELECT *, count(*) FILTER (WHERE success AND attempt_id % 7 = 0) OVER (PARTITION BY user_id ORDER BY attempted_at, attempt_id ROWS UNBOUNDED PRECEDING) AS era FROM auth_attempts))"""
+    SELECT *, count(*) FILTER (WHERE success) OVER (PARTITION BY user_id ORDER BY attempted_at, attempt_id ROWS UNBOUNDED PRECEDING) AS era FROM auth_attempts))"""
 
 
 @query("t04_progressive_lockout", "attempt_id bigint, user_id bigint, failures bigint, lock_minutes double", _LOCK)
 def _(e):
     rows = e.auth_attempts.select("attempt_id", "user_id", "attempted_at", "success")
-    good = c("success") & (c("attempt_id") % 7 == 0)
+    good = c("success")
     runs = security.running_since_reset(rows, "user_id", ["attempted_at", "attempt_id"], F.date_trunc("DAY", c("attempted_at")), good, (~c("success")).cast("bigint"), "failures")
     return runs.withColumn("lock_minutes", F.when(~c("success"), scores.lockout_minutes(c("failures"))))
 

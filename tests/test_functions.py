@@ -65,9 +65,10 @@ def test_similarity_methods(spark):
 
 
 def test_ocr_variants(spark):
-    got = [r[0] for r in values(spark, [("A0B",), ("ACK",), ("A" * 51,)], fuzzy.ocr_variants(F.col("c0")))]
-    assert got[0] == ["A0B", "AOB", "aob", "AoB", "A08"]
+    got = [r[0] for r in values(spark, [("A0B",), ("ACK",), ("A" * 51,), ("01258OIZ",)], fuzzy.ocr_variants(F.col("c0")))]
+    assert got[0] == ["A0B", "AOB", "aob", "AoB", "A08", "a08"]
     assert got[1] == ["ACK"] and got[2] == ["A" * 51]
+    assert len(got[3]) == 18 and {"O1258OIZ", "o1258OIZ", "0I258OIZ", "01Z58OIZ", "012S8OIZ", "0125BOIZ", "012580IZ", "01258O1Z", "01258OI2"} <= set(got[3])
 
 
 def test_tolerances(spark):

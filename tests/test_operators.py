@@ -211,3 +211,17 @@ def test_composite_similarity_of_pairs(spark, entities):
         ratio = fuzzy.percent_ratio
         want = 0.3 * (1 - levenshtein(a, b) / max(len(a), len(b))) + 0.4 * ratio(s1, s2) / 100 + 0.3 * max(ratio(shared, l), ratio(shared, m), ratio(l, m)) / 100
         assert abs(r.score - want) < 1e-5
+
+
+def test_role_closure_follows_long_chains_and_circles(spark):
+    chain = [(k, k + 1 if k < 20 else None) for k in range(21)] + [(30, 31), (31, 30), (40, 99)]
+    got = {tuple(r) for r in security.role_closure(spark.createDataFrame(chain, "role_id int, parent_role_id int")).collect()}
+    assert got == {(a, b) for a in range(21) for b in range(a, 21)} | {(a, b) for a in (30, 31) for b in (30, 31)} | {(40, 40)}
+
+
+def test_permission_checks_join_the_requests_that_exist(spark):
+    requests = spark.createDataFrame([(1, "invoice", "read"), (1, "invoice", "write"), (2, "po", "read"), (9, "po", "read")], "user_id long, resource string, action string")
+    held = spark.createDataFrame([(1, "invoice:read"), (2, "po:*")], "user_id long, permission string")
+    users = spark.createDataFrame([(1,), (2,)], "user_id long")
+    got = {tuple(r) for r in security.check_permissions(users, requests, held).collect()}
+    assert got == {(1, "invoice", "read", True), (1, "invoice", "write", False), (2, "po", "read", True)}
