@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from ledgerlink.plans.catalog import QUERIES  # noqa: E402
-from ledgerlink.session import build_session  # noqa: E402
+from ledgerlink.session import build_session, clear_run  # noqa: E402
 from ledgerlink.sources.entities import STORED, StoredEntities  # noqa: E402
 
 HEADLINE = [
@@ -43,6 +43,7 @@ def main() -> None:
         "invoices": invoices, "brute_force_pairs": invoices * orders,
         "invoices_per_second": {n: round(invoices / times[n]) for n in ("r08_two_way_run", "r02_band_run", "r07_three_way_run", "v14_row_disposition")},
     }))
+    clear_run(spark)
     spark.stop()
 
 

@@ -30,24 +30,27 @@ def accepted_records(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def error_report(found: DataFrame) -> DataFrame:
-    """Findings in report order with empty texts for nulls and a position from 1."""
+    """Findings of every batch in report order, with empty texts for nulls and a position from 1."""
     ordered = found.select(
-        "row_number", F.coalesce("field", F.lit("")).alias("column_name"), c("severity").alias("error_type"),
+        *_ROW, F.coalesce("field", F.lit("")).alias("column_name"), c("severity").alias("error_type"),
         c("code").alias("error_code"), "severity", F.coalesce("raw", F.lit("")).alias("raw_value"),
         F.coalesce("expected", F.lit("")).alias("expected_format"), F.coalesce("fix", F.lit("")).alias("suggested_fix"))
-    return positions(ordered, ["row_number", "error_code", "column_name", "raw_value"], "position")
+    return positions(ordered, "import_batch_id", ["row_number", "error_code", "column_name", "raw_value"], "position")
 
 
-def positions(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """1-based position in a total order: groups by the first key, offsets by group sizes."""
+def positions(df: DataFrame, group: str, order: Sequence[str], name: str, width: int = 4096) -> DataFrame:
+    """1-based position in a total order within each group. The first key is a number: rows are
+    numbered within blocks of ``width`` values of it, and blocks are offset by the sizes before
+    them, so a large group is many tasks."""
     from pyspark.sql.window import Window as W
 
-    lead = order[0]
-    inside = F.row_number().over(W.partitionBy(lead).orderBy(*order[1:]))
-    sizes = df.groupBy(lead).agg(F.count("*").alias("_size"))
-    before = F.sum("_size").over(W.orderBy(lead).rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select(lead, F.coalesce(before, F.lit(0)).alias("_before"))
-    return df.withColumn("_inside", inside).join(offsets, lead).withColumn(name, c("_before") + c("_inside")).drop("_before", "_inside")
+    rows = df.withColumn("_block", F.floor(c(order[0]) / width))
+    sizes = rows.groupBy(group, "_block").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(W.partitionBy(group).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select(group, "_block", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(group, "_block").orderBy(*order))
+    return rows.withColumn("_inside", inside).join(offsets, [group, "_block"]).withColumn(
+        name, c("_before") + c("_inside")).drop("_before", "_inside", "_block")
 
 
 def get_or_create(accepted: DataFrame) -> DataFrame:

@@ -228,12 +228,11 @@ def _(e):
     return validate.exploded(rows, _KEYS)
 
 
-@query("k04_error_report", "row_number int, column_name string, error_type string, error_code string, severity string, raw_value string, position bigint",
-       f"""SELECT row_number, field AS column_name, CASE severity WHEN 'duplicate' THEN 'duplicate' ELSE severity END AS error_type, code AS error_code, severity,
-           coalesce(raw, '') AS raw_value, row_number() OVER (ORDER BY row_number, code, field, raw) AS position FROM ({_EVERY}) WHERE import_batch_id = 1""")
+@query("k04_error_report", "import_batch_id bigint, row_number int, column_name string, error_type string, error_code string, severity string, raw_value string, position bigint",
+       f"""SELECT import_batch_id, row_number, coalesce(field, '') AS column_name, CASE severity WHEN 'duplicate' THEN 'duplicate' ELSE severity END AS error_type, code AS error_code, severity,
+           coalesce(raw, '') AS raw_value, row_number() OVER (PARTITION BY import_batch_id ORDER BY row_number, code, coalesce(field, ''), coalesce(raw, '')) AS position FROM ({_EVERY})""")
 def _(e):
-    found = validate.exploded(checked(e).filter("import_batch_id = 1"), _KEYS)
-    return vendors.error_report(found)
+    return vendors.error_report(validate.exploded(checked(e), _KEYS))
 
 
 @query("k09_batch_summary", "import_batch_id bigint, processed bigint, successful bigint, errors bigint, duplicates bigint, status string",

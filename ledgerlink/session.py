@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: list[tempfile.TemporaryDirectory] = []
+
 
 def build_session(app: str = "ledgerlink", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC time and Arrow transfer switched on."""
@@ -30,8 +32,9 @@ def build_session(app: str = "ledgerlink", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local-mode session without that setting gets a fresh temporary folder; a cluster
-    session without it is refused, because a driver-local folder would not survive.
+    A local-mode session without that setting gets a fresh temporary folder that goes when the
+    process ends; a cluster session without it is refused, because a driver-local folder would not
+    survive.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
@@ -41,15 +44,27 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="ledgerlink-")
+        _own.append(tempfile.TemporaryDirectory(prefix="ledgerlink-", ignore_cleanup_errors=True))
+        named = _own[-1].name
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The one folder below the shared one that holds everything this application writes."""
+    return f"{shared_dir(spark)}/ledgerlink-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A new, unused path in this application's folder."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Remove this application's folder, once no result that reads from it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
