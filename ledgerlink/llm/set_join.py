@@ -8,8 +8,8 @@ the back so that lists stay short.
 *Skipping in the lists.* A list is cut into blocks by set size, so only sizes that can link meet.
 Where two sets meet first, all their shingles before that place are unshared, so places whose sum
 exceeds the differences that linked sets can have are skipped.
-*Answers from a similar set.* Lists of at most ``SHORT_LIST`` sets are compared set by set, a few
-pairs a set. Longer ones are not paired off: their members are compared with one of them, the hub. For a member x let D be the hub's shingles it lacks, A those it has beyond the hub, and
+*Answers from a similar set.* Lists of ``SHORT_LIST`` sets are one pair. Longer ones are not paired
+off: their members are compared with one of them, the hub. For a member x let D be the hub's shingles it lacks, A those it has beyond the hub, and
 ``cost = 10|D| + 9|A|`` (for 90 percent): x links to the hub iff its cost is at most the hub's size.
 Two members share ``|hub| - |D1| - |D2| + s`` shingles, where s counts equal entries of their
 differences, so their answer follows from the hub's: they link iff
@@ -43,7 +43,7 @@ PERCENT = 90
 FREQUENT_SHINGLES = 100_000
 FREQUENT_FROM = 8
 COUNT_CHUNK = 4_000_000
-SHORT_LIST = 16
+SHORT_LIST = 2
 SETS = "doc_id long, n_shingles long, print1 long, print2 long, text string"
 
 
@@ -122,12 +122,13 @@ def frequent(sets: DataFrame, size: int, limit: int = FREQUENT_SHINGLES) -> np.n
 
 
 def size_block(n, percent: int) -> np.ndarray:
-    """Sets that can link lie in equal or neighbouring blocks."""
-    return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.int32)
+    """A set can only link with larger ones of its block or of the block of ``n / share``."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) / 2 + 1e-9).astype(np.int32)
 
 
 def _prefixes(size: int, percent: int, late: np.ndarray):
-    """(shingle, block, set_no, n, at) for the prefix of each set, in its block and the next."""
+    """(shingle, block, set_no, n, at) for the prefix of each set, in its block and in the next
+    one if larger sets that it can link with lie there."""
     by_hash = np.argsort(late)
     sorted_late = late[by_hash]
 
@@ -146,11 +147,12 @@ def _prefixes(size: int, percent: int, late: np.ndarray):
             # Smaller sets link with equal sets only, and those are one set already.
             keep = (position < length[doc]) & (n[doc] * (100 - percent) >= percent)
             hashes, doc, position = hashes[keep], doc[keep], position[keep].astype(np.int32)
-            block = size_block(n, percent)[doc]
-            numbers = rows.column("set_no").take(pa.array(np.concatenate([doc, doc])))
+            block, above = size_block(n, percent), size_block(n * 100 / percent, percent)
+            again = np.flatnonzero((above > block)[doc])
+            take = np.concatenate([np.arange(len(doc)), again])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([hashes, hashes]).view(np.int64)), pa.array(np.concatenate([block, block + 1])), numbers,
-                 pa.array(np.concatenate([n[doc], n[doc]]).astype(np.int32)), pa.array(np.concatenate([position, position]))],
+                [pa.array(hashes[take].view(np.int64)), pa.array(np.concatenate([block[doc], above[doc[again]]])),
+                 rows.column("set_no").take(pa.array(doc[take])), pa.array(n[doc[take]].astype(np.int32)), pa.array(position[take])],
                 ["shingle", "block", "set_no", "n", "at"])
 
     return run
