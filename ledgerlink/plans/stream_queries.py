@@ -14,21 +14,35 @@ _LIMIT, _WINDOW = 3, 43200
 _ANSWER = "event_id bigint, user_id bigint, allowed boolean, remaining int, reset_at bigint, retry_after bigint"
 
 
+# One event of every user per step; the kept times of accepted events walk along as a list.
+_US = _WINDOW * 1000000
+_WALK = f"""WITH RECURSIVE queued AS (
+        SELECT event_id, user_id, epoch_us(ts) AS tick, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    walk AS (
+        SELECT event_id, user_id, tick, n, TRUE AS allowed, [tick] AS kept FROM queued WHERE n = 1
+        UNION ALL
+        SELECT event_id, user_id, tick, n, len(live) < {_LIMIT}, CASE WHEN len(live) >= {_LIMIT} THEN list_filter(live, lambda t: t <> tick) ELSE list_distinct(list_append(live, tick)) END
+        FROM (SELECT q.*, list_filter(w.kept, lambda t: t > q.tick - {_US}) AS live FROM walk w JOIN queued q ON q.user_id = w.user_id AND q.n = w.n + 1))
+    SELECT event_id, user_id, allowed, CASE WHEN allowed THEN greatest(0, {_LIMIT} - len(kept)) ELSE 0 END AS remaining, tick + {_US} AS reset_at,
+        CASE WHEN NOT allowed THEN {_WINDOW} END AS retry_after FROM walk"""
+
+
 def _events(e):
     return e.raw("events").select("event_id", "user_id", "ts")
 
 
-@query("t01_rate_limit", _ANSWER)
+@query("t01_rate_limit", _ANSWER, _WALK)
 def _(e):
     return limits.rate_limit(_events(e), _LIMIT, _WINDOW, F.date_trunc("DAY", c("ts")))
 
 
-@query("t01_rate_limit_stream", _ANSWER)
+@query("t01_rate_limit_stream", _ANSWER, _WALK)
 def _(e):
     return jobs.run_append(limits.rate_limit_stream(jobs.file_stream(e.spark, e.sf_dir, "events.parquet"), _LIMIT, _WINDOW), "rate-limit")
 
 
-@query("t02_remaining_quota", "user_id bigint, denied bigint, lowest_remaining int, longest_wait bigint")
+@query("t02_remaining_quota", "user_id bigint, denied bigint, lowest_remaining int, longest_wait bigint",
+       f"SELECT user_id, count(*) FILTER (WHERE NOT allowed) AS denied, min(remaining) AS lowest_remaining, max(retry_after) AS longest_wait FROM ({_WALK}) GROUP BY user_id")
 def _(e):
     answers = limits.rate_limit(_events(e), _LIMIT, _WINDOW, F.date_trunc("DAY", c("ts")))
     return answers.groupBy("user_id").agg(F.count_if(~c("allowed")).alias("denied"), F.min("remaining").alias("lowest_remaining"), F.max("retry_after").alias("longest_wait"))

@@ -3,7 +3,7 @@
 import datetime as dt
 import math
 import random
-from collections import Counter, deque
+from collections import Counter
 from decimal import Decimal
 
 import pytest
@@ -13,7 +13,7 @@ from ledgerlink.functions import fuzzy, scores
 from ledgerlink.operators import candidates, changes, match, names, security, vendors
 from ledgerlink.plans.catalog import QUERIES
 from ledgerlink.sources.entities import Entities
-from ledgerlink.streaming.limits import admit, rate_limit
+from ledgerlink.streaming.limits import rate_limit
 
 c = F.col
 
@@ -143,9 +143,12 @@ def test_rate_limit_equals_a_loop(spark):
     rows = [(i, rnd.choice([1, 1, 1, 2]), base + dt.timedelta(seconds=rnd.randrange(0, 200000, 7))) for i in range(500)]
     df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz")
     got = {r.event_id: (r.allowed, r.remaining) for r in rate_limit(df, 3, 3600, F.date_trunc("DAY", c("ts"))).collect()}
-    state, want = {1: deque(), 2: deque()}, {}
+    kept, want = {1: set(), 2: set()}, {}
     for i, user, ts in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
-        want[i] = admit(state[user], int((ts - dt.datetime(1970, 1, 1)).total_seconds()) * 1000000, 3, 3600 * 1000000)
+        live = {t for t in kept[user] if t > ts - dt.timedelta(hours=1)}
+        full = len(live) >= 3
+        kept[user] = live - {ts} if full else live | {ts}
+        want[i] = (not full, 0 if full else 3 - len(kept[user]))
     assert got == want
 
 
