@@ -44,9 +44,14 @@ def apply_feedback(results: DataFrame, feedback: DataFrame) -> tuple[DataFrame,
 
 
 def best_rule(documents: DataFrame, rules: DataFrame, at: Column) -> DataFrame:
-    """(invoice_id, field_name, name): applicable rule with the lowest priority number."""
-    r = F.broadcast(rules.withColumnRenamed("vendor_id", "rule_vendor").withColumnRenamed("tenant_id", "rule_tenant"))
-    fits = ((c("tenant_id") == c("rule_tenant")) & (c("rule_vendor").isNull() | (c("rule_vendor") == c("vendor_id")))
-            & (c("min_amount").isNull() | (at >= c("min_amount"))) & (c("max_amount").isNull() | (at <= c("max_amount"))))
-    return documents.join(r, fits).groupBy("invoice_id", "field_name").agg(
+    """(invoice_id, field_name, name): applicable rule with the lowest priority number.
+
+    A vendor's rules are met by (tenant, vendor), the others by tenant.
+    """
+    named = rules.withColumnRenamed("vendor_id", "rule_vendor").withColumnRenamed("tenant_id", "rule_tenant")
+    ours = c("tenant_id") == c("rule_tenant")
+    own = documents.join(named.filter("rule_vendor is not null"), ours & (c("vendor_id") == c("rule_vendor")))
+    general = documents.join(named.filter("rule_vendor is null"), ours)
+    fits = (c("min_amount").isNull() | (at >= c("min_amount"))) & (c("max_amount").isNull() | (at <= c("max_amount")))
+    return own.unionByName(general).filter(fits).groupBy("invoice_id", "field_name").agg(
         F.min(F.struct("priority", "name")).getField("name").alias("rule_name"))

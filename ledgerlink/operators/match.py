@@ -368,18 +368,21 @@ def band_exceptions(results: DataFrame, as_of: Column) -> DataFrame:
 def effective_tolerances(documents: DataFrame, tolerances: DataFrame, kind: str) -> DataFrame:
     """Per document the active tolerance of a kind: vendor-specific first, then priority.
 
-    Rules are a small configuration table; they travel as one array per tenant, so documents
-    are not shuffled.
+    A vendor's rules meet its documents by (tenant, vendor), the general ones by tenant; an array
+    holds the rules of one kind for one vendor, or for a whole tenant. Whether a side is small
+    enough to broadcast is left to Spark's own statistics.
     """
-    rules = tolerances.filter(c("is_active") & (c("tolerance_type") == kind)).groupBy(c("tenant_id").alias("rule_tenant")).agg(
-        F.collect_list(F.struct("vendor_id", "amount_threshold", "priority", "percentage_tolerance", "absolute_tolerance")).alias("rules"))
-    met = documents.join(F.broadcast(rules), c("tenant_id") == c("rule_tenant"), "left")
-    ours = c("vendor_id").cast("bigint")
-    fit = F.filter("rules", lambda r: F.coalesce(r["vendor_id"].cast("bigint") == ours, r["vendor_id"].isNull())
-                   & F.coalesce(c("total_amount") >= r["amount_threshold"], r["amount_threshold"].isNull()))
+    active = tolerances.filter(c("is_active") & (c("tolerance_type") == kind))
+    rule = F.struct("vendor_id", "amount_threshold", "priority", "percentage_tolerance", "absolute_tolerance")
+    general = active.filter("vendor_id is null").groupBy(c("tenant_id").alias("rule_tenant")).agg(F.collect_list(rule).alias("rules"))
+    own = active.filter("vendor_id is not null").groupBy(c("tenant_id").alias("own_tenant"), c("vendor_id").cast("bigint").alias("own_vendor")).agg(F.collect_list(rule).alias("own_rules"))
+    met = documents.join(general, c("tenant_id") == c("rule_tenant"), "left").join(
+        own, (c("tenant_id") == c("own_tenant")) & (c("vendor_id").cast("bigint") == c("own_vendor")), "left")
+    every = F.concat(F.coalesce("own_rules", F.array()), F.coalesce("rules", F.array()))
+    fit = F.filter(every, lambda r: F.coalesce(c("total_amount") >= r["amount_threshold"], r["amount_threshold"].isNull()))
     ranked = F.transform(fit, lambda r: F.struct(F.when(r["vendor_id"].isNull(), 1).otherwise(0).alias("general"), (-r["priority"]).alias("order"),
                                                  r["percentage_tolerance"].cast("double").alias("share"), r["absolute_tolerance"].cast("double").alias("absolute")))
-    return met.withColumn("rule", F.array_min(ranked)).drop("rules", "rule_tenant")
+    return met.withColumn("rule", F.array_min(ranked)).drop("rules", "rule_tenant", "own_rules", "own_tenant", "own_vendor")
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
