@@ -86,44 +86,32 @@ def _day_buckets(day: Column) -> Column:
     return F.array_distinct(F.array(F.floor((_day_number(day) - DAYS_BACK) / width), F.floor((_day_number(day) + DAYS_AHEAD) / width)))
 
 
-def nearest_amount(invoices: DataFrame, orders: DataFrame, hot_cell: int = 512) -> DataFrame:
+def nearest_amount(invoices: DataFrame, orders: DataFrame) -> DataFrame:
     """(invoice_id, po_id): same vendor, order date -30/+7 days, total within 10 %, closest total.
 
     Orders collapse to distinct (vendor, date, total) keeping the smallest id, invoices to
-    distinct (vendor, date, total); copies therefore cost nothing. Cells (vendor, 38 days)
-    with few orders are joined and reduced by a map-side combined minimum. Cells above
-    ``hot_cell`` orders are not joined: there each order day is walked in total order and
-    only the neighbour below and above an invoice total is kept, which is linear.
+    distinct (vendor, date, total); copies therefore cost nothing. Nothing is joined pair by pair:
+    an invoice total asks each of its 38 days, and a day's totals, asked and offered, are walked in
+    order, which yields the neighbour below and above. The cost is 38 rows per distinct total,
+    whatever a vendor's share of the table.
     """
     keys = ["tenant_id", "vendor_id"]
-    width = DAYS_BACK + DAYS_AHEAD + 1
     asked = invoices.select(*keys, "invoice_date", "total_amount").distinct()
-    offered = (orders.filter("status <> 'archived'").groupBy(*keys, "po_date", c("total_amount").alias("po_total")).agg(F.min("po_id").alias("po_id"))
-               .withColumn("cell", F.floor(_day_number(c("po_date")) / width)))
-    hot = offered.groupBy(*keys, "cell").agg(F.count("*").alias("size")).filter(c("size") > hot_cell).select(*keys, "cell", F.lit(True).alias("is_hot"))
-    asked_cells = asked.withColumn("cell", F.explode(_day_buckets(c("invoice_date")))).join(hot, [*keys, "cell"], "left")
-    offered = offered.join(hot, [*keys, "cell"], "left")
-    near = (c("po_total") >= c("total_amount") * F.lit("0.9").cast("decimal(2,1)")) & (c("po_total") <= c("total_amount") * F.lit("1.1").cast("decimal(2,1)"))
-    in_days = c("po_date").between(F.date_sub("invoice_date", DAYS_BACK), F.date_add("invoice_date", DAYS_AHEAD))
-    cold_pairs = (asked_cells.filter("is_hot is null").drop("is_hot").join(offered.filter("is_hot is null").drop("is_hot"), [*keys, "cell"])
-                  .filter(in_days & near).select(*keys, "invoice_date", "total_amount", "po_total", "po_id"))
-
+    offered = orders.filter("status <> 'archived'").groupBy(*keys, "po_date", c("total_amount").alias("at")).agg(F.min("po_id").alias("id")).select(
+        *keys, "po_date", "at", F.lit(None).cast("date").alias("invoice_date"), F.struct(c("at").alias("t"), c("id")).alias("o"))
     step = F.explode(F.sequence(F.lit(-DAYS_BACK), F.lit(DAYS_AHEAD))).alias("step")
-    hot_asked = (asked_cells.filter("is_hot").select(*keys, "cell", "invoice_date", "total_amount", step)
-                 .withColumn("po_date", F.date_add("invoice_date", c("step")))
-                 .filter(F.floor(_day_number(c("po_date")) / width) == c("cell"))
-                 .select(*keys, "po_date", c("total_amount").alias("at"), "invoice_date", F.lit(None).cast("struct<t:decimal(15,2),id:bigint>").alias("o")))
-    hot_offered = offered.filter("is_hot").select(
-        *keys, "po_date", c("po_total").alias("at"), F.lit(None).cast("date").alias("invoice_date"),
-        F.struct(c("po_total").alias("t"), c("po_id").alias("id")).alias("o"))
+    days = asked.select(*keys, "invoice_date", "total_amount", step).select(
+        *keys, F.date_add("invoice_date", c("step")).alias("po_date"), c("total_amount").alias("at"), "invoice_date",
+        F.lit(None).cast("struct<t:decimal(15,2),id:bigint>").alias("o"))
     day = W.partitionBy(*keys, "po_date").orderBy("at")
     below = F.last("o", True).over(day.rangeBetween(W.unboundedPreceding, 0))
     above = F.first("o", True).over(day.rangeBetween(0, W.unboundedFollowing))
-    walked = hot_asked.unionByName(hot_offered).withColumn("lo", below).withColumn("hi", above).filter(c("invoice_date").isNotNull())
-    hot_pairs = (walked.select(*keys, "invoice_date", c("at").alias("total_amount"), F.explode(F.array_compact(F.array("lo", "hi"))).alias("o"))
-                 .select(*keys, "invoice_date", "total_amount", c("o.t").alias("po_total"), c("o.id").alias("po_id")).filter(near))
+    walked = days.unionByName(offered).withColumn("lo", below).withColumn("hi", above).filter(c("invoice_date").isNotNull())
+    near = (c("po_total") >= c("total_amount") * F.lit("0.9").cast("decimal(2,1)")) & (c("po_total") <= c("total_amount") * F.lit("1.1").cast("decimal(2,1)"))
+    pairs = (walked.select(*keys, "invoice_date", c("at").alias("total_amount"), F.explode(F.array_compact(F.array("lo", "hi"))).alias("o"))
+             .select(*keys, "invoice_date", "total_amount", c("o.t").alias("po_total"), c("o.id").alias("po_id")).filter(near))
     gap = F.abs(c("po_total") - c("total_amount"))
-    best = cold_pairs.unionByName(hot_pairs).groupBy(*keys, "invoice_date", "total_amount").agg(
+    best = pairs.groupBy(*keys, "invoice_date", "total_amount").agg(
         F.min(F.struct(gap.alias("gap"), c("po_id"))).getField("po_id").alias("po_id"))
     return invoices.select("invoice_id", *keys, "invoice_date", "total_amount").join(
         best, [*keys, "invoice_date", "total_amount"]).select("invoice_id", "po_id")

@@ -32,15 +32,14 @@ def _documents(spark, n=300, vendors_=3, seed=5):
             spark.createDataFrame(po, "tenant_id int, po_id bigint, vendor_id bigint, po_date date, total_amount decimal(15,2), status string"), inv, po)
 
 
-def test_nearest_amount_equals_brute_force_on_both_paths(spark):
+def test_nearest_amount_equals_brute_force(spark):
     inv, po, li, lp = _documents(spark)
     want = {}
     for _, i, v, d, t in li:
         near = [(abs(pt - t), p) for _, p, pv, pd_, pt, _ in lp if pv == v and -30 <= (pd_ - d).days <= 7 and t * Decimal("0.9") <= pt <= t * Decimal("1.1")]
         if near:
             want[i] = min(near)[1]
-    for hot in (10**6, 0, 20):
-        assert dict(candidates.nearest_amount(inv, po, hot).collect()) == want
+    assert dict(candidates.nearest_amount(inv, po).collect()) == want
 
 
 def test_nearest_by_date_equals_brute_force(spark):
