@@ -26,11 +26,13 @@ largest, and its group takes the smallest id there is (null if there is none).
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,7 @@ FREQUENT_SHINGLES = 100_000
 FREQUENT_FROM = 8
 COUNT_CHUNK = 4_000_000
 SHORT_LIST = 2
+PORTIONS = 3
 SETS = "doc_id long, n_shingles long, print1 long, print2 long, text string"
 
 
@@ -158,9 +161,19 @@ def _prefixes(size: int, percent: int, late: np.ndarray):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed on their own: they travel to every set that they are compared with."""
+    compress = zstandard.ZstdCompressor(level=6).compress
+    for batch in batches:
+        texts = [compress((text.as_py() or "").encode()) for text in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("set_no"), pa.array(texts, pa.binary())], ["set_no", "text"])
+
+
 def _sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
-    """Ascending shingle arrays of a column of texts."""
+    """Ascending shingle arrays of a column of compressed texts."""
     out: list[np.ndarray] = []
+    unpack = zstandard.ZstdDecompressor().decompress
+    column = pa.array([unpack(text.as_buffer()) for text in column], pa.binary())
     for _, t in ta.slices(pa.RecordBatch.from_arrays([column], ["text"]), lower=True):
         hashes, doc = shingles(t, size)
         out.extend(np.split(hashes, np.cumsum(np.bincount(doc, minlength=t.docs))[:-1]))
@@ -209,7 +222,7 @@ def linked_pairs(sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     shared = stage(rows.groupBy("shingle", "block").agg(F.min("set_no").alias("low"), F.max("set_no").alias("high")).where("low <> high").select("shingle", "block"), "lists")
     lists = stage(rows.join(shared, ["shingle", "block"], "left_semi"), "list-members")
     members = lists.select("set_no").distinct()
-    texts = stage(sets.select("set_no", "text").join(members, "set_no", "left_semi"), "listed-sets")
+    texts = stage(sets.select("set_no", "text").join(members, "set_no", "left_semi").mapInArrow(_packed, "set_no long, text binary"), "listed-sets")
     links: DataFrame | None = None
     for turn in itertools.count():
         hubs = lists.groupBy("shingle", "block").agg(F.min("set_no").alias("hub"), F.count("*").alias("members"))
@@ -227,9 +240,16 @@ def linked_pairs(sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
             "hub", "hub_n", "set_no", "n").agg(F.min("direct").alias("direct"))
         own = texts.select(F.col("set_no").alias("own"), "text")
         hub_texts = texts.select(F.col("set_no").alias("hub_no"), F.col("text").alias("hub_text"))
-        together = fitting.join(own, F.col("set_no") == F.col("own")).join(hub_texts, F.col("hub") == F.col("hub_no"))
-        compared = stage(together.select("hub", "set_no", "hub_n", "direct", "text", "hub_text").mapInArrow(
-            _compared(size, percent), "hub long, set_no long, hub_n int, cost long, near boolean, diffs array<long>"), "compared")
+        # Texts meet in a few portions of the pairs, one after another, so that only one portion's
+        # shuffle is on disk at a time.
+        fitting = stage(fitting, "pairs")
+        portions = []
+        for portion in range(PORTIONS if turn == 0 else 1):
+            own_part = fitting.where(F.pmod(F.xxhash64("hub"), F.lit(PORTIONS)) == portion) if turn == 0 else fitting
+            together = own_part.join(own, F.col("set_no") == F.col("own")).join(hub_texts, F.col("hub") == F.col("hub_no"))
+            portions.append(stage(together.select("hub", "set_no", "hub_n", "direct", "text", "hub_text").mapInArrow(
+                _compared(size, percent), "hub long, set_no long, hub_n int, cost long, near boolean, diffs array<long>"), "compared"))
+        compared = functools.reduce(DataFrame.union, portions)
         linked = F.col("cost") <= F.col("hub_n") * (100 - percent)
         found = compared.where(linked).select(F.col("hub").alias("a"), F.col("set_no").alias("b"))
         # Answers of unlinked members derived from the hub's.
