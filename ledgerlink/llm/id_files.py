@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.tables import filesystem, stage
+from ledgerlink.llm.tables import filesystem, lowest_hashes, stage
 from ledgerlink.session import scratch_path
 
 END_ID = 1
@@ -94,8 +94,7 @@ def sample_dictionary(docs: DataFrame, path: str) -> bytes:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"ids": pa.array(map(encoder(path), batch.column("text").to_pylist()), pa.binary())})
 
-    short = docs.where(F.length("text") <= SAMPLE_CHARS)
-    picked = short.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text")
+    picked = lowest_hashes(docs.where(F.length("text") <= SAMPLE_CHARS), SAMPLE_DOCS, "ids", "doc_id", "text").select("text")
     samples = sorted(bytes(r["ids"]) for r in picked.mapInArrow(run, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()

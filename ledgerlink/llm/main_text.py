@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlink.llm import boosting, dom
+from ledgerlink.llm.tables import lowest_hashes
 
 SAMPLE_PAGES = 250
 SAMPLE_CHARS = 60_000
@@ -277,8 +278,7 @@ def extract(sources: list[str | None], model: boosting.Boosted | None) -> list[s
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url and main text per row of ``pages`` (page_id, url, html)."""
     own = pages.select("page_id", "url", "html")
-    short = own.where(F.length("html") <= SAMPLE_CHARS)
-    rows = short.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(SAMPLE_PAGES).select("html").collect()
+    rows = lowest_hashes(own.where(F.length("html") <= SAMPLE_CHARS), SAMPLE_PAGES, "pages", "page_id", "html").select("html").collect()
     model = pages.sparkSession.sparkContext.broadcast(train([r["html"] for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlink.llm.components import components
-from ledgerlink.llm.tables import stage
+from ledgerlink.llm.tables import lowest_hashes, stage
 
 THRESHOLD = 0.9
 TARGET_RECALL = 0.98
@@ -151,7 +151,7 @@ def block_links(vectors: DataFrame, threshold: float, recall: float) -> DataFram
     """(a, b, links) of ``vectors`` (no, vec, copies), all of one length: a node, a node it reaches,
     and the rows it links with in one block. A pair is looked for from its smaller number."""
     count = vectors.count()
-    rows = vectors.orderBy(F.xxhash64("no", "vec"), "no").limit(SAMPLE).select("vec").toPandas()
+    rows = lowest_hashes(vectors, SAMPLE, "codes", "no").select("vec").toPandas()
     books, visits = _sized(np.array(rows["vec"].tolist(), float), count, threshold, recall)
     kind = dict(vectors.dtypes)["vec"]
     placed = stage(vectors.select("no", "vec", "copies").mapInArrow(

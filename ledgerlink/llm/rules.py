@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlink.llm import text_arrays as ta
-from ledgerlink.llm.tables import stage
+from ledgerlink.llm.tables import lowest_hashes, stage
 
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 SYMBOLS = b"#*$%&|<>"
@@ -191,8 +191,7 @@ def fitted(stats: DataFrame, labels: DataFrame) -> tuple[Forest, float] | None:
     """Forest and rejection threshold from counted documents and ``labels`` (doc_id, quality); None
     if the base rule leaves no document."""
     usable = stats.where(~base_failed())
-    draw = F.xxhash64(F.lit("forest"), "doc_id", "n_words", "word_chars")
-    rows = usable.orderBy(draw, "doc_id").limit(SAMPLE_ROWS).drop("doc_id").collect()
+    rows = lowest_hashes(usable, SAMPLE_ROWS, "forest", "doc_id", "n_words", "word_chars").drop("doc_id").collect()
     if not rows:
         return None
     forest = grow(features(*np.array(rows, float).T))

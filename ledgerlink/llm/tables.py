@@ -35,6 +35,18 @@ def unboxed(df: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
     return df.select([new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
 
 
+def lowest_hashes(df: DataFrame, limit: int, seed: str, *keys: str) -> DataFrame:
+    """A bounded sample: the ``limit`` rows with the lowest hash of ``keys``, ties by the keys.
+
+    Rows whose hash is far above what ``limit`` of them need go first, so the one task that merges
+    the partitions' rows gets a few times ``limit`` rows, not as many per partition.
+    """
+    draw = F.xxhash64(F.lit(seed), *keys)
+    share = min(1.0, 4 * limit / max(1, df.count()))
+    low = F.pmod(draw, F.lit(1 << 30))
+    return df.where(low < int(share * (1 << 30))).orderBy(low, draw, *keys).limit(limit)
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession):
     """Within the block, shuffle files go as soon as the statement that made them ends."""

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlink.llm import text_arrays as ta
+from ledgerlink.llm.tables import lowest_hashes
 
 SAMPLE_TOXIC = 1_500
 SAMPLE_CLEAN = 2_500
@@ -227,9 +228,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
     """Bounded labelled sample: of each kind the ids with the lowest hash, picked before any text
     is read, so the ids are safe to broadcast."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    draw = F.xxhash64(F.lit("toxic"), "doc_id")
-    picked = known.where("toxic = 1").orderBy(draw, "doc_id").limit(SAMPLE_TOXIC).union(
-        known.where("toxic = 0").orderBy(draw, "doc_id").limit(SAMPLE_CLEAN))
+    picked = lowest_hashes(known.where("toxic = 1"), SAMPLE_TOXIC, "toxic", "doc_id").union(
+        lowest_hashes(known.where("toxic = 0"), SAMPLE_CLEAN, "toxic", "doc_id"))
     short = docs.where(F.length("text") <= SAMPLE_CHARS)
     rows = short.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
     return rows["text"].tolist(), rows["toxic"].to_numpy(np.int64)
