@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from ledgerlink.llm.tables import drop_part, filesystem, part_of, stage
 from ledgerlink.session import scratch_path
 
-BLOCK_CHARS = 12 << 20
-BLOCK_WORDS = 600_000
+BLOCK_CHARS = 10 << 20
+BLOCK_WORDS = 400_000
 BUCKETS_PER_PARTITION = 8
 # Texts of a block: ids of the documents, pre-tokens of each, file with the codes of all. Words of
 # a block that fall into a bucket: their bytes, lengths and codes.

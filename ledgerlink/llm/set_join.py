@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ledgerlink.llm import text_arrays as ta
 from ledgerlink.llm.components import components
-from ledgerlink.llm.tables import stage
+from ledgerlink.llm.tables import discard, stage
 
 SHINGLE = 3
 PERCENT = 90
@@ -267,8 +267,10 @@ def linked_pairs(sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
         far = rest.where(~F.coalesce("near", F.lit(False))).select("shingle", "block").distinct()
         open_lists = rest.select("shingle", "block", "set_no", "n", "at").join(far, ["shingle", "block"], "left_semi")
         several = open_lists.groupBy("shingle", "block").agg(F.count("*").alias("members")).where("members > 1").select("shingle", "block")
-        lists = stage(open_lists.join(several, ["shingle", "block"], "left_semi"), "list-members")
+        done, lists = lists, stage(open_lists.join(several, ["shingle", "block"], "left_semi"), "list-members")
+        discard(done, met, fitting, *portions)
         if lists.isEmpty():
+            discard(texts, shared)
             return links
 
 
@@ -283,6 +285,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     rooted = sets.select("set_no", "print1", "print2", "first").join(found, F.col("set_no") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_no"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("lowest"))
     classes = stage(rooted.join(lowest, "root").select("print1", "print2", "lowest"), "set-classes")
+    discard(sets)
     rows = printed.drop("text")
     joined = rows.join(classes, ["print1", "print2"], "left")
     lowest_id = F.when(F.col("lowest") != last, F.col("lowest"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlink.llm import text_arrays as ta
-from ledgerlink.llm.tables import boxed, stage, unboxed
+from ledgerlink.llm.tables import boxed, discard, stage, unboxed
 
 WINDOW = 13
 SHORTEST = 7
@@ -143,6 +143,7 @@ def repeated_windows(texts: DataFrame, size: int = WINDOW) -> DataFrame:
             both = windows.groupBy("hash").agg(F.min("text_no").alias("low"), F.max("text_no").alias("high")).where("low <> high").select("hash")
             live = windows.join(both, "hash", "left_semi").select("text_no", "at")
         live = stage(live, "live-windows")
+        discard(windows)
         short = length
     return live
 
@@ -180,7 +181,9 @@ def cut_texts(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     texts = distinct_texts(docs)
     gone = repeated_windows(texts, size).groupBy("text_no").agg(F.collect_list("at").alias("gone"))
     rows = texts.join(gone, "text_no", "left")
-    return stage(rows.mapInArrow(_cut(size), "_key1 long, _key2 long, first long, n_words long, n_removed long, kept_text string, kept_sha256 string"), "cut-texts")
+    cut = stage(rows.mapInArrow(_cut(size), "_key1 long, _key2 long, first long, n_words long, n_removed long, kept_text string, kept_sha256 string"), "cut-texts")
+    discard(texts)
+    return cut
 
 
 def _copy(size: int) -> Column:

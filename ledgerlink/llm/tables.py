@@ -85,6 +85,14 @@ def drop_part(staged: DataFrame, by: str, value: str) -> None:
             return
 
 
+def discard(*staged: DataFrame) -> None:
+    """Remove staged tables that no later step reads."""
+    for df in staged:
+        if files := df.inputFiles():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def filesystem(folder: str) -> tuple[pa.fs.FileSystem, str]:
     """File system and path for a shared folder given as a URI or an absolute path."""
     if urllib.parse.urlparse(folder).scheme:

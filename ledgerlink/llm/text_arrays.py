@@ -146,3 +146,4 @@ def slices(batch: pa.RecordBatch, column: str = "text", lower: bool = False) ->
         own = offsets[row:stop + 1]
         yield batch.slice(row, stop - row), text_slice(data[own[0]:own[-1]], own - own[0], lower)
         row = stop
+    pa.default_memory_pool().release_unused()
