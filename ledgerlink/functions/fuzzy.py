@@ -1,13 +1,16 @@
 """Fuzzy name similarity: subsequence ratios, token ratios, OCR variants.
 
-The only Python that touches rows is ``subsequence_ratio`` and ``best_window_ratio``,
-two Arrow functions meant for candidate pairs; token preparation stays in Spark.
+The only Python that touches rows is ``subsequence_ratio`` and ``best_window_ratio``, two Arrow
+functions meant for candidate pairs, for which token preparation stays in Spark, and
+``best_in_block``, which compares a block of texts with a block of names.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -150,3 +153,126 @@ def ocr_variants(c: Column, limit: int = OCR_MAX_VARIANTS) -> Column:
 
 def composite_rounded(a: Column, b: Column) -> Column:
     return round_half_up(similarity(a, b), 6)
+
+
+# --- best name of a block ---------------------------------------------------------------
+
+_WORD = re.compile("[a-z0-9_]+")
+#: Bins of characters: letters, digits and the underscore one each, then what stands between words.
+_WORD_BINS, _BINS = 37, 64
+_BIN = np.full(128, 38)
+_BIN[[ord(ch) for ch in "abcdefghijklmnopqrstuvwxyz0123456789_ "]] = np.arange(38)
+BLOCK_SCHEMA = "tenant_id int, text string, best_match string, score double"
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Levenshtein distance, one bit per character of ``a``."""
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        where[ch] = where.get(ch, 0) | (1 << i)
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for ch in b:
+        hit = where.get(ch, 0)
+        same = (((hit & up) + up) ^ up) | hit | down
+        more, less = (down | ~(same | up)) & full, same & up
+        distance += bool(more & last) - bool(less & last)
+        more, less = (more << 1) | 1, less << 1
+        up, down = (less | ~(same | more)) & full, more & same & full
+    return distance
+
+
+class _Forms:
+    """Cleaned texts with their sorted words, distinct words, lengths and characters per bin."""
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+        words = [_WORD.findall(k) for k in keys]
+        self.ordered = [" ".join(sorted(w)) for w in words]
+        self.distinct = [sorted(set(w)) for w in words]
+        self.length = np.array([len(k) for k in keys])
+        self.ordered_length = np.array([len(x) for x in self.ordered])
+        self.gaps = np.array([max(0, len(w) - 1) for w in words])
+        self.distinct_length = np.array([len(" ".join(w)) for w in self.distinct])
+        self.bins = np.zeros((len(keys), _BINS), np.int16 if self.length.max(initial=0) < 1 << 15 else np.int32)
+        for i, k in enumerate(keys):
+            codes = np.frombuffer(k.encode("utf-32-le", "surrogatepass"), np.uint32)
+            at = np.where(codes < 128, _BIN[np.minimum(codes, 127)], 39 + codes % 25)
+            self.bins[i] = np.bincount(at, minlength=_BINS)
+
+
+def _most(a: _Forms, i: int, b: _Forms, holders: dict[str, np.ndarray]) -> np.ndarray:
+    """What the composite similarity of text ``i`` and each name can be at most.
+
+    An edit keeps at most the characters common to both, and so does a subsequence; words in
+    common count with their exact length. Percentages are rounded, by half of one at most.
+    """
+    both = np.minimum(a.bins[i], b.bins)
+    in_words = both[:, :_WORD_BINS].sum(1, dtype=np.int64)
+    edit = (in_words + both[:, _WORD_BINS:].sum(1, dtype=np.int64)) / np.maximum(1, np.maximum(a.length[i], b.length))
+    kept = in_words + np.minimum(a.gaps[i], b.gaps)
+
+    def ratio(common: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        common = np.minimum(common, np.minimum(x, y))
+        return np.where(x + y > 0, 2 * common / np.maximum(1, x + y) + 0.005, 1.0)
+
+    shared = np.zeros(len(b.keys), np.int64)
+    for w in a.distinct[i]:
+        shared[holders.get(w, [])] += len(w) + 1
+    shared = np.maximum(0, shared - 1)
+    left, right = a.distinct_length[i], b.distinct_length
+    words = np.maximum(ratio(kept, left, right), np.maximum(ratio(shared, shared, left), ratio(shared, shared, right)))
+    return edit * 0.3 + ratio(kept, a.ordered_length[i], b.ordered_length) * 0.4 + words * 0.3
+
+
+def _composite(a: _Forms, i: int, b: _Forms, j: int) -> float:
+    """``similarity`` of two cleaned texts."""
+    x, y = a.keys[i], b.keys[j]
+    if x == y:
+        return 1.0
+    edit = 1.0 - float(edit_distance(x, y)) / max(len(x), len(y))
+    p, q = a.distinct[i], b.distinct[j]
+    words = 0
+    if p and q:
+        common = [w for w in p if w in q]
+        shared = " ".join(common)
+        left = " ".join(common + [w for w in p if w not in q])
+        right = " ".join(common + [w for w in q if w not in p])
+        words = max(percent_ratio(shared, left), percent_ratio(shared, right), percent_ratio(left, right))
+    return edit * 0.3 + percent_ratio(a.ordered[i], b.ordered[j]) / 100.0 * 0.4 + words / 100.0 * 0.3
+
+
+def best_in_block(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+    """Closest of the ``stored`` names (candidate, key) to each of the ``asked`` texts (tenant_id,
+    text, keys of its variants) by composite similarity, the smallest name among equals. Texts to
+    which no name is similar at all have no row.
+
+    Pairs are scored from the highest bound down, until no bound reaches the best score.
+    """
+    out = []
+    if len(asked) and len(stored):
+        names = stored["candidate"].tolist()
+        b = _Forms(stored["key"].tolist())
+        holders: dict[str, list[int]] = {}
+        for j, words in enumerate(b.distinct):
+            for w in words:
+                holders.setdefault(w, []).append(j)
+        at = {w: np.array(js) for w, js in holders.items()}
+        for tenant, text, keys in zip(asked["tenant_id"], asked["text"], asked["keys"]):
+            a = _Forms(list(keys))
+            most = np.concatenate([_most(a, i, b, at) for i in range(len(a.keys))])
+            n, best, name = len(names), 0.0, None
+            first = int(most.argmax())
+            least = _composite(a, first // n, b, first % n) - 1e-9
+            reach = np.flatnonzero(most >= least)
+            for k in reach[np.argsort(-most[reach])]:
+                if most[k] < best - 1e-9:
+                    break
+                score = _composite(a, k // n, b, k % n)
+                if score > best or (score == best and score > 0 and names[k % n] < name):
+                    best, name = score, names[k % n]
+            if name is not None:
+                out.append((tenant, text, name, best))
+    return pd.DataFrame(out, columns=["tenant_id", "text", "best_match", "score"])

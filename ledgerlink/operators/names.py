@@ -166,28 +166,40 @@ def tfidf_match(pairs: DataFrame, corpus: DataFrame, features: int | None = None
 # --- best vendor for a scanned name -------------------------------------------------------
 
 
-def best_vendor(texts: DataFrame, vendors: DataFrame) -> DataFrame:
+def best_vendor(texts: DataFrame, vendors: DataFrame, asked_block: int = 256, stored_block: int = 2048) -> DataFrame:
     """(tenant_id, text, best_match, score): closest stored name over the text's OCR variants.
 
     A variant equal to a stored name scores 1.0, which nothing can beat, so those texts are
-    settled by a hash join. Only the rest is compared, over distinct names sharing a word or
-    a run of digits or letters with the text.
+    settled by a hash join. The rest meets every stored name of its tenant, block by block:
+    each pair is bounded by the characters and words it shares, and only pairs whose bound
+    reaches the best score so far are scored. Where nothing scores, the match is empty with 0.
     """
     from ledgerlink.functions import fuzzy
 
-    asked = texts.filter(c("text").isNotNull() & (c("text") != "")).distinct()
-    stored = vendors.select("tenant_id", c("name").alias("candidate")).distinct().withColumn("key", F.lower(F.trim("candidate")))
-    variants = asked.select("tenant_id", "text", F.explode(fuzzy.ocr_variants(c("text"))).alias("variant")).withColumn("key", F.lower(F.trim("variant")))
+    asked = texts.select("tenant_id", "text").distinct()
+    stored = (vendors.filter(c("name").isNotNull() & (c("name") != "")).select("tenant_id", c("name").alias("candidate")).distinct()
+              .withColumn("key", F.lower(F.trim("candidate"))))
+    variants = asked.filter(c("text").isNotNull() & (c("text") != "")).select(
+        "tenant_id", "text", F.explode(fuzzy.ocr_variants(c("text"))).alias("variant")).withColumn("key", F.lower(F.trim("variant")))
     settled = variants.join(stored, ["tenant_id", "key"]).groupBy("tenant_id", "text").agg(F.min("candidate").alias("best_match")).withColumn("score", F.lit(1.0))
-    rest = variants.join(settled, ["tenant_id", "text"], "left_anti").select("tenant_id", "text", "variant", "key").dropDuplicates(["tenant_id", "text", "key"])
-
-    def blocks(x: Column) -> Column:
-        runs = F.regexp_extract_all(F.lower(x), F.lit("([0-9]+|[a-z]+)"), 1)
-        return F.explode(F.array_distinct(runs)).alias("block")
-
-    met = (rest.select("*", blocks(c("variant"))).join(stored.select("tenant_id", "candidate", blocks(c("candidate"))), ["tenant_id", "block"])
-           .select("tenant_id", "text", "variant", "candidate").distinct())
-    sims = met.select("variant", "candidate").distinct().withColumn("score", fuzzy.similarity(c("variant"), c("candidate")))
-    best = met.join(sims, ["variant", "candidate"]).groupBy("tenant_id", "text").agg(
-        F.min(F.struct((-c("score")).alias("k"), c("candidate"))).alias("b")).select("tenant_id", "text", c("b.candidate").alias("best_match"), round_half_up(-c("b.k"), 6).alias("score"))
-    return settled.unionByName(best)
+    rest = variants.join(settled, ["tenant_id", "text"], "left_anti").groupBy("tenant_id", "text").agg(F.collect_set("key").alias("keys"))
+
+    def blocks(rows: DataFrame, of: int, name: str) -> DataFrame:
+        return rows.groupBy("tenant_id").agg(F.ceil(F.count("*") / of).alias(name))
+
+    def dealt(rows: DataFrame, text: str, own: str, other: str) -> DataFrame:
+        return (rows.join(counts, "tenant_id").withColumn(own, F.pmod(F.xxhash64(text), c(f"{own}s")))
+                .withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), c(f"{other}s") - 1))).drop(f"{own}s", f"{other}s"))
+
+    counts = blocks(rest, asked_block, "asked_blocks").join(blocks(stored, stored_block, "stored_blocks"), "tenant_id")
+    keys = ["tenant_id", "asked_block", "stored_block"]
+    # The number is given so that adaptive execution does not merge these small but long tasks.
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = dealt(rest, "text", "asked_block", "stored_block").repartition(tasks, *keys)
+    right = dealt(stored, "candidate", "stored_block", "asked_block").repartition(tasks, *keys)
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(fuzzy.best_in_block, fuzzy.BLOCK_SCHEMA)
+    best = met.groupBy("tenant_id", "text").agg(F.min(F.struct((-c("score")).alias("k"), c("best_match"))).alias("b")).select(
+        "tenant_id", "text", c("b.best_match").alias("best_match"), round_half_up(-c("b.k"), 6).alias("score"))
+    found = settled.unionByName(best).select(c("tenant_id").alias("tenant"), c("text").alias("found"), "best_match", "score")
+    return asked.join(found, c("tenant_id").eqNullSafe(c("tenant")) & (c("text") == c("found")), "left").select(
+        "tenant_id", "text", F.coalesce("best_match", F.lit("")).alias("best_match"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -227,3 +227,23 @@ def test_permission_checks_join_the_requests_that_exist(spark):
     users = spark.createDataFrame([(1,), (2,)], "user_id long")
     got = {tuple(r) for r in security.check_permissions(users, requests, held).collect()}
     assert got == {(1, "invoice", "read", True), (1, "invoice", "write", False), (2, "po", "read", True)}
+
+
+def test_best_vendor_equals_all_pairs(spark):
+    rnd = random.Random(6)
+    stored = ["Microsoft", "Acme Tools Inc", "Tools & More", "Ромашка", "Рассвет", "株式会社", "zz__", "Acme_Trading"]
+    stored += ["".join(rnd.choice("abc01 ") for _ in range(rnd.randrange(1, 9))) for _ in range(40)]
+    asked = ["Micr0s0ft", "microsft", "Ромашко", "Acne Tool", "Tols", "___", " ", "5UPPLY 80B", "Acme Tools Inc", "株式"]
+    asked += ["".join(rnd.choice("abc01 ") for _ in range(rnd.randrange(1, 9))) for _ in range(30)]
+    texts = spark.createDataFrame([(0, t) for t in asked] + [(1, "alone"), (0, ""), (0, None), (2, "xyz")], "tenant_id int, text string")
+    held = spark.createDataFrame([(0, s) for s in stored] + [(2, "qu"), (0, ""), (0, None)], "tenant_id int, name string")
+    pairs = texts.filter("text <> ''").distinct().withColumn("variant", F.explode(fuzzy.ocr_variants(c("text")))).join(held.filter("name <> ''"), "tenant_id")
+    scored = pairs.withColumn("k", -fuzzy.similarity(c("variant"), c("name"))).filter("k < 0").groupBy("tenant_id", "text").agg(F.min(F.struct("k", "name")).alias("b"))
+    want = {(r[0], r[1]): (r[2][1], -r[2][0]) for r in scored.collect()}
+    for sizes in ((256, 2048), (7, 5)):
+        got = {(r[0], r[1]): (r[2], r[3]) for r in names.best_vendor(texts, held, *sizes).collect()}
+        assert set(got) == {(r[0], r[1]) for r in texts.collect()}
+        for key, (match_, score) in got.items():
+            name, full = want.get(key, ("", 0.0))
+            assert match_ == name and abs(score - full) < 1e-6, key
+    assert got[(0, "Micr0s0ft")][0] == "Microsoft" and got[(0, "Ромашко")][0] == "Ромашка" and got[(1, "alone")] == ("", 0.0)
