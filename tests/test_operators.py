@@ -247,3 +247,22 @@ def test_best_vendor_equals_all_pairs(spark):
             name, full = want.get(key, ("", 0.0))
             assert match_ == name and abs(score - full) < 1e-6, key
     assert got[(0, "Micr0s0ft")][0] == "Microsoft" and got[(0, "Ромашко")][0] == "Ромашка" and got[(1, "alone")] == ("", 0.0)
+
+
+def _metrics(total, decisions):
+    mean = sum(r.confidence for r in decisions) / len(decisions)
+    kinds = Counter(r.match_type for r in decisions)
+    return (total, kinds["exact"], kinds["fuzzy"], total - len(decisions), sum(r.auto_approved for r in decisions),
+            sum(r.requires_review for r in decisions)), mean
+
+
+def test_batch_metrics_count_both_tiers(spark, entities, sf_dir):
+    decisions = match.two_way_run(entities.invoices, entities.purchase_orders, entities.vendors).collect()
+    want, mean = _metrics(entities.invoices.count(), decisions)
+    got = QUERIES["a08_batch_metrics"].run(spark, sf_dir).collect()[0]
+    assert tuple(got)[:6] == want and want[2] > 0 and abs(got.average_confidence - mean) < 1e-4
+    run = QUERIES["r08_two_way_run"].run(spark, sf_dir)
+    left = entities.invoices.join(entities.match_results.filter("approval_status <> 'rejected'").select("invoice_id"), "invoice_id", "left_anti")
+    want, mean = _metrics(left.count(), run.collect())
+    got = match.batch_metrics(left, run).collect()[0]
+    assert tuple(got)[:6] == want and abs(got.average_confidence - mean) < 1e-4
