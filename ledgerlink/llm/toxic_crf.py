@@ -10,8 +10,9 @@ Scoring runs forward and backward over every whole text. Words with a marginal o
 form the offending spans; the highest log-odds and the expected number of toxic words give the
 document's score through a logistic fit on the same labelled sample.
 
-The sample holds at most ``SAMPLE_TOXIC`` + ``SAMPLE_CLEAN`` labelled documents of at most
-``SAMPLE_CHARS`` characters. Null and empty texts have no words and get the score of that. Rows
+The sample holds at most ``SAMPLE_TOXIC`` + ``SAMPLE_CLEAN`` labelled documents. Of a text of more than
+``SAMPLE_CHARS`` characters it holds ``PIECES`` pieces of ``PIECE_CHARS`` characters, drawn by hash from
+the whole text, so length does not decide whether a label is learned from. Null and empty texts have no words and get the score of that. Rows
 with equal ids are scored one by one. Without labels of both kinds every score is the share of
 toxic labels (0 without labels).
 """
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlink.llm import text_arrays as ta
@@ -32,6 +33,8 @@ from ledgerlink.llm.tables import lowest_hashes
 SAMPLE_TOXIC = 1_500
 SAMPLE_CLEAN = 2_500
 SAMPLE_CHARS = 6_000
+PIECES = 8
+PIECE_CHARS = 500
 TABLE_BITS = 18
 BEGINNINGS = (3, 4, 5, 6)
 MIN_DOCS = 4
@@ -224,14 +227,23 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     return Model(model.own, model.left, model.right, model.moves, fit_logistic(x, toxic.astype(float)))
 
 
+def excerpt(text: Column, doc_id: Column) -> Column:
+    """The text, or of a long one the drawn pieces in their order, without words cut at their ends."""
+    numbers = F.sequence(F.lit(0), F.ceil(F.length(text) / PIECE_CHARS).cast("int") - 1)
+    drawn = F.slice(F.array_sort(F.transform(numbers, lambda i: F.struct(F.xxhash64(doc_id, i).alias("draw"), i.alias("i")))), 1, PIECES)
+    pieces = F.transform(F.array_sort(drawn["i"]), lambda i: F.regexp_replace(
+        F.substr(text, i * PIECE_CHARS + 1, F.lit(PIECE_CHARS)), r"^\S+\s|\s\S+$", ""))
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.array_join(pieces, "\n"))
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
     """Bounded labelled sample: of each kind the ids with the lowest hash, picked before any text
     is read, so the ids are safe to broadcast."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = lowest_hashes(known.where("toxic = 1"), SAMPLE_TOXIC, "toxic", "doc_id").union(
         lowest_hashes(known.where("toxic = 0"), SAMPLE_CLEAN, "toxic", "doc_id"))
-    short = docs.where(F.length("text") <= SAMPLE_CHARS)
-    rows = short.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
+    found = docs.where("text is not null").join(F.broadcast(picked), "doc_id")
+    rows = found.select("doc_id", excerpt(F.col("text"), F.col("doc_id")).alias("text"), "toxic").toPandas().sort_values(["doc_id", "text"])
     return rows["text"].tolist(), rows["toxic"].to_numpy(np.int64)
 
 

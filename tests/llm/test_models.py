@@ -50,6 +50,27 @@ def test_marginals_against_enumeration():
         assert np.allclose(found[start:start + n], np.log(totals[:, 1] / totals[:, 0]))
 
 
+def test_long_toxic_documents_are_learned_from(spark):
+    rng = random.Random(4)
+
+    def text(toxic):
+        words = [f"plain{rng.randrange(300)}" for _ in range(1_500)]
+        for at in range(20 if toxic else 1_500, 1_500, 40):
+            words[at] = "vileword"
+        return " ".join(words)
+
+    rows = [(i, text(i % 2), i % 2) for i in range(60)]
+    assert min(len(t) for _, t, _ in rows) > toxic_crf.SAMPLE_CHARS
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] < 40], "doc_id long, toxic int")
+    texts, toxic = toxic_crf.sample(docs, labels)
+    assert sorted(toxic.tolist()) == [0] * 20 + [1] * 20 and max(map(len, texts)) <= toxic_crf.SAMPLE_CHARS
+    got = {r.doc_id: r for r in toxic_crf.scored(docs, labels).collect()}
+    for i, whole, label in rows:
+        assert (got[i].score > 0.5) == bool(label), i
+        assert {whole[s.start:s.end] for s in got[i].spans} == ({"vileword"} if label else set()), i
+
+
 def test_held_out_toxicity(spark, sf_dir):
     """The smallest tables hold a handful of toxic labels, so this one reads larger ones."""
     folder = sf_dir.replace("sf0.001", "sf0.1")
