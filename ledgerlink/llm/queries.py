@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlink.llm import byte_bpe, id_files, main_text, mixing, multi_index, rules, set_join, substrings, toxic_crf, warc
+from ledgerlink.llm import (
+    byte_bpe, collocations, id_files, infilling, main_text, mixing, multi_index, rules, set_join, sharding, substrings, toxic_crf, warc,
+)
 from ledgerlink.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +164,104 @@ def op3_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = main_text.extracted(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@_query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infilling.infilled(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "fim.*")
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infilling.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+
+
+# The units are a list; parts are slices of it. The restored text is the text.
+ORACLE_SQL["op11_fill_in_middle"] = r"""
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+        list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(sha256('1:' || coalesce(doc_id::VARCHAR, 'null')), k, 8))::BIGINT) AS h
+    FROM documents
+), formed AS (
+    SELECT *, len(units)::BIGINT AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+             WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM drawn
+), cut AS (
+    SELECT doc_id, text, n, form, coalesce(array_to_string(units[1:a], ''), '') AS p, coalesce(array_to_string(units[a + 1:b], ''), '') AS m,
+        coalesce(array_to_string(units[b + 1:], ''), '') AS s
+    FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+    sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM cut
+"""
+
+SHARDS = 40
+
+
+@_query
+def op12_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forty shards of equal weight; ``grown_shard`` is the shard among forty-one."""
+    placed = sharding.sharded(table(spark, sf_dir, "documents", "doc_id", "text"), [1.0] * SHARDS)
+    return placed.select("doc.doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+# The checksum walks the bytes of each text with the usual table, made here from its polynomial.
+ORACLE_SQL["op12_rendezvous_shards"] = r"""
+WITH entries AS (
+    SELECT list(e ORDER BY b) AS entries FROM (
+        SELECT b, list_reduce(list_prepend(b, range(0, 8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS e FROM range(0, 256) t(b))
+), shards AS (
+    SELECT i, (1 + ('0x' || substr(md5('shard:' || i), 1, 8))::BIGINT % 536870912) AS a, (1 + ('0x' || substr(md5('shard:' || i), 9, 8))::BIGINT % 536870912) AS b,
+        (1 + ('0x' || substr(md5('shard:' || i), 17, 8))::BIGINT % 536870912) AS c
+    FROM range(0, 41) t(i)
+), keys AS (
+    SELECT DISTINCT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT AS x, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 9, 8))::BIGINT AS y
+    FROM documents
+), scores AS (
+    SELECT doc_id, i, -ln(((x * a + y * b + c) % 2147483647 + 0.5e0) / 2147483647e0) AS score FROM keys, shards
+), won AS (
+    SELECT doc_id, arg_min(i, score) FILTER (WHERE i < 40)::INTEGER AS shard, arg_min(i, score)::INTEGER AS grown_shard FROM scores GROUP BY doc_id
+), sized AS (
+    SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size,
+        xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+            lambda c, b: xor(c >> 8, entries[xor(c & 255, b) + 1])), 4294967295)::BIGINT AS text_crc32
+    FROM documents, entries
+)
+SELECT s.doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY s.doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM sized s JOIN won w ON w.doc_id IS NOT DISTINCT FROM s.doc_id
+"""
+
+
+@_query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+# Every window of every piece is listed and counted; cuts look their parts up in the counts.
+ORACLE_SQL["op13_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), split AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), totals AS (
+    SELECT lang, sum(len(words))::BIGINT AS n FROM split GROUP BY lang
+), counts AS (
+    SELECT lang, words[i:i + m - 1] AS phrase, count(*)::BIGINT AS f FROM split, range(1, 6) lengths(m), range(1, len(words) - m + 2) starts(i) GROUP BY ALL HAVING count(*) >= 100
+), inner_parts AS (
+    SELECT lang, phrase[1:len(phrase) - 1] AS part, f FROM counts WHERE len(phrase) > 2 UNION ALL SELECT lang, phrase[2:], f FROM counts WHERE len(phrase) > 2
+), kept AS (
+    SELECT * FROM counts c WHERE len(phrase) > 1 AND NOT EXISTS (SELECT 1 FROM inner_parts p WHERE p.lang = c.lang AND p.part = c.phrase AND p.f >= c.f)
+), cuts AS (
+    SELECT kept.lang, kept.phrase, kept.f AS a, k, l.f AS l, r.f AS r, t.n, (1000::HUGEINT * kept.f * t.n // (l.f::HUGEINT * r.f))::BIGINT AS score
+    FROM kept, range(1, 5) cut(k), counts l, counts r, totals t
+    WHERE k < len(kept.phrase) AND l.lang = kept.lang AND l.phrase = kept.phrase[1:k] AND r.lang = kept.lang AND r.phrase = kept.phrase[k + 1:] AND t.lang = kept.lang
+), worst AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+    SELECT *, array_to_string(phrase, ' ') AS text FROM worst
+)
+SELECT lang, rank, text AS phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, text) AS rank FROM ranked) WHERE rank <= 2000
+"""

@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_substring_dedup": {"doc_id", "n_words", "n_removed", "kept_sha256"},
     "op9_main_text": {"page_id", "url", "text", "n_chars"},
     "op10_multi_index": {"vec_id", "n_links", "component_id", "kept"},
+    "op11_fill_in_middle": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"},
+    "op12_rendezvous_shards": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
+    "op13_collocations": {"lang", "rank", "phrase", "a", "l", "r", "n", "score"},
 }
 LONG = " ".join(f"w{i}" for i in range(30_000))
 DOCS = [(1, "same text here", None, "s", 1), (1, "same text here", None, "s", 1), (2, None, "en", None, 0), (3, "", "en", "s", 0), (None, "no id at all", "en", "t", 3),
@@ -55,7 +58,7 @@ def test_equals_statement(spark, duck, sf_dir, name):
     assert compare.differences(spark, duck, query, sf_dir) == []
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op13_collocations"}))
 def test_one_row_per_row(spark, sf_dir, hard, name):
     for path in (sf_dir, hard):
         found = QUERIES[name](spark, path)
