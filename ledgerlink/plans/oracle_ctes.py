@@ -95,6 +95,11 @@ _TWIN_NAME = (
 _USER_MAIL = "CASE WHEN user_id = 1 THEN 'admin@admin.com' ELSE 'user' || user_id || '@t' || user_id % 4 || '.example' END"
 _IP = "'10.0.' || user_id % 4 || '.' || user_id"
 
+_AUDIT_HASH = (
+    "sha256('{\"audit_id\":\"' || audit_id || '\",\"event_type\":\"' || event_type || '\",\"occurred_us\":\"' || occurred_us || '\",\"resource_type\":\"' || resource_type "
+    "|| '\",\"risk_level\":\"' || risk_level || '\",\"tenant_id\":\"' || tenant_id || '\",\"user_id\":\"' || user_id || '\"}')"
+)
+
 ENTITY_SQL: dict[str, str] = {
     **CONFIG_SQL,
     "tenants": "SELECT DISTINCT n_nationkey % 4 AS tenant_id, 'Tenant ' || n_nationkey % 4 AS name FROM nation",
@@ -280,6 +285,25 @@ ENTITY_SQL: dict[str, str] = {
         FROM (SELECT user_id, tenant_id, CAST(user_id % 4 AS INTEGER) AS role_id FROM users
               UNION ALL SELECT user_id, tenant_id, CAST((user_id + 1) % 4 AS INTEGER) FROM users WHERE user_id % 5 = 0) AS granted""",
     "metrics": "SELECT event_id, event_type AS metric, value, ts FROM events",
+    "audit_sealed": f"""
+        SELECT *, lag(record_hash) OVER (PARTITION BY tenant_id ORDER BY occurred_us, audit_id) AS previous_record_hash
+        FROM (SELECT *, {_AUDIT_HASH} AS record_hash FROM (SELECT audit_id, tenant_id, user_id, event_type, risk_level, resource_type, epoch_us(occurred_at) AS occurred_us FROM security_audit))""",
+    "audit_heads": "SELECT tenant_id, max_by(record_hash, (occurred_us, audit_id)) AS head, count(*) AS records FROM audit_sealed GROUP BY tenant_id",
+    "audit_stored": f"""
+        SELECT audit_id, tenant_id, user_id, event_type, risk_level, resource_type, occurred_us, CASE WHEN anew OR moved THEN {_AUDIT_HASH} ELSE record_hash END AS record_hash, previous_record_hash
+        FROM (SELECT audit_id, tenant_id, user_id, resource_type, record_hash, previous_record_hash, anew, moved, CASE WHEN anew THEN 'export' ELSE event_type END AS event_type,
+                     CASE WHEN edited THEN CASE risk_level WHEN 'low' THEN 'medium' ELSE 'low' END ELSE risk_level END AS risk_level,
+                     CASE WHEN moved THEN occurred_us + 43200000000 ELSE occurred_us END AS occurred_us
+              FROM (SELECT *, tenant_id <> 0 AND audit_id % 97 = 5 AS edited, tenant_id <> 0 AND audit_id % 211 = 7 AS anew, tenant_id <> 0 AND audit_id % 307 = 20 AS moved FROM audit_sealed))
+        WHERE NOT (tenant_id <> 0 AND audit_id % 251 = 9) AND NOT (tenant_id = 3 AND occurred_us >= epoch_us(TIMESTAMP '2024-01-30 00:00:00'))""",
+    "external_feed": """
+        SELECT tenant_id, 'X' || invoice_id AS external_id, ['quickbooks', 'xero', 'netsuite'][vendor_id % 3 + 1] AS external_system, invoice_number,
+               CAST(total_amount + version AS DECIMAL(15,2)) AS amount, ['pending', 'approved', 'paid'][version + 1] AS status, version, updated_at,
+               CASE WHEN seen_at < TIMESTAMP '1997-06-01' THEN 1 WHEN seen_at < TIMESTAMP '1998-06-01' THEN 2 ELSE 3 END AS arrival
+        FROM (SELECT *, updated_at + CASE WHEN k % 7 = 0 THEN INTERVAL 10 DAY ELSE INTERVAL 0 DAY END AS seen_at
+              FROM (SELECT *, CAST(invoice_date AS TIMESTAMP) + to_days(CAST(version * 40 AS INTEGER)) + to_hours(CAST(k % 24 AS INTEGER)) AS updated_at
+                    FROM (SELECT *, (invoice_id - 1) // 2 AS k FROM invoices) AS keyed JOIN (SELECT * FROM range(0, 3) AS v(version)) AS versions
+                    ON version < CASE WHEN k % 5 = 0 THEN 3 WHEN k % 3 <> 0 THEN 2 ELSE 1 END))""",
 }
 
 

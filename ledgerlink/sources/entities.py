@@ -17,6 +17,7 @@ from ledgerlink.functions.parse import read_date, read_money
 from ledgerlink.functions.text import (
     blank, duplicate_vendor_name, import_vendor_name, stored_vendor_name,
 )
+from ledgerlink.operators import audit_chain
 from ledgerlink.session import scratch_path
 from ledgerlink.sources.literals import CONFIG_SQL
 
@@ -467,6 +468,71 @@ class Entities:
     def metrics(self) -> DataFrame:
         return self.raw("events").select("event_id", F.col("event_type").alias("metric"), "value", "ts")
 
+    # --- hash-linked audit log ------------------------------------------------------------
+
+    AUDIT_FIELDS = ("audit_id", "tenant_id", "user_id", "event_type", "risk_level", "resource_type", "occurred_us")
+    AUDIT_ORDER = ("occurred_us", "audit_id")
+
+    @staticmethod
+    def audit_block() -> Column:
+        """Days of the log."""
+        return F.floor(F.col("occurred_us") / 86400000000)
+
+    @cached_property
+    def audit_sealed(self) -> DataFrame:
+        """The audit log as it was written: a chain per tenant."""
+        rows = self.security_audit.withColumn("occurred_us", F.unix_micros(F.col("occurred_at").cast("timestamp")))
+        return audit_chain.sealed(rows.select(*self.AUDIT_FIELDS), "tenant_id", self.AUDIT_ORDER, self.audit_block(), self.AUDIT_FIELDS)
+
+    @cached_property
+    def audit_heads(self) -> DataFrame:
+        return audit_chain.heads(self.audit_sealed, "tenant_id", self.AUDIT_ORDER)
+
+    @cached_property
+    def audit_stored(self) -> DataFrame:
+        """The log as found: in tenants 1 to 3, records edited, written anew with a new digest,
+        moved by half a day, and deleted; the last day of tenant 3 is gone."""
+        key = F.col("audit_id")
+        touched = F.col("tenant_id") != 0
+        edited, anew, moved = touched & (key % 97 == 5), touched & (key % 211 == 7), touched & (key % 307 == 20)
+        found = self.audit_sealed.withColumn("risk_level", F.when(edited, F.when(F.col("risk_level") == "low", "medium").otherwise("low")).otherwise(F.col("risk_level")))
+        found = found.withColumn("event_type", F.when(anew, "export").otherwise(F.col("event_type")))
+        found = found.withColumn("occurred_us", F.when(moved, F.col("occurred_us") + 43200000000).otherwise(F.col("occurred_us")))
+        found = found.withColumn("record_hash", F.when(anew | moved, audit_chain.record_hash(self.AUDIT_FIELDS)).otherwise(F.col("record_hash")))
+        last_day = F.unix_micros(F.lit("2024-01-30 00:00:00").cast("timestamp"))
+        return found.filter(~(touched & (key % 251 == 9)) & ~((F.col("tenant_id") == 3) & (F.col("occurred_us") >= last_day)))
+
+    # --- invoices of external systems ------------------------------------------------------
+
+    @cached_property
+    def external_feed(self) -> DataFrame:
+        """Versions of invoices in three external systems, with the run from which each is seen.
+
+        An invoice has one to three versions, 40 days apart. Runs see what was updated before
+        mid-1997 and before mid-1998, and everything; an update of the ten days before a run may
+        arrive one run late.
+        """
+        key = ((F.col("invoice_id") - 1) / 2).cast("bigint")
+        count = F.when(key % 5 == 0, 3).when(key % 3 != 0, 2).otherwise(1)
+        base = self.invoices.select("*", key.alias("k"), F.explode(F.sequence(F.lit(0), count - 1)).alias("version"))
+        at = F.expr("cast(invoice_date as timestamp_ntz) + make_dt_interval(version * 40, cast(k % 24 as int), 0, 0)")
+        rows = base.withColumn("updated_at", at)
+
+        def run(first: str, second: str) -> Column:
+            at = F.col("updated_at")
+            return F.when(at < F.lit(first).cast("timestamp_ntz"), 1).when(at < F.lit(second).cast("timestamp_ntz"), 2).otherwise(3)
+
+        late = F.col("k") % 7 == 0
+        shifted = F.expr("updated_at + interval 10 days")
+        on_time = run("1997-06-01 00:00:00", "1998-06-01 00:00:00")
+        arrival = F.when(late, F.when(shifted >= F.lit("1998-06-01 00:00:00").cast("timestamp_ntz"), 3).when(shifted >= F.lit("1997-06-01 00:00:00").cast("timestamp_ntz"), 2).otherwise(1)).otherwise(on_time)
+        return rows.select(
+            "tenant_id", F.concat(F.lit("X"), "invoice_id").alias("external_id"),
+            F.element_at(F.array(F.lit("quickbooks"), F.lit("xero"), F.lit("netsuite")), (F.col("vendor_id") % 3 + 1).cast("int")).alias("external_system"),
+            "invoice_number", (F.col("total_amount") + F.col("version")).cast(MONEY).alias("amount"),
+            F.element_at(F.array(F.lit("pending"), F.lit("approved"), F.lit("paid")), F.col("version") + 1).alias("status"),
+            "version", "updated_at", arrival.alias("arrival"))
+
 
 # Documents a deployment keeps as tables; the matching runs read them many times.
 STORED = ("vendors", "po_lines", "purchase_orders", "invoices", "invoice_lines", "receipt_lines", "receipts")
