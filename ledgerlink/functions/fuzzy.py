@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import DoubleType, IntegerType
 
 from ledgerlink.functions.numeric import round_half_up
 from ledgerlink.functions.scores import clean, edit_similarity
@@ -82,6 +82,12 @@ def best_window_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairwise(percent_window, a, b)
 
 
+@F.pandas_udf(DoubleType())
+def subsequence_share(a: pd.Series, b: pd.Series) -> pd.Series:
+    """2 * common / total length, without rounding; two empty texts give 0."""
+    return pd.Series([2.0 * common_subsequence(x, y) / (len(x) + len(y)) if x is not None and y is not None and len(x) + len(y) else 0.0 for x, y in zip(a, b)], dtype="float64")
+
+
 def tokens(c: Column) -> Column:
     """Lower-case alphanumeric words of a text."""
     flat = F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9_]+", " "))

@@ -80,3 +80,18 @@ def chain_status(log: DataFrame, broken: DataFrame, known_heads: DataFrame, key:
     return joined.select(
         key, c("records").alias("sealed_records"), "total_records", (c("total_records") - c("tampered")).alias("verified_records"), "tampered", "broken_links", "cut_tails",
         F.when(whole, "VERIFIED_INTACT").otherwise("INTEGRITY_COMPROMISED").alias("verification_status"))
+
+
+# The fields of each table's new values that a change view shows; other tables show all.
+KEY_FIELDS = {"invoices": ("invoice_number", "amount", "status"), "match_results": ("confidence_score", "status")}
+
+
+def change_view(events: DataFrame, users: DataFrame) -> DataFrame:
+    """Change events with the e-mail of who made them and the key fields of the new values, as JSON
+    text."""
+    shown = c("new_values")
+    for table, fields in KEY_FIELDS.items():
+        picked = F.to_json(F.struct(*(F.get_json_object("new_values", f"$.{f}").alias(f) for f in fields)))
+        shown = F.when(c("table_name") == table, picked).otherwise(shown)
+    names = users.select(c("user_id").alias("changed_by"), c("email").alias("changed_by_email"))
+    return events.join(names, "changed_by", "left").withColumn("key_changes", shown)

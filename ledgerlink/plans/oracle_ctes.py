@@ -77,6 +77,17 @@ def sql_numeric_text(expr: str) -> str:
     return f"coalesce(regexp_matches({bare}, '^[+-]?(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?$'), FALSE)"
 
 
+def sql_common(a: str, b: str) -> str:
+    """Length of the longest common subsequence: a row of the table per character of ``a``. Each list
+    item is itself a list, so that the first can be the row before and the rest characters."""
+    row = f"list_transform(range(0, length({b}) + 1), lambda z: 0::BIGINT)"
+    letters = f"list_transform(string_split({a}, ''), lambda z: [unicode(z)::BIGINT])"
+    places = f"list_transform(range(1, length({b}) + 1), lambda z: [z])"
+    step = (f"list_reduce(list_prepend([0::BIGINT], {places}), lambda fresh, spot: list_append(fresh, CASE WHEN unicode(substring({b}, spot[1], 1)) = ch[1] "
+            f"THEN above[spot[1]] + 1 ELSE greatest(fresh[spot[1]], above[spot[1] + 1]) END))")
+    return f"(CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE list_reduce(list_prepend({row}, {letters}), lambda above, ch: {step})[length({b}) + 1] END)"
+
+
 def sql_similarity(a: str, b: str) -> str:
     """1 - distance / longer length, both sides already cleaned."""
     return f"(1.0e0 - CAST(levenshtein({a}, {b}) AS DOUBLE) / greatest(length({a}), length({b})))"
@@ -285,6 +296,21 @@ ENTITY_SQL: dict[str, str] = {
         FROM (SELECT user_id, tenant_id, CAST(user_id % 4 AS INTEGER) AS role_id FROM users
               UNION ALL SELECT user_id, tenant_id, CAST((user_id + 1) % 4 AS INTEGER) FROM users WHERE user_id % 5 = 0) AS granted""",
     "metrics": "SELECT event_id, event_type AS metric, value, ts FROM events",
+    "invoice_vectors": "SELECT invoice_id, embedding AS vec FROM invoices JOIN embeddings ON vec_id = ((invoice_id - 1) // 2) % (SELECT count(*) FROM embeddings)",
+    "order_vectors": "SELECT po_id, embedding AS vec FROM purchase_orders JOIN embeddings ON vec_id = (po_id + 1) % (SELECT count(*) FROM embeddings)",
+    "erasure_requests": """
+        SELECT user_id AS request_id, tenant_id, user_id, password_changed_at - 20 AS received_at,
+               CASE WHEN user_id % 7 < 3 THEN password_changed_at - 20 + CAST(user_id % 7 * 9 AS INTEGER) END AS completed_at
+        FROM users WHERE password_changed_at IS NOT NULL""",
+    "control_tests": """
+        SELECT po_id AS test_id, tenant_id, ['IT-01-01', 'IT-01-02', 'IT-02-01', 'IT-02-02', 'IT-03-01', 'IT-04-01', 'IT-05-01', 'FN-01-01'][(po_id // 50) % 8 + 1] AS control_id, quarter,
+               CAST(quarter + INTERVAL 3 MONTH AS DATE) + CAST(cents % 70 AS INTEGER) AS tested_at,
+               CASE WHEN cents % 6 = 0 THEN 'DEFICIENT' WHEN cents % 11 = 0 THEN 'NOT TESTED' ELSE 'EFFECTIVE' END AS result
+        FROM (SELECT *, CAST(date_trunc('quarter', po_date) AS DATE) AS quarter, CAST(total_amount * 100 AS BIGINT) AS cents FROM purchase_orders WHERE status = 'archived')""",
+    "audit_events": """
+        SELECT match_result_id AS audit_event_id, r.tenant_id, CASE match_result_id % 3 WHEN 0 THEN 'invoices' WHEN 1 THEN 'match_results' ELSE 'vendors' END AS table_name,
+               created_at AS changed_at, user_id + CASE WHEN match_result_id % 3 = 2 THEN 1000000 ELSE 0 END AS changed_by, r.*
+        FROM match_results r JOIN events e ON e.event_id = r.match_result_id""",
     "audit_sealed": f"""
         SELECT *, lag(record_hash) OVER (PARTITION BY tenant_id ORDER BY occurred_us, audit_id) AS previous_record_hash
         FROM (SELECT *, {_AUDIT_HASH} AS record_hash FROM (SELECT audit_id, tenant_id, user_id, event_type, risk_level, resource_type, epoch_us(occurred_at) AS occurred_us FROM security_audit))""",

@@ -533,6 +533,52 @@ class Entities:
             F.element_at(F.array(F.lit("pending"), F.lit("approved"), F.lit("paid")), F.col("version") + 1).alias("status"),
             "version", "updated_at", arrival.alias("arrival"))
 
+    # --- vectors, erasure requests, control tests --------------------------------------------
+
+    def document_vectors(self, documents: DataFrame, key: str, shift: int) -> DataFrame:
+        """(key, vec): the vector whose id is the order number plus ``shift``, modulo the number of
+        vectors (every vector id below it exists)."""
+        vectors = self.raw("embeddings").select("vec_id", F.col("embedding").alias("vec"))
+        number = F.col(key) if key == "po_id" else ((F.col(key) - 1) / 2).cast("bigint")
+        count = vectors.agg(F.count("*").alias("_all"))
+        placed = documents.select(key, number.alias("_k")).join(F.broadcast(count)).select(key, ((F.col("_k") + shift) % F.col("_all")).alias("vec_id"))
+        return placed.join(vectors, "vec_id").drop("vec_id")
+
+    @cached_property
+    def erasure_requests(self) -> DataFrame:
+        """One request per user with a password change, 20 days before it; those of users with
+        ``user_id % 7`` below 3 are completed."""
+        user = F.col("user_id")
+        received = F.date_sub("password_changed_at", 20)
+        return self.users.filter("password_changed_at is not null").select(
+            user.alias("request_id"), "tenant_id", "user_id", received.alias("received_at"), F.when(user % 7 < 3, F.date_add(received, (user % 7 * 9).cast("int"))).alias("completed_at"))
+
+    @cached_property
+    def control_tests(self) -> DataFrame:
+        """A control test per archived order: control by order number, result by its total, tested
+        within 70 days after its quarter."""
+        key = F.col("po_id")
+        controls = ("IT-01-01", "IT-01-02", "IT-02-01", "IT-02-02", "IT-03-01", "IT-04-01", "IT-05-01", "FN-01-01")
+        quarter = F.trunc("po_date", "quarter")
+        cents = (F.col("total_amount") * 100).cast("bigint")
+        return self.purchase_orders.filter("status = 'archived'").select(
+            key.alias("test_id"), "tenant_id", F.element_at(F.array(*map(F.lit, controls)), (F.floor(key / 50) % 8 + 1).cast("int")).alias("control_id"),
+            quarter.alias("quarter"), F.date_add(F.add_months(quarter, 3), (cents % 70).cast("int")).alias("tested_at"),
+            F.when(cents % 6 == 0, "DEFICIENT").when(cents % 11 == 0, "NOT TESTED").otherwise("EFFECTIVE").alias("result"))
+
+    @cached_property
+    def audit_events(self) -> DataFrame:
+        """Change events with the new values as JSON text."""
+        r = self.match_results
+        kind = F.col("match_result_id") % 3
+        invoice = F.to_json(F.struct(F.concat(F.lit("INV-"), "invoice_id").alias("invoice_number"), F.col("overall_confidence").cast("string").alias("amount"), F.col("approval_status").alias("status"), F.lit("x").alias("note")))
+        result = F.to_json(F.struct(F.col("overall_confidence").cast("string").alias("confidence_score"), F.col("match_status").alias("status"), "match_type"))
+        other = F.to_json(F.struct("match_result_id"))
+        return r.join(self.raw("events").select(F.col("event_id").alias("match_result_id"), "user_id"), "match_result_id").select(
+            F.col("match_result_id").alias("audit_event_id"), "tenant_id", F.when(kind == 0, "invoices").when(kind == 1, "match_results").otherwise("vendors").alias("table_name"),
+            F.col("created_at").alias("changed_at"), (F.col("user_id") + F.when(kind == 2, 1000000).otherwise(0)).alias("changed_by"),
+            F.when(kind == 0, invoice).when(kind == 1, result).otherwise(other).alias("new_values"))
+
 
 # Documents a deployment keeps as tables; the matching runs read them many times.
 STORED = ("vendors", "po_lines", "purchase_orders", "invoices", "invoice_lines", "receipt_lines", "receipts")
