@@ -12,8 +12,10 @@ from ledgerlink.plans.match_queries import _J03 as ORDER_CANDIDATES_SQL
 from ledgerlink.plans.oracle_ctes import sql_common, sql_round
 from ledgerlink.plans.registry import query, stored_query
 from ledgerlink.session import scratch_path
+from ledgerlink.sources.arrivals import LATE_SQL, WATERMARK_SQL, event_stream
 from ledgerlink.sources.entities import event_as_of
 from ledgerlink.streaming import anomalies, jobs
+from ledgerlink.streaming.ordered import keyed_state
 
 c = F.col
 
@@ -95,25 +97,13 @@ def _(e):
     return anomalies.event_anomalies(e.raw("events"), F.date_trunc("DAY", c("ts")))
 
 
-def delayed_files(events, folder: str, files: int, parts=range(9)) -> None:
-    """Events as ``files`` files for each five days of arrival, one part after the other. A row
-    arrives up to 80 minutes after its time; one in 211 arrives twelve days later, behind any
-    watermark."""
-    minutes = F.when(c("event_id") % 211 == 3, F.lit(12 * 1440)).otherwise(c("event_id") % 5 * 20)
-    days = F.unix_micros(c("ts").cast("timestamp")) / 60000000 + minutes - 28401120  # minutes since 2024
-    held = events.withColumn("_part", F.floor(days / 7200))
-    for part in parts:
-        held.filter(c("_part") == part).drop("_part").repartition(files).write.mode("append").parquet(folder)
-
-
 @query("x16_event_anomalies_stream", _ANOMALY,
-       f"""SELECT *, score > 0.8 AS flagged FROM ({_SCORED.format(where='WHERE event_id % 211 <> 3')})
-           WHERE event_us <= (SELECT epoch_ms(max(ts)) FROM events WHERE event_id % 211 <> 3) * 1000 - 7200000000""")
+       f"SELECT *, score > 0.8 AS flagged FROM ({_SCORED.format(where=f'WHERE NOT {LATE_SQL}')}) WHERE event_us <= {WATERMARK_SQL.format(120)}")
 def _(e):
-    folder, files = scratch_path(e.spark, "delayed-events"), int(e.spark.conf.get("spark.sql.shuffle.partitions"))
-    delayed_files(e.raw("events").select("event_id", "event_type", "ts", "value"), folder, files)
-    with anomalies.keyed_state(e.spark):
-        return jobs.run_append(anomalies.event_anomalies_stream(jobs.file_stream(e.spark, folder, "*.parquet", files), _DELAY), "anomalies")
+    stream = event_stream(e.raw("events"), ["event_id", "event_type", "ts", "value"])
+    with keyed_state(e.spark):
+        return jobs.run_append(anomalies.event_anomalies_stream(stream, _DELAY), "anomalies")
+
 
 
 # --- X02, X03 name, amount and reference similarity -----------------------------------------------

@@ -1,49 +1,28 @@
 """Anomaly flags on an event stream: each value against the earlier values of its key.
 
-State of a key is the number, sum and sum of squares of its values, in whole cents, and a list of
-rows that wait. Rows are answered in event-time order: one waits until the watermark has passed
-it, and a timer then answers all that are due. So rows out of order by less than the watermark's
-delay give the same answers as rows in order, whatever the micro-batches. Later rows are dropped by
-the engine. A key holds the rows of one delay at most, and memory does not grow with its history.
-
-The score is ``min(1, |z| / 5)`` with z from the values before the row; 0 while these are fewer
-than ``MIN_SEEN`` or all equal. A row with a score above 0.8 is flagged.
+State of a key is the number, sum and sum of squares of its values, in whole cents, so memory does
+not grow with its history. The score is ``min(1, |z| / 5)`` with z from the values before the row;
+0 while these are fewer than ``MIN_SEEN`` or all equal. A row with a score above 0.8 is flagged.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator
-from contextlib import contextmanager
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window as W
 
+from ledgerlink.streaming.ordered import OrderedRule, apply_rule
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 c = F.col
 MIN_SEEN = 10
 FULL_SCORE_AT = 5.0
 FLAG_ABOVE = 0.8
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-ANSWER = "event_id bigint, event_type string, event_us bigint, cents bigint, seen bigint, score double, flagged boolean"
-
-
-@contextmanager
-def keyed_state(spark: SparkSession):
-    """State variables and timers need the RocksDB store; the setting counts when a stream starts."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
-    try:
-        yield
-    finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
 def score_of(cents: int, seen: int, total: int, squares: int) -> float:
@@ -54,49 +33,22 @@ def score_of(cents: int, seen: int, total: int, squares: int) -> float:
     return math.floor(min(1.0, z / FULL_SCORE_AT) * 1e6 + 0.5) / 1e6
 
 
-class AnomalyProcessor(StatefulProcessor):
-    """One key: running figures, waiting rows, and a timer for the first of these."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.figures = handle.getValueState("figures", "seen long, total long, squares long")
-        self.waiting = handle.getListState("waiting", "at long, event_id long, cents long")
-
-    def _wake(self, at: int) -> None:
-        """One timer per key, at the first waiting row."""
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(-(-at // 1000))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = min((r[0] for r in self.waiting.get()), default=None)
-        for batch in rows:
-            new = [(int(a), int(e), int(v)) for a, e, v in zip(batch["event_us"], batch["event_id"], batch["cents"])]
-            self.waiting.appendList(new)
-            low = min(r[0] for r in new)
-            first = low if first is None else min(first, low)
-        self._wake(first)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(r) for r in self.waiting.get()]
-        due, rest = sorted(r for r in waiting if r[0] <= passed), [r for r in waiting if r[0] > passed]
+class AnomalyRule(OrderedRule):
+    row = "at long, event_id long, cents long"
+    output = "event_id bigint, event_type string, event_us bigint, cents bigint, seen bigint, score double, flagged boolean"
+
+    def start(self) -> None:
+        self.figures = self.handle.getValueState("figures", "seen long, total long, squares long")
+
+    def answer(self, key: str, due: list[tuple]) -> list[tuple]:
         seen, total, squares = self.figures.get() if self.figures.exists() else (0, 0, 0)
         out = []
         for at, event_id, cents in due:
             score = score_of(cents, seen, total, squares)
-            out.append((event_id, key[0], at, cents, seen, score, score > FLAG_ABOVE))
+            out.append((event_id, key, at, cents, seen, score, score > FLAG_ABOVE))
             seen, total, squares = seen + 1, total + cents, squares + cents * cents
         self.figures.update((seen, total, squares))
-        self.waiting.clear()
-        if rest:
-            self.waiting.put(rest)
-            self._wake(min(r[0] for r in rest))
-        yield pd.DataFrame(out, columns=["event_id", "event_type", "event_us", "cents", "seen", "score", "flagged"])
-
-    def close(self) -> None:
-        pass
+        return out
 
 
 def _cents(value: Column) -> Column:
@@ -105,9 +57,8 @@ def _cents(value: Column) -> Column:
 
 def event_anomalies_stream(events: DataFrame, delay: str) -> DataFrame:
     """Streaming form over (event_id, event_type, ts, value)."""
-    timed = events.withColumn("seen_at", c("ts").cast("timestamp")).withWatermark("seen_at", delay)
-    shaped = timed.select("event_id", "event_type", F.unix_micros("seen_at").alias("event_us"), _cents(c("value")).alias("cents"), "seen_at")
-    return shaped.groupBy("event_type").transformWithStateInPandas(AnomalyProcessor(), ANSWER, "Append", "EventTime")
+    rows = events.select("event_id", "event_type", "ts", _cents(c("value")).alias("cents"))
+    return apply_rule(rows, "event_type", "ts", AnomalyRule(), delay)
 
 
 def event_anomalies(events: DataFrame, block: Column) -> DataFrame:
