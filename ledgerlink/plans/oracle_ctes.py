@@ -348,3 +348,49 @@ def with_entities(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{name} AS ({ENTITY_SQL[name]})" for name in ordered)
     return f"WITH RECURSIVE {ctes}\n{sql}"
+
+
+def sql_whole_percent(a: str, b: str) -> str:
+    """Share of the common subsequence in whole percent, halves to even."""
+    return f"(CASE WHEN {a} = {b} THEN 100 ELSE CAST(round_even(200.0e0 * {sql_common(a, b)} / (length({a}) + length({b})), 0) AS INTEGER) END)"
+
+
+def sql_similarities(pairs: str) -> str:
+    """Per row (a, b) of ``pairs``, all texts distinct pairs: the similarities by each method, and
+    ``composite`` as it is, without rounding."""
+    words = "list_filter(string_split(trim(regexp_replace({0}, '[^a-z0-9_]+', ' ', 'g')), ' '), lambda w: w <> '')"
+    return f"""SELECT a, b, x = y AS same, CASE WHEN same THEN 1.0e0 ELSE edit END AS levenshtein, CASE WHEN same THEN 1.0e0 ELSE whole / 100.0e0 END AS ratio,
+        CASE WHEN same THEN 1.0e0 ELSE sorted_percent / 100.0e0 END AS token_sort, CASE WHEN same THEN 1.0e0 ELSE set_percent / 100.0e0 END AS token_set,
+        CASE WHEN same THEN 1.0e0 ELSE edit * 0.3e0 + sorted_percent / 100.0e0 * 0.4e0 + set_percent / 100.0e0 * 0.3e0 END AS composite
+        FROM (SELECT *, x = y AS same, {sql_similarity('x', 'y')} AS edit, {sql_whole_percent('x', 'y')} AS whole, {sql_whole_percent('sx', 'sy')} AS sorted_percent,
+            CASE WHEN dx = [] OR dy = [] THEN 0 ELSE greatest({sql_whole_percent('shared', 'l')}, {sql_whole_percent('shared', 'r')}, {sql_whole_percent('l', 'r')}) END AS set_percent
+        FROM (SELECT *, trim(concat_ws(' ', shared, array_to_string(list_sort(list_filter(dx, lambda w: NOT list_contains(dy, w))), ' '))) AS l,
+                     trim(concat_ws(' ', shared, array_to_string(list_sort(list_filter(dy, lambda w: NOT list_contains(dx, w))), ' '))) AS r
+        FROM (SELECT *, array_to_string(list_sort(list_filter(dx, lambda w: list_contains(dy, w))), ' ') AS shared
+        FROM (SELECT a, b, x, y, array_to_string(list_sort(wx), ' ') AS sx, array_to_string(list_sort(wy), ' ') AS sy, list_distinct(wx) AS dx, list_distinct(wy) AS dy
+        FROM (SELECT a, b, x, y, {words.format('x')} AS wx, {words.format('y')} AS wy FROM (SELECT a, b, lower(trim(a)) AS x, lower(trim(b)) AS y FROM ({pairs})))))))"""
+
+
+def sql_windows(pairs: str) -> str:
+    """(a, b, partial): best whole percent of the shorter text against equally long windows."""
+    return f"""SELECT a, b, max({sql_whole_percent('short', 'win')}) AS partial FROM (SELECT DISTINCT a, b, short, substring(long, i, length(short)) AS win
+        FROM (SELECT a, b, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS short, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS long
+              FROM (SELECT a, b, lower(trim(a)) AS x, lower(trim(b)) AS y FROM ({pairs})) WHERE x <> '' AND y <> ''),
+        range(1, length(long) - length(short) + 2) AS places(i)) GROUP BY a, b"""
+
+
+def sql_soundex(text: str) -> str:
+    """Sound code: letters as digits, equal neighbours once, H and W passed over, vowels and other
+    characters as breaks."""
+    codes = "translate(regexp_replace(upper({0}), '[^A-Z]', '0', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202')"
+    whole = f"{codes.format(f'left({text}, 1)')} || replace({codes.format(f'substring({text}, 2)')}, '7', '')"
+    for digit in "123456":
+        whole = f"regexp_replace({whole}, '{digit}+', '{digit}', 'g')"
+    return f"(CASE WHEN regexp_matches({text}, '^[A-Za-z]') THEN upper(left({text}, 1)) || rpad(left(replace(substring({whole}, 2), '0', ''), 3), 3, '0') ELSE {text} END)"
+
+
+def sql_grams(text: str) -> str:
+    """Character 2- and 3-grams of each word between blanks, as one list."""
+    words = f"list_filter(regexp_split_to_array(lower(trim({text})), '[ \\t\\r\\n]+'), lambda w: w <> '')"
+    cut = "list_transform(range(1, greatest(length(w) + 2 - {0}, 1) + 1), lambda i: substring(' ' || w || ' ', i, {1}))"
+    return f"flatten(list_transform({words}, lambda w: list_concat({cut.format(1, 2)}, {cut.format(2, 3)})))"

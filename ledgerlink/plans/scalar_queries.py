@@ -7,7 +7,7 @@ from ledgerlink.functions.numeric import round_half_up
 from ledgerlink.operators import names
 from ledgerlink.plans.oracle_ctes import (
     sql_duplicate_name, sql_import_name, sql_numeric_text, sql_read_date, sql_read_money,
-    sql_round, sql_similarity, sql_stored_name,
+    sql_grams, sql_round, sql_similarities, sql_similarity, sql_soundex, sql_stored_name, sql_windows,
 )
 from ledgerlink.plans.registry import query
 from ledgerlink.sources.entities import event_as_of
@@ -123,7 +123,12 @@ def _name_pairs(e):
     return e.score_pairs.select("inv_vendor", "po_vendor").distinct()
 
 
-@query("n14_token_ratios", "inv_vendor string, po_vendor string, ratio double, partial_ratio double, token_sort double, token_set double")
+_PAIRS = "SELECT DISTINCT inv_vendor AS a, po_vendor AS b FROM score_pairs"
+
+
+@query("n14_token_ratios", "inv_vendor string, po_vendor string, ratio double, partial_ratio double, token_sort double, token_set double",
+       f"""SELECT s.a AS inv_vendor, s.b AS po_vendor, ratio, CASE WHEN same THEN 1.0e0 ELSE partial / 100.0e0 END AS partial_ratio, token_sort, token_set
+           FROM ({sql_similarities(_PAIRS)}) AS s JOIN ({sql_windows(_PAIRS)}) AS w ON w.a = s.a AND w.b = s.b""")
 def _(e):
     a, b = c("inv_vendor"), c("po_vendor")
     return _name_pairs(e).select(
@@ -131,17 +136,31 @@ def _(e):
         fuzzy.similarity(a, b, "fuzzy_token_sort").alias("token_sort"), fuzzy.similarity(a, b, "fuzzy_token_set").alias("token_set"))
 
 
-@query("n15_phonetic_equality", "inv_vendor string, po_vendor string, score double")
+@query("n15_phonetic_equality", "inv_vendor string, po_vendor string, score double",
+       f"SELECT a AS inv_vendor, b AS po_vendor, CASE WHEN {sql_soundex('lower(trim(a))')} = {sql_soundex('lower(trim(b))')} THEN 1.0e0 ELSE 0.0e0 END AS score FROM ({_PAIRS})")
 def _(e):
     return _name_pairs(e).select("*", fuzzy.similarity(c("inv_vendor"), c("po_vendor"), "phonetic").alias("score"))
 
 
-@query("n16_composite_similarity", "inv_vendor string, po_vendor string, score double")
+@query("n16_composite_similarity", "inv_vendor string, po_vendor string, score double",
+       f"SELECT a AS inv_vendor, b AS po_vendor, {sql_round('composite', 6)} AS score FROM ({sql_similarities(_PAIRS)})")
 def _(e):
     return _name_pairs(e).select("*", fuzzy.composite_rounded(c("inv_vendor"), c("po_vendor")).alias("score"))
 
 
-@query("n17_tfidf_vendor_match", "tenant_id int, text string, candidate string, score double")
+# All entries of a tenant are compared with each text; a pair counts if no entry is closer.
+@query("n17_tfidf_vendor_match", "tenant_id int, text string, candidate string, score double",
+       f"""WITH entries AS (SELECT DISTINCT tenant_id, lower(trim(name)) AS text FROM vendors WHERE is_active),
+               wanted AS (SELECT DISTINCT d.tenant_id, lower(trim(d.name)) AS text, lower(trim(v.name)) AS candidate FROM vendors_dirty d JOIN vendors v ON v.vendor_id = d.vendor_id // 10),
+               terms AS (SELECT tenant_id, text, gram, count(*) AS tf FROM (SELECT tenant_id, text, unnest({sql_grams('text')}) AS gram FROM (SELECT * FROM entries UNION SELECT tenant_id, text FROM wanted)) GROUP BY ALL),
+               vocabulary AS (SELECT t.tenant_id, gram, ln((n + 1)::DOUBLE / (count(*) + 1)) + 1.0e0 AS idf FROM terms t JOIN entries k ON k.tenant_id = t.tenant_id AND k.text = t.text
+                   JOIN (SELECT tenant_id, count(*) AS n FROM entries GROUP BY tenant_id) AS z ON z.tenant_id = t.tenant_id GROUP BY t.tenant_id, gram, n),
+               vectors AS (SELECT tenant_id, text, gram, w / sqrt(sum(w * w) OVER (PARTITION BY tenant_id, text)) AS w FROM (SELECT t.tenant_id, text, t.gram, tf * idf AS w FROM terms t JOIN vocabulary v ON v.tenant_id = t.tenant_id AND v.gram = t.gram)),
+               near AS (SELECT a.tenant_id, a.text, b.text AS entry, sum(a.w * b.w) AS cosine FROM vectors a JOIN vectors b ON b.tenant_id = a.tenant_id AND b.gram = a.gram
+                   WHERE (b.tenant_id, b.text) IN (SELECT tenant_id, text FROM entries) AND (a.tenant_id, a.text) IN (SELECT tenant_id, text FROM wanted) GROUP BY ALL)
+           SELECT w.tenant_id, w.text, w.candidate, CASE WHEN n.cosine IS NULL OR n.cosine < m.best - 0.000000001e0 THEN 0.0e0 ELSE {sql_round('n.cosine', 6)} END AS score FROM wanted w
+           LEFT JOIN near n ON n.tenant_id = w.tenant_id AND n.text = w.text AND n.entry = w.candidate
+           LEFT JOIN (SELECT tenant_id, text, max(cosine) AS best FROM near GROUP BY ALL) AS m ON m.tenant_id = w.tenant_id AND m.text = w.text""")
 def _(e):
     corpus = e.vendors.filter("is_active").select("tenant_id", c("name"))
     pairs = e.vendors_dirty.select("tenant_id", c("name").alias("text"), F.floor(c("vendor_id") / 10).cast("bigint").alias("vendor_id")).join(
