@@ -40,8 +40,9 @@ THRESHOLD = 100
 TOP = 2000
 TRIE_PHRASES = 250_000
 CHUNK_WORDS = 1_000_000
-BLOCK_CODES = 4_000_000
-RANGE_BITS = 22
+GROUP_CODES = 3_000_000
+RANGE_BITS = 20
+RANGE = 1 << RANGE_BITS
 MAX_BITS = 28
 _BYTES = np.arange(256, dtype=np.uint8)
 _CUT = 10  # every cut becomes a line feed
@@ -239,17 +240,18 @@ def walk(trie: dict[str, np.ndarray], codes: np.ndarray) -> tuple[np.ndarray, np
 # --- levels --------------------------------------------------------------------------------
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Some blocks of codes at a time, so that a trie is fetched once for all of them."""
     held, size = [], 0
     for batch in batches:
         for blob in batch.column("codes"):
-            held.append(np.frombuffer(blob.as_buffer(), np.int32))
+            held.append(np.frombuffer(blob.as_py(), np.int32))
             size += len(held[-1])
-            if size >= BLOCK_CODES:
-                yield np.concatenate(held)
+            if size >= GROUP_CODES:
+                yield held
                 held, size = [], 0
     if held:
-        yield np.concatenate(held)
+        yield held
 
 
 def _buckets(codes: np.ndarray, at: np.ndarray, length: int, bits: int) -> np.ndarray:
@@ -260,51 +262,116 @@ def _buckets(codes: np.ndarray, at: np.ndarray, length: int, bits: int) -> np.nd
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _tally(ids: np.ndarray) -> pa.RecordBatch:
-    ids, n = np.unique(ids, return_counts=True)
-    return pa.RecordBatch.from_pydict({"id": ids, "n": n.astype(np.int64)})
-
-
 def _count(folder: str, paths: list[str], length: int, bits: int):
-    """(id, n): counts of candidates by id, and below zero those of the next level's buckets.
+    """(part, ids, ns): counts of each group of blocks. A part from 0 on is a trie and its ids are
+    rows; a part below 0 is a range of the next level's buckets and its ids are places in it.
     Without tries every code is a candidate of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for codes in _blocks(batches):
-            live = np.zeros(len(codes), bool) if paths else codes != 0
+        for group in _groups(batches):
+            live = [np.zeros(len(codes), bool) if paths else codes != 0 for codes in group]
             for number, path in enumerate(paths):
                 trie = _load(folder, path)
-                at, row = walk(trie, codes)
-                live[at] = True
-                n = np.bincount(row, minlength=int(trie["rows"][0]))
+                n = np.zeros(int(trie["rows"][0]), np.int64)
+                for codes, flags in zip(group, live):
+                    at, row = walk(trie, codes)
+                    flags[at] = True
+                    n += np.bincount(row, minlength=len(n))
                 hit = np.flatnonzero(n)
-                yield pa.RecordBatch.from_pydict({"id": hit + (number << 32), "n": n[hit].astype(np.int64)})
+                yield _counts(number, hit, n[hit])
             if length < LONGEST:
-                at = np.flatnonzero(live[:-1] & live[1:])
-                yield _tally(-1 - _buckets(codes, at, length + 1, bits))
+                found = [_buckets(codes, np.flatnonzero(flags[:-1] & flags[1:]), length + 1, bits).astype(np.int32) for codes, flags in zip(group, live)]
+                buckets, n = np.unique(np.concatenate(found), return_counts=True)
+                edges = np.searchsorted(buckets, np.arange(0, max(RANGE, 1 << bits) + 1, RANGE))
+                for part, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                    if b > a:
+                        yield _counts(-1 - part, buckets[a:b] & (RANGE - 1), n[a:b])
+
+    return run
+
+
+def _counts(part: int, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part], pa.int64()), pa.array([ids.astype(np.int32).tobytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary())], ["part", "ids", "ns"])
+
+
+def _summed(threshold: int):
+    """(id, n) of the counts that reach the threshold, from rows of ``_count`` in order of part. One
+    dense array is in memory, that of the part at hand."""
+
+    def reached(part: int, total: np.ndarray) -> pa.RecordBatch:
+        hit = np.flatnonzero(total >= threshold)
+        ids = hit + (part << 32) if part >= 0 else -1 - (hit + ((-1 - part) << RANGE_BITS))
+        return pa.RecordBatch.from_pydict({"id": ids.astype(np.int64), "n": total[hit]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = None, np.zeros(0, np.int64)
+        for batch in batches:
+            for number, ids, ns in zip(batch.column("part").to_pylist(), batch.column("ids"), batch.column("ns")):
+                if number != part:
+                    if part is not None:
+                        yield reached(part, total)
+                    part, total = number, np.zeros(RANGE, np.int64)
+                ids, ns = np.frombuffer(ids.as_py(), np.int32), np.frombuffer(ns.as_py(), np.int64)
+                if len(ids) and ids[-1] >= len(total):  # ids ascend
+                    total = np.concatenate([total, np.zeros(ids[-1] + 1 - len(total), np.int64)])
+                total[ids] += ns
+        if part is not None:
+            yield reached(part, total)
 
     return run
 
 
 def _listed(folder: str, paths: list[str], length: int, bits: int):
-    """Distinct windows of ``length`` frequent words whose bucket reached the threshold."""
+    """(part, windows): of each group of blocks, the distinct windows of ``length`` frequent words
+    whose bucket reached the threshold, by range of buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.zeros(1 << (bits - 3), np.uint8)
         for path in paths:
             part = _load(folder, path)
             bitmap[part["first"][0]:part["first"][0] + len(part["bits"])] = part["bits"]
-        for codes in _blocks(batches):
-            whole = codes != 0
-            ok = whole[:len(codes) - length + 1].copy()
-            for k in range(1, length):
-                ok &= whole[k:k + len(ok)]
-            at = np.flatnonzero(ok)
-            bucket = _buckets(codes, at, length, bits)
-            at = at[(bitmap[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 == 1]
-            windows = np.unique(codes[at[:, None] + np.arange(length)[None, :]], axis=0) if len(at) else np.zeros((0, length), np.int32)
-            lists = pa.ListArray.from_arrays(np.arange(0, windows.size + 1, length, dtype=np.int32), pa.array(windows.ravel(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([lists], ["words"])
+        for group in _groups(batches):
+            found, ranges = [], []
+            for codes in group:
+                whole = codes != 0
+                ok = whole[:max(0, len(codes) - length + 1)].copy()
+                for k in range(1, length):
+                    ok &= whole[k:k + len(ok)]
+                at = np.flatnonzero(ok)
+                bucket = _buckets(codes, at, length, bits)
+                good = (bitmap[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 == 1
+                found.append(codes[at[good][:, None] + np.arange(length)[None, :]])
+                ranges.append(bucket[good] >> RANGE_BITS)
+            windows, part = np.concatenate(found), np.concatenate(ranges)
+            for number in np.unique(part):
+                rows = np.unique(windows[part == number], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([rows.tobytes()], pa.binary())], ["part", "windows"])
+
+    return run
+
+
+def _distinct(length: int):
+    """Distinct windows from rows of ``_listed`` in order of part; those of one part at a time."""
+
+    def lists(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.arange(0, rows.size + 1, length, dtype=np.int32), pa.array(rows.ravel(), pa.int32()))], ["words"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size = None, [], 0
+        for batch in batches:
+            for number, blob in zip(batch.column("part").to_pylist(), batch.column("windows")):
+                if number != part and held:
+                    yield lists(np.unique(np.concatenate(held), axis=0))
+                    held, size = [], 0
+                part = number
+                held.append(np.frombuffer(blob.as_py(), np.int32).reshape(-1, length))
+                size += len(held[-1])
+                if size > 2 * len(held[0]) + GROUP_CODES:
+                    held = [np.unique(np.concatenate(held), axis=0)]
+                    size = len(held[0])
+        if held:
+            yield lists(np.unique(np.concatenate(held), axis=0))
 
     return run
 
@@ -369,7 +436,9 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataF
         tallied = _tallied(codes, folder, tries, length - 1, bits, threshold)
         if candidates is not None:
             levels.append(stage(tallied.join(candidates, "id").select("words", F.col("n").alias("f")), "phrase-level"))
-        windows = codes.mapInArrow(_listed(folder, _bitmap(tallied, folder, bits), length, bits), "words array<int>").distinct()
+        listed = codes.mapInArrow(_listed(folder, _bitmap(tallied, folder, bits), length, bits), "part long, windows binary")
+        # Written as distinct rows first: the joins then see each window once, not once per block.
+        windows = stage(_by_part(listed).mapInArrow(_distinct(length), "words array<int>"), "phrase-listed")
         if length > 2:
             known = levels[-1].select(F.col("words").alias("part"))
             for part in (F.slice("words", 1, length - 1), F.slice("words", 2, length - 1)):
@@ -389,9 +458,13 @@ def frequent_phrases(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataF
     return out, coded.select("lang", F.col("word").cast("string").alias("word"), "code"), totals
 
 
+def _by_part(rows: DataFrame) -> DataFrame:
+    return rows.repartition("part").sortWithinPartitions("part")
+
+
 def _tallied(codes: DataFrame, folder: str, tries: list[str], length: int, bits: int, threshold: int) -> DataFrame:
-    counted = codes.mapInArrow(_count(folder, tries, length, bits), "id long, n long")
-    return stage(counted.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= threshold), "phrase-tally")
+    counted = codes.mapInArrow(_count(folder, tries, length, bits), "part long, ids binary, ns binary")
+    return stage(_by_part(counted).mapInArrow(_summed(threshold), "id long, n long"), "phrase-tally")
 
 
 # --- scores --------------------------------------------------------------------------------

@@ -136,7 +136,7 @@ def test_collocations(spark, monkeypatch, small):
     if small:  # many dictionaries, tries and blocks; buckets that all collide
         monkeypatch.setattr(collocations, "CHUNK_WORDS", 3)
         monkeypatch.setattr(collocations, "TRIE_PHRASES", 4)
-        monkeypatch.setattr(collocations, "BLOCK_CODES", 50)
+        monkeypatch.setattr(collocations, "GROUP_CODES", 50)
         monkeypatch.setattr(collocations, "_bits", lambda windows: 3)
     rng = random.Random(5)
     docs = [(" ".join(rng.choices(WORDS, weights=[9, 9, 9, 3, 3, 3, 2, 6, 6, 6, 5, 5, 1, 1, 1, 1, 1, 1, 1], k=rng.randint(0, 60))), rng.choice(["en", "de", None, "und"])) for _ in range(120)]
