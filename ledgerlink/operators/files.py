@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlink.functions.numeric import round_half_up
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 c = F.col
 
 # Patterns that mark a text as suspicious, by number.
@@ -17,6 +25,8 @@ SUSPICIOUS = [
     r"\.\./", r"\.\.\\", r"/etc/passwd", r"/etc/shadow", r"windows/system32",
     r"^MZ", r"^PK", r"^\x7fELF",
 ]
+# Fixed value: a signature that is no text in UTF-8; it is looked for in the bytes.
+BYTE_SIGNATURE = "CAFEBABE"
 # Name patterns and limits of the file rules.
 BAD_NAMES = [r"\.{2,}", r'[<>:"|?*]', r"^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\.|$)"]
 ALLOWED_ENDINGS = ["csv", "txt"]
@@ -24,8 +34,12 @@ MAX_BYTES, MAX_LINES, MAX_LINE, MAX_DELIMITERS = 50 * 1024 * 1024, 50000, 100000
 
 
 def suspicious(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pattern_id) for every pattern found anywhere in the whole text."""
-    hits = [F.when(c(text).rlike("(?im)" + p), F.lit(i)) for i, p in enumerate(SUSPICIOUS, 1)]
+    """(key, pattern_id) for every pattern found anywhere in the whole text (text or bytes); the
+    last one is the byte signature at the start of a line."""
+    body = c(text).cast("string")
+    hits = [F.when(body.rlike("(?im)" + p), F.lit(i)) for i, p in enumerate(SUSPICIOUS, 1)]
+    signed = F.hex(c(text).cast("binary")).rlike(f"^(..)*?(?<=^|0A|0D){BYTE_SIGNATURE}")
+    hits.append(F.when(signed, F.lit(len(SUSPICIOUS) + 1)))
     return texts.select(key, F.explode(F.array_compact(F.array(*hits))).alias("pattern_id"))
 
 
@@ -46,12 +60,22 @@ def file_rules(files: DataFrame, key: str, name: str, text: str) -> DataFrame:
 
 
 def byte_entropy(texts: DataFrame, key: str, text: str, limit: float = 7.5) -> DataFrame:
-    """(key, entropy, high): Shannon entropy in bits over all bytes of the text."""
-    pairs = F.regexp_extract_all(F.hex(c(text)), F.lit("(..)"), 1)
-    counts = texts.select(key, F.explode(pairs).alias("byte")).groupBy(key, "byte").agg(F.count("*").alias("n"))
-    sums = counts.groupBy(key).agg(F.sum("n").alias("total"), F.sum(c("n") * F.log2(c("n").cast("double"))).alias("s"))
-    entropy = F.log2(c("total").cast("double")) - c("s") / c("total")
-    return sums.select(key, round_half_up(entropy, 4).alias("entropy"), (entropy > limit).alias("high"))
+    """(key, entropy, high): Shannon entropy in bits over all bytes of each text; texts without a
+    byte have no row. The bytes of a text are counted where it lies, nothing is shuffled."""
+    kind = dict(texts.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = batch.column(1).cast(pa.large_binary()).fill_null(b"")
+            values = []
+            for body in bodies:
+                n = np.bincount(np.frombuffer(body.as_buffer(), np.uint8), minlength=1) if body.as_buffer().size else np.zeros(1)
+                n = n[n > 0].astype(np.float64)
+                values.append(float(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum()) if len(n) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["key", "entropy"])
+
+    found = texts.select(key, text).mapInArrow(run, f"key {kind}, entropy double").filter(c("entropy").isNotNull())
+    return found.select(c("key").alias(key), round_half_up(c("entropy"), 4).alias("entropy"), (c("entropy") > limit).alias("high"))
 
 
 def equal_content(texts: DataFrame, key: str, text: str) -> DataFrame:

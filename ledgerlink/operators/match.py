@@ -353,11 +353,13 @@ def band_run(invoices: DataFrame, orders: DataFrame, receipts: DataFrame, vendor
 
 
 def band_exceptions(results: DataFrame, as_of: Column) -> DataFrame:
-    """Exception rows for results in state ``exception``, due a day later."""
+    """Exception rows for results in state ``exception``, due a day later, with the vendors' names
+    (invoice_vendor, po_vendor) beside them."""
     kind = c("exception_type")
-    return results.filter("match_status = 'exception'").select(
+    told = scores.exception_details(kind, c("invoice_amount"), c("po_amount"), c("invoice_vendor"), c("po_vendor"))
+    return results.filter("match_status = 'exception'").withColumn("_told", told).select(
         "tenant_id", "invoice_id", "exception_type", scores.exception_severity(kind, c("variance_amount")).alias("severity"),
-        scores.exception_details(kind, c("invoice_amount"), c("po_amount"), F.lit(None).cast("string"), F.lit(None).cast("string"))["title"].alias("title"),
+        *(c(f"_told.{x}").alias(x) for x in ("title", "description", "expected_value", "actual_value", "field_name")),
         F.lit("open").alias("status"), scores.exception_priority(kind, c("invoice_amount")).alias("priority"),
         F.when(kind == "amount_variance", c("variance_amount")).alias("variance_amount"), F.date_add(as_of, 1).alias("due_date"))
 

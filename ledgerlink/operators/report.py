@@ -71,15 +71,6 @@ def daily_metrics(spark, results: DataFrame, exceptions: DataFrame, start: str,
     return rows.select("day", c("processed").alias("invoices_processed"), percent(c("matched"), c("processed")).alias("match_rate"), "exceptions_created", "exceptions_resolved")
 
 
-def retention(tables: list[tuple[str, DataFrame, Column]], cutoff: Column) -> DataFrame:
-    """(source, kept, removed) per table for an age limit."""
-    out = None
-    for label, df, at in tables:
-        part = df.agg(F.count_if(at >= cutoff).alias("kept"), F.count_if(at < cutoff).alias("removed")).withColumn("source", F.lit(label))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def page_totals(df: DataFrame, keys: list[str], size: int, page: int) -> DataFrame:
     n = df.groupBy(*keys).agg(F.count("*").alias("total"))
     pages = F.ceil(c("total") / size).cast("bigint")

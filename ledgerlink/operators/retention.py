@@ -51,6 +51,20 @@ def expire(spark: SparkSession, path: str, at: str, limit: Column) -> int:
     return dropped
 
 
+def expired_counts(spark: SparkSession, tables: Sequence[tuple[str, DataFrame, str]], limit: Column) -> DataFrame:
+    """(source, kept, removed) per (source, rows, time column): the rows are kept by day, what is
+    older than ``limit`` is dropped, and both are counted in the stored table."""
+    out = None
+    for label, rows, at in tables:
+        path = scratch_path(spark, label)
+        write_by_day(rows, at, path)
+        before = spark.read.parquet(path).count()
+        expire(spark, path, at, limit)
+        part = read_by_day(spark, path).agg(F.count("*").alias("kept")).select(F.lit(label).alias("source"), "kept", (F.lit(before) - c("kept")).alias("removed"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def pseudonym(subject: Column, salt: str) -> Column:
     """Token of a subject; null stays null."""
     return F.when(subject.isNotNull(), F.sha2(F.concat(F.lit(f"{salt}:"), subject.cast("string")), 256))

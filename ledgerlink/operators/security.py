@@ -176,6 +176,19 @@ def check_permissions(users: DataFrame, requests: DataFrame, permissions: DataFr
     return asked.join(hit, ["user_id", "permission"], "left").groupBy("user_id", "resource", "action").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("allowed"))
 
 
+def visible_lines(lines: DataFrame, invoices: DataFrame, users: DataFrame) -> DataFrame:
+    """Invoice lines that one of ``users`` may see: those of invoices of the users' tenants."""
+    seen = invoices.join(users.select("tenant_id"), "tenant_id", "left_semi").select("invoice_id")
+    return lines.join(seen, "invoice_id", "left_semi")
+
+
+def visible_totals(users: DataFrame, invoices: DataFrame, lines: DataFrame) -> DataFrame:
+    """Per user the number, sum and first id of the lines the user may see."""
+    owned = visible_lines(lines, invoices, users).join(invoices.select("invoice_id", "tenant_id"), "invoice_id")
+    sums = owned.groupBy("tenant_id").agg(F.count("*").alias("lines"), F.sum("line_total").alias("total"), F.min("invoice_line_id").alias("first_line"))
+    return users.select("user_id", "tenant_id").join(sums, "tenant_id", "left").fillna(0, ["lines", "total"])
+
+
 # --- compliance ---------------------------------------------------------------------------------
 
 
@@ -218,10 +231,18 @@ def hygiene_findings(users: DataFrame, attempts: DataFrame, default_accounts: Da
     return known.unionByName(rest).unionByName(old)
 
 
-def findings_score(findings: DataFrame, weights: DataFrame) -> DataFrame:
-    joined = findings.join(F.broadcast(weights), "risk_level").agg(F.count("*").alias("findings"), F.sum("weight").alias("w"))
-    score = F.greatest(F.lit(0.0), 100.0 - c("w").cast("double") / (c("findings") * 25.0) * 100.0)
-    return joined.select("findings", F.coalesce(round_half_up(score, 4), F.lit(100.0)).alias("security_score"))
+def findings_report(findings: DataFrame, weights: DataFrame) -> DataFrame:
+    """(section, label, findings, security_score): all findings with the score, and the number of
+    findings by risk level (each level of ``weights``, also without any) and by category."""
+    rated = findings.join(weights, "risk_level")
+    sums = rated.agg(F.count("*").alias("findings"), F.sum("weight").alias("w"))
+    score = F.greatest(F.lit(0.0), 100.0 - F.try_divide(c("w").cast("double"), c("findings") * 25.0) * 100.0)
+    total = sums.select(F.lit("total").alias("section"), F.lit("all").alias("label"), "findings", F.coalesce(round_half_up(score, 4), F.lit(100.0)).alias("security_score"))
+    none = F.lit(None).cast("double").alias("security_score")
+    levels = weights.join(findings.select("risk_level", "title"), "risk_level", "left").groupBy("risk_level").agg(F.count("title").alias("findings"))
+    by_level = levels.select(F.lit("risk").alias("section"), c("risk_level").alias("label"), "findings", none)
+    by_category = findings.groupBy("category").agg(F.count("*").alias("findings")).select(F.lit("category").alias("section"), c("category").alias("label"), "findings", none)
+    return total.unionByName(by_level).unionByName(by_category)
 
 
 def blocked_flags(events: DataFrame, key: str, at: str, block_start: Column, seconds: int) -> DataFrame:

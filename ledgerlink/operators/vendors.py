@@ -29,13 +29,48 @@ def accepted_records(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return invoices, lines
 
 
-def error_report(found: DataFrame) -> DataFrame:
-    """Findings of every batch in report order, with empty texts for nulls and a position from 1."""
+# Column titles of the report, in order.
+REPORT_TITLES = {
+    "row_number": "Row Number", "column_name": "Column Name", "error_type": "Error Type", "error_code": "Error Code", "error_message": "Error Message",
+    "severity": "Severity", "raw_value": "Raw Value", "expected_format": "Expected Format", "suggested_fix": "Suggested Fix", "created_at": "Created At",
+}
+
+
+def write_batches(rows: DataFrame, path: str) -> None:
+    """Write rows by ``import_batch_id``; batches that are written again are replaced."""
+    (rows.hint("rebalance", "import_batch_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("import_batch_id").parquet(path))
+
+
+def write_error_report(rows: DataFrame, path: str) -> None:
+    """One folder of CSV files per batch, rows in report order within a file."""
+    titled = rows.select("import_batch_id", "position", *(c(k).alias(v) for k, v in REPORT_TITLES.items()))
+    ordered = titled.repartition("import_batch_id").sortWithinPartitions("import_batch_id", "position").drop("position")
+    ordered.write.mode("overwrite").option("header", True).options(**_REPORT_CSV).option("emptyValue", "").partitionBy("import_batch_id").csv(path)
+
+
+def read_error_report(spark, path: str, like: DataFrame) -> DataFrame:
+    """The report's rows; empty cells are empty texts, and positions are counted anew."""
+    text = ", ".join(f"`{title}` string" for title in REPORT_TITLES.values())
+    scan = spark.read.schema(f"{text}, import_batch_id bigint").option("header", True).options(**_REPORT_CSV).option("multiLine", True).csv(path)
+    rows = scan.select("import_batch_id", *(F.coalesce(c(f"`{v}`"), F.lit("")).cast(dict(like.dtypes)[k]).alias(k) for k, v in REPORT_TITLES.items()))
+    return positions(rows, "import_batch_id", _REPORT_ORDER, "position")
+
+
+_REPORT_CSV = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+_REPORT_ORDER = ["row_number", "error_code", "column_name", "raw_value"]
+
+
+def error_report(found: DataFrame, created_at: str) -> DataFrame:
+    """Findings of every batch in report order, with empty texts for nulls and a position from 1.
+    The message is the code in words and the column."""
+    words = F.concat(F.substring("code", 1, 1), F.replace(F.lower(F.substring(c("code"), 2, 1000)), F.lit("_"), F.lit(" ")))
     ordered = found.select(
         *_ROW, F.coalesce("field", F.lit("")).alias("column_name"), c("severity").alias("error_type"),
-        c("code").alias("error_code"), "severity", F.coalesce("raw", F.lit("")).alias("raw_value"),
+        c("code").alias("error_code"), F.concat(words, F.lit(" ("), F.coalesce("field", F.lit("")), F.lit(")")).alias("error_message"),
+        F.lit(created_at).alias("created_at"), "severity", F.coalesce("raw", F.lit("")).alias("raw_value"),
         F.coalesce("expected", F.lit("")).alias("expected_format"), F.coalesce("fix", F.lit("")).alias("suggested_fix"))
-    return positions(ordered, "import_batch_id", ["row_number", "error_code", "column_name", "raw_value"], "position")
+    return positions(ordered, "import_batch_id", _REPORT_ORDER, "position")
 
 
 def positions(df: DataFrame, group: str, order: Sequence[str], name: str, width: int = 4096) -> DataFrame:
@@ -184,8 +219,31 @@ def review_rows(groups: DataFrame, vendors: DataFrame, auto_merge: bool = True,
         c("member_id").alias("duplicate_vendor_id"), F.when(approved, "approved").otherwise("pending").alias("status"))
 
 
+def resolve_merges(merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(resolved, refused) of ``merges`` (duplicate_vendor_id, canonical_vendor_id): every merge with
+    the last vendor of its chain, and the merges whose chain runs in a circle.
+
+    Each round joins the map with itself, so distances double and rounds grow with the logarithm of
+    the longest chain. When a round settles nothing, what is still open leads into a circle. A
+    vendor merged twice takes the smaller target.
+    """
+    once = staged(merges.groupBy("duplicate_vendor_id").agg(F.min("canonical_vendor_id").alias("canonical_vendor_id")), "merges")
+    state = once.withColumn("open", F.lit(True))
+    before = -1
+    while True:
+        via = state.select(c("duplicate_vendor_id").alias("canonical_vendor_id"), c("canonical_vendor_id").alias("_next"), F.lit(True).alias("_on"))
+        state = staged(state.join(via, "canonical_vendor_id", "left").select(
+            "duplicate_vendor_id", F.coalesce("_next", "canonical_vendor_id").alias("canonical_vendor_id"), F.coalesce("_on", F.lit(False)).alias("open")), "merge-chains")
+        left = state.filter("open").count()
+        if left in (0, before):
+            break
+        before = left
+    refused = once.join(state.filter("open").select("duplicate_vendor_id"), "duplicate_vendor_id", "left_semi")
+    return state.filter("not open").drop("open"), refused
+
+
 def rewrite_vendor(table: DataFrame, merges: DataFrame) -> DataFrame:
-    """Replace merged vendor ids by their canonical id (merges are already chain-free)."""
+    """Replace merged vendor ids by their canonical id (``merges`` are resolved)."""
     target = merges.select(c("duplicate_vendor_id").alias("vendor_id"), c("canonical_vendor_id").alias("_to"))
     return table.join(target, "vendor_id", "left").withColumn("vendor_id", F.coalesce("_to", "vendor_id")).drop("_to")
 

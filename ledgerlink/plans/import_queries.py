@@ -7,6 +7,7 @@ from ledgerlink.functions.numeric import percent
 from ledgerlink.operators import names, validate, vendors
 from ledgerlink.plans.oracle_ctes import sql_percent
 from ledgerlink.plans.registry import stored_query as query
+from ledgerlink.session import scratch_path, staged
 from ledgerlink.sources.entities import doc_as_of
 
 c = F.col
@@ -150,9 +151,6 @@ _MARKED = f"""SELECT p.*, known_id,
       row_number() OVER (PARTITION BY p.import_batch_id, p.vendor_name, p.invoice_number ORDER BY p.row_number) > 1 AS dup_batch,
       EXISTS (SELECT 1 FROM stored_invoices s WHERE s.tenant_id = p.tenant_id AND s.vendor_id = known_id AND s.invoice_number = p.invoice_number) AS dup_system
       FROM parsed_rows p LEFT JOIN ({_KNOWN}) AS k ON k.tenant_id = p.tenant_id AND k.uname = upper(trim(p.vendor_name))"""
-# Invoices already stored when the import runs: those of the earlier half of each hundred.
-_STORED = "(SELECT * FROM invoices WHERE ((invoice_id - 1) // 2) % 100 < 50)"
-_MARKED = _MARKED.replace("stored_invoices", _STORED)
 _EXTRA = f""" UNION ALL SELECT import_batch_id, row_number, 'NEW_VENDOR', 'vendor_name', 'warning', vendor_name FROM ({_MARKED}) WHERE known_id IS NULL AND vendor_name IS NOT NULL
       UNION ALL SELECT import_batch_id, row_number, 'DUPLICATE_IN_BATCH', 'invoice_number', 'duplicate', invoice_number FROM ({_MARKED}) WHERE dup_batch
       UNION ALL SELECT import_batch_id, row_number, 'DUPLICATE_IN_SYSTEM', 'invoice_number', 'duplicate', invoice_number FROM ({_MARKED}) WHERE dup_system"""
@@ -163,17 +161,13 @@ _CHECKED = f"""SELECT m.*, CASE WHEN f.errors > 0 THEN 'error' WHEN dup_batch OR
       FROM ({_EVERY}) GROUP BY ALL) AS f ON f.import_batch_id = m.import_batch_id AND f.row_number = m.row_number"""
 
 
-def stored_invoices(e):
-    return e.invoices.filter(F.floor((c("invoice_id") - 1) / 2) % 100 < 50)
-
-
 def import_vendors(e):
     """Stored vendors under the name an import would normalise to."""
     return e.vendors
 
 
 def checked(e):
-    return validate.checked_import(e.parsed_rows, import_vendors(e), stored_invoices(e), doc_as_of())
+    return validate.checked_import(e.parsed_rows, import_vendors(e), e.stored_invoices, doc_as_of())
 
 
 @query("v14_row_disposition", "import_batch_id bigint, row_number int, disposition string",
@@ -192,7 +186,7 @@ def _(e):
        f"SELECT import_batch_id, row_number, dup_system AS duplicate_in_system FROM ({_MARKED})")
 def _(e):
     known = validate.mark_known_vendors(e.parsed_rows, e.vendors)
-    return validate.mark_stored_duplicates(known, stored_invoices(e)).select(*_KEYS, "duplicate_in_system")
+    return validate.mark_stored_duplicates(known, e.stored_invoices).select(*_KEYS, "duplicate_in_system")
 
 
 @query("u04_all_findings", "import_batch_id bigint, row_number int, code string, severity string",
@@ -218,21 +212,46 @@ def _(e):
            total_amount, invoice_date, due_date, substring(description, 1, 500) AS line_description, CASE WHEN description IS NOT NULL THEN total_amount END AS line_total
            FROM ({_CHECKED}) WHERE disposition = 'success'""")
 def _(e):
-    inv, lines = vendors.accepted_records(checked(e))
+    """Written by batch and read back; writing a batch again replaces it."""
+    inv, lines = vendors.accepted_records(staged(checked(e), "checked"))
+    path = scratch_path(e.spark, "accepted")
+    for _ in range(2):
+        vendors.write_batches(inv, f"{path}/invoices")
+        vendors.write_batches(lines, f"{path}/lines")
+    inv, lines = e.spark.read.parquet(f"{path}/invoices"), e.spark.read.parquet(f"{path}/lines")
     return inv.join(lines.select(*_KEYS, c("description").alias("line_description"), "line_total"), _KEYS, "left")
 
 
 @query("k03_row_errors", _F + ", seq int", f"SELECT import_batch_id, row_number, code, field, severity, raw, CAST(row_number() OVER (PARTITION BY import_batch_id, row_number ORDER BY code, field) - 1 AS INTEGER) AS seq FROM ({_EVERY})")
 def _(e):
+    """Written by batch and read back."""
     rows = checked(e).withColumn("findings", F.array_sort("findings"))
-    return validate.exploded(rows, _KEYS)
-
-
-@query("k04_error_report", "import_batch_id bigint, row_number int, column_name string, error_type string, error_code string, severity string, raw_value string, position bigint",
-       f"""SELECT import_batch_id, row_number, coalesce(field, '') AS column_name, CASE severity WHEN 'duplicate' THEN 'duplicate' ELSE severity END AS error_type, code AS error_code, severity,
-           coalesce(raw, '') AS raw_value, row_number() OVER (PARTITION BY import_batch_id ORDER BY row_number, code, coalesce(field, ''), coalesce(raw, '')) AS position FROM ({_EVERY})""")
+    path = scratch_path(e.spark, "row-errors")
+    vendors.write_batches(validate.exploded(rows, _KEYS), path)
+    return e.spark.read.parquet(path)
+
+
+# What a finding says besides its code; all other findings say nothing.
+_HINTS = """SELECT * FROM (VALUES ('INVALID_AMOUNT', 'Numeric value (e.g., 1234.56)', ''), ('INVALID_DATE', 'YYYY-MM-DD or MM/DD/YYYY', ''),
+    ('INVALID_TOTAL_AMOUNT_TYPE', 'Decimal number (e.g., 1234.56)', ''), ('INVALID_TAX_AMOUNT_TYPE', 'Decimal number (e.g., 1234.56)', ''),
+    ('INVALID_INVOICE_DATE_TYPE', 'Date (YYYY-MM-DD)', ''), ('INVALID_DUE_DATE_TYPE', 'Date (YYYY-MM-DD)', ''), ('INVALID_VENDOR_FORMAT', 'Letters, digits, blanks and usual punctuation', ''),
+    ('TAX_EXCEEDS_TOTAL', '', 'Check the tax against the total'), ('DUE_BEFORE_INVOICE', '', 'Move the due date behind the invoice date'),
+    ('AMOUNT_CALCULATION_ERROR', '', 'Subtotal plus tax has to give the total'), ('DUPLICATE_IN_BATCH', '', 'Keep one of the equal entries'),
+    ('DUPLICATE_IN_SYSTEM', '', 'Compare with the stored invoice')) AS hints(code, expected, fix)"""
+_REPORTED = "2001-12-31 00:00:00"
+
+
+@query("k04_error_report", "import_batch_id bigint, row_number int, column_name string, error_type string, error_code string, error_message string, severity string, raw_value string, expected_format string, suggested_fix string, created_at string, position bigint",
+       f"""SELECT import_batch_id, row_number, coalesce(field, '') AS column_name, CASE severity WHEN 'duplicate' THEN 'duplicate' ELSE severity END AS error_type, e.code AS error_code,
+           left(e.code, 1) || replace(lower(substring(e.code, 2)), '_', ' ') || ' (' || coalesce(field, '') || ')' AS error_message, severity,
+           coalesce(raw, '') AS raw_value, coalesce(h.expected, '') AS expected_format, CASE WHEN e.code = 'NEGATIVE_AMOUNT' AND field = 'total_amount' THEN 'Enter an amount above zero' ELSE coalesce(h.fix, '') END AS suggested_fix,
+           '{_REPORTED}' AS created_at, row_number() OVER (PARTITION BY import_batch_id ORDER BY row_number, e.code, coalesce(field, ''), coalesce(raw, '')) AS position FROM ({_EVERY}) AS e LEFT JOIN ({_HINTS}) AS h ON h.code = e.code""")
 def _(e):
-    return vendors.error_report(validate.exploded(checked(e), _KEYS))
+    """The report of each batch as CSV files with the ten columns of a report, read back."""
+    rows = vendors.error_report(validate.exploded(checked(e), _KEYS), _REPORTED)
+    path = scratch_path(e.spark, "error-reports")
+    vendors.write_error_report(rows, path)
+    return vendors.read_error_report(e.spark, path, rows)
 
 
 @query("k09_batch_summary", "import_batch_id bigint, processed bigint, successful bigint, errors bigint, duplicates bigint, status string",

@@ -156,13 +156,22 @@ def _(e):
     return _band(e)
 
 
-@query("r03_raise_exceptions", "invoice_id bigint, exception_type string, severity string, title string, status string, priority int, variance_amount decimal(18,2), due_date date",
-       f"""SELECT invoice_id, exception_type, CASE WHEN exception_type = 'amount_variance' AND abs(variance_amount) > 1000 THEN 'high' ELSE 'medium' END AS severity,
+@query("r03_raise_exceptions", "invoice_id bigint, exception_type string, severity string, title string, description string, expected_value string, actual_value string, field_name string, status string, priority int, variance_amount decimal(18,2), due_date date",
+       f"""SELECT b.invoice_id, exception_type,
+           CASE exception_type WHEN 'amount_variance' THEN 'Invoice amount differs significantly from PO amount' WHEN 'vendor_mismatch' THEN 'Invoice vendor does not match PO vendor' ELSE 'This match requires manual review' END AS description,
+           CASE exception_type WHEN 'amount_variance' THEN CAST(po_amount AS VARCHAR) WHEN 'vendor_mismatch' THEN pv.name END AS expected_value,
+           CASE exception_type WHEN 'amount_variance' THEN CAST(invoice_amount AS VARCHAR) WHEN 'vendor_mismatch' THEN iv.name END AS actual_value,
+           CASE exception_type WHEN 'amount_variance' THEN 'total_amount' WHEN 'vendor_mismatch' THEN 'vendor_name' END AS field_name, CASE WHEN exception_type = 'amount_variance' AND abs(variance_amount) > 1000 THEN 'high' ELSE 'medium' END AS severity,
            CASE exception_type WHEN 'amount_variance' THEN 'Invoice Amount Variance' WHEN 'vendor_mismatch' THEN 'Vendor Mismatch' ELSE 'Manual Review Required' END AS title,
            'open' AS status, CASE WHEN invoice_amount > 10000 THEN 1 WHEN exception_type = 'amount_variance' THEN 2 ELSE 3 END AS priority,
-           CASE exception_type WHEN 'amount_variance' THEN variance_amount END AS variance_amount, DATE '2002-01-01' AS due_date FROM ({_BANDRUN}) WHERE match_status = 'exception'""")
+           CASE exception_type WHEN 'amount_variance' THEN variance_amount END AS variance_amount, DATE '2002-01-01' AS due_date FROM ({_BANDRUN}) AS b
+           JOIN invoices i ON i.invoice_id = b.invoice_id JOIN vendors iv ON iv.vendor_id = i.vendor_id LEFT JOIN purchase_orders p ON p.po_id = b.po_id LEFT JOIN vendors pv ON pv.vendor_id = p.vendor_id
+           WHERE match_status = 'exception'""")
 def _(e):
-    return match.band_exceptions(_band(e), doc_as_of())
+    name = e.vendors.select("vendor_id", "name")
+    inv = e.invoices.select("invoice_id", "vendor_id").join(name, "vendor_id").select("invoice_id", c("name").alias("invoice_vendor"))
+    po = e.purchase_orders.select("po_id", "vendor_id").join(name, "vendor_id").select("po_id", c("name").alias("po_vendor"))
+    return match.band_exceptions(_band(e).join(inv, "invoice_id").join(po, "po_id", "left"), doc_as_of())
 
 
 @query("k10_job_summary", "total_processed bigint, matched_count bigint, exception_count bigint",
@@ -595,42 +604,76 @@ def _(e):
 # --- duplicate vendors ---------------------------------------------------------------------------
 
 
-@query("j22_duplicate_pairs", "vendor_id bigint, other_id bigint, score double")
+_DIGITS = "regexp_replace({0}.phone, '[^0-9]', '', 'g')"
+_LONGER = "greatest(length(a.normalized_name), length(b.normalized_name))"
+# All pairs of a tenant are compared.
+_DUPLICATES = f"""SELECT * FROM (SELECT a.vendor_id, b.vendor_id AS other_id,
+        CASE WHEN a.normalized_name = '' OR b.normalized_name = '' THEN 0.0e0 ELSE ({_LONGER} - levenshtein(a.normalized_name, b.normalized_name))::DOUBLE / {_LONGER} END * 100.0e0 * 0.6e0
+        + CASE WHEN lower(a.email) = lower(b.email) THEN 100.0e0 ELSE 0.0e0 END * 0.2e0 + CASE WHEN {_DIGITS.format('a')} = {_DIGITS.format('b')} THEN 100.0e0 ELSE 0.0e0 END * 0.1e0
+        + CASE WHEN a.tax_id = b.tax_id THEN 100.0e0 ELSE 0.0e0 END * 0.1e0 AS score
+    FROM vendors_dirty a JOIN vendors_dirty b ON b.tenant_id = a.tenant_id AND b.vendor_id > a.vendor_id) WHERE score >= 80.0e0 - 0.000000001e0"""
+# Vendors in order of id, each with its smaller neighbours, are folded into the list of leaders.
+_LED = f"""WITH pairs AS ({_DUPLICATES}),
+    nodes AS (SELECT vendor_id AS node FROM pairs UNION SELECT other_id FROM pairs),
+    folded AS (SELECT list_reduce(list_prepend([]::BIGINT[], list(list_prepend(node, coalesce(smaller, []::BIGINT[])) ORDER BY node)),
+        lambda led, item: CASE WHEN list_has_any(led, item[2:]) THEN led ELSE list_append(led, item[1]) END) AS leaders
+        FROM nodes LEFT JOIN (SELECT other_id, list(vendor_id) AS smaller FROM pairs GROUP BY other_id) AS s ON s.other_id = node)
+    SELECT min(vendor_id) AS leader_id, other_id AS member_id, arg_min(score, vendor_id) AS score FROM pairs, folded
+    WHERE list_contains(leaders, vendor_id) AND NOT list_contains(leaders, other_id) GROUP BY other_id"""
+_REVIEW = f"""SELECT m.name AS original_name, l.normalized_name, {sql_round('score', 4)} AS confidence, leader_id AS canonical_vendor_id, CASE WHEN score >= 95 THEN 'approved' ELSE 'pending' END AS status
+    FROM ({_LED}) AS g JOIN vendors_dirty m ON m.vendor_id = member_id JOIN vendors_dirty l ON l.vendor_id = leader_id"""
+
+
+@query("j22_duplicate_pairs", "vendor_id bigint, other_id bigint, score double", f"SELECT vendor_id, other_id, {sql_round('score', 4)} AS score FROM ({_DUPLICATES})")
 def _(e):
     return vendors.duplicate_pairs(e.vendors_dirty).withColumn("score", round_half_up(c("score"), 4))
 
 
-@query("d01_duplicate_groups", "leader_id bigint, member_id bigint, score double")
+@query("d01_duplicate_groups", "leader_id bigint, member_id bigint, score double", f"SELECT leader_id, member_id, {sql_round('score', 4)} AS score FROM ({_LED})")
 def _(e):
     return vendors.duplicate_groups(e.vendors_dirty, e.spark).withColumn("score", round_half_up(c("score"), 4))
 
 
-@query("d02_review_rows", "original_name string, normalized_name string, confidence double, canonical_vendor_id bigint, status string")
+@query("d02_review_rows", "original_name string, normalized_name string, confidence double, canonical_vendor_id bigint, status string", _REVIEW)
 def _(e):
     groups = vendors.duplicate_groups(e.vendors_dirty, e.spark)
     return vendors.review_rows(groups, e.vendors_dirty).withColumn("confidence", round_half_up(c("confidence"), 4))
 
 
+# A vendor merges into the one before it, up to the first of each five; in every third five, the
+# first merges into the last, so these run in a circle.
+_MERGES = """SELECT vendor_id AS dup, vendor_id - 1 AS canon FROM vendors WHERE vendor_id % 5 <> 0
+    UNION ALL SELECT vendor_id, vendor_id + 4 FROM vendors WHERE vendor_id % 15 = 10 AND vendor_id + 4 IN (SELECT vendor_id FROM vendors)"""
+_RESOLVED = f"""WITH RECURSIVE m AS ({_MERGES}), walk AS (SELECT dup, canon AS reached, [dup] AS path FROM m
+        UNION ALL SELECT w.dup, m.canon, list_append(path, m.dup) FROM walk w JOIN m ON m.dup = w.reached WHERE NOT list_contains(path, m.dup))
+    SELECT dup, reached FROM walk WHERE reached NOT IN (SELECT dup FROM m)"""
+
+
 def _merges(e):
-    """Every odd supplier merges into the one before it."""
-    return e.vendors.filter("vendor_id % 2 = 1").select(c("vendor_id").alias("duplicate_vendor_id"), (c("vendor_id") - 1).alias("canonical_vendor_id"))
+    ids = e.vendors.select("vendor_id")
+    chains = ids.filter("vendor_id % 5 <> 0").select(c("vendor_id").alias("duplicate_vendor_id"), (c("vendor_id") - 1).alias("canonical_vendor_id"))
+    back = ids.filter("vendor_id % 15 = 10").withColumn("to", c("vendor_id") + 4).join(ids.select(c("vendor_id").alias("to")), "to")
+    return chains.unionByName(back.select(c("vendor_id").alias("duplicate_vendor_id"), c("to").alias("canonical_vendor_id")))
 
 
 @query("d03_vendor_merge", "source string, vendor_id bigint, records bigint",
-       """SELECT source, vendor_id - vendor_id % 2 AS vendor_id, count(*) AS records FROM (SELECT 'invoices' AS source, vendor_id FROM invoices UNION ALL SELECT 'orders', vendor_id FROM purchase_orders
-          UNION ALL SELECT 'receipts', vendor_id FROM receipts) GROUP BY ALL UNION ALL SELECT 'inactive', vendor_id, 1 FROM vendors WHERE vendor_id % 2 = 1 OR NOT is_active""")
+       f"""SELECT source, coalesce(reached, vendor_id) AS vendor_id, count(*) AS records FROM (SELECT 'invoices' AS source, vendor_id FROM invoices UNION ALL SELECT 'orders', vendor_id FROM purchase_orders
+          UNION ALL SELECT 'receipts', vendor_id FROM receipts) AS t LEFT JOIN ({_RESOLVED}) AS r ON r.dup = t.vendor_id GROUP BY ALL
+          UNION ALL SELECT 'inactive', vendor_id, 1 FROM vendors WHERE NOT is_active OR vendor_id IN (SELECT dup FROM ({_RESOLVED}))
+          UNION ALL SELECT 'refused', dup, 1 FROM ({_MERGES}) WHERE dup NOT IN (SELECT dup FROM ({_RESOLVED}))""")
 def _(e):
-    m = _merges(e)
+    m, refused = vendors.resolve_merges(_merges(e))
     out = None
     for label, df in (("invoices", e.invoices), ("orders", e.purchase_orders), ("receipts", e.receipts)):
         part = vendors.rewrite_vendor(df, m).groupBy("vendor_id").agg(F.count("*").alias("records")).withColumn("source", F.lit(label))
         out = part if out is None else out.unionByName(part)
     gone = vendors.deactivate_merged(e.vendors, m).filter("not is_active").select("vendor_id", F.lit(1).cast("bigint").alias("records"), F.lit("inactive").alias("source"))
-    return out.unionByName(gone)
+    circles = refused.select(c("duplicate_vendor_id").alias("vendor_id"), F.lit(1).cast("bigint").alias("records"), F.lit("refused").alias("source"))
+    return out.unionByName(gone).unionByName(circles)
 
 
 @query("d06_duplicate_on_create", "vendor_id bigint, name string",
-       "SELECT vendor_id, name FROM vendors_dirty d WHERE vendor_id % 10 = 1 AND normalized_name IN (SELECT normalized_name FROM vendors_dirty WHERE vendor_id % 10 = 0)")
+       "SELECT vendor_id, name FROM vendors_dirty d WHERE vendor_id % 10 = 1 AND EXISTS (SELECT 1 FROM vendors_dirty s WHERE s.vendor_id % 10 = 0 AND s.tenant_id = d.tenant_id AND s.normalized_name = d.normalized_name)")
 def _(e):
     stored = e.vendors_dirty.filter("vendor_id % 10 = 0").select("tenant_id", "normalized_name")
     return e.vendors_dirty.filter("vendor_id % 10 = 1").join(stored, ["tenant_id", "normalized_name"], "left_semi")

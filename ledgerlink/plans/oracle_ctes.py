@@ -198,6 +198,7 @@ ENTITY_SQL: dict[str, str] = {
                      CAST(sum(line_value) AS DECIMAL(15,2)) AS total_value
               FROM receipt_lines GROUP BY po_id, receipt_id) AS s
         JOIN purchase_orders p ON p.po_id = s.po_id""",
+    "stored_invoices": "SELECT * FROM invoices WHERE ((invoice_id - 1) // 100) % 2 = 0",
     "import_rows": """
         SELECT tenant_id, CAST(floor(k / 200) AS BIGINT) AS import_batch_id, CAST(k % 200 + 2 AS INTEGER) AS row_number,
                CASE WHEN m = 10 THEN '  ' ELSE 'INV-' || lpad(CAST(CASE WHEN m = 8 THEN k - 8 ELSE k END AS VARCHAR), 12, '0') END AS invoice_number,

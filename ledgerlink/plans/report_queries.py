@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ledgerlink.functions.numeric import round_half_up
-from ledgerlink.operators import report
+from ledgerlink.operators import report, retention, vendors
+from ledgerlink.plans.match_queries import _REVIEW
 from ledgerlink.plans.oracle_ctes import sql_percent, sql_round
 from ledgerlink.plans.registry import stored_query as query
 from ledgerlink.sources.entities import doc_as_of, event_as_of
@@ -88,11 +89,14 @@ def _(e):
     return e.match_results.agg(round_half_up(mean, 2).alias("avg_seconds"), F.count_if(c("created_at").cast("date") == F.lit("2024-01-30").cast("date")).alias("results_today"))
 
 
-@query("a15_vendor_statistics", "active bigint, twins bigint",
-       "SELECT (SELECT count(*) FROM vendors WHERE is_active) AS active, (SELECT count(*) FROM vendors_dirty WHERE vendor_id % 10 = 1 AND email IS NULL) AS twins")
+@query("a15_vendor_statistics", "active bigint, pending_duplicates bigint, approved_duplicates bigint",
+       f"""SELECT (SELECT count(*) FROM vendors WHERE is_active) AS active, count(*) FILTER (WHERE status = 'pending') AS pending_duplicates,
+           count(*) FILTER (WHERE status = 'approved') AS approved_duplicates FROM ({_REVIEW})""")
 def _(e):
-    pending = e.vendors_dirty.agg(F.count_if((c("vendor_id") % 10 == 1) & c("email").isNull()).alias("twins"))
-    return e.vendors.agg(F.count_if("is_active").alias("active")).join(F.broadcast(pending))
+    """Active vendors, and the review rows of duplicates by state."""
+    rows = vendors.review_rows(vendors.duplicate_groups(e.vendors_dirty, e.spark), e.vendors_dirty)
+    states = rows.agg(F.count_if(c("status") == "pending").alias("pending_duplicates"), F.count_if(c("status") == "approved").alias("approved_duplicates"))
+    return e.vendors.agg(F.count_if("is_active").alias("active")).join(F.broadcast(states))
 
 
 @query("a16_report_summary", "total_results bigint, matched bigint, match_rate double, avg_confidence double, total_exceptions bigint, avg_resolution_hours double",
@@ -125,14 +129,14 @@ def _(e):
 @query("k06_audit_retention", "source string, kept bigint, removed bigint",
        f"SELECT 'matching_audit' AS source, count(*) FILTER (WHERE created_at >= {_NOW} - INTERVAL 20 DAY) AS kept, count(*) FILTER (WHERE created_at < {_NOW} - INTERVAL 20 DAY) AS removed FROM match_results")
 def _(e):
-    return report.retention([("matching_audit", e.match_results, c("created_at"))], event_as_of() - F.expr("interval 20 days"))
+    return retention.expired_counts(e.spark, [("matching_audit", e.match_results.select("match_result_id", "invoice_id", "created_at"), "created_at")], event_as_of() - F.expr("interval 20 days"))
 
 
 @query("k07_security_retention", "kept bigint, removed bigint",
        f"""SELECT sum(k) AS kept, sum(r) AS removed FROM (SELECT count(*) FILTER (WHERE occurred_at >= {_NOW} - INTERVAL 20 DAY) AS k, count(*) FILTER (WHERE occurred_at < {_NOW} - INTERVAL 20 DAY) AS r FROM security_audit
            UNION ALL SELECT count(*) FILTER (WHERE attempted_at >= {_NOW} - INTERVAL 20 DAY), count(*) FILTER (WHERE attempted_at < {_NOW} - INTERVAL 20 DAY) FROM auth_attempts)""")
 def _(e):
-    parts = report.retention([("security_audit", e.security_audit, c("occurred_at")), ("auth_attempts", e.auth_attempts, c("attempted_at"))], event_as_of() - F.expr("interval 20 days"))
+    parts = retention.expired_counts(e.spark, [("security_audit", e.security_audit, "occurred_at"), ("auth_attempts", e.auth_attempts, "attempted_at")], event_as_of() - F.expr("interval 20 days"))
     return parts.agg(F.sum("kept").alias("kept"), F.sum("removed").alias("removed"))
 
 

@@ -212,10 +212,12 @@ def _(e):
     return _hygiene(e)
 
 
-@query("a35_findings_report", "findings bigint, security_score double",
-       f"SELECT count(*) AS findings, {sql_round('greatest(0.0e0, 100.0e0 - CAST(sum(weight) AS DOUBLE) / (count(*) * 25.0e0) * 100.0e0)', 4)} AS security_score FROM ({_HYG}) AS h JOIN risk_weights w ON w.risk_level = h.risk_level")
+@query("a35_findings_report", "section string, label string, findings bigint, security_score double",
+       f"""SELECT 'total' AS section, 'all' AS label, count(*) AS findings, {sql_round('greatest(0.0e0, 100.0e0 - CAST(sum(weight) AS DOUBLE) / (count(*) * 25.0e0) * 100.0e0)', 4)} AS security_score FROM ({_HYG}) AS h JOIN risk_weights w ON w.risk_level = h.risk_level
+           UNION ALL SELECT 'risk', w.risk_level, count(title), NULL FROM risk_weights w LEFT JOIN ({_HYG}) AS h ON h.risk_level = w.risk_level GROUP BY w.risk_level
+           UNION ALL SELECT 'category', category, count(*), NULL FROM ({_HYG}) GROUP BY category""")
 def _(e):
-    return security.findings_score(_hygiene(e), e.config("risk_weights"))
+    return security.findings_report(_hygiene(e), e.config("risk_weights"))
 
 
 # --- permissions -------------------------------------------------------------------------------
@@ -242,12 +244,12 @@ def _(e):
     return _active(e).join(F.broadcast(e.config("roles")), "role_id")
 
 
-@query("j20_visible_lines", "invoice_line_id bigint, invoice_id bigint",
-       "SELECT l.invoice_line_id, l.invoice_id FROM invoice_lines l WHERE invoice_id IN (SELECT invoice_id FROM invoices WHERE tenant_id IN (SELECT tenant_id FROM users WHERE user_id = 1))")
+@query("j20_visible_lines", "user_id bigint, lines bigint, total decimal(18,2), first_line bigint",
+       """SELECT u.user_id, count(l.invoice_line_id) AS lines, coalesce(sum(l.line_total), 0) AS total, min(l.invoice_line_id) AS first_line FROM users u
+          LEFT JOIN (SELECT i.tenant_id, x.* FROM invoice_lines x JOIN invoices i ON i.invoice_id = x.invoice_id) AS l ON l.tenant_id = u.tenant_id GROUP BY u.user_id""")
 def _(e):
-    mine = e.users.filter("user_id = 1").select("tenant_id")
-    seen = e.invoices.join(mine, "tenant_id", "left_semi").select("invoice_id")
-    return e.invoice_lines.join(seen, "invoice_id", "left_semi")
+    """What each user sees. Lines are summed per tenant before users meet them."""
+    return security.visible_totals(e.users, e.invoices, e.invoice_lines)
 
 
 @query("j23_role_closure", "role_id int, ancestor_id int, users bigint",

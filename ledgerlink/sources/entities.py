@@ -277,6 +277,12 @@ class Entities:
             F.when(key % 9 == 0, "pending").otherwise("accepted").alias("status"),
         )
 
+    @cached_property
+    def stored_invoices(self) -> DataFrame:
+        """Invoices that are in the system when an import runs. Import rows repeat all invoices, so
+        that some are known and some new, every other fifty order numbers are stored."""
+        return self.invoices.filter(F.floor((F.col("invoice_id") - 1) / 100) % 2 == 0)
+
     # --- import rows -------------------------------------------------------------
 
     @cached_property
