@@ -106,9 +106,51 @@ def _(e):
     return _batch(out).withColumnRenamed("column", "name")
 
 
-@query("s04_file_encodings", "import_batch_id bigint, encoding string", "SELECT DISTINCT import_batch_id, 'utf-8' AS encoding FROM import_rows", stored=True)
+_NAMES = "['utf-8', 'utf-16', 'ascii', 'iso-8859-1', 'windows-1252'][import_batch_id % 5 + 1]"
+_MARKS = "['Zürich €', 'Łódź €', 'Basel', 'Zürich', 'Zürich – €'][import_batch_id % 5 + 1]"
+
+
+def encoded_folder(e) -> str:
+    """Number, vendor and place of the import rows, a file per batch, in five encodings by batch."""
+    path = scratch_path(e.spark, "encoded-files")
+    marks = ["Zürich €", "Łódź €", "Basel", "Zürich", "Zürich – €"]
+    place = F.element_at(F.array(*map(F.lit, marks)), (c("import_batch_id") % 5 + 1).cast("int"))
+    rows = e.import_rows.select("import_batch_id", "row_number", F.trim("invoice_number").alias("invoice_number"), "vendor_name", place.alias("place"))
+
+    def write(key, group):
+        """Batches are some hundred rows; the file is written under a name of its own."""
+        import csv
+        import io
+
+        import pyarrow as pa
+        import pyarrow.fs
+
+        batch = key[0].as_py()
+        text = io.StringIO()
+        out = csv.writer(text, lineterminator="\n")
+        out.writerow(["batch", "invoice_number", "vendor_name", "place"])
+        for r in sorted(group.to_pylist(), key=lambda r: r["row_number"]):
+            out.writerow([batch, r["invoice_number"], r["vendor_name"], r["place"]])
+        fs, base = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        fs.create_dir(f"{base}/batch={batch}", recursive=True)
+        with fs.open_output_stream(f"{base}/batch={batch}/rows.csv") as f:
+            f.write(text.getvalue().encode(csv_files.ENCODINGS[batch % 5]))
+        return pa.table({"batch": [batch]})
+
+    rows.groupBy("import_batch_id").applyInArrow(write, "batch long").count()
+    return path
+
+
+@query("s04_file_encodings", "import_batch_id bigint, encoding string", f"SELECT DISTINCT import_batch_id, {_NAMES} AS encoding FROM import_rows", stored=True)
+def _(e):
+    return _batch(csv_files.detect_encodings(e.spark, encoded_folder(e)))
+
+
+@query("s04_decoded_rows", "import_batch_id bigint, row_number int, invoice_number string, vendor_name string, place string",
+       f"SELECT import_batch_id, row_number() OVER (PARTITION BY import_batch_id ORDER BY row_number) + 1 AS row_number, nullif(trim(invoice_number), '') AS invoice_number, nullif(vendor_name, '') AS vendor_name, {_MARKS} AS place FROM import_rows", stored=True)
 def _(e):
-    return _batch(csv_files.detect_encodings(e.spark, import_folder(e)))
+    rows = csv_files.read_detected(e.spark, encoded_folder(e), ["batch", "invoice_number", "vendor_name", "place"])
+    return rows.withColumnRenamed("batch", "import_batch_id")
 
 
 @query("s05_file_delimiters", "import_batch_id bigint, delimiter string",

@@ -317,7 +317,22 @@ def _(e):
     return numbered.join(e.purchase_orders.select("tenant_id", "po_number", "po_id"), ["tenant_id", "po_number"], "left")
 
 
-@query("w12_vendor_code_counter", "tenant_id int, vendor_name string, vendor_code string")
+def _coded(names: str, taken: str) -> str:
+    """Codes of the names of ``names`` (tenant_id, vendor_name), behind those of ``taken``."""
+    return f"""SELECT tenant_id, vendor_name, CASE WHEN first THEN base ELSE stem || CASE WHEN k + used < 10 THEN '0' || (k + used) ELSE CAST(k + used AS VARCHAR) END END AS vendor_code
+        FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, stem, first ORDER BY draw, vendor_name) AS k
+        FROM (SELECT b.*, n = 1 AND NOT EXISTS (SELECT 1 FROM ({taken}) AS t WHERE t.tenant_id = b.tenant_id AND t.vendor_code = base) AS first,
+                     coalesce((SELECT coalesce(max(TRY_CAST(nullif(regexp_extract(vendor_code, '^.{{4}}([0-9]{{2,}})$', 1), '') AS BIGINT)), 1) FROM ({taken}) AS t WHERE t.tenant_id = b.tenant_id AND substring(t.vendor_code, 1, 4) = stem), 1) AS used
+        FROM (SELECT *, substring(base, 1, 4) AS stem, substring(md5(vendor_name), 1, 3) AS draw, row_number() OVER (PARTITION BY tenant_id, base ORDER BY substring(md5(vendor_name), 1, 3), vendor_name) AS n
+        FROM (SELECT tenant_id, vendor_name, CASE WHEN length(b) < 3 THEN rpad(b, 3, 'X') ELSE b END AS base
+        FROM (SELECT DISTINCT tenant_id, vendor_name, substring(regexp_replace(upper(vendor_name), '[^A-Z0-9]', '', 'g'), 1, 6) AS b FROM ({names}))) AS named) AS b))"""
+
+
+_TAKEN = _coded("SELECT tenant_id, name AS vendor_name FROM vendors", "SELECT NULL::INT AS tenant_id, NULL::VARCHAR AS vendor_code")
+
+
+@query("w12_vendor_code_counter", "tenant_id int, vendor_name string, vendor_code string",
+       _coded("SELECT tenant_id, vendor_name FROM parsed_rows WHERE vendor_name IS NOT NULL", _TAKEN))
 def _(e):
     taken = names.assign_vendor_codes(e.vendors.select("tenant_id", c("name").alias("vendor_name")))
     new = e.parsed_rows.filter("vendor_name is not null").select("tenant_id", "vendor_name").distinct()

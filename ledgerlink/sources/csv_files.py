@@ -7,22 +7,18 @@ offset in the file. This works for whole-file (quoted line breaks) and splittabl
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ledgerlink.functions.parse import date_like, numeric_text
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from ledgerlink.session import staged
 
 c = F.col
 
-# Encodings in the order they are tried, delimiters in the order ties resolve.
+# Encodings, delimiters in the order ties resolve.
 ENCODINGS = ["utf-8", "utf-16", "ascii", "iso-8859-1", "windows-1252"]
 DELIMITERS = [",", "\t", "|", ";"]
 HEADER_WORDS = ["invoice", "vendor", "amount", "date", "number", "total", "tax"]
@@ -43,7 +39,7 @@ def _place() -> list[Column]:
     return [c("_metadata.file_path").alias("file"), c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")]
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",", header: bool = True,
+def read_csv(spark: SparkSession, path: str | list[str], columns: list[str], sep: str = ",", header: bool = True,
              encoding: str = "utf-8", multi_line: bool = True) -> DataFrame:
     """All-string scan of files with one dialect, plus ``file`` and ``row_number``.
 
@@ -89,26 +85,44 @@ def read_plain(lines: DataFrame, sep: str) -> DataFrame:
 # --- per-file profiles -------------------------------------------------------------------
 
 
-def _decodable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = []
-        for content in batch["content"]:
-            for name in ENCODINGS:
-                try:
-                    bytes(content).decode(name)
-                    found.append(name)
-                    break
-                except UnicodeDecodeError:
-                    continue
-            else:
-                found.append("utf-8")
-        yield pd.DataFrame({"file": batch["file"], "encoding": found})
+def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """(file, encoding) of all text files below ``path``, judged by the bytes of all their lines.
 
+    A byte-order mark means UTF-16. Else bytes below 128 only are ASCII, bytes that are valid UTF-8
+    are that; of the rest, files with bytes from 80 to 9F, which ISO-8859-1 gives no characters, are
+    Windows-1252. Lines are scanned in blocks and summed per file; no file is one cell.
+    """
+    scan = spark.read.option("recursiveFileLookup", True).text(path).select(c("value").alias("line"), *_place())
+    lines = scan.select("file", "block", "seq", "line", F.hex(c("line").cast("binary")).alias("bytes"))
+    per = lines.groupBy("file").agg(
+        F.min_by(F.substring("bytes", 1, 4), F.struct("block", "seq")).alias("start"), F.bool_or(c("bytes").rlike("^(..)*?[89A-F]")).alias("high"),
+        F.bool_and(F.is_valid_utf8("line")).alias("valid"), F.bool_or(c("bytes").rlike("^(..)*?[89]")).alias("control"))
+    kind = (F.when(c("start").isin("FFFE", "FEFF"), "utf-16").when(~c("high"), "ascii").when(c("valid"), "utf-8").when(c("control"), "windows-1252").otherwise("iso-8859-1"))
+    return per.select("file", kind.alias("encoding"))
 
-def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """(file, encoding): the first encoding in the list that decodes the whole file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(c("path").alias("file"), "content")
-    return files.mapInPandas(_decodable, "file string, encoding string")
+
+#: What bytes 80 to 9F stand for in Windows-1252; the five that stand for nothing keep their code.
+_HIGH = bytes(range(0x80, 0xA0))
+_FROM_LATIN = _HIGH.decode("iso-8859-1")
+_TO_WINDOWS = "".join(bytes([b]).decode("windows-1252", "ignore") or chr(b) for b in _HIGH)
+
+
+def read_detected(spark: SparkSession, path: str, columns: list[str], sep: str = ",", header: bool = True) -> DataFrame:
+    """All-string scan of files in mixed encodings, each read in the one found for it.
+
+    There is one scan per encoding that occurs, at most as many as there are ``ENCODINGS``.
+    Windows-1252 is read as ISO-8859-1, from which it differs in 32 characters that are put right
+    afterwards.
+    """
+    files = staged(detect_encodings(spark, path), "encodings")
+    out = None
+    for encoding in sorted(r[0] for r in files.select("encoding").distinct().collect()):
+        paths = [r[0] for r in files.filter(c("encoding") == encoding).select("file").collect()]
+        rows = read_csv(spark, paths, columns, sep, header, "iso-8859-1" if encoding == "windows-1252" else {"ascii": "us-ascii"}.get(encoding, encoding))
+        if encoding == "windows-1252":
+            rows = rows.select(*(F.translate(x, _FROM_LATIN, _TO_WINDOWS).alias(x) for x in columns), "file", "row_number")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def detect_delimiters(lines: DataFrame, sample: int = 10) -> DataFrame:
