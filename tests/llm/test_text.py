@@ -198,5 +198,7 @@ def test_id_files(spark):
 def test_piece_cache_forgets_and_relearns(monkeypatch):
     monkeypatch.setattr(id_files, "CACHE_PIECES", 3)
     encode = id_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
-    text = "one two three four five one six seven two"
-    assert encode(text) == encode(text) == id_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))(text)
+    texts = ["one two three four five one six seven two", None, "", "a¤b ¤ one ¬ x¬¦ §¶", "two ¤"]
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = [array.array("I", own.encode(t or "", add_special_tokens=False).ids + [1]).tobytes() for t in texts]
+    assert encode(texts) == encode(texts) == id_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))(texts) == want
