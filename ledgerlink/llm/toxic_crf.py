@@ -7,10 +7,12 @@ toxic documents and hardly ever in clean ones; all other words are clean. Weight
 gradient steps on the exact likelihood, from forward-backward marginals.
 
 Scoring runs forward and backward over every whole text. Words with a marginal of one half or more
-form the offending spans; the highest log-odds and the expected number of toxic words give the
-document's score through a logistic fit on the same labelled sample.
+form the offending spans. The highest log-odds and the expected toxic words of the densest run of
+``RUN_WORDS`` words give the document's score through a logistic fit. Both are maxima over the text,
+so a text does not come out toxic for being long: it scores what its worst passage scores. The fit
+is made on the whole texts of the labelled sample, which tasks reduce to these two numbers.
 
-The sample holds at most ``SAMPLE_TOXIC`` + ``SAMPLE_CLEAN`` labelled documents. Of a text of more than
+The sample of the chain holds at most ``SAMPLE_TOXIC`` + ``SAMPLE_CLEAN`` labelled documents. Of a text of more than
 ``SAMPLE_CHARS`` characters it holds ``PIECES`` pieces of ``PIECE_CHARS`` characters, drawn by hash from
 the whole text, so length does not decide whether a label is learned from. Null and empty texts have no words and get the score of that. Rows
 with equal ids are scored one by one. Without labels of both kinds every score is the share of
@@ -41,6 +43,7 @@ MIN_DOCS = 4
 MIN_SHARE = 0.01
 MIN_PURITY = 0.97
 SEGMENT = 32
+RUN_WORDS = 64
 STEPS = 80
 SPANS = "array<struct<start:long,end:long>>"
 _PUNCTUATION = np.array([chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for b in range(128)] + [False] * 128)
@@ -193,11 +196,16 @@ def label_words(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.
 
 
 def summaries(odds: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
-    """Highest log-odds and log of the expected toxic words of each text, and a constant."""
+    """Highest log-odds of each text, log of the expected toxic words of its densest run, and a
+    constant."""
     top = np.full(docs, -12.0)
     np.maximum.at(top, doc, np.clip(odds, -12, 12))
-    expected = np.bincount(doc, 1 / (1 + np.exp(-np.clip(odds, -30, 30))), minlength=docs)
-    return np.column_stack([top, np.log1p(expected), np.ones(docs)])
+    sums = np.concatenate([[0.0], np.cumsum(1 / (1 + np.exp(-np.clip(odds, -30, 30))))])
+    ends = np.cumsum(np.bincount(doc, minlength=docs))[doc]
+    at = np.arange(len(doc))
+    densest = np.zeros(docs)
+    np.maximum.at(densest, doc, sums[np.minimum(at + RUN_WORDS, ends)] - sums[at])
+    return np.column_stack([top, np.log1p(densest), np.ones(docs)])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -223,7 +231,11 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     features, doc = np.concatenate(parts), np.concatenate(docs)
     model = fit_chain(features, doc, label_words(features, doc, toxic))
     odds = marginal_odds(model.potentials(features, doc), np.bincount(doc, minlength=len(toxic)), model.moves)
-    x = summaries(odds, doc, len(toxic))
+    return calibrated(model, summaries(odds, doc, len(toxic)), toxic)
+
+
+def calibrated(model: Model, x: np.ndarray, toxic: np.ndarray) -> Model:
+    """``model`` with the logistic fit of labels to the ``summaries`` of their texts."""
     return Model(model.own, model.left, model.right, model.moves, fit_logistic(x, toxic.astype(float)))
 
 
@@ -236,17 +248,42 @@ def excerpt(text: Column, doc_id: Column) -> Column:
     return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.array_join(pieces, "\n"))
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Bounded labelled sample: of each kind the ids with the lowest hash, picked before any text
-    is read, so the ids are safe to broadcast."""
+def picked_labels(labels: DataFrame) -> DataFrame:
+    """Bounded labelled sample (doc_id, toxic): of each kind the ids with the lowest hash, picked
+    before any text is read, so the ids are safe to broadcast."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = lowest_hashes(known.where("toxic = 1"), SAMPLE_TOXIC, "toxic", "doc_id").union(
+    return lowest_hashes(known.where("toxic = 1"), SAMPLE_TOXIC, "toxic", "doc_id").union(
         lowest_hashes(known.where("toxic = 0"), SAMPLE_CLEAN, "toxic", "doc_id"))
-    found = docs.where("text is not null").join(F.broadcast(picked), "doc_id")
+
+
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Texts, long ones in excerpts, and labels of the sample."""
+    found = docs.where("text is not null").join(F.broadcast(picked_labels(labels)), "doc_id")
     rows = found.select("doc_id", excerpt(F.col("text"), F.col("doc_id")).alias("text"), "toxic").toPandas().sort_values(["doc_id", "text"])
     return rows["text"].tolist(), rows["toxic"].to_numpy(np.int64)
 
 
+def _document_odds(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, ta.TextSlice, np.ndarray]]:
+    for batch in batches:
+        for rows, t in ta.slices(batch, lower=True):
+            yield rows, t, marginal_odds(model.potentials(word_features(t), t.doc), t.n_words, model.moves)
+
+
+def whole_text_fit(docs: DataFrame, labels: DataFrame, trained: Model) -> Model:
+    """``trained`` with the score fitted to whole texts of the sample: two numbers per text and its
+    label leave the tasks."""
+    model = docs.sparkSession.sparkContext.broadcast(trained)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, t, odds in _document_odds(model.value, batches):
+            x = summaries(odds, t.doc, t.docs)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), rows.column("toxic")], ["top", "dense", "toxic"])
+
+    found = docs.where("text is not null").join(F.broadcast(picked_labels(labels)), "doc_id").select("text", F.col("toxic").cast("int"))
+    rows = found.mapInArrow(run, "top double, dense double, toxic int").toPandas().sort_values(["top", "dense", "toxic"])
+    return calibrated(trained, np.column_stack([rows["top"], rows["dense"], np.ones(len(rows))]), rows["toxic"].to_numpy())
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score and offending spans (character offsets) per row of ``docs`` (doc_id, text).
     ``labels`` (doc_id, toxic) holds the labels that may be learned from."""
@@ -254,27 +291,25 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if len(set(toxic.tolist())) < 2:
         share = float(toxic.mean()) if len(toxic) else 0.0
         return docs.select("doc_id", F.lit(share).alias("score"), F.array().cast(SPANS).alias("spans"))
-    trained = train(texts, toxic)
+    trained = whole_text_fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), train(texts, toxic))
     model = docs.sparkSession.sparkContext.broadcast(trained)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        for batch in batches:
-            for rows, t in ta.slices(batch, lower=True):
-                odds = marginal_odds(m.potentials(word_features(t), t.doc), t.n_words, m.moves)
-                score = 1 / (1 + np.exp(-np.clip(summaries(odds, t.doc, t.docs) @ m.logistic, -30, 30)))
-                hot = np.flatnonzero(odds >= 0)
-                opens = np.ones(len(hot), bool)
-                opens[1:] = (np.diff(hot) > 1) | (t.doc[hot[1:]] != t.doc[hot[:-1]])
-                first = np.flatnonzero(opens)
-                last = np.append(first[1:], len(hot)) - 1
-                first, last = hot[first], hot[last[:len(first)]]
-                chars = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])
-                base = chars[t.offsets[t.doc[first]]]
-                spans = pa.StructArray.from_arrays([pa.array(chars[t.start[first]] - base), pa.array(chars[t.end[last]] - base)], fields=list(span))
-                bounds = np.concatenate([[0], np.cumsum(np.bincount(t.doc[first], minlength=t.docs))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(score), pa.ListArray.from_arrays(pa.array(bounds), spans)], ["doc_id", "score", "spans"])
+        for rows, t, odds in _document_odds(m, batches):
+            score = 1 / (1 + np.exp(-np.clip(summaries(odds, t.doc, t.docs) @ m.logistic, -30, 30)))
+            hot = np.flatnonzero(odds >= 0)
+            opens = np.ones(len(hot), bool)
+            opens[1:] = (np.diff(hot) > 1) | (t.doc[hot[1:]] != t.doc[hot[:-1]])
+            first = np.flatnonzero(opens)
+            last = np.append(first[1:], len(hot)) - 1
+            first, last = hot[first], hot[last[:len(first)]]
+            chars = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])
+            base = chars[t.offsets[t.doc[first]]]
+            spans = pa.StructArray.from_arrays([pa.array(chars[t.start[first]] - base), pa.array(chars[t.end[last]] - base)], fields=list(span))
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(t.doc[first], minlength=t.docs))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), pa.array(score), pa.ListArray.from_arrays(pa.array(bounds), spans)], ["doc_id", "score", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, score double, spans {SPANS}")
