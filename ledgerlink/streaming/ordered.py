@@ -111,7 +111,8 @@ def apply_rule(rows: DataFrame, key: str, time: str, rule: OrderedRule, delay: s
     the rule's rows but ``at``, which is made of the time. All rows move the watermark, those that
     ``where`` holds for are answered."""
     timed = rows.withColumn("_seen", c(time).cast("timestamp")).withWatermark("_seen", delay)
-    timed = timed if where is None else timed.filter(where)
+    # A condition that does not name the event time would be moved below the watermark.
+    timed = timed if where is None else timed.filter(F.when(c("_seen").isNotNull(), where))
     fields = [f.split()[0] for f in rule.row.split(", ")][1:]
     shaped = timed.select(key, F.unix_micros("_seen").alias("at"), *fields, "_seen")
     return shaped.groupBy(key).transformWithStateInPandas(rule, rule.output, "Append", "EventTime")
