@@ -28,8 +28,9 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-# The blocks of each source are listed and counted by quotient, each document's place is one
-# running sum over its whole source, and its words are laid over the quota one repeat at a time.
+# The blocks of each source are listed and counted by quotient, ranked by the hash of their number
+# and drawn in that order; each document's place is one running sum over its whole source, and its
+# words are laid over the drawn blocks.
 ORACLE_SQL["op2_source_mix"] = r"""
 WITH sized AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -50,20 +51,24 @@ WITH sized AS (
 ), blocks AS (
     SELECT greatest(1, coalesce(floor(min(target) FILTER (target > 0) / 200), 1))::BIGINT AS block FROM targets
 ), quotas AS (
-    SELECT t.source, t.source_size, t.target, block,
-        least(block * (SELECT count(*) FROM range(1, (target / block + 2)::BIGINT) k(i) WHERE t.target / (2 * i - 1) >= block / 2), cap)::BIGINT AS words,
-        (('0x' || substr(md5('mix-1:' || coalesce(t.source, 'null')), 1, 8))::BIGINT
-            % greatest(1, t.source_size // block)) * block AS first
+    SELECT t.source, t.source_size, t.target, block, ceil(t.source_size / block)::BIGINT AS n_blocks,
+        (SELECT count(*) FROM range(1, (target / block + 2)::BIGINT) k(i) WHERE t.target / (2 * i - 1) >= block / 2)::BIGINT AS quota
     FROM targets t, blocks
+), ranked AS (
+    SELECT source, block, n_blocks, quota, number, row_number() OVER (PARTITION BY source ORDER BY md5('mix-1:' || coalesce(source, 'null') || ':' || number), number) - 1 AS rank
+    FROM (SELECT *, unnest(range(0, n_blocks)) AS number FROM quotas WHERE quota > 0)
+), drawn AS (
+    SELECT source, block, number, count(*) AS times FROM ranked, range(0, 4) turns(turn) WHERE turn * n_blocks + rank < quota GROUP BY ALL
 ), placed AS (
-    SELECT s.doc_id, s.size, q.*, coalesce(sum(s.size) OVER (
+    SELECT s.doc_id, s.size, q.*, row_number() OVER () AS row_no, coalesce(sum(s.size) OVER (
         PARTITION BY s.source ORDER BY md5('mix-1:' || coalesce(s.doc_id::VARCHAR, 'null')), s.doc_id, s.size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
     FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source
+), taken AS (
+    SELECT row_no, sum(times * (least(begins + size, (number + 1) * d.block) - greatest(begins, number * d.block)))::BIGINT AS taken
+    FROM placed p JOIN drawn d ON d.source IS NOT DISTINCT FROM p.source AND number * d.block < begins + size AND (number + 1) * d.block > begins GROUP BY row_no
 )
-SELECT doc_id, size, source_size, target, (SELECT coalesce(sum(greatest(0,
-        least(begins + size + r * source_size, first + words) - greatest(begins + r * source_size, first))), 0) FROM range(0, 5) t(r))::BIGINT AS taken
-FROM placed
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed p LEFT JOIN taken t ON t.row_no = p.row_no
 """
 
 

@@ -101,6 +101,23 @@ def test_mix_rows_hold_the_words_taken(spark):
     assert {k: v for k, v in taken.items() if v} == dict(got)
 
 
+def test_draws_fill_the_shards(spark):
+    """Each shard holds its quota, a turn draws no block twice, and documents stay below the cap."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 40)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = mixing.source_targets(docs.select("source", mixing.n_words(docs["text"]).alias("size")))
+    draws = [tuple(r) for r in mixing.drawn_blocks(targets, 7).collect()]
+    assert len(draws) == len({d[:3] for d in draws})
+    quotas = {(r["source"], r["shard"]): r["blocks"] for r in mixing.shard_quotas(targets, 7).collect() if r["blocks"]}
+    assert quotas == dict(collections.Counter((d[0], d[3]) for d in draws))
+    found = mixing.mix(docs, shards=7).collect()
+    assert all(r["taken"] <= 3 * r["size"] for r in found)
+    for source in ("a", "b", "c", None):
+        own = [r for r in found if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(1, 0.02 * own[0]["target"])
+
+
 def test_set_join(spark):
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 400)}" for _ in range(150)]
