@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ledgerlink.llm import text_arrays as ta
 from ledgerlink.llm.components import components
-from ledgerlink.llm.tables import discard, stage
+from ledgerlink.llm.tables import boxed, discard, stage
 
 SHINGLE = 3
 PERCENT = 90
@@ -274,27 +274,40 @@ def linked_pairs(sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
             return links
 
 
+def _classes(printed: DataFrame, size: int, percent: int) -> DataFrame:
+    """(print1, print2, root) of every set of ``printed`` (rows of ``_prints``): sets with one root
+    reach each other by links."""
+    sets = stage(printed.where("n_shingles > 0").groupBy("print1", "print2").agg(F.first("text").alias("text")).select(
+        F.monotonically_increasing_id().alias("set_no"), "print1", "print2", "text"), "shingle-sets")
+    found = components(linked_pairs(sets, size, percent))
+    rooted = sets.select("set_no", "print1", "print2").join(found, F.col("set_no") == F.col("node"), "left")
+    classes = stage(rooted.select("print1", "print2", F.coalesce("root", "set_no").alias("root")), "set-classes")
+    discard(sets)
+    return classes
+
+
 def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """n_shingles and component_id (smallest doc_id reachable by links) per row of ``docs`` (doc_id, text)."""
     last = F.lit((1 << 63) - 1)
     printed = docs.select("doc_id", "text").mapInArrow(_prints(size), SETS)
-    sets = stage(printed.where("n_shingles > 0").groupBy("print1", "print2").agg(
-        F.min(F.coalesce("doc_id", last)).alias("first"), F.first("text").alias("text")).select(
-        F.monotonically_increasing_id().alias("set_no"), "print1", "print2", "first", "text"), "shingle-sets")
-    found = components(linked_pairs(sets, size, percent))
-    rooted = sets.select("set_no", "print1", "print2", "first").join(found, F.col("set_no") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_no"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("lowest"))
-    classes = stage(rooted.join(lowest, "root").select("print1", "print2", "lowest"), "set-classes")
-    discard(sets)
-    rows = printed.drop("text")
-    joined = rows.join(classes, ["print1", "print2"], "left")
+    rows = printed.drop("text").join(_classes(printed, size, percent), ["print1", "print2"], "left")
+    rows = stage(rows.select("doc_id", "n_shingles", "root"), "set-members")
+    lowest = rows.where("root is not null").groupBy(F.col("root").alias("of")).agg(F.min(F.coalesce("doc_id", last)).alias("lowest"))
+    joined = rows.join(lowest, F.col("root") == F.col("of"), "left")
     lowest_id = F.when(F.col("lowest") != last, F.col("lowest"))
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, lowest_id).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) that stand for their group: those with its
-    smallest id. Documents without words stay; of equal rows one stays; rows without id stay where
-    their group has no id at all."""
-    chosen = groups(docs, size, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("chosen")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs`` (doc_id, text and any others) that stand for their group: of each group
+    the row with the smallest id, of equal ids the first row; rows without id come last. Rows
+    without words are in no group and stay."""
+    rows = stage(boxed(docs, "doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "group-rows")
+    printed = rows.select(F.col("_row").alias("doc_id"), "text").mapInArrow(_prints(size), SETS)
+    classes = _classes(printed, size, percent)
+    members = printed.select(F.col("doc_id").alias("_row"), "n_shingles", "print1", "print2").join(classes, ["print1", "print2"], "left")
+    placed = members.join(rows.select("_row", "doc_id"), "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_row")
+    own = F.when(F.col("n_shingles") == 0, F.col("_row"))
+    chosen = placed.groupBy("root", own.alias("own")).agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(chosen, "_row", "left_semi").select([F.col("_doc")[c].alias(c) for c in docs.columns])

@@ -219,3 +219,31 @@ def test_piece_cache_forgets_and_relearns(monkeypatch):
     own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = [array.array("I", own.encode(t or "", add_special_tokens=False).ids + [1]).tobytes() for t in texts]
     assert encode(texts) == encode(texts) == id_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))(texts) == want
+
+
+def test_one_row_per_group(spark):
+    """Null and repeated ids, rows without words, equal rows, clashing columns, an empty table."""
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, base), (None, base + " x"), (None, None), (5, other), (5, base + " x y"), (5, other), (7, ""), (7, " "), (None, "alone without id here now yes"), (3, other + " z")]
+    docs = spark.createDataFrame([(*r, "r", 1, 2) for r in rows], "doc_id long, text string, root string, _row int, first int")
+    found = set_join.one_per_group(docs, size=5, percent=80)
+    assert found.columns == docs.columns
+    got = collections.Counter((r["doc_id"], r["text"]) for r in found.collect())
+    assert got == collections.Counter([(1, base), (None, None), (7, ""), (7, " "), (None, "alone without id here now yes"), (3, other + " z")])
+    assert set_join.one_per_group(docs.limit(0), size=5, percent=80).collect() == []
+
+
+def test_pipeline_forms_on_hard_rows(spark):
+    """Stages keep the columns of any table; empty tables and null texts pass through them."""
+    long = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, long, "a"), (1, long, "a"), (None, long, None), (2, None, "a"), (3, "", None), (4, long + " more", "b")]
+    schema = "doc_id long, text string, source string, n_chars long, hash string, live int, size string, rank int"
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "h", 1, "s", 2) for r in rows], schema)
+    labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1)], "doc_id long, quality int")
+    for stage in (lambda d: rules.passed(d, labels), substrings.deduplicated, mixing.mixed, lambda d: set_join.one_per_group(d, size=5, percent=80)):
+        assert stage(docs).columns == docs.columns and stage(docs.limit(0)).collect() == []
+    cut = substrings.deduplicated(docs).collect()
+    assert len(cut) == len(rows) and sorted(len((r["text"] or "").split()) for r in cut)[-1] == 400
+    kept = rules.passed(docs, labels).collect()
+    assert all((r["text"] or "").startswith("w0") for r in kept)
