@@ -6,8 +6,7 @@ is read with one look at the index and one frame. The dictionary is trained on t
 of a bounded sample of documents and lies beside the files.
 
 Texts are cut at ASCII white space, where the tokenizer's normalizer and patterns never join
-anything, and distinct pieces are encoded once, many in one call of the tokenizers library, and kept
-by the worker. A null text
+anything, and distinct pieces are encoded once by the tokenizers library and kept by the worker. A null text
 is empty and holds the end id alone. Documents stand in ascending order of id, null ids first,
 equal ids by text.
 """
@@ -16,7 +15,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import os
 import struct
 import uuid
@@ -39,9 +37,7 @@ SAMPLE_DOCS = 1_000
 SAMPLE_CHARS = 10_000
 DICTIONARY_BYTES = 64 << 10
 CACHE_PIECES = 1_000_000
-TOGETHER = 2_000
-FEW_BYTES = 1 << 20
-MARKS = "¤¬¦§¶"
+TAILS = ".,;:!?"
 MAGIC = b"IDSZ0001"
 INDEX_ROW = np.dtype([("doc_id", "<i8"), ("known", "<i8"), ("offset", "<i8"), ("length", "<i8"), ("ids", "<i8")])
 TAIL = "<QQ8s"
@@ -56,73 +52,49 @@ def tokenizer(path: str):
 
 
 class Pieces(dict):
-    """Serialized ids by piece. Two generations bound the memory: a full one becomes the old one,
-    from which pieces still in use come back."""
+    """Serialized ids by piece, encoded when first asked for. Two generations bound the memory: a
+    full one becomes the old one, from which pieces still in use come back.
+
+    Punctuation behind a letter or digit is looked up on its own, if the tokenizer cuts there, so
+    ``word,`` and ``word.`` share the ids of ``word``.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         self.encode = tokenizer(path).encode
         self.old: dict[bytes, bytes] = {}
-        #: A character that is one id of its own marks the ends of pieces that are encoded together.
-        self.mark, self.mark_id = next(((m, ids[0]) for m in MARKS if len(ids := self.encode(m, add_special_tokens=False).ids) == 1), (None, None))
-
-    def learn(self, pieces: set[bytes]) -> None:
-        """Add ``pieces``, the new ones by one call for many of them."""
-        if len(self) + len(pieces) > CACHE_PIECES:
+        cut = tokenizer(path).pre_tokenizer
+        self.splits = cut is not None and all(
+            [t for t, _ in cut.pre_tokenize_str(before + mark + ".")] == [before, mark + "."] for before in ("b", "7") for mark in TAILS)
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            core = piece.rstrip(TAILS.encode()) if self.splits else piece
+            if len(core) < len(piece) and core[-1:].isalnum():
+                ids = self[core] + self[piece[len(core):]]
+            else:
+                ids = array("I", self.encode(piece.decode(), add_special_tokens=False).ids).tobytes()
+        if len(self) >= CACHE_PIECES:
             self.old = dict(self)
             self.clear()
-        known = {p: ids for p in pieces if (ids := self.old.get(p)) is not None}
-        self.update(known)
-        fresh = [p for p in pieces if p not in known]
-        for at in range(0, len(fresh), TOGETHER):
-            self._encode(fresh[at:at + TOGETHER])
-
-    def _encode(self, pieces: list[bytes]) -> None:
-        texts = [p.decode() for p in pieces]
-        if self.mark is not None:
-            ids = np.array(self.encode(f" {self.mark} ".join(texts), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) == len(texts) - 1:
-                bounds = np.concatenate([[-1], ends, [len(ids)]]).tolist()
-                whole = ids.tobytes()
-                self.update((p, whole[4 * a + 4:4 * b]) for p, a, b in zip(pieces, bounds, bounds[1:]))
-                return
-        # A piece holds the mark itself.
-        self.update((p, array("I", self.encode(t, add_special_tokens=False).ids).tobytes()) for p, t in zip(pieces, texts))
+        self[piece] = ids
+        return ids
 
 
 class Encoder:
-    """Serialized ids of texts, each with the end id."""
+    """Serialized ids of a text with the end id. Where the tokenizer has no capitals, ASCII ones are
+    lowered before pieces are looked up."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         self.pieces = Pieces(path)
         self.end = struct.pack("<I", end_id)
+        letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+        self.lowers = all(self.pieces.encode(x.upper() + "e").ids == self.pieces.encode(x + "e").ids for x in letters)
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(text or "").encode().split() for text in texts]
-        found = [list(map(self.pieces.get, words)) for words in split]
-        missing: set[bytes] = set()
-        for words, ids in zip(split, found):
-            if None in ids:
-                missing.update(w for w, i in zip(words, ids) if i is None)
-        if missing:
-            self.pieces.learn(missing)
-            own = {w: self.pieces[w] for w in missing}
-            found = [[own[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids for words, ids in zip(split, found)]
-        return [b"".join(ids) + self.end for ids in found]
-
-
-def _few(column: pa.Array) -> Iterator[list[str | None]]:
-    """The texts of a column, some at a time: about ``FEW_BYTES`` together, one at least."""
-    held, size = [], 0
-    for text in column:
-        held.append(text.as_py())
-        size += len(held[-1] or "")
-        if size >= FEW_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    def __call__(self, text: str | None) -> bytes:
+        body = (text or "").encode()
+        return b"".join(map(self.pieces.__getitem__, (body.lower() if self.lowers else body).split())) + self.end
 
 
 @functools.cache
@@ -137,7 +109,7 @@ def sample_dictionary(docs: DataFrame, path: str) -> bytes:
     train on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"ids": pa.array(encoder(path)(batch.column("text").to_pylist()), pa.binary())})
+            yield pa.RecordBatch.from_pydict({"ids": pa.array(map(encoder(path), batch.column("text").to_pylist()), pa.binary())})
 
     spare = F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)
     piece = F.substr("text", (F.pmod(F.xxhash64(F.lit("piece"), "doc_id", "text"), spare) + 1).cast("int"), F.lit(SAMPLE_CHARS))
@@ -174,11 +146,11 @@ def write(docs: DataFrame, folder: str, path: str, dictionary: bytes) -> DataFra
         compress = _codec(dictionary)[0].compress
         out, at, index, total = None, len(MAGIC) + len(digest), [], 0
         for batch in batches:
-            encoded = itertools.chain.from_iterable(map(encoder(path), _few(batch.column("text"))))
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoded):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 if out is None:
                     out = fs.open_output_stream(name)
                     out.write(MAGIC + digest)
+                ids = encoder(path)(text.as_py())
                 frame = compress(ids)
                 out.write(frame)
                 index.append((doc_id or 0, doc_id is not None, at, len(frame), len(ids) // 4))

@@ -215,10 +215,11 @@ def test_id_files(spark):
 def test_piece_cache_forgets_and_relearns(monkeypatch):
     monkeypatch.setattr(id_files, "CACHE_PIECES", 3)
     encode = id_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["one two three four five one six seven two", None, "", "a¤b ¤ one ¬ x¬¦ §¶", "two ¤"]
+    texts = ["one two three four five one six seven two", None, "", "One, oNE. 7; a), 'x's! ÀB, I\u0307. x\u00a0y? ß:; ..", "TWO ?!"]
     own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = [array.array("I", own.encode(t or "", add_special_tokens=False).ids + [1]).tobytes() for t in texts]
-    assert encode(texts) == encode(texts) == id_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))(texts) == want
+    for _ in range(2):
+        assert [encode(t) for t in texts] == want
 
 
 def test_one_row_per_group(spark):
