@@ -164,7 +164,7 @@ def role_closure(roles: DataFrame) -> DataFrame:
 def user_permissions(active: DataFrame, roles: DataFrame, closure: DataFrame) -> DataFrame:
     """Distinct (user_id, tenant_id, permission) over direct and inherited roles."""
     granted = closure.join(permission_strings(roles).withColumnRenamed("role_id", "ancestor_id"), "ancestor_id").select("role_id", "permission").distinct()
-    return active.select("user_id", "tenant_id", "role_id").join(F.broadcast(granted), "role_id").select("user_id", "tenant_id", "permission").distinct()
+    return active.select("user_id", "tenant_id", "role_id").join(granted, "role_id").select("user_id", "tenant_id", "permission").distinct()
 
 
 def check_permissions(users: DataFrame, requests: DataFrame, permissions: DataFrame) -> DataFrame:

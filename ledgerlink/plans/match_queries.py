@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ledgerlink.functions import fuzzy, scores
 from ledgerlink.functions.numeric import round_half_up
 from ledgerlink.operators import candidates, changes, match, names, vendors
-from ledgerlink.plans.oracle_ctes import sql_round, sql_similarities, sql_soundex, sql_windows
+from ledgerlink.plans.oracle_ctes import sql_round, sql_similarities, sql_soundex, sql_variants, sql_windows
 from ledgerlink.plans.registry import stored_query as query
 from ledgerlink.session import staged
 from ledgerlink.sources.entities import doc_as_of
@@ -35,7 +35,7 @@ def _(e):
 def _(e):
     cfg = match.latest(e.config("match_config").filter("is_active"), ["tenant_id"], [c("created_at")])
     counts = e.invoices.groupBy("tenant_id").agg(F.count("*").alias("invoices"))
-    return F.broadcast(cfg).join(counts, "tenant_id", "left").na.fill(0, ["invoices"])
+    return cfg.join(counts, "tenant_id", "left").na.fill(0, ["invoices"])
 
 
 @query("s12_open_invoices", "invoice_id bigint",
@@ -410,7 +410,14 @@ def _(e):
     return pairs.select("invoice_line_id", F.array_join(F.array_sort(F.array_intersect("a", "b")), " ").alias("shared"), F.size(F.array_union("a", "b")).alias("total_words"))
 
 
-@query("w04_best_vendor_for_name", "tenant_id int, text string, best_match string, score double")
+# Every variant of a text is compared with every name of the tenant.
+@query("w04_best_vendor_for_name", "tenant_id int, text string, best_match string, score double",
+       f"""WITH asked AS (SELECT DISTINCT tenant_id, name AS text FROM vendors_dirty), forms AS (SELECT tenant_id, text, unnest({sql_variants('text')}) AS variant FROM asked),
+               met AS (SELECT DISTINCT f.tenant_id, f.text, variant, v.name FROM forms f JOIN vendors v ON v.tenant_id = f.tenant_id AND v.is_active AND v.name <> '' WHERE text <> ''),
+               scored AS (SELECT m.tenant_id, m.text, m.name, composite FROM met m JOIN ({_alike('SELECT DISTINCT variant AS a, name AS b FROM met')}) AS s ON s.a = m.variant AND s.b = m.name),
+               best AS (SELECT tenant_id, text, min(name) AS best_match, score FROM (SELECT *, max(composite) OVER (PARTITION BY tenant_id, text) AS score FROM scored) WHERE composite = score GROUP BY ALL)
+           SELECT a.tenant_id, a.text, coalesce(best_match, '') AS best_match, coalesce({sql_round('score', 6)}, 0.0e0) AS score FROM asked a
+           LEFT JOIN best b ON b.tenant_id = a.tenant_id AND b.text = a.text AND score > 0""")
 def _(e):
     texts = e.vendors_dirty.select("tenant_id", c("name").alias("text"))
     return names.best_vendor(texts, e.vendors.filter("is_active").select("tenant_id", "name"))
@@ -491,7 +498,7 @@ def _(e):
            FROM score_pairs i LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC) AS n FROM match_config WHERE is_active) WHERE n = 1) AS m ON m.tenant_id = i.tenant_id)""")
 def _(e):
     cfg = match.latest(e.config("match_config").filter("is_active"), ["tenant_id"], [c("created_at")])
-    rows = e.score_pairs.join(F.broadcast(cfg), "tenant_id", "left")
+    rows = e.score_pairs.join(cfg, "tenant_id", "left")
     w = {k: F.coalesce(c(f"{k}_weight").cast("double"), F.lit(v)) for k, v in scores.UNIT_WEIGHTS.items()}
     flag = lambda p: F.when(p, 1.0).otherwise(0.0)
     amount = F.greatest(F.lit(0.0), 1.0 - scores.variance_share(c("inv_amount"), c("po_amount")))
@@ -595,7 +602,7 @@ def _(e):
        """SELECT i.vendor_id AS invoice_vendor, t.tolerance_type, t.priority, count(*) AS invoices FROM tolerances t JOIN invoices i ON i.tenant_id = t.tenant_id
           WHERE t.is_active AND t.tolerance_type = 'price' AND (t.vendor_id IS NULL OR t.vendor_id = i.vendor_id) GROUP BY ALL""")
 def _(e):
-    rules = F.broadcast(e.config("tolerances").filter("is_active and tolerance_type = 'price'").withColumnRenamed("vendor_id", "rule_vendor"))
+    rules = e.config("tolerances").filter("is_active and tolerance_type = 'price'").withColumnRenamed("vendor_id", "rule_vendor")
     counts = e.invoices.groupBy("tenant_id", c("vendor_id").alias("invoice_vendor")).agg(F.count("*").alias("invoices"))
     met = counts.join(rules, "tenant_id").filter("rule_vendor is null or rule_vendor = invoice_vendor")
     return met.groupBy("invoice_vendor", "tolerance_type", "priority").agg(F.sum("invoices").alias("invoices")).orderBy(F.desc("priority"), "invoice_vendor")

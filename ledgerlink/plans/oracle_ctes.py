@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+from ledgerlink.functions import fuzzy
 from ledgerlink.sources.literals import CONFIG_SQL
 
 
@@ -395,3 +396,13 @@ def sql_grams(text: str) -> str:
     words = f"list_filter(regexp_split_to_array(lower(trim({text})), '[ \\t\\r\\n]+'), lambda w: w <> '')"
     cut = "list_transform(range(1, greatest(length(w) + 2 - {0}, 1) + 1), lambda i: substring(' ' || w || ' ', i, {1}))"
     return f"flatten(list_transform({words}, lambda w: list_concat({cut.format(1, 2)}, {cut.format(2, 3)})))"
+
+
+def sql_variants(name: str) -> str:
+    """The text and its scanner variants, one swap each, as a list."""
+    swaps = ", ".join(f"'{key}': {list(subs)}" for key, subs in fuzzy.OCR_SWAPS.items())
+    swapped = f"left(upper({name}), k - 1) || s || substr(upper({name}), k + 1)"
+    return f"""CASE WHEN length({name}) BETWEEN 1 AND {fuzzy.OCR_MAX_LENGTH} THEN list_reduce(
+        list_transform(range(1, length({name}) + 1), lambda k: flatten(list_transform(coalesce(MAP {{{swaps}}}[substr(upper({name}), k, 1)], []), lambda s: [{swapped}, lower({swapped})]))),
+        lambda made, own: CASE WHEN len(own) > 2 AND len(list_distinct(made || own[1:2])) < {fuzzy.OCR_MAX_VARIANTS} THEN list_distinct(made || own) ELSE list_distinct(made || own[1:2]) END,
+        [{name}]) ELSE [{name}] END"""

@@ -7,7 +7,7 @@ from ledgerlink.functions.numeric import round_half_up
 from ledgerlink.operators import names
 from ledgerlink.plans.oracle_ctes import (
     sql_duplicate_name, sql_import_name, sql_numeric_text, sql_read_date, sql_read_money,
-    sql_grams, sql_round, sql_similarities, sql_similarity, sql_soundex, sql_stored_name, sql_windows,
+    sql_grams, sql_round, sql_similarities, sql_similarity, sql_soundex, sql_stored_name, sql_variants, sql_windows,
 )
 from ledgerlink.plans.registry import query
 from ledgerlink.sources.entities import event_as_of
@@ -168,15 +168,8 @@ def _(e):
     return names.tfidf_match(pairs, corpus)
 
 
-_SWAPS = ", ".join(f"'{key}': {list(subs)}" for key, subs in fuzzy.OCR_SWAPS.items())
-
-
 @query("n18_ocr_variants", "vendor_id bigint, variant string",
-       f"""SELECT vendor_id, unnest(CASE WHEN length(name) BETWEEN 1 AND {fuzzy.OCR_MAX_LENGTH} THEN list_reduce(
-               list_transform(range(1, length(name) + 1), lambda k: flatten(list_transform(coalesce(MAP {{{_SWAPS}}}[substr(upper(name), k, 1)], []),
-                   lambda s: [left(upper(name), k - 1) || s || substr(upper(name), k + 1), lower(left(upper(name), k - 1) || s || substr(upper(name), k + 1))]))),
-               lambda made, own: CASE WHEN len(own) > 2 AND len(list_distinct(made || own[1:2])) < {fuzzy.OCR_MAX_VARIANTS} THEN list_distinct(made || own) ELSE list_distinct(made || own[1:2]) END,
-               [name]) ELSE [name] END) AS variant FROM vendors_dirty""")
+       f"SELECT vendor_id, unnest({sql_variants('name')}) AS variant FROM vendors_dirty")
 def _(e):
     return e.vendors_dirty.select("vendor_id", F.explode(fuzzy.ocr_variants(c("name"))).alias("variant"))
 

@@ -241,7 +241,7 @@ def _permissions(e):
 @query("j19_user_active_roles", "user_id bigint, tenant_id int, name string, level int",
        f"SELECT a.user_id, a.tenant_id, r.name, r.level FROM ({_ACTIVE}) AS a JOIN roles r ON r.role_id = a.role_id")
 def _(e):
-    return _active(e).join(F.broadcast(e.config("roles")), "role_id")
+    return _active(e).join(e.config("roles"), "role_id")
 
 
 @query("j20_visible_lines", "user_id bigint, lines bigint, total decimal(18,2), first_line bigint",
