@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript svg iframe select textarea button object math title".split())
+HIDDEN = frozenset("head script style template noscript svg iframe select textarea button title".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -45,15 +46,25 @@ class Page:
 
 
 def parse(source: str, named: Callable[[dict[str, str]], bool] = lambda attrs: False) -> Page:
-    """Nodes and visible text of a page; unclosed and stray tags are taken as browsers would."""
+    """Nodes and visible text of a page; unclosed and stray tags are taken as browsers would.
+
+    The numbers of open elements by tag are kept beside the stack, so a page is read in one pass
+    however deep its elements are nested.
+    """
     nodes = [Node("", -1, 0, 0, {})]
     runs: list[tuple[int, str, bool]] = []
     stack, at = [("", 0)], 0
+    opened: Counter[str] = Counter()
+
+    def close_from(k: int) -> None:
+        opened.subtract(tag for tag, _ in stack[k:])
+        del stack[k:]
+
     while at < len(source):
         match = MARKUP.search(source, at)
         start = match.start() if match else len(source)
         if start > at:
-            runs.append((stack[-1][1], entities.unescape(source[at:start]), any(tag == "a" for tag, _ in stack)))
+            runs.append((stack[-1][1], entities.unescape(source[at:start]), opened["a"] > 0))
         if not match:
             break
         at = match.end()
@@ -63,9 +74,9 @@ def parse(source: str, named: Callable[[dict[str, str]], bool] = lambda attrs: F
         if tag in BLOCK or tag == "br":
             runs.append((-1, " ", False))
         if match["close"]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    close_from(k)
                     break
                 if stack[k][0] in SCOPES and tag not in SCOPES:
                     break
@@ -73,10 +84,11 @@ def parse(source: str, named: Callable[[dict[str, str]], bool] = lambda attrs: F
         if tag in HIDDEN:
             at = _skip(source, at, tag)
             continue
-        for k in range(len(stack) - 1, 0, -1):
+        closes = CLOSES.get(tag, ())
+        for k in range(len(stack) - 1, 0, -1) if any(opened[t] for t in closes) else ():
             own = stack[k][0]
-            if own in CLOSES.get(tag, ()):
-                del stack[k:]
+            if own in closes:
+                close_from(k)
                 break
             if own in SCOPES:
                 break
@@ -88,6 +100,7 @@ def parse(source: str, named: Callable[[dict[str, str]], bool] = lambda attrs: F
             nodes[parent].children.append(node)
         if tag not in VOID and not match["attrs"].rstrip().endswith("/"):
             stack.append((tag, node))
+            opened[tag] += 1
     return Page(nodes, runs)
 
 

@@ -12,7 +12,8 @@ the same parts and with further menus, sidebars, forms, notices and comments put
 trees from relying on one marking. They are made from a bounded sample: the ``SAMPLE_PAGES`` pages
 with the lowest hash among those of at most ``SAMPLE_CHARS`` characters.
 
-A null page is empty; a page without text gives the empty string. Rows with equal ids are read one
+A page is read in one pass up and down, however deep; pages are taken in parts by their length, so a
+very long one is alone in memory. A null page is empty; a page without text gives the empty string. Rows with equal ids are read one
 by one. If no page of the sample marks an article, all visible text is kept but for what stands in
 elements that name themselves as something else.
 """
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,7 @@ SAMPLE_PAGES = 250
 SAMPLE_CHARS = 60_000
 VARIANTS = 3
 PAGES_AT_ONCE = 64
+CHARS_AT_ONCE = 2_000_000
 TEXT = "page_id long, url string, text string"
 # Tags and attribute words by what they usually stand for.
 TAG_GROUPS = [
@@ -100,7 +103,7 @@ def describe(page: dom.Page) -> np.ndarray:
             first[up] = first[k]
     total = max(1, text[0])
     groups = len(WORD_GROUPS)
-    out = np.zeros((n, len(TAG_GROUPS) + 2 * groups + 18), np.int64)
+    out = np.zeros((n, len(TAG_GROUPS) + 2 * groups + 18), np.uint16)
     above: list[tuple[int, int, int]] = [(0, 0, 0)] * n  # word groups, in an article, in an aside part
     for k, node in enumerate(nodes):
         row = out[k]
@@ -275,6 +278,19 @@ def extract(sources: list[str | None], model: boosting.Boosted | None) -> list[s
     return [text_of(page, decode(page.nodes, own, own_weights(page))) for page, own in zip(pages, np.split(logits, ends[:-1]))]
 
 
+def _together(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``PAGES_AT_ONCE`` pages and about ``CHARS_AT_ONCE`` characters, one
+    page at least: their nodes are in memory together."""
+    first, size = 0, 0
+    for k, length in enumerate(pa.compute.binary_length(batch.column("html")).to_pylist()):
+        if k > first and (size + (length or 0) > CHARS_AT_ONCE or k - first == PAGES_AT_ONCE):
+            yield batch.slice(first, k - first)
+            first, size = k, 0
+        size += length or 0
+    if batch.num_rows:
+        yield batch.slice(first)
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url and main text per row of ``pages`` (page_id, url, html)."""
     own = pages.select("page_id", "url", "html")
@@ -283,8 +299,7 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
-                part = batch.slice(at, PAGES_AT_ONCE)
+            for part in _together(batch):
                 texts = extract(part.column("html").to_pylist(), model.value)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

@@ -5,6 +5,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -194,3 +195,49 @@ def test_pipeline(spark, sf_dir):
             assert 0 < docs.count() < before
             before = docs.count()
     assert docs.count() > 0 and docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_decoding_against_enumeration():
+    """The best choice of nodes that keeps nothing below a dropped node, on small trees."""
+    from ledgerlink.llm import dom, main_text
+
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        n = int(rng.integers(1, 12))
+        parents = [-1] + [int(rng.integers(0, k)) for k in range(1, n)]
+        nodes = [dom.Node("", p, 0, 0, {}) for p in parents]
+        logits, weights = rng.normal(0, 2, n), rng.uniform(0.05, 3, n)
+
+        def value(kept):
+            return sum(-np.logaddexp(0, -x) * w if k else -np.logaddexp(0, x) * w for k, x, w in zip(kept, logits, weights))
+
+        choices = []
+        for code in range(2 ** (n - 1)):
+            kept = [True] + [bool(code >> k & 1) for k in range(n - 1)]
+            if all(not kept[k] or kept[parents[k]] for k in range(1, n)):
+                choices.append(value(kept))
+        assert abs(value(main_text.decode(nodes, logits, weights).tolist()) - max(choices)) < 1e-9
+
+
+def test_deep_and_odd_pages():
+    import time
+
+    from ledgerlink.llm import dom
+
+    start = time.perf_counter()
+    for source in ("<div>x" * 60_000, "<div>" * 60_000 + "</section>x" * 60_000, "<a href=x><div>y" * 60_000):
+        assert len(dom.parse(source).nodes) == 60_001
+    assert time.perf_counter() - start < 30
+    page = dom.parse("<p>a <math><mi>x</mi></math> b <a href=1>l</a> c <object data=d>fallback</object><svg><text>no</text></svg><select><option>no</select> d")
+    assert "".join(t for _, t, _ in page.runs).split() == ["a", "x", "b", "l", "c", "fallback", "d"]
+    assert [linked for _, t, linked in page.runs if t.strip() in ("l", "c fallback", "c")] == [True, False]
+
+
+def test_pages_are_taken_by_length(monkeypatch):
+    from ledgerlink.llm import main_text
+
+    monkeypatch.setattr(main_text, "CHARS_AT_ONCE", 10)
+    monkeypatch.setattr(main_text, "PAGES_AT_ONCE", 3)
+    batch = pa.RecordBatch.from_pydict({"html": pa.array(["aaaa", "bbbb", "cccc", None, "d" * 50, "", "", "", "e"])})
+    parts = [p.column("html").to_pylist() for p in main_text._together(batch)]
+    assert [len(p) for p in parts] == [2, 2, 1, 3, 1] and sum(parts, []) == batch.column("html").to_pylist()
