@@ -18,6 +18,8 @@ HEADLINE = [
     "j02_fuzzy_candidates", "v14_row_disposition", "k09_batch_summary", "a01_invoice_totals", "a11_tenant_statistics",
     "a17_daily_metrics", "a22_brute_force", "a37_permission_checks", "w11_sliding_count", "t04_progressive_lockout", "d01_duplicate_groups",
 ]
+# Timed as well, not part of the headline.
+MORE = ["x17_training_rows", "x20_tiered_match", "x02_jaro_similarity", "w04_best_vendor_for_name", "t01_rate_limit_stream"]
 
 
 def main() -> None:
@@ -38,8 +40,11 @@ def main() -> None:
     invoices, orders = entities.invoices.count(), entities.purchase_orders.count()
     for name in HEADLINE:
         clock(name, lambda: QUERIES[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save())
+    total = round(sum(times.values()), 3)
+    for name in MORE:
+        clock(name, lambda: QUERIES[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save())
     print(json.dumps({
-        "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf_dir.rsplit("sf", 1)[-1],
+        "metric": "headline_total", "value": total, "unit": "sec", "queries": times, "sf": sf_dir.rsplit("sf", 1)[-1],
         "invoices": invoices, "brute_force_pairs": invoices * orders,
         "invoices_per_second": {n: round(invoices / times[n]) for n in ("r08_two_way_run", "r02_band_run", "r07_three_way_run", "v14_row_disposition")},
     }))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlink.functions.numeric import round_half_up
 from ledgerlink.functions.scores import contact_similarity
 from ledgerlink.operators import names
 from ledgerlink.session import shared_dir, staged
@@ -150,6 +151,19 @@ def signature_pairs(signed: DataFrame, threshold: float) -> DataFrame:
             .select("sig_a", "sig_b", contact_similarity(*args).alias("score")).filter(c("score") >= threshold - 1e-9))
 
 
+def contact_scores(vendors: DataFrame) -> DataFrame:
+    """(vendor_id, other_id, score, renormalized) of the pairs of a tenant that share an e-mail, phone
+    or tax id, smaller id first. Vendors meet on the shared value; a value is one vendor's own
+    but for its duplicates."""
+    keys = F.array_compact(F.array(F.concat(F.lit("m"), F.lower("email")), F.concat(F.lit("p"), F.regexp_replace("phone", "[^0-9]", "")), F.concat(F.lit("t"), c("tax_id"))))
+    keyed = vendors.select("tenant_id", "vendor_id", F.explode(keys).alias("key"))
+    met = keyed.join(keyed.withColumnRenamed("vendor_id", "other_id"), ["tenant_id", "key"]).filter("vendor_id < other_id").select("vendor_id", "other_id").distinct()
+    sides = [vendors.select(c("vendor_id").alias(k), *[c(f).alias(f"{f}_{s}") for f in _CONTACTS]) for k, s in (("vendor_id", "a"), ("other_id", "b"))]
+    args = [c(f"{f}_{s}") for f in _CONTACTS for s in "ab"]
+    return met.join(sides[0], "vendor_id").join(sides[1], "other_id").select(
+        "vendor_id", "other_id", round_half_up(contact_similarity(*args), 4).alias("score"), round_half_up(contact_similarity(*args, renormalize=True), 4).alias("renormalized"))
+
+
 def duplicate_pairs(vendors: DataFrame, threshold: float = 80.0) -> DataFrame:
     """Vendor pairs (smaller id first) whose contact similarity reaches ``threshold``."""
     signed = _signed(vendors)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlink.functions import fuzzy, parse, scores, text
 from ledgerlink.functions.numeric import round_half_up
-from ledgerlink.operators import names
+from ledgerlink.operators import names, vendors
 from ledgerlink.plans.oracle_ctes import (
     sql_duplicate_name, sql_import_name, sql_numeric_text, sql_read_date, sql_read_money,
     sql_grams, sql_round, sql_similarities, sql_similarity, sql_soundex, sql_stored_name, sql_variants, sql_windows,
@@ -293,17 +293,13 @@ def _(e):
                   CASE WHEN lower(a.email) = lower(b.email) THEN 100.0e0 ELSE 0.0e0 END AS m,
                   CASE WHEN regexp_replace(a.phone, '[^0-9]', '', 'g') = regexp_replace(b.phone, '[^0-9]', '', 'g') THEN 100.0e0 ELSE 0.0e0 END AS p,
                   CASE WHEN a.tax_id = b.tax_id THEN 100.0e0 ELSE 0.0e0 END AS t,
-                  CASE WHEN b.email IS NULL THEN 0.0e0 ELSE 0.2e0 END AS hm, CASE WHEN b.phone IS NULL THEN 0.0e0 ELSE 0.1e0 END AS hp,
-                  CASE WHEN b.tax_id IS NULL THEN 0.0e0 ELSE 0.1e0 END AS ht
-           FROM vendors_dirty a JOIN vendors_dirty b ON b.vendor_id = a.vendor_id + 1 WHERE a.vendor_id % 10 = 0)""")
-def _(e):
-    a = e.vendors_dirty.filter("vendor_id % 10 = 0").alias("a")
-    b = e.vendors_dirty.alias("b")
-    args = [c(f"{s}.{f}") for f in ("normalized_name", "email", "phone", "tax_id") for s in "ab"]
-    return a.join(b, c("b.vendor_id") == c("a.vendor_id") + 1).select(
-        c("a.vendor_id").alias("vendor_id"), c("b.vendor_id").alias("other_id"),
-        round_half_up(scores.contact_similarity(*args), 4).alias("score"),
-        round_half_up(scores.contact_similarity(*args, renormalize=True), 4).alias("renormalized"))
+                  CASE WHEN a.email IS NULL OR b.email IS NULL THEN 0.0e0 ELSE 0.2e0 END AS hm, CASE WHEN a.phone IS NULL OR b.phone IS NULL THEN 0.0e0 ELSE 0.1e0 END AS hp,
+                  CASE WHEN a.tax_id IS NULL OR b.tax_id IS NULL THEN 0.0e0 ELSE 0.1e0 END AS ht
+           FROM vendors_dirty a JOIN vendors_dirty b ON b.tenant_id = a.tenant_id AND b.vendor_id > a.vendor_id
+               AND (lower(a.email) = lower(b.email) OR regexp_replace(a.phone, '[^0-9]', '', 'g') = regexp_replace(b.phone, '[^0-9]', '', 'g') OR a.tax_id = b.tax_id))""")
+def _(e):
+    """All pairs of a tenant's vendors that share an e-mail, phone or tax id."""
+    return vendors.contact_scores(e.vendors_dirty)
 
 
 _STATUS = "CASE WHEN x >= 95 THEN 'matched' WHEN x >= 70 THEN 'partial' WHEN x >= 50 THEN 'exception' ELSE 'failed' END"
