@@ -8,16 +8,16 @@ the back so that lists stay short.
 *Skipping in the lists.* A list is cut into blocks by set size, so only sizes that can link meet.
 Where two sets meet first, all their shingles before that place are unshared, so places whose sum
 exceeds the differences that linked sets can have are skipped.
-*Answers from a similar set.* Lists of ``SHORT_LIST`` sets are one pair. Longer ones are not paired
-off: their members are compared with one of them, the hub. For a member x let D be the hub's shingles it lacks, A those it has beyond the hub, and
-``cost = 10|D| + 9|A|`` (for 90 percent): x links to the hub iff its cost is at most the hub's size.
-Two members share ``|hub| - |D1| - |D2| + s`` shingles, where s counts equal entries of their
-differences, so their answer follows from the hub's: they link iff
-``cost1 + cost2 - |hub| <= 19 s``. Pairs of members that both link to the hub need no look. A pair
-with an unlinked member must share an entry of the differences, which is a join of those alone.
-Members too far from the hub for that go into another round with a hub of their own. Such rests
-are small; the length up to which lists are compared set by set grows fourfold each round, so the
-number of rounds grows with the logarithm of the longest list.
+*Rounds of hubs.* A list is not paired off: its members are compared with one of them, the hub, then
+what is left with four further hubs, then with sixteen, and so on. A hub that was compared leaves
+its lists. Members that link to one hub are one group, and only members of different groups are
+compared in later rounds; lists within one group are done. So a list of near copies costs a few
+comparisons a member, and the number of rounds grows with the logarithm of the longest list.
+*Answers from a similar set.* What a set shares with another is at most what a set similar to it
+shares with that one, and its own shingles beyond the similar set. Each set keeps the hub it is most
+similar to and asks the hub's answers first: pairs that this rules out are not looked at.
+*Sketches.* Numbers of shingles per class of hashes bound what two sets share; the others never
+travel as texts.
 
 Sets are compared by 64-bit hashes of their shingles. Null and empty texts have no set and link
 with nothing. Rows with equal ids are rows of their own sets. A row without id counts as the
@@ -26,14 +26,13 @@ largest, and its group takes the smallest id there is (null if there is none).
 
 from __future__ import annotations
 
-import functools
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ledgerlink.llm import text_arrays as ta
@@ -45,9 +44,9 @@ PERCENT = 90
 FREQUENT_SHINGLES = 100_000
 FREQUENT_FROM = 8
 COUNT_CHUNK = 4_000_000
-SHORT_LIST = 2
-PORTIONS = 3
-SETS = "doc_id long, n_shingles long, print1 long, print2 long, text string"
+MORE_HUBS = 4
+SKETCH = 256
+SETS = "doc_id long, n_shingles long, print1 long, print2 long, sketch binary, text string"
 
 
 def shingles(t: ta.TextSlice, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +76,8 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str = "text"):
 
 
 def _prints(size: int):
-    """Set size and two order-free digests per document."""
+    """Set size, two order-free digests and the sketch per document: shingles per class of their
+    hash, modulo 256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, t in _slices(batches):
@@ -87,9 +87,11 @@ def _prints(size: int):
                 total = np.zeros(t.docs, np.uint64)
                 np.add.at(total, doc, ta.mix(hashes ^ np.uint64(salt)))
                 digests.append(pa.array(total.view(np.int64)))
+            classes = np.bincount(doc * SKETCH + (hashes >> np.uint64(56)).astype(np.int64), minlength=t.docs * SKETCH).astype(np.uint8)
+            sketch = pa.Array.from_buffers(pa.binary(), t.docs, [None, pa.py_buffer(np.arange(0, (t.docs + 1) * SKETCH, SKETCH, dtype=np.int32)), pa.py_buffer(classes)])
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(np.bincount(doc, minlength=t.docs), pa.int64()), *digests, rows.column("text")],
-                ["doc_id", "n_shingles", "print1", "print2", "text"])
+                [rows.column("doc_id"), pa.array(np.bincount(doc, minlength=t.docs), pa.int64()), *digests, sketch, rows.column("text")],
+                ["doc_id", "n_shingles", "print1", "print2", "sketch", "text"])
 
     return run
 
@@ -166,7 +168,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     compress = zstandard.ZstdCompressor(level=6).compress
     for batch in batches:
         texts = [compress((text.as_py() or "").encode()) for text in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("set_no"), pa.array(texts, pa.binary())], ["set_no", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column("set_no"), pa.array(texts, pa.binary()), batch.column("sketch")], ["set_no", "text", "sketch"])
 
 
 def _sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -180,106 +182,111 @@ def _sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def _compared(size: int, percent: int):
-    """Each member against its hub: cost, and the differences where they are few enough to matter.
-    ``near`` is false where no answer can be derived from the hub."""
-    part, rest = percent, 100 - percent
-    # For shares p/100: links iff (100+p)|hub - D| >= p(2|hub| - |D| + |A|).
+def _bounded(percent: int):
+    """(a, b, most) of all pairs, with the most that their sketches let them share, and whether that
+    is enough to link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in ("sketch_a", "sketch_b")]
+            apart = sides[0] - sides[1]  # modulo 256, so the smaller way round is a lower bound
+            least = np.minimum(apart, -apart).astype(np.int64).sum(axis=1)
+            n_a, n_b = (batch.column(k).to_numpy().astype(np.int64) for k in ("n_a", "n_b"))
+            most = (n_a + n_b - least) // 2
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in ("a", "b", "n_a", "n_b")), pa.array(most), pa.array(most * (100 + percent) >= percent * (n_a + n_b))], ["a", "b", "n_a", "n_b", "most", "open"])
+
+    return run
+
+
+def _shared(size: int):
+    """(a, b, n_a, n_b, both): what two sets share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 rows = batch.slice(at, 1000)
-                hubs = rows.column("hub_text").dictionary_encode()
-                hub_sets = _sets_of(hubs.dictionary, size)
-                cost, near, diffs = [], [], []
-                wanted = rows.column("direct").to_pylist()
-                for k, own, direct in zip(hubs.indices.to_pylist(), _sets_of(rows.column("text"), size), wanted):
-                    hub = hub_sets[k]
-                    both = np.intersect1d(hub, own, assume_unique=True)
-                    lost, gained = len(hub) - len(both), len(own) - len(both)
-                    cost.append(100 * lost + part * gained)
-                    # Within twice the linking distance.
-                    close = not direct and 100 * len(both) >= (part - rest) * (lost + gained + len(both))
-                    near.append(close)
-                    diffs.append(np.setxor1d(hub, own, assume_unique=True).view(np.int64) if close else None)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("hub"), rows.column("set_no"), rows.column("hub_n"), pa.array(cost, pa.int64()), pa.array(near), pa.array(diffs, pa.list_(pa.int64()))],
-                    ["hub", "set_no", "hub_n", "cost", "near", "diffs"])
+                firsts = rows.column("text_a").dictionary_encode()
+                first_sets = _sets_of(firsts.dictionary, size)
+                both = [len(np.intersect1d(first_sets[k], own, assume_unique=True))
+                        for k, own in zip(firsts.indices.to_pylist(), _sets_of(rows.column("text_b"), size))]
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in ("a", "b", "n_a", "n_b")), pa.array(both, pa.int64())], ["a", "b", "n_a", "n_b", "both"])
 
     return run
 
 
-def linked_pairs(sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that join all linked sets of ``sets`` (set_no, text) into their groups.
+def _ruled_out(pairs: DataFrame, seen: DataFrame, anchors: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` without those that were seen, and those that a similar set's answer rules out."""
+    left = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    both_ways = seen.select(F.col("a").alias("_h"), F.col("b").alias("_y"), "most").union(seen.select(F.col("b").alias("_h"), F.col("a").alias("_y"), "most"))
+    for own, other in (("a", "b"), ("b", "a")):
+        near = anchors.select(F.col("set_no").alias("_x"), "anchor", "extra")
+        left = left.join(near, F.col(own) == F.col("_x"), "left").join(both_ways, (F.col("anchor") == F.col("_h")) & (F.col(other) == F.col("_y")), "left")
+        can = F.col("most").isNull() | ((F.col("most") + F.col("extra")) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
+        left = left.where(can).select("a", "b", "n_a", "n_b")
+    return left
 
-    Every link is exact, and sets that link stay in one group; links within a group that its other
-    links already join are left out.
-    """
+
+def linked_pairs(sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(node, root) of the sets of ``sets`` (set_no, text, sketch) that link with others; sets that
+    reach each other by links have one root."""
     late = frequent(sets, size)
     rows = sets.select("set_no", "text").mapInArrow(_prefixes(size, percent, late), "shingle long, block int, set_no long, n int, at int")
     # Lists of one set go before anything else is shuffled.
     shared = stage(rows.groupBy("shingle", "block").agg(F.min("set_no").alias("low"), F.max("set_no").alias("high")).where("low <> high").select("shingle", "block"), "lists")
     lists = stage(rows.join(shared, ["shingle", "block"], "left_semi"), "list-members")
     members = lists.select("set_no").distinct()
-    texts = stage(sets.select("set_no", "text").join(members, "set_no", "left_semi").mapInArrow(_packed, "set_no long, text binary"), "listed-sets")
-    links: DataFrame | None = None
+    texts = stage(sets.select("set_no", "text", "sketch").join(members, "set_no", "left_semi").mapInArrow(_packed, "set_no long, text binary, sketch binary"), "listed-sets")
+    spark = sets.sparkSession
+    found = spark.createDataFrame([], "a long, b long, n_a int, n_b int, both long")
+    seen = spark.createDataFrame([], "a long, b long, most long")
+    roots = spark.createDataFrame([], "node long, root long")
+    anchors = spark.createDataFrame([], "set_no long, anchor long, extra long")
     for turn in itertools.count():
-        hubs = lists.groupBy("shingle", "block").agg(F.min("set_no").alias("hub"), F.count("*").alias("members"))
-        met = stage(lists.join(hubs, ["shingle", "block"]), "met")
-        few = SHORT_LIST * 4**turn
-        short, long = met.where(F.col("members") <= few), met.where(F.col("members") > few)
-        ends = short.select("shingle", "block", F.col("set_no").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"))
+        # Hubs come in one order for all lists, so lists of the same sets have the same hubs.
+        order = W.partitionBy("shingle", "block").orderBy(F.xxhash64("set_no"), "set_no")
+        hubs = stage(lists.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MORE_HUBS**turn).drop("place"), "hubs")
+        label = roots.select(F.col("node").alias("_node"), "root")
+        mine = lists.join(label, F.col("set_no") == F.col("_node"), "left").select("shingle", "block", "set_no", "n", "at", F.coalesce("root", "set_no").alias("root"))
+        theirs = hubs.join(label, F.col("set_no") == F.col("_node"), "left").select(
+            "shingle", "block", F.col("set_no").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"), F.coalesce("root", "set_no").alias("hub_root"))
         unshared = (F.col("at") + F.col("hub_at")) * (100 + percent) <= (F.col("n") + F.col("hub_n")) * (100 - percent)
-        by_pair = ends.join(short.select("shingle", "block", "set_no", "n", "at"), ["shingle", "block"]).where("hub < set_no").where(unshared).select(
-            "hub", "hub_n", "set_no", "n", F.lit(True).alias("direct"))
-        sizes = long.where("hub = set_no").select(F.col("hub").alias("of"), F.col("n").alias("hub_n")).distinct()
-        by_hub = long.where("hub <> set_no").join(sizes, F.col("hub") == F.col("of")).select("hub", "hub_n", "set_no", "n", F.lit(False).alias("direct"))
-        closest = F.when(F.col("direct"), F.lit(percent)).otherwise(F.lit(percent - (100 - percent)))
-        fitting = by_pair.union(by_hub).where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * closest).groupBy(
-            "hub", "hub_n", "set_no", "n").agg(F.min("direct").alias("direct"))
-        own = texts.select(F.col("set_no").alias("own"), "text")
-        hub_texts = texts.select(F.col("set_no").alias("hub_no"), F.col("text").alias("hub_text"))
-        # Texts meet in a few portions of the pairs, one after another, so that only one portion's
-        # shuffle is on disk at a time.
-        fitting = stage(fitting, "pairs")
-        portions = []
-        for portion in range(PORTIONS if turn == 0 else 1):
-            own_part = fitting.where(F.pmod(F.xxhash64("hub"), F.lit(PORTIONS)) == portion) if turn == 0 else fitting
-            together = own_part.join(own, F.col("set_no") == F.col("own")).join(hub_texts, F.col("hub") == F.col("hub_no"))
-            portions.append(stage(together.select("hub", "set_no", "hub_n", "direct", "text", "hub_text").mapInArrow(
-                _compared(size, percent), "hub long, set_no long, hub_n int, cost long, near boolean, diffs array<long>"), "compared"))
-        compared = functools.reduce(DataFrame.union, portions)
-        linked = F.col("cost") <= F.col("hub_n") * (100 - percent)
-        found = compared.where(linked).select(F.col("hub").alias("a"), F.col("set_no").alias("b"))
-        # Answers of unlinked members derived from the hub's.
-        loose = compared.where("near").where(~linked).select("hub", "hub_n", F.col("set_no").alias("a"), F.col("cost").alias("cost_a"), F.explode("diffs").alias("entry"))
-        others = compared.where("near").select(F.col("hub").alias("hub_b"), F.col("set_no").alias("b"), F.col("cost").alias("cost_b"), F.explode("diffs").alias("entry_b"))
-        derived = loose.join(others, (F.col("hub") == F.col("hub_b")) & (F.col("entry") == F.col("entry_b")) & (F.col("a") != F.col("b"))).groupBy(
-            "hub", "hub_n", "a", "b", "cost_a", "cost_b").agg(F.count("*").alias("same"))
-        found = found.union(derived.where(
-            F.col("cost_a") + F.col("cost_b") - F.col("hub_n") * (100 - percent) <= F.col("same") * (100 + percent)).select("a", "b"))
-        found = stage(found.distinct(), "links")
-        links = found if links is None else links.union(found)
-        # Lists with members that the hub says nothing about go on without the linked ones.
-        state = compared.select("hub", "set_no", linked.alias("linked"), "near")
-        rest = long.where("hub <> set_no").join(state, ["hub", "set_no"], "left").where(~F.coalesce("linked", F.lit(False)))
-        far = rest.where(~F.coalesce("near", F.lit(False))).select("shingle", "block").distinct()
-        open_lists = rest.select("shingle", "block", "set_no", "n", "at").join(far, ["shingle", "block"], "left_semi")
-        several = open_lists.groupBy("shingle", "block").agg(F.count("*").alias("members")).where("members > 1").select("shingle", "block")
-        done, lists = lists, stage(open_lists.join(several, ["shingle", "block"], "left_semi"), "list-members")
-        discard(done, met, fitting, *portions)
+        sized = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+        met = mine.join(theirs, ["shingle", "block"]).where("root <> hub_root").where(unshared).where(sized)
+        first = F.col("hub") < F.col("set_no")
+        pairs = met.select(F.least("hub", "set_no").alias("a"), F.greatest("hub", "set_no").alias("b"),
+                           F.when(first, F.col("hub_n")).otherwise(F.col("n")).alias("n_a"), F.when(first, F.col("n")).otherwise(F.col("hub_n")).alias("n_b")).distinct()
+        new = stage(_ruled_out(pairs, seen, anchors, percent) if turn else pairs, "pairs")
+        sides = [texts.select(F.col("set_no").alias(f"_{x}"), F.col("sketch").alias(f"sketch_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab"]
+        sketched = new.join(sides[0].drop("text_a"), F.col("a") == F.col("_a")).join(sides[1].drop("text_b"), F.col("b") == F.col("_b"))
+        bounded = stage(sketched.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_bounded(percent), "a long, b long, n_a int, n_b int, most long, open boolean"), "bounded")
+        together = bounded.where("open").join(sides[0].drop("sketch_a"), F.col("a") == F.col("_a")).join(sides[1].drop("sketch_b"), F.col("b") == F.col("_b"))
+        compared = stage(together.select("a", "b", "n_a", "n_b", "text_a", "text_b").mapInArrow(_shared(size), "a long, b long, n_a int, n_b int, both long"), "compared")
+        answers = bounded.where("not open").select("a", "b", "most").union(compared.select("a", "b", F.col("both").alias("most")))
+        seen = stage(seen.union(answers), "answers")
+        fresh = compared.where(F.col("both") * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
+        found = stage(found.union(fresh), "links")
+        roots = components(found.select("a", "b"))
+        similar = found.select(F.col("a").alias("set_no"), F.col("b").alias("anchor"), (F.col("n_a") - F.col("both")).alias("extra")).union(
+            found.select(F.col("b").alias("set_no"), F.col("a").alias("anchor"), (F.col("n_b") - F.col("both")).alias("extra")))
+        anchors = similar.groupBy("set_no").agg(F.min(F.struct("extra", "anchor")).alias("m")).select("set_no", "m.anchor", "m.extra")
+        # Lists go on without their hubs, as long as they hold sets of different groups.
+        left = lists.join(hubs.select("shingle", "block", "set_no"), ["shingle", "block", "set_no"], "left_anti").join(
+            roots.select(F.col("node").alias("_node"), "root"), F.col("set_no") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "set_no"))
+        several = left.groupBy("shingle", "block").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle", "block")
+        done, lists = lists, stage(left.drop("_node", "root").join(several, ["shingle", "block"], "left_semi"), "list-members")
+        discard(done, hubs, new, bounded, compared)
         if lists.isEmpty():
             discard(texts, shared)
-            return links
+            return roots
 
 
 def _classes(printed: DataFrame, size: int, percent: int) -> DataFrame:
     """(print1, print2, root) of every set of ``printed`` (rows of ``_prints``): sets with one root
     reach each other by links."""
-    sets = stage(printed.where("n_shingles > 0").groupBy("print1", "print2").agg(F.first("text").alias("text")).select(
-        F.monotonically_increasing_id().alias("set_no"), "print1", "print2", "text"), "shingle-sets")
-    found = components(linked_pairs(sets, size, percent))
+    sets = stage(printed.where("n_shingles > 0").groupBy("print1", "print2").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch")).select(
+        F.monotonically_increasing_id().alias("set_no"), "print1", "print2", "sketch", "text"), "shingle-sets")
+    found = linked_pairs(sets, size, percent)
     rooted = sets.select("set_no", "print1", "print2").join(found, F.col("set_no") == F.col("node"), "left")
     classes = stage(rooted.select("print1", "print2", F.coalesce("root", "set_no").alias("root")), "set-classes")
     discard(sets)
@@ -290,7 +297,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     """n_shingles and component_id (smallest doc_id reachable by links) per row of ``docs`` (doc_id, text)."""
     last = F.lit((1 << 63) - 1)
     printed = docs.select("doc_id", "text").mapInArrow(_prints(size), SETS)
-    rows = printed.drop("text").join(_classes(printed, size, percent), ["print1", "print2"], "left")
+    rows = printed.drop("text", "sketch").join(_classes(printed, size, percent), ["print1", "print2"], "left")
     rows = stage(rows.select("doc_id", "n_shingles", "root"), "set-members")
     lowest = rows.where("root is not null").groupBy(F.col("root").alias("of")).agg(F.min(F.coalesce("doc_id", last)).alias("lowest"))
     joined = rows.join(lowest, F.col("root") == F.col("of"), "left")
