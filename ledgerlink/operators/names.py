@@ -64,6 +64,7 @@ def explain_match(confidence: Column, vendor: Column, amount: Column, date: Colu
     def pct(x: Column) -> Column:
         return F.concat((F.floor(x * 1000.0 + 0.5).cast("double") / 10.0).cast("decimal(12,1)").cast("string"), F.lit("%"))
 
+    # The sentences of an explanation.
     fuzzy = F.concat_ws(
         "; ",
         F.concat(F.lit("Fuzzy match with confidence "), pct(confidence)),

@@ -12,6 +12,7 @@ from ledgerlink.streaming.jobs import file_stream
 
 c = F.col
 PARTS = 4
+FILES = 16
 LATE_SQL = "(event_id % 211 = 3 AND ts < TIMESTAMP '2024-01-19 00:00:00')"
 #: Watermark after all parts, in microseconds, for a delay given in minutes.
 WATERMARK_SQL = f"((SELECT epoch_ms(max(ts)) FROM events WHERE NOT {LATE_SQL}) - {{0}} * 60000) * 1000"
@@ -38,6 +39,6 @@ def write_parts(events: DataFrame, folder: str, files: int, parts: Iterable[int]
 def event_stream(events: DataFrame, columns: list[str]) -> DataFrame:
     """A stream over the parts, a part per micro-batch."""
     spark = events.sparkSession
-    folder, files = scratch_path(spark, "arrivals"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder, files = scratch_path(spark, "arrivals"), min(FILES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     write_parts(events.select(*columns), folder, files)
     return file_stream(spark, folder, "*.parquet", files)
