@@ -1,7 +1,8 @@
 """Streaming jobs over file sources, run to completion with an available-now trigger.
 
 Late-data policy: aggregates carry a one-hour watermark on event time; rows later than that
-are dropped. Sinks write one folder per micro-batch id and replace it on a retry, so results
+are dropped. Login alerts and progress have none: they keep a row per time span or batch of work
+and correct it whenever a row arrives. Sinks write one folder per micro-batch id and replace it on a retry, so results
 are the same after a restart.
 """
 
@@ -62,9 +63,9 @@ def hourly_metrics(events: DataFrame) -> DataFrame:
 
 
 def login_alert_metrics(attempts: DataFrame, span: str = "24 hours") -> DataFrame:
-    """Failed and suspicious logins per time span, one-hour watermark."""
+    """Failed and suspicious logins per time span, however late they arrive; the state is a row per span."""
     timed = attempts.withColumn("at", c("attempted_at").cast("timestamp"))
-    return (timed.withWatermark("at", "1 hour").groupBy(F.window("at", span).alias("w"))
+    return (timed.groupBy(F.window("at", span).alias("w"))
             .agg(F.count_if(~c("success")).cast("double").alias("auth_failed_login_rate"),
                  F.count_if(c("failure_reason").isin("rate_limited", "suspicious_activity")).cast("double").alias("auth_suspicious_logins"))
             .select(c("w.start").alias("span_start"), "auth_failed_login_rate", "auth_suspicious_logins"))

@@ -40,3 +40,14 @@ def test_answers_do_not_depend_on_batches(spark, sf_dir, name):
                 stream.writeStream.outputMode("append").option("checkpointLocation", out + "-state").format("parquet").option("path", out).trigger(availableNow=True).start().awaitTermination()
         answers.append(sorted((tuple(r) for r in spark.read.schema(stream.schema).parquet(out).collect()), key=repr))
     assert answers[0] == answers[1] == answers[2] and len(answers[0]) > 50
+
+
+def test_login_alerts_count_late_attempts(spark):
+    """An attempt nineteen days behind the ones before it corrects its day."""
+    folder = scratch_path(spark, "late")
+    for day in ("2024-01-20", "2024-01-20", "2024-01-20", "2024-01-01"):
+        row = spark.sql(f"SELECT TIMESTAMP_NTZ '{day} 10:00:00' AS attempted_at, false AS success, 'rate_limited' AS failure_reason").repartition(1)
+        row.write.mode("append").parquet(folder)
+    updates = jobs.run_batches(jobs.login_alert_metrics(jobs.file_stream(spark, folder, "*.parquet")), "late-alerts", lambda b: b)
+    got = jobs.newest(updates, ["span_start"]).select(F.date_format("span_start", "yyyy-MM-dd"), "auth_failed_login_rate", "auth_suspicious_logins")
+    assert sorted(tuple(r) for r in got.collect()) == [("2024-01-01", 1.0, 1.0), ("2024-01-20", 3.0, 3.0)]
