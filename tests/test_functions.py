@@ -1,6 +1,7 @@
 """Scalar rules on literal cases."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -55,6 +56,14 @@ def test_common_subsequence(a, b):
     assert fuzzy.common_subsequence(a, b) == lcs(a, b)
 
 
+def test_ratios_of_many_pairs_equal_single_ones():
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("abc\u00e9 _\0") for _ in range(rnd.choice([0, 1, 7, 8, 9, 33, 63, 64, 65, 90]))) for _ in range(300)] + [None] * 5
+    a, b = ([rnd.choice(texts) for _ in range(3000)] for _ in range(2))
+    assert fuzzy.percent_ratios(a, b).tolist() == [fuzzy.percent_ratio(x, y) for x, y in zip(a, b)]
+    assert fuzzy.percent_ratios([], []).tolist() == [] and fuzzy.percent_ratios(["", None], ["x", None]).tolist() == [0, 0]
+
+
 def test_similarity_methods(spark):
     rows = [("Microsoft Corp", "Microsoft Corporation"), ("Apple Inc.", "apple inc."), ("Sons Miller & Co", "Miller Sons Co"), ("", "x")]
     cols = [fuzzy.similarity(F.col("c0"), F.col("c1"), m) for m in ("levenshtein", "fuzzy_ratio", "fuzzy_token_sort", "fuzzy_token_set", "fuzzy_partial")]
