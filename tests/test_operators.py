@@ -274,3 +274,16 @@ def test_batch_metrics_count_both_tiers(spark, entities, sf_dir):
     want, mean = _metrics(left.count(), run.collect())
     got = match.batch_metrics(left, run).collect()[0]
     assert tuple(got)[:6] == want and abs(got.average_confidence - mean) < 1e-4
+
+
+def test_batches_share_folders_and_are_replaced(spark, tmp_path):
+    rows = spark.range(900).select(F.when(c("id") % 300 != 7, c("id") % 300).alias("import_batch_id"), c("id").alias("row_number"), F.lit("a").alias("v"))
+    again = rows.filter("(import_batch_id % 2 = 0 or import_batch_id is null) and row_number < 600").withColumn("v", F.lit("b"))
+    path = str(tmp_path / "batches")
+    vendors.write_batches(rows, path)
+    vendors.write_batches(again, path)
+    first, second = rows.collect(), again.collect()
+    anew = {r.import_batch_id for r in second}
+    want = Counter([tuple(r) for r in first if r.import_batch_id not in anew] + [tuple(r) for r in second])
+    assert Counter(tuple(r) for r in vendors.read_batches(spark, path).select("import_batch_id", "row_number", "v").collect()) == want
+    assert len(list((tmp_path / "batches").glob("*=*"))) <= vendors.FOLDERS
