@@ -7,7 +7,7 @@ from ledgerlink.plans import registry
 from ledgerlink.plans.match_queries import _BANDRUN
 from ledgerlink.plans.oracle_ctes import sql_numeric_text, sql_round
 from ledgerlink.plans.report_queries import _DAILY, _DCOLS
-from ledgerlink.session import scratch_path
+from ledgerlink.session import scratch_path, staged
 from ledgerlink.sources import csv_files
 
 query = registry.query
@@ -57,8 +57,8 @@ def _scan(e, header: int):
         mark = csv_files.DELIMITERS[i]
         folder = f"{import_folder(e)}/dialect={i}/header={header}"
         names = ["import_batch_id", *FIELDS]
-        part = (csv_files.read_csv(e.spark, folder + "/*", names, mark) if header
-                else csv_files.read_headerless(e.spark, folder + "/*", len(names), mark))
+        part = (csv_files.read_csv(e.spark, folder, names, mark) if header
+                else csv_files.read_headerless(e.spark, folder, len(names), mark))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -168,7 +168,7 @@ _HEADED = f"""SELECT import_batch_id, count(*) < 2 OR (max(share) FILTER (WHERE
 @query("s06_file_headers", "import_batch_id bigint, has_header boolean", _HEADED, stored=True)
 def _(e):
     lines = _lines(e)
-    return _batch(csv_files.detect_headers(lines, csv_files.detect_delimiters(lines)))
+    return _batch(csv_files.detect_headers(lines, staged(csv_files.detect_delimiters(lines), "delimiters")))
 
 
 @query("s07_file_profiles", "import_batch_id bigint, columns int, data_rows bigint, characters bigint, preview string, too_many_rows boolean",
@@ -177,7 +177,7 @@ def _(e):
            FROM (SELECT *, row_number() OVER (PARTITION BY import_batch_id ORDER BY place) AS n FROM ({_FILE_LINES})) AS l JOIN ({_HEADED}) AS h ON h.import_batch_id = l.import_batch_id GROUP BY l.import_batch_id""", stored=True)
 def _(e):
     lines = _lines(e)
-    marks = csv_files.detect_delimiters(lines)
+    marks = staged(csv_files.detect_delimiters(lines), "delimiters")
     return _batch(csv_files.file_profiles(lines, marks, csv_files.detect_headers(lines, marks)))
 
 

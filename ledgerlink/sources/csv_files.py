@@ -3,11 +3,15 @@
 Line numbers come from the source, not from row order after a shuffle: rows keep their
 order inside one scanned block, and a small table of rows per block gives each block its
 offset in the file. This works for whole-file (quoted line breaks) and splittable scans.
+
+There may be very many small files. Each is opened once: a scan is written to the shared folder and
+all further steps read that table. Folders are listed and files scanned many to a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +39,21 @@ def with_positions(scan: DataFrame, name: str, first: int) -> DataFrame:
         name, (c("_before") + c("_i") + F.lit(first - 1)).cast("int")).drop("block", "seq", "_i", "_before")
 
 
+@contextmanager
+def _many_to_a_task(spark: SparkSession) -> Iterator[None]:
+    """Settings under which a listing task takes many folders and a scan task many small files."""
+    wanted = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism),
+              "spark.sql.files.openCostInBytes": "262144"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def _place() -> list[Column]:
     return [c("_metadata.file_path").alias("file"), c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")]
 
@@ -46,9 +65,11 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: list[str], sep
     The first data row is 2 when there is a header, else 1.
     """
     schema = ", ".join(f"`{x}` string" for x in columns)
-    scan = (spark.read.schema(schema).option("header", header).option("sep", sep).option("encoding", encoding)
-            .option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("enforceSchema", True).csv(path))
-    return with_positions(scan.select(*columns, *_place()), "row_number", 2 if header else 1)
+    with _many_to_a_task(spark):
+        scan = (spark.read.schema(schema).option("header", header).option("sep", sep).option("encoding", encoding).option("recursiveFileLookup", True)
+                .option("multiLine", multi_line).option("quote", '"').option("escape", '"').option("enforceSchema", True).csv(path))
+        rows = staged(scan.select(*columns, *_place()), "scan")
+    return with_positions(rows, "row_number", 2 if header else 1)
 
 
 def read_headerless(spark: SparkSession, path: str, width: int, sep: str = ",", encoding: str = "utf-8") -> DataFrame:
@@ -63,8 +84,10 @@ def map_columns(rows: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_number, line) over all text files below ``path``."""
-    scan = spark.read.option("recursiveFileLookup", True).text(path).select(c("value").alias("line"), *_place())
-    return with_positions(scan, "line_number", 1)
+    with _many_to_a_task(spark):
+        scan = spark.read.option("recursiveFileLookup", True).text(path).select(c("value").alias("line"), *_place())
+        lines = staged(scan, "scan")
+    return staged(with_positions(lines, "line_number", 1), "lines")
 
 
 def read_plain(lines: DataFrame, sep: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlink.functions import fuzzy, scores
 from ledgerlink.operators import candidates, changes, match, names, security, vendors
 from ledgerlink.plans.catalog import QUERIES
+from ledgerlink.sources import csv_files
 from ledgerlink.sources.entities import Entities
 from ledgerlink.streaming.limits import rate_limit
 
@@ -276,6 +277,17 @@ def test_batch_metrics_count_both_tiers(spark, entities, sf_dir):
     assert tuple(got)[:6] == want and abs(got.average_confidence - mean) < 1e-4
 
 
+def test_best_only_scores_fewer_references(spark):
+    inv, po, _, _ = _documents(spark, 200)
+    inv = inv.withColumn("po_reference", F.concat(F.lit("PO0"), c("invoice_id") * 7 % 300))
+    po = po.withColumn("po_number", F.concat(F.lit("PO0"), c("po_id")))
+    owners = spark.createDataFrame([(0, "Acme Trading"), (1, "Acme Trading Co"), (2, "Miller & Sons")], "vendor_id bigint, name string")
+    pairs = candidates.fuzzy_candidates(inv, po)
+    every, few = (match.fuzzy_scores(pairs, owners, best_only=x) for x in (False, True))
+    assert 0 < few.count() < every.count()
+    assert sorted(match.best_candidate(few).collect()) == sorted(match.best_candidate(every).collect())
+
+
 def test_batches_share_folders_and_are_replaced(spark, tmp_path):
     rows = spark.range(900).select(F.when(c("id") % 300 != 7, c("id") % 300).alias("import_batch_id"), c("id").alias("row_number"), F.lit("a").alias("v"))
     again = rows.filter("(import_batch_id % 2 = 0 or import_batch_id is null) and row_number < 600").withColumn("v", F.lit("b"))
@@ -287,3 +299,15 @@ def test_batches_share_folders_and_are_replaced(spark, tmp_path):
     want = Counter([tuple(r) for r in first if r.import_batch_id not in anew] + [tuple(r) for r in second])
     assert Counter(tuple(r) for r in vendors.read_batches(spark, path).select("import_batch_id", "row_number", "v").collect()) == want
     assert len(list((tmp_path / "batches").glob("*=*"))) <= vendors.FOLDERS
+
+
+def test_small_files_are_opened_once(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"batch={i}").mkdir()
+        (tmp_path / f"batch={i}" / "rows.csv").write_text(f"a,b\n{i},x\n\n{i},y\n")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    lines, rows = csv_files.read_lines(spark, str(tmp_path)), csv_files.read_csv(spark, str(tmp_path), ["a", "b"])
+    assert all(f.endswith(".parquet") for f in lines.inputFiles() + rows.inputFiles())
+    assert sorted((r.line_number, r.line) for r in lines.collect()) == sorted((n, x) for i in range(3) for n, x in ((1, "a,b"), (2, f"{i},x"), (3, ""), (4, f"{i},y")))
+    assert sorted((r.a, r.b, r.row_number) for r in rows.collect()) == sorted((str(i), x, n) for i in range(3) for x, n in (("x", 2), ("y", 3)))
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
