@@ -335,3 +335,28 @@ def test_receipts_store_no_lines(spark, tmp_path):
     names = {name for _, folder, name in entities_module._WRITTEN if folder == path}
     assert "receipts" in names and not names & {"po_lines", "receipt_lines"}
     assert sorted(stored.collect()) == sorted(Entities(spark, path).receipts.collect()) != []
+
+
+def test_best_order_candidates_lose_no_best(spark):
+    """Every candidate that could win is kept, most others are not; names and keys may be missing or repeat."""
+    rnd = random.Random(11)
+    day = dt.date(2020, 1, 1)
+    name = ["Supplier#000000012 Trading Co", "Supplier#000000021 Trading Co", "Supplier#000000112", "Acme & Sons LLC", None]
+
+    def document(i):
+        return (rnd.choice([0, 0, 0, 1, None]), i, rnd.choice([0, 1, 2, 3, 4, 5, 9, None]), rnd.choice([f"PO{i % 60:06d}", f"POO{i % 60:05d}", "PO 7 x", "", " ", None]),
+                rnd.choice([Decimal(rnd.randrange(-5, 300)), Decimal(rnd.randrange(900, 1300)), None]), day + dt.timedelta(days=rnd.randrange(40)))
+
+    inv = spark.createDataFrame([document(i % 380) for i in range(400)], "tenant_id int, invoice_id bigint, vendor_id bigint, po_reference string, total_amount decimal(15,2), invoice_date date")
+    po = spark.createDataFrame([(*document(i), rnd.choice(["approved", "archived"])) for i in range(400)],
+                               "tenant_id int, po_id bigint, vendor_id bigint, po_number string, total_amount decimal(15,2), po_date date, status string")
+    owners = spark.createDataFrame([*enumerate(name), (5, name[0]), (5, name[3]), (5, None), (None, name[1])], "vendor_id bigint, name string")
+    for weights, least in ((scores.UNIT_WEIGHTS, 0.7), ({"vendor_name": 0.1, "amount": 0.2, "date": 0.3, "reference": 0.4}, 0.6)):
+        every = candidates.fuzzy_candidates(inv, po, weights, least)
+        few = candidates.best_order_candidates(inv, po, owners, weights, least)
+        assert sorted(few.columns) == sorted(every.columns)
+        extra = few.exceptAll(every.select(few.columns)).collect()
+        assert not extra, extra[:5]
+        best = sorted(match.best_fuzzy(every, owners, weights, least).collect())
+        assert best == sorted(match.best_fuzzy(few, owners, weights, least).collect()) and len(best) > 100
+        assert few.count() < every.count()
