@@ -54,6 +54,24 @@ def test_nearest_by_date_equals_brute_force(spark):
         assert found[(v, d)] == {n + 1: p for n, (_, p) in enumerate(best)}
 
 
+def test_receipt_lists_are_one_row_per_invoice(spark):
+    """Days with more receipts than are kept, receipts that come twice, and missing keys, ids and days."""
+    rnd, day = random.Random(8), dt.date(2020, 1, 1)
+    inv = [(0, i, rnd.choice([0, 1, None]), day + dt.timedelta(days=rnd.randrange(40))) for i in range(60)]
+    some = [(0, rnd.choice([0, 1, None]), i, i // 2, day + dt.timedelta(days=rnd.choice([3, 3, 3, rnd.randrange(40)])), "accepted" if i % 5 else "pending") for i in range(50)]
+    rec = [*some, *some[:8], (0, 0, None, 7, day + dt.timedelta(days=20), "accepted"), (None, 0, 99, 7, day, "accepted")]
+    invoices = spark.createDataFrame(inv, "tenant_id int, invoice_id bigint, vendor_id bigint, invoice_date date")
+    receipts = spark.createDataFrame(rec, "tenant_id int, vendor_id bigint, receipt_id bigint, po_id bigint, receipt_date date, status string")
+    got = {r.invoice_id: [x.id for x in r.near] for r in candidates.receipt_lists(invoices, receipts, 4).collect()}
+    first = lambda x: -1 if x is None else x
+    want = {i: [r for _, _, r in sorted((abs((rd - d).days), first(r), r) for t, rv, r, _, rd, s in rec if t == 0 and rv == v and s == "accepted")[:4]] for _, i, v, d in inv if v is not None}
+    assert got == want
+    pairs = invoices.select("invoice_id", "invoice_date").crossJoin(spark.range(25).withColumnRenamed("id", "po_id"))
+    triples = match.band_triples(pairs, invoices, receipts, 4).select("invoice_id", "po_id", "receipt_id", "receipt_place").collect()
+    slow = [(i, p, r, n + 1) for i, near in got.items() for n, r in enumerate(near) for _, _, rr, p, _, _ in rec if r is not None and rr == r]
+    assert Counter(map(tuple, triples)) == Counter(slow)
+
+
 def test_fuzzy_candidates_lose_nothing(spark, entities):
     inv, po = entities.invoices.filter("invoice_id % 5 = 0"), entities.purchase_orders
     fast = {tuple(r) for r in candidates.fuzzy_candidates(inv, po).select("invoice_id", "po_id").collect()}
