@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 from collections import Counter
 from decimal import Decimal
 
@@ -103,6 +104,33 @@ def test_best_lines_equal_all_pairs(spark, entities):
     assert fast == slow and fast
 
 
+def _shuffled_by(df):
+    """The keys by which the plan deals rows."""
+    return [re.sub(r"#[0-9]+L?", "", keys) for keys in re.findall(r"hashpartitioning\(([^)]*?), [0-9]+\)", df._jdf.queryExecution().executedPlan().toString())]
+
+
+def test_best_lines_deal_lines_by_order_once(spark):
+    """Lines without code, order or words, and equal lines; no line is shuffled once per key."""
+    rnd = random.Random(4)
+    pick = lambda *x: rnd.choice(x)
+    line = lambda i: (i, pick("A1", "a1 ", "B2", "", None), pick("red pipe", "Pipe red", "red  pipe red", "bolt", "", None), pick(Decimal(1), Decimal(2), Decimal(0)), pick(Decimal(3), Decimal(4)))
+    fields = "item_code string, description string, unit_price decimal(15,4), quantity decimal(15,4)"
+    il = spark.createDataFrame([(pick(1, 2, 3, None), *line(i)) for i in range(60)], "invoice_id bigint, invoice_line_id bigint, " + fields)
+    pl = spark.createDataFrame([(pick(1, 2, None), i % 7, *line(i)) for i in range(60)], "po_id bigint, line_number int, po_line_id bigint, " + fields)
+    found = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, 1), (None, 1)], "invoice_id bigint, po_id bigint")
+    fast = match.best_lines(il, pl, found)
+    right = pl.select("po_id", "po_line_id", c("line_number").alias("n"), c("item_code").alias("p_code"), c("description").alias("p_description"), c("unit_price").alias("p_price"), c("quantity").alias("p_quantity"))
+    best = il.join(found, "invoice_id").join(right, "po_id").withColumn("k", match.line_confidence()).filter("k >= 0.7").groupBy("invoice_line_id").agg(F.min(F.struct(-c("k"), c("n"), c("po_line_id"), c("k"))).alias("b")).collect()
+    assert {tuple(r) for r in fast.collect()} == {(r[0], r[1][2], r[1][3]) for r in best} != set()
+    assert not [keys for keys in _shuffled_by(fast) if "key" in keys]
+
+
+def test_nearest_amount_deals_cells_not_days(spark):
+    inv, po, _, _ = _documents(spark)
+    dealt = _shuffled_by(candidates.nearest_amount(inv, po))
+    assert "tenant_id, vendor_id, cell" in dealt and "tenant_id, vendor_id, po_date" not in dealt
+
+
 def _similar(a, b):
     return 60.0 * (1 - levenshtein(a[2], b[2]) / max(len(a[2]), len(b[2]))) + (20.0 if a[3] and b[3] and a[3].lower() == b[3].lower() else 0) + (
         10.0 if a[4] and b[4] and digits(a[4]) == digits(b[4]) else 0) + (10.0 if a[5] and a[5] == b[5] else 0)
@@ -355,6 +383,14 @@ def test_receipts_store_no_lines(spark, tmp_path):
     assert sorted(stored.collect()) == sorted(Entities(spark, path).receipts.collect()) != []
 
 
+def test_documents_read_row_by_row_are_not_stored(spark, tmp_path):
+    path = _driver_tables(spark, tmp_path)
+    stored, plain = StoredEntities(spark, path), Entities(spark, path)
+    for name in ("invoices", "invoice_lines", "receipt_lines"):
+        assert sorted(getattr(stored, name).collect(), key=repr) == sorted(getattr(plain, name).collect(), key=repr) != []
+    assert {name for _, folder, name in entities_module._WRITTEN if folder == path} == {"po_lines", "purchase_orders"}
+
+
 def test_best_order_candidates_lose_no_best(spark):
     """Every candidate that could win is kept, most others are not; names and keys may be missing or repeat."""
     rnd = random.Random(11)
