@@ -131,6 +131,16 @@ def test_nearest_amount_deals_cells_not_days(spark):
     assert "tenant_id, vendor_id, cell" in dealt and "tenant_id, vendor_id, po_date" not in dealt
 
 
+def test_tfidf_texts_are_spread_over_tasks(spark):
+    some = [(0, f"supplier {i:03d}") for i in range(60)]
+    corpus = spark.createDataFrame(some, "tenant_id int, name string")
+    pairs = spark.createDataFrame([(0, f"supplier {i:03d} inc", f"supplier {i:03d}") for i in range(60)], "tenant_id int, text string, candidate string")
+    found = names.tfidf_match(pairs, corpus, texts_per_task=5)
+    dealt = re.findall(r"hashpartitioning\(tenant_id#\d+, text#\d+, (\d+)\), REPARTITION_BY_NUM", found._jdf.queryExecution().executedPlan().toString())
+    assert "12" in dealt
+    assert sorted(found.collect()) == sorted(names.tfidf_match(pairs, corpus, texts_per_task=1000).collect()) and found.filter("score > 0").count() == 60
+
+
 def _similar(a, b):
     return 60.0 * (1 - levenshtein(a[2], b[2]) / max(len(a[2]), len(b[2]))) + (20.0 if a[3] and b[3] and a[3].lower() == b[3].lower() else 0) + (
         10.0 if a[4] and b[4] and digits(a[4]) == digits(b[4]) else 0) + (10.0 if a[5] and a[5] == b[5] else 0)
