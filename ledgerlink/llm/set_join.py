@@ -8,8 +8,11 @@ the back so that lists stay short.
 *Skipping in the lists.* A list is cut into blocks by set size, so only sizes that can link meet.
 Where two sets meet first, all their shingles before that place are unshared, so places whose sum
 exceeds the differences that linked sets can have are skipped.
+*Odd classes.* A set carries a bit per class of hashes that holds an odd number of its shingles. Two sets
+differ in at least as many shingles as in bits, so most members of a list that cannot link never
+become a pair.
 *Rounds of hubs.* A list is not paired off: its members are compared with one of them, the hub, then
-what is left with four further hubs, then with sixteen, and so on. A hub that was compared leaves
+what is left with sixteen hubs, then with 256, and so on. A hub that was compared leaves
 its lists. Members that link to one hub are one group, and only members of different groups are
 compared in later rounds; lists within one group are done. So a list of near copies costs a few
 comparisons a member, and the number of rounds grows with the logarithm of the longest list.
@@ -43,9 +46,11 @@ SHINGLE = 3
 PERCENT = 90
 FREQUENT_SHINGLES = 100_000
 FREQUENT_FROM = 8
-COUNT_CHUNK = 4_000_000
-MORE_HUBS = 4
+COUNT_CHUNK = 1_000_000
+MORE_HUBS = 16
 SKETCH = 256
+ODD = [f"odd{k}" for k in range(SKETCH // 64)]
+COMPARED_ROWS = 250
 SETS = "doc_id long, n_shingles long, print1 long, print2 long, sketch binary, text string"
 
 
@@ -163,6 +168,14 @@ def _prefixes(size: int, percent: int, late: np.ndarray):
     return run
 
 
+def _odd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set_no, odd0, odd1, ...): the lowest bits of the numbers in the sketch, 64 to a column."""
+    for batch in batches:
+        numbers = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        bits = np.ascontiguousarray(np.packbits(numbers & 1, axis=1)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("set_no"), *(pa.array(bits[:, k]) for k in range(len(ODD)))], ["set_no", *ODD])
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed on their own: they travel to every set that they are compared with."""
     compress = zstandard.ZstdCompressor(level=6).compress
@@ -204,8 +217,8 @@ def _shared(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, COMPARED_ROWS):
+                rows = batch.slice(at, COMPARED_ROWS)
                 firsts = rows.column("text_a").dictionary_encode()
                 first_sets = _sets_of(firsts.dictionary, size)
                 both = [len(np.intersect1d(first_sets[k], own, assume_unique=True))
@@ -234,7 +247,10 @@ def linked_pairs(sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     rows = sets.select("set_no", "text").mapInArrow(_prefixes(size, percent, late), "shingle long, block int, set_no long, n int, at int")
     # Lists of one set go before anything else is shuffled.
     shared = stage(rows.groupBy("shingle", "block").agg(F.min("set_no").alias("low"), F.max("set_no").alias("high")).where("low <> high").select("shingle", "block"), "lists")
-    lists = stage(rows.join(shared, ["shingle", "block"], "left_semi"), "list-members")
+    short = stage(rows.join(shared, ["shingle", "block"], "left_semi"), "list-members")
+    odd = sets.select("set_no", "sketch").mapInArrow(_odd, ", ".join(["set_no long", *(f"{name} long" for name in ODD)]))
+    lists = stage(short.join(odd, "set_no"), "list-members")
+    discard(short)
     members = lists.select("set_no").distinct()
     texts = stage(sets.select("set_no", "text", "sketch").join(members, "set_no", "left_semi").mapInArrow(_packed, "set_no long, text binary, sketch binary"), "listed-sets")
     spark = sets.sparkSession
@@ -247,10 +263,12 @@ def linked_pairs(sets: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
         order = W.partitionBy("shingle", "block").orderBy(F.xxhash64("set_no"), "set_no")
         hubs = stage(lists.withColumn("place", F.row_number().over(order)).where(F.col("place") <= MORE_HUBS**turn).drop("place"), "hubs")
         label = roots.select(F.col("node").alias("_node"), "root")
-        mine = lists.join(label, F.col("set_no") == F.col("_node"), "left").select("shingle", "block", "set_no", "n", "at", F.coalesce("root", "set_no").alias("root"))
+        mine = lists.join(label, F.col("set_no") == F.col("_node"), "left").select("shingle", "block", "set_no", "n", "at", *ODD, F.coalesce("root", "set_no").alias("root"))
         theirs = hubs.join(label, F.col("set_no") == F.col("_node"), "left").select(
-            "shingle", "block", F.col("set_no").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"), F.coalesce("root", "set_no").alias("hub_root"))
-        unshared = (F.col("at") + F.col("hub_at")) * (100 + percent) <= (F.col("n") + F.col("hub_n")) * (100 - percent)
+            "shingle", "block", F.col("set_no").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"),
+            *(F.col(name).alias(f"hub_{name}") for name in ODD), F.coalesce("root", "set_no").alias("hub_root"))
+        odd_classes = sum(F.bit_count(F.col(name).bitwiseXOR(F.col(f"hub_{name}"))) for name in ODD)
+        unshared = F.greatest(F.col("at") + F.col("hub_at"), odd_classes) * (100 + percent) <= (F.col("n") + F.col("hub_n")) * (100 - percent)
         sized = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
         met = mine.join(theirs, ["shingle", "block"]).where("root <> hub_root").where(unshared).where(sized)
         first = F.col("hub") < F.col("set_no")

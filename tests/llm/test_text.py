@@ -2,6 +2,7 @@
 
 import array
 import collections
+import itertools
 import hashlib
 import heapq
 import random
@@ -118,6 +119,38 @@ def test_draws_fill_the_shards(spark):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(1, 0.02 * own[0]["target"])
 
 
+def test_members_that_differ_too_much_are_not_paired(spark, monkeypatch):
+    """Copies of one text, each with two words of its own: their lists are shared, links are few."""
+    base = [f"w{i}" for i in range(140)]
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(90):
+        at = rng.choice(np.arange(5, 135), 2, replace=False)
+        rows.append((i, " ".join(f"x{i}" if k in at else w for k, w in enumerate(base))))
+    pairs, write = [], set_join.stage
+
+    def counted(df, label, by=None):
+        out = write(df, label, by)
+        if label == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(set_join, "stage", counted)
+    found = set_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == _linked(rows)
+    assert sum(pairs) < 2 * len(rows)
+
+
+def _linked(rows):
+    sets = {i: set(zip(w, w[1:], w[2:])) for i, w in ((i, t.split(" ")) for i, t in rows)}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if v == high else v for k, v in root.items()}
+    return root
+
+
 def test_set_join(spark):
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 400)}" for _ in range(150)]
