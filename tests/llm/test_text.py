@@ -7,6 +7,7 @@ import hashlib
 import heapq
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -62,6 +63,18 @@ def test_slices_keep_long_texts_whole(monkeypatch):
     assert [n for _, t in ta.slices(batch) for n in t.n_words.tolist()] == [50, 1, 0, 9, 1]
 
 
+def test_slices_hold_little_memory(monkeypatch):
+    monkeypatch.setattr(ta, "_powers", [])
+    batch = pa.RecordBatch.from_pydict({"text": ["some words of a text " * 50] * 6000})
+    tracemalloc.start()
+    try:
+        words = sum(int(t.n_words.sum()) for _, t in ta.slices(batch))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert words == 5 * 50 * 6000 and peak < 60e6
+
+
 def test_forest_finds_outliers():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 1, (2000, 3)), rng.normal(9, 1, (20, 3))])
