@@ -125,6 +125,35 @@ def test_best_lines_deal_lines_by_order_once(spark):
     assert not [keys for keys in _shuffled_by(fast) if "key" in keys]
 
 
+def test_line_matches_deal_lines_by_order_once(spark):
+    """Equal to best lines, order lines and receipt totals joined one after the other; documents and
+    lines may come twice, and codes, orders, amounts and receipts may be missing."""
+    rnd = random.Random(9)
+    pick = lambda *x: rnd.choice(x)
+    twice = lambda rows: rows + rows[::4]
+    line = lambda: (pick("A1", "a1 ", "B2", "", None), pick("red pipe", "Pipe red", "red  pipe red", "bolt", None), pick(Decimal(1), Decimal(2), Decimal(0), None), pick(Decimal(3), Decimal(4), Decimal(0)), pick(Decimal(6), Decimal(8), None))
+    fields = "item_code string, description string, unit_price decimal(15,4), quantity decimal(15,4), line_total decimal(15,2)"
+    il = spark.createDataFrame(twice([(pick(1, 2, 3, 4, 5, None), i, *line()) for i in range(60)]), "invoice_id bigint, invoice_line_id bigint, " + fields)
+    pl = spark.createDataFrame(twice([(pick(1, 2, 3, None), i % 7, i, *line()) for i in range(60)]), "po_id bigint, line_number int, po_line_id bigint, " + fields)
+    matched = spark.createDataFrame(twice([(1, 1), (2, 2), (3, 2), (4, 3), (5, None), (None, 1)]), "invoice_id bigint, po_id bigint")
+    day = dt.date(2020, 1, 1)
+    of = spark.createDataFrame(twice([(i, 1 if i == 1 else 2, r, day + dt.timedelta(days=r % 3)) for i, r in ((1, 7), (1, 8), (2, 9), (3, 9), (2, 7))]), "invoice_id bigint, po_id bigint, receipt_id bigint, receipt_date date")
+    rl = spark.createDataFrame(twice([(pick(7, 8, 9, None), 100 + i, pick(*range(60), None), pick(Decimal(0), Decimal(3), None), Decimal(5)) for i in range(200)]),
+                               "receipt_id bigint, receipt_line_id bigint, po_line_id bigint, quantity_received decimal(15,4), line_value decimal(15,2)")
+    fast = match.line_matches(il, pl, matched, of, rl)
+    totals = match.receipt_totals(of, rl)
+    slow = (il.join(matched.select("invoice_id"), "invoice_id", "left_semi").select("invoice_id", "invoice_line_id", "quantity", "line_total")
+            .join(match.best_lines(il, pl, matched), "invoice_line_id", "left")
+            .join(pl.select("po_line_id", c("quantity").alias("po_quantity"), c("line_total").alias("po_amount")), "po_line_id", "left").join(totals, ["invoice_id", "po_line_id"], "left").collect())
+    off = lambda x, y: None if x is None or y is None else 1.0 if y == 0 else abs(float(x) - float(y)) / float(y)
+    want = Counter((r.invoice_id, r.invoice_line_id, r.po_line_id, r.receipt_line_id, r.po_line_id is not None, r.confidence or 0.0,
+                    off(r.received_quantity if (r.received_quantity or 0) > 0 else r.quantity, r.po_quantity) if r.po_line_id is not None else 1.0,
+                    (1.0 if r.po_amount == 0 else off(r.line_total, r.po_amount)) if r.po_line_id is not None else 1.0) for r in slow)
+    got = fast.collect()
+    assert Counter(tuple(r)[:8] for r in got) == want and sum(r.is_matched for r in got) > 20 and any(r.receipt_line_id for r in got)
+    assert not [keys for keys in _shuffled_by(fast) if "line" in keys]
+
+
 def test_nearest_amount_deals_cells_not_days(spark):
     inv, po, _, _ = _documents(spark)
     dealt = _shuffled_by(candidates.nearest_amount(inv, po))
