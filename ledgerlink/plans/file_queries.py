@@ -7,7 +7,7 @@ from ledgerlink.plans import registry
 from ledgerlink.plans.match_queries import _BANDRUN
 from ledgerlink.plans.oracle_ctes import sql_numeric_text, sql_round
 from ledgerlink.plans.report_queries import _DAILY, _DCOLS
-from ledgerlink.session import scratch_path, staged
+from ledgerlink.session import CODEC, scratch_path, staged
 from ledgerlink.sources import csv_files
 
 query = registry.query
@@ -248,7 +248,7 @@ def write_results(results, path: str, batch: str) -> None:
     audit = out.select("invoice_id", F.lit("match_created").alias("event_type"), names.audit_hash(
         invoice_id=c("invoice_id"), po_id=c("po_id"), confidence=c("confidence"), status=c("match_status")).alias("event_hash"), "batch")
     for label, df in (("results", out), ("audit", audit)):
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{label}")
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", CODEC).partitionBy("batch").parquet(f"{path}/{label}")
 
 
 @query("k01_results_and_audit", "invoice_id bigint, po_id bigint, match_status string, audited boolean",

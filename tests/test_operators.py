@@ -73,6 +73,26 @@ def test_receipt_lists_are_one_row_per_invoice(spark):
     assert Counter(map(tuple, triples)) == Counter(slow)
 
 
+def test_band_pairs_join_names_to_documents(spark):
+    """Pairs are dealt by invoice and order only and carry no names; vendors may be missing, nameless or come twice."""
+    inv, po, li, lp = _documents(spark, 60, 5)
+    named = [(0, "acme"), (1, "acne"), (1, "acme"), (2, None), (None, "x")]
+    owners = spark.createDataFrame(named, "vendor_id bigint, normalized_name string")
+    met = [(i, (i * 7 + k) % 60, k) for i in range(60) for k in (1, 2)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = match.band_pairs(inv, po, owners, spark.createDataFrame(met, "invoice_id bigint, po_id bigint, place int"))
+        dealt, got = _shuffled_by(pairs), pairs.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    name = lambda v: [n for o, n in named if o == v] or [None]
+    want = Counter((i, p, k, None if a is None or b is None else 100.0 if a == b else 75.0) for i, p, k in met for a in name(li[i][2]) for b in name(lp[p][2]))
+    assert Counter((r.invoice_id, r.po_id, r.place, r.vendor_score) for r in got if None not in name(li[r.invoice_id][2]) + name(lp[r.po_id][2])) == Counter({k: n for k, n in want.items() if None not in name(li[k[0]][2]) + name(lp[k[1]][2])})
+    assert len(got) == sum(want.values()) and not [x for x in pairs.columns if x.endswith("norm")]
+    assert dealt.count("vendor_id") == 4 and not [keys for keys in dealt if "vendor_id" in keys and keys != "vendor_id"]
+
+
 def test_fuzzy_candidates_lose_nothing(spark, entities):
     inv, po = entities.invoices.filter("invoice_id % 5 = 0"), entities.purchase_orders
     fast = {tuple(r) for r in candidates.fuzzy_candidates(inv, po).select("invoice_id", "po_id").collect()}
