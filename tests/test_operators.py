@@ -473,3 +473,28 @@ def test_best_order_candidates_lose_no_best(spark):
         best = sorted(match.best_fuzzy(every, owners, weights, least).collect())
         assert best == sorted(match.best_fuzzy(few, owners, weights, least).collect()) and len(best) > 100
         assert few.count() < every.count()
+
+
+def test_marks_bound_edit_distances(spark):
+    """Marks of two texts never take more than their edit distance and their common characters allow."""
+    rnd = random.Random(12)
+    text = lambda: "".join(rnd.choice("ab01#é😀 ") for _ in range(rnd.randrange(0, 12))) * rnd.choice([1, 1, 3])
+    some = [text() for _ in range(300)] + ["supplier#000012345 inc", "supplier#000012354 inc", "po000000123456", "po000000132456", ""]
+    pairs = spark.createDataFrame([(rnd.choice(some), rnd.choice(some)) for _ in range(600)] + [(some[-5], some[-4]), (some[-3], some[-2]), ("a", None)], "ref string, number string")
+    rows = candidates._marked(candidates._marked(pairs, "ref"), "number").select(
+        "ref", "number", candidates._taken_least("ref", "number", 1.0, 0.0).alias("edit"), candidates._taken_least("ref", "number", 0.0, 1.0).alias("both")).collect()
+    for r in rows:
+        if r.ref and r.number:
+            n, m = len(r.ref), len(r.number)
+            assert r.edit <= fuzzy.edit_distance(r.ref, r.number) / max(n, m) + 1e-12
+            assert r.both <= (n + m - 2 * fuzzy.common_subsequence(r.ref, r.number)) / (n + m) + 1e-12
+    assert sum((r.edit or 0) > 0 for r in rows) > 300 and [r.edit for r in rows if r.number is None] == [None]
+
+
+def test_best_order_join_is_not_one_long_method(spark):
+    """The pairs of the band meet outside whole-stage code, and bits are compared before edit distances."""
+    inv, po, _, _ = _documents(spark, 30)
+    inv, po = inv.withColumn("po_reference", F.lit("PO1")), po.withColumn("po_number", F.lit("PO2"))
+    plan = candidates.best_order_candidates(inv, po, spark.createDataFrame([(0, "Acme")], "vendor_id bigint, name string"))._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x and "levenshtein" in x]
+    assert joins and all("bit_count" in x[:x.index("levenshtein")] and "lambdafunction" in x for x in joins)
